@@ -51,6 +51,9 @@ def outcome_summary(frame: DataFrame, groups: Sequence[str], value: str, tail: f
     The winsorised mean clips at the tail quantiles, then averages; it is taken
     over distinct values with their counts, so no group is ever gathered.
     """
+    if not groups:
+        one = frame.withColumn("__all", F.lit(0))
+        return outcome_summary(one, ["__all"], value, tail).drop("__all")
     rungs = value_ladder(frame, groups, value)
     number = F.col(value)
     first = rungs.groupBy(*groups).agg(
@@ -61,12 +64,11 @@ def outcome_summary(frame: DataFrame, groups: Sequence[str], value: str, tail: f
         (F.sum(number * F.col("n")) / F.sum("n")).alias("mean"),
         (F.sum(F.when(number > 0, F.col("n")).otherwise(0)) / F.sum("n") * 100.0).alias("win_rate"),
     )
-    clipped = (rungs.join(first, list(groups)) if groups else rungs.crossJoin(first)).groupBy(*groups).agg(
+    clipped = rungs.join(first, list(groups)).groupBy(*groups).agg(
         (F.sum(F.least(F.greatest(number, F.col("__low")), F.col("__high")) * F.col("n")) / F.sum("n"))
         .alias("winsorised_mean"),
     )
-    joined = first.join(clipped, list(groups)) if groups else first.crossJoin(clipped)
-    return joined.drop("__low", "__high")
+    return first.join(clipped, list(groups)).drop("__low", "__high")
 
 
 def trimmed_mean(frame: DataFrame, groups: Sequence[str], value: str, tail: float = 0.02) -> DataFrame:
