@@ -125,7 +125,7 @@ def _(v: Views):
 def ohlc(v: Views):
     trades = v.table("lineitem").select(
         F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("d"),
-        half_even(F.col("l_extendedprice") / F.col("l_quantity"), 4).alias("p"),
+        (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"),
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq"), "l_quantity", "l_discount",
     )
     key = F.struct("seq", "p")
@@ -137,7 +137,7 @@ def ohlc(v: Views):
 
 
 OHLC_SQL = f"""tr AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS d,
-    {r('l_extendedprice / l_quantity', 4)} AS p, l_orderkey * 8 + l_linenumber AS seq, l_quantity, l_discount
+    l_extendedprice / l_quantity AS p, l_orderkey * 8 + l_linenumber AS seq, l_quantity, l_discount
     FROM lineitem),
   oh AS (SELECT ticker, d, first(p ORDER BY seq, p) AS open, max(p) AS high, min(p) AS low,
     last(p ORDER BY seq, p) AS close, sum(l_quantity) AS volume, {r('max(l_discount)', 2)} AS dividend
@@ -145,7 +145,7 @@ OHLC_SQL = f"""tr AS (SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS d,
 
 
 @register("s06_clean_points", "", f"""WITH {OHLC_SQL}
-  SELECT ticker, CAST(d AS VARCHAR) AS d, {r('CASE WHEN open > 1000 THEN open - 1000 END', 6)} AS open, high, low, close, volume,
+  SELECT ticker, CAST(d AS VARCHAR) AS d, {r('CASE WHEN open > 1000 THEN open - 1000 END', 6)} AS open, {r('high', 6)} AS high, {r('low', 6)} AS low, {r('close', 6)} AS close, volume,
     dividend, 0.0::DOUBLE AS split FROM oh""")
 def _(v: Views):
     bars = ohlc(v).withColumn("open", F.col("open") - 1000).withColumn("split", F.lit(None).cast("double"))
@@ -153,15 +153,15 @@ def _(v: Views):
 
 
 @register("w08_moving_averages", "px", f"""SELECT ticker, CAST(d AS VARCHAR) AS d,
-    CASE WHEN rn >= 20 THEN {r('avg(close) OVER (o ROWS 19 PRECEDING)', 7)} END AS sma_20,
-    CASE WHEN rn >= 50 THEN {r('avg(close) OVER (o ROWS 49 PRECEDING)', 7)} END AS sma_50,
-    CASE WHEN rn >= 200 THEN {r('avg(close) OVER (o ROWS 199 PRECEDING)', 7)} END AS sma_200
+    CASE WHEN rn >= 20 THEN {r('avg(close) OVER (o ROWS 19 PRECEDING)', 5)} END AS sma_20,
+    CASE WHEN rn >= 50 THEN {r('avg(close) OVER (o ROWS 49 PRECEDING)', 5)} END AS sma_50,
+    CASE WHEN rn >= 200 THEN {r('avg(close) OVER (o ROWS 199 PRECEDING)', 5)} END AS sma_200
   FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY d) AS rn FROM px) q
   WINDOW o AS (PARTITION BY ticker ORDER BY d)""")
 def _(v: Views):
     points = v.px
     for window in (20, 50, 200):
-        points = price_report.moving_average(points, window, f"sma_{window}", digits=7)
+        points = price_report.moving_average(points, window, f"sma_{window}", digits=5)
     return points.select("ticker", F.col("d").cast("string").alias("d"), "sma_20", "sma_50", "sma_200")
 
 
@@ -171,20 +171,17 @@ def _(v: Views):
   e AS (SELECT ticker, rn, seed AS ema FROM n WHERE rn = 20
     UNION ALL SELECT n.ticker, n.rn, (n.close - e.ema) * (2.0::DOUBLE / 21) + e.ema
     FROM e JOIN n ON n.ticker = e.ticker AND n.rn = e.rn + 1)
-  SELECT e.ticker, CAST(n.d AS VARCHAR) AS d, round_even(e.ema, 2) AS ema FROM e JOIN n USING (ticker, rn)""")
+  SELECT e.ticker, CAST(n.d AS VARCHAR) AS d, round_even(e.ema * 1e5, 0) / 1e5 AS ema FROM e JOIN n USING (ticker, rn)""")
 def _(v: Views):
-    return price_report.exponential_average(v.px, 20).select(
-        "ticker", F.col("d").cast("string").alias("d"), half_even("ema", 2).alias("ema"))
+    return price_report.exponential_average(v.px, 20, digits=5).withColumn("d", F.col("d").cast("string"))
 
 
 @register("w10_bollinger_bands", "px", f"""SELECT ticker, CAST(d AS VARCHAR) AS d,
-    {r('m', 7)} AS middle, {r('m + 2 * s', 6)} AS upper, {r('m - 2 * s', 6)} AS lower
+    {r('m', 5)} AS middle, {r('m + 2 * s', 5)} AS upper, {r('m - 2 * s', 5)} AS lower
   FROM (SELECT *, avg(close) OVER o AS m, stddev_pop(close) OVER o AS s, count(*) OVER o AS n FROM px
     WINDOW o AS (PARTITION BY ticker ORDER BY d ROWS 19 PRECEDING)) q WHERE n = 20""")
 def _(v: Views):
-    bands = price_report.bollinger_bands(v.px, digits=7)
-    return bands.select("ticker", F.col("d").cast("string").alias("d"), "middle",
-                        half_even("upper", 6).alias("upper"), half_even("lower", 6).alias("lower"))
+    return price_report.bollinger_bands(v.px, digits=5).withColumn("d", F.col("d").cast("string"))
 
 
 ANOMALY_SQL = f"""an AS (SELECT ticker, d, p AS previous_close, close, {r('(close / p - 1) * 100', 2)} AS change_percent
@@ -254,9 +251,9 @@ def _(v: Views):
 
 @register("w16_price_summary", "", f"""WITH {OHLC_SQL},
   b AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY d DESC) AS k FROM oh)
-  SELECT ticker, CAST(max(d) AS VARCHAR) AS latest_date, max(CASE WHEN k = 1 THEN close END) AS latest_close,
+  SELECT ticker, CAST(max(d) AS VARCHAR) AS latest_date, {r('max(CASE WHEN k = 1 THEN close END)', 4)} AS latest_close,
     {r('(max(CASE WHEN k = 1 THEN close END) / max(CASE WHEN k = 2 THEN close END) - 1) * 100', 2)} AS daily_change,
-    max(high) AS period_high, min(low) AS period_low, {r('avg(CASE WHEN k <= 30 THEN volume END)', 2)} AS average_volume_30d
+    {r('max(high)', 4)} AS period_high, {r('min(low)', 4)} AS period_low, {r('avg(CASE WHEN k <= 30 THEN volume END)', 2)} AS average_volume_30d
   FROM b GROUP BY 1""")
 def _(v: Views):
     return price_report.price_summary(ohlc(v)).withColumn("latest_date", F.col("latest_date").cast("string"))

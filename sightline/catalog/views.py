@@ -30,7 +30,7 @@ class Views:
             self.table("lineitem")
             .groupBy(F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("d"))
             .agg(
-                half_even(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("close"),
+                (half_even(F.sum("l_extendedprice"), 2) / F.sum("l_quantity")).alias("close"),
                 F.sum("l_quantity").alias("volume"),
             )
         )
@@ -50,7 +50,7 @@ class Views:
         return (
             self.table("lineitem").join(where, "l_suppkey")
             .groupBy("benchmark", F.to_date("l_shipdate").alias("d"))
-            .agg(half_even(F.sum("l_extendedprice") / F.sum("l_quantity"), 4).alias("close"))
+            .agg((half_even(F.sum("l_extendedprice"), 2) / F.sum("l_quantity")).alias("close"))
         )
 
     @cached_property
@@ -133,13 +133,13 @@ def r(expression: str, digits: int) -> str:
 
 VIEW_SQL = {
     "px": f"""SELECT l_suppkey AS ticker, CAST(l_shipdate AS DATE) AS d,
-        {r('SUM(l_extendedprice) / SUM(l_quantity)', 4)} AS close, SUM(l_quantity) AS volume
+        {r('SUM(l_extendedprice)', 2)} / SUM(l_quantity) AS close, SUM(l_quantity) AS volume
         FROM lineitem GROUP BY 1, 2""",
     "listing": f"""SELECT s_suppkey AS ticker, s_name AS company_name, n_name AS sector,
         n_regionkey AS benchmark, {r('(s_acctbal + 1000) * 100000', 2)} AS market_cap
         FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "bench": f"""SELECT n_regionkey AS benchmark, CAST(l_shipdate AS DATE) AS d,
-        {r('SUM(l_extendedprice) / SUM(l_quantity)', 4)} AS close
+        {r('SUM(l_extendedprice)', 2)} / SUM(l_quantity) AS close
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
         GROUP BY 1, 2""",
     "facts": f"""SELECT CAST(nk * 10 + {_CODES} AS BIGINT) AS company, nk, seg, start_d, end_d,

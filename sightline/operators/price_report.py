@@ -71,7 +71,7 @@ def bollinger_bands(points: DataFrame, window: int = 20, deviations: float = 2.0
     return banded.where(F.col("__n") == window).drop("__n")
 
 
-def exponential_average(points: DataFrame, window: int) -> DataFrame:
+def exponential_average(points: DataFrame, window: int, digits: int = 4) -> DataFrame:
     """Recursive average seeded with the first window's mean.
 
     The one recursive operator: each security's series (bounded by the
@@ -88,7 +88,7 @@ def exponential_average(points: DataFrame, window: int) -> DataFrame:
         return pd.DataFrame({
             "ticker": bars["ticker"].iloc[window - 1:].to_numpy(),
             "d": bars["d"].iloc[window - 1:].to_numpy(),
-            "ema": smooth.round(4).to_numpy(),
+            "ema": smooth.round(digits).to_numpy(),
         })
 
     kind = points.schema["ticker"].dataType.simpleString()

@@ -41,9 +41,15 @@ def normalise(names, rows):
     return [names[i] for i in order], sorted((tuple(_cell(row[i]) for i in order) for row in rows), key=_key)
 
 
-def compare(spark_frame, connection, sql):
+TIMES = {}
+
+
+def compare(spark_frame, connection, sql, began=None):
     """None when equal, else a short description of the first difference."""
-    left_names, left = normalise(spark_frame.columns, [tuple(row) for row in spark_frame.collect()])
+    began = began or time.time()
+    rows = [tuple(row) for row in spark_frame.collect()]
+    TIMES["spark"] = time.time() - began
+    left_names, left = normalise(spark_frame.columns, rows)
     cursor = connection.execute(sql)
     right_names, right = normalise([item[0] for item in cursor.description], cursor.fetchall())
     if left_names != right_names:
@@ -74,14 +80,14 @@ def main(argv):
         began = time.time()
         try:
             if name in twins:
-                problem, count = compare(plan(spark, folder), connection, twins[name])
+                problem, count = compare(plan(spark, folder), connection, twins[name], began)
             else:
                 problem, count = None, plan(spark, folder).count()
         except Exception as error:  # report and go on with the next query
             problem, count = f"{type(error).__name__}: {str(error)[:900]}", -1
         label = "ok" if problem is None else "FAIL"
         note = "" if name in twins else " (no twin)"
-        print(f"{label:5}{name:40}{count:8} rows {time.time() - began:6.2f}s{note} {problem or ''}", flush=True)
+        print(f"{label:5}{name:40}{count:8} rows {TIMES.get("spark", 0):6.2f}s of {time.time() - began:6.2f}s{note} {problem or ''}", flush=True)
         if problem:
             failed.append(name)
     print(f"{len(failed)} failed: {failed}")
