@@ -233,5 +233,5 @@ def _(v: Views):
     listed = v.listing.join(ends, "benchmark").select("ticker", "sector", "end")
     known = features(v).join(listed, "ticker").where(F.col("d") <= F.col("end"))
     scored = scoring.score_cross_section(cut(latest(known)), [], "ticker", PRICE_MODEL)
-    return scoring.model_rank(scored, [], "score_v2").select(
-        "ticker", "score_v2", "score_v2_confidence", "score_v2_rank")
+    scored = cut(scored.select("ticker", "score_v2", "score_v2_confidence"))
+    return scoring.model_rank(scored, [], "score_v2")

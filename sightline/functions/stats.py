@@ -100,7 +100,9 @@ def rank_correlation(frame: DataFrame, groups: Sequence[str], left: str, right:
     )
     return ranked.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("pairs"),
-        F.when(enough, F.corr(left_rank, right_rank)).alias(name),
+        # Pearson from moments: a constant side gives null, not a division error.
+        F.when(enough, F.covar_pop(left_rank, right_rank) / F.nullif(
+            F.stddev_pop(left_rank) * F.stddev_pop(right_rank), F.lit(0.0))).alias(name),
     )
 
 
