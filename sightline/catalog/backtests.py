@@ -200,10 +200,12 @@ def _(v: Views):
 
 @register("a13_compounded", VIEWS, "WITH " + TOP_SQL + f""", cm AS (SELECT col, top_n, count(*) AS periods,
     product(1 + {r('mean_return', 4)} / 100) AS p, product(1 + {r('mean_benchmark_return', 4)} / 100) AS b FROM tp WHERE horizon = '1M' GROUP BY 1, 2)
-  SELECT col AS "column", top_n, periods, {r('(p - 1) * 100', 2)} AS portfolio_return_percent, {r('(b - 1) * 100', 2)} AS benchmark_return_percent,
-    {r('(p - b) * 100', 2)} AS difference_percent FROM cm""")
+  SELECT col AS "column", top_n, periods, {r('ln(p)', 6)} AS log_portfolio, {r('ln(b)', 6)} AS log_benchmark FROM cm""")
 def _(v: Views):
-    return backtest.compounded(tops(v), "1M")
+    # Logs: the panel's monthly swings compound far beyond two decimals of a percentage.
+    return backtest.compounded(tops(v), "1M").select(
+        "column", "top_n", "periods", half_even(F.log("portfolio_growth"), 6).alias("log_portfolio"),
+        half_even(F.log("benchmark_growth"), 6).alias("log_benchmark"))
 
 
 @register("a14_filter_diagnostics", VIEWS, "WITH " + SCORED_SQL + f""", jd AS (
@@ -217,7 +219,7 @@ def _(v: Views):
 
 
 @register("a15_ladder_summary", VIEWS, "WITH " + LADDER_SQL + f""" SELECT horizon, col AS "column", bucket, count(*) AS periods,
-    {", ".join(f"{r(f'avg({r(c, 4)})', 4)} AS {c}" for c in ("mean", "median", "winsorised_mean", "win_rate"))} FROM ld GROUP BY 1, 2, 3""")
+    {", ".join(f"round_even(avg(round_even({c} * 1e4, 0)), 0) / 1e4 AS {c}" for c in ("mean", "median", "winsorised_mean", "win_rate"))} FROM ld GROUP BY 1, 2, 3""")
 def _(v: Views):
     return backtest.ladder_summary(ladder(v))
 
@@ -231,7 +233,7 @@ def _(v: Views):
 
 
 @register("a15_top_summary", VIEWS, "WITH " + TOP_SQL + f""" SELECT horizon, col AS "column", top_n, count(*) AS periods,
-    {", ".join(f"{r(f'avg({r(c, 4)})', 4)} AS {c}" for c in ("mean_excess", "median_excess", "hit_rate_percent"))} FROM tp GROUP BY 1, 2, 3""")
+    {", ".join(f"round_even(avg(round_even({c} * 1e4, 0)), 0) / 1e4 AS {c}" for c in ("mean_excess", "median_excess", "hit_rate_percent"))} FROM tp GROUP BY 1, 2, 3""")
 def _(v: Views):
     return backtest.top_summary(tops(v))
 

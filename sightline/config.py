@@ -94,3 +94,63 @@ COHORT_HORIZON_DAYS = {"1M": 30, "3M": 91, "6M": 182, "1Y": 365}
 COHORT = {"staleness_days": 10, "minimum_size": 5, "top_n": 25, "quantiles": 5,
           "selected": ("priority_research", "asymmetric_watch", "speculative_watch"),
           "control": ("low_upside_signal", "insufficient_evidence")}
+
+# Asset classification rules, first match wins.
+EXCLUDED_QUOTE_TYPES = ("ETF", "MUTUALFUND", "INDEX", "FUTURE", "OPTION", "CRYPTOCURRENCY")
+EXCLUDED_INDUSTRIES = ("Shell Companies",)
+NAME_RULES = (
+    # pattern, asset type, reason
+    (r"\b(acquisition|acquisitions) (corp(oration)?|co(mpany)?)\b", "acquisition_vehicle", "Acquisition or SPAC vehicle"),
+    (r"\b(blank check|special purpose acquisition|SPAC)\b", "acquisition_vehicle", "Acquisition or SPAC vehicle"),
+    (r"\b(warrant|warrants|rights|units|preferred shares?)\b", "non_common_equity", "Non-common-equity security"),
+)
+
+# US listing clean-up and Canadian directory exclusions.
+US_NAME_TERMS = ("Warrant", "Right", "Unit", "Preferred", "Depositary", "Notes", "Bond", "ETF", "Fund")
+EXCHANGE_CODES = {"N": "NYSE", "A": "AMEX", "P": "NYSE_ARCA", "Z": "CBOE", "V": "IEXG"}
+CANADIAN_EXCLUDED_SECTORS = ("ETP", "CDR", "Closed-End Funds", "SPAC", "CPC")
+CANADIAN_NAME_TERMS = (r"\bETF\b", r"\bETN\b", r"\bfund\b", r"\bclosed[- ]end\b", r"\bwarrant\b", r"\brights?\b",
+                       r"\bdebenture\b", r"\bpreferred\b", r"\bdepositary receipt\b", r"\bsubscription receipt\b",
+                       r"\bcapital pool\b")
+CANADIAN_CAP_BAND = (10_000_000.0, 1_000_000_000.0)
+
+# Company-name words that carry no identity.
+NAME_STOPWORDS = ("inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "plc", "holdings",
+                  "holding", "group", "the", "of", "and", "class", "common", "shares", "stock", "trust", "lp", "llc",
+                  "sa", "nv")
+
+# Fund registration forms.
+FUND_REPORT_FORMS = ("N-CSR", "N-CSRS", "N-CSR/A", "N-CSRS/A", "NPORT-P", "NPORT-P/A", "N-CEN", "N-CEN/A")
+BDC_ELECTION_FORMS = ("N-54A", "N-54A/A")
+BDC_WITHDRAWAL_FORMS = ("N-54C", "N-54C/A")
+FUND_REPORT_DAYS = 400
+
+# Fundamental factors: weight, direction, ladder of (bound, share of points), input policy (low, high, action).
+FUNDAMENTAL_FACTORS = {
+    "revenue_growth": (10.0, "higher", ((0.30, 1.0), (0.15, 0.8), (0.05, 0.5), (0.0, 0.2), (-1000, 0.0)), (-1.0, 10.0, "invalid")),
+    "earnings_growth": (8.0, "higher", ((0.30, 1.0), (0.15, 0.8), (0.05, 0.5), (0.0, 0.2), (-1000, 0.0)), (-1.0, 10.0, "invalid")),
+    "profitability": (8.0, "higher", ((0.20, 1.0), (0.10, 0.75), (0.0, 0.4), (-1000, 0.0)), (-5.0, 1.0, "invalid")),
+    "free_cash_flow": (7.0, "higher", ((0.10, 1.0), (0.05, 0.75), (0.0, 0.4), (-1000, 0.0)), (-10.0, 10.0, "cap")),
+    "balance_sheet": (7.0, "higher", ((0.20, 1.0), (0.0, 0.7), (-0.25, 0.4), (-1000, 0.0)), (-10.0, 10.0, "cap")),
+    "earnings_yield": (5.0, "higher", ((0.10, 1.0), (0.05, 0.75), (0.0, 0.35), (-1000, 0.0)), (0.0, 1.0, "cap")),
+    "sales_yield": (4.0, "higher", ((1.0, 1.0), (0.5, 0.75), (0.2, 0.4), (0.0, 0.1)), (0.0, 10.0, "cap")),
+    "enterprise_value_ebitda": (4.0, "lower", ((8.0, 1.0), (15.0, 0.7), (25.0, 0.35), (1_000_000, 0.0)), (0.0, 100.0, "cap")),
+    "liquidity": (4.0, "higher", ((2.0, 1.0), (1.25, 0.7), (1.0, 0.35), (-1000, 0.0)), (0.0, 50.0, "cap")),
+    "leverage": (4.0, "lower", ((25.0, 1.0), (75.0, 0.7), (150.0, 0.35), (1_000_000, 0.0)), (0.0, 1000.0, "cap")),
+    "earnings_quality": (4.0, "higher", ((1.25, 1.0), (1.0, 0.75), (0.5, 0.35), (-1000, 0.0)), (-20.0, 20.0, "invalid")),
+}
+FACTOR_SECTOR_EXCLUSIONS = {
+    "Financial Services": ("free_cash_flow", "enterprise_value_ebitda", "liquidity"),
+    "Real Estate": ("earnings_growth", "earnings_quality"),
+}
+MAXIMUM_DATA_AGE_DAYS = 550
+QUALITY_RATIOS = {"fresh": 1.0, "capped": 1.0, "flagged": 1.0, "undated": 0.75}
+
+# Research queue and screen.
+SCREEN = {"quantiles": 5, "minimum_quintile": 3, "bank_lane": True, "bank_minimum_percentile": 50.0}
+BANK_SECTOR, BANK_INDUSTRY_PREFIX = "Financial Services", "Banks"
+DEFENSIVE_SIGNALS = (("v2_high_proximity", 1), ("v2_volatility", -1), ("pit_earnings_yield", 1),
+                     ("pit_net_cash_to_market_cap", -1), ("pit_market_cap", 1))
+
+# Peers.
+PEERS = {"minimum": 3, "closest": 8, "leaders": 5, "shortlist": 10}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from sightline.functions.scalars import finite, half_even, known_sum, positive, ratio
 from sightline.operators.asof import as_known, known_versions
+from sightline.session import cut
 
 # Day ranges and limits of the reporting rules.
 RULES = {
@@ -232,23 +233,23 @@ def restatement_ratio(array: str = "q") -> Column:
     return F.when(usable, change)
 
 
-def _result(ends: Column, value: Column) -> Column:
-    return F.struct(ends.alias("ends"), value.alias("val"))
+def _result(rank: int, ends: Column, value: Column) -> Column:
+    """A trailing-year candidate; structs compare by last end, then by rank (higher wins a tie)."""
+    return F.struct(F.element_at(ends, -1).alias("last"), F.lit(rank).alias("rank"), ends.alias("ends"), value.alias("val"))
 
 
 def _quarterly_ttm(offset: int) -> Column:
     window = F.slice("q", offset + 1, 4)
-    scale = F.col("__ratio")
     restated_on = _at("q", 0)["filed"]
     total = F.aggregate(window, F.lit(0.0), lambda acc, item: acc + item["val"] * F.when(
-        scale.isNotNull() & (item["filed"] < restated_on), scale).otherwise(1.0))
+        F.col("__ratio").isNotNull() & (item["filed"] < restated_on), F.col("__ratio")).otherwise(1.0))
     ends = F.reverse(F.transform(window, lambda item: item["end_d"]))
-    return F.when(consecutive("q", offset, 4) & same_tag("q", offset, 4), _result(ends, total))
+    return F.when(consecutive("q", offset, 4) & same_tag("q", offset, 4), _result(2, ends, total))
 
 
 def _annual_ttm(years: int) -> Column:
     item = _at("a", years)
-    return F.when(item.isNotNull(), _result(F.array(item["end_d"]), item["val"]))
+    return F.when(item.isNotNull(), _result(1, F.array(item["end_d"]), item["val"]))
 
 
 def _half_built() -> Column:
@@ -270,16 +271,7 @@ def _half_ttm(years: int) -> Column:
     target = F.date_sub(latest, 365 * years)
     near = F.filter("b", lambda item: F.abs(F.datediff(item["end_d"], target)) <= RULES["tolerance"])
     hit = F.get(near, F.size(near) - 1)
-    return F.when((F.size("b") > 0) & hit.isNotNull(), _result(F.array(hit["end_d"]), hit["val"]))
-
-
-def _best(*candidates: Column) -> Column:
-    """The candidate with the latest end; earlier arguments win ties."""
-    best = candidates[0]
-    for other in candidates[1:]:
-        newer = other.isNotNull() & (best.isNull() | (F.element_at(other["ends"], -1) > F.element_at(best["ends"], -1)))
-        best = F.when(F.coalesce(newer, F.lit(False)), other).otherwise(best)
-    return best
+    return F.when((F.size("b") > 0) & hit.isNotNull(), _result(0, F.array(hit["end_d"]), hit["val"]))
 
 
 def _visible_periods(grid: DataFrame, values: DataFrame, name: str, newest_first: bool) -> DataFrame:
@@ -297,21 +289,27 @@ def trailing_years(grid: DataFrame, facts: DataFrame, quarters: DataFrame | None
     year, else one built from half-years; the latest end wins. The arrays
     ``q``, ``a`` and ``h`` stay for other signals.
     """
-    durations = duration_facts(facts.where(F.col("concept").isin(*DURATION_CONCEPTS)))
-    quarters = quarterly_values(durations) if quarters is None else quarters
+    # Durations feed eight branches and quarters three: both are stored once.
+    durations = cut(duration_facts(facts.where(F.col("concept").isin(*DURATION_CONCEPTS))))
+    quarters = cut(quarterly_values(durations)) if quarters is None else quarters
     known = quarters_as_of(grid, quarters)
     annuals = _visible_periods(grid, period_values(durations, RULES["annual_days"]), "a", True)
     halves = _visible_periods(grid, period_values(durations, RULES["half_year_days"]), "h", False)
     keys = [*KEY, "as_of"]
     joined = known.join(annuals, keys, "full").join(halves, keys, "full")
     annual_type = "array<struct<end_d:date,start_d:date,val:double,priority:int>>"
-    padded = joined.withColumns({
-        "a": F.coalesce("a", F.array().cast(annual_type)), "h": F.coalesce("h", F.array().cast(annual_type)),
-    }).withColumns({"b": _half_built(), "__ratio": restatement_ratio()})
-    return padded.select(
-        *keys, "q", "a", "h", F.col("__ratio").alias("restatement_ratio"),
-        _best(_quarterly_ttm(0), _annual_ttm(0), _half_ttm(0)).alias("ttm0"),
-        _best(_quarterly_ttm(4), _annual_ttm(1), _half_ttm(1)).alias("ttm4"),
+    # Staged columns, so that no shared expression is evaluated twice.
+    staged = (
+        joined.withColumns({"a": F.coalesce("a", F.array().cast(annual_type)), "h": F.coalesce("h", F.array().cast(annual_type))})
+        .withColumns({"b": _half_built(), "__ratio": restatement_ratio()})
+        .withColumns({
+            "q0": _quarterly_ttm(0), "a0": _annual_ttm(0), "h0": _half_ttm(0),
+            "q4": _quarterly_ttm(4), "a4": _annual_ttm(1), "h4": _half_ttm(1),
+        })
+    )
+    return staged.select(
+        *keys, "q", "a", "h", F.col("__ratio").alias("restatement_ratio"), F.col("h0").alias("half0"), F.col("h4").alias("half4"),
+        F.greatest("q0", "a0", "h0").alias("ttm0"), F.greatest("q4", "a4", "h4").alias("ttm4"),
     )
 
 
@@ -440,66 +438,66 @@ def share_unit_factor(provider_cap: Column, derived_cap: Column) -> Column:
 def statement_signals(trailing: DataFrame, limits: DataFrame) -> DataFrame:
     """Margins, growth, cash flow and two-year variants per (company, as_of)."""
     keys = ["company", "as_of"]
-    wide = trailing.groupBy(*keys).pivot("concept", list(DURATION_CONCEPTS)).agg(
-        F.first(F.struct("ttm0", "ttm4", "q")).alias("x")).join(limits, keys)
 
-    def now(name: str) -> Column:
-        return F.col(name)["ttm0"]
+    def pick(name: str, field: str, alias: str) -> Column:
+        return F.max(F.when(F.col("concept") == name, F.col(field))).alias(alias)
 
-    def prior(name: str) -> Column:
-        return F.col(name)["ttm4"]
-
-    def last_end(result: Column) -> Column:
-        return F.element_at(result["ends"], -1)
+    short = {"revenue": "rev", "gross_profit": "gp", "operating_income": "oi", "net_income": "ni",
+             "operating_cash_flow": "ocf", "capital_expenditure": "cx"}
+    fields = []
+    for concept, name in short.items():
+        for result, digit in (("ttm0", "0"), ("ttm4", "4")):
+            fields += [pick(concept, f"{result}.val", f"{name}{digit}"), pick(concept, f"{result}.ends", f"{name}{digit}_ends"),
+                       pick(concept, f"{result}.last", f"{name}{digit}_last")]
+    growth = trailing.withColumn("__acc", F.when(F.col("concept") == "revenue", revenue_acceleration()))
+    wide = growth.groupBy(*keys).agg(*fields, F.max("__acc").alias("acceleration")).join(limits, keys)
 
     def fresh(name: str) -> Column:
-        return F.when(F.datediff("as_of", last_end(now(name))) <= F.col("age_limit"), now(name))
-
-    def aligned(name: str, ends: Column) -> Column:
-        return F.when(now(name)["ends"] == ends, now(name)["val"])
-
-    base = wide.select(
-        *keys, "age_limit", *DURATION_CONCEPTS,
-        fresh("revenue").alias("rev"), fresh("net_income").alias("inc"), fresh("operating_cash_flow").alias("ocf"))
-    sales, ends = F.col("rev")["val"], F.col("rev")["ends"]
-    before = prior("revenue")
-    gross = aligned("gross_profit", ends)
-    margin = F.when(sales > 0, gross / sales)
-    ocf, ocf_ends = F.col("ocf")["val"], F.col("ocf")["ends"]
-    fcf = ocf - F.coalesce(aligned("capital_expenditure", ocf_ends), F.lit(0.0))
-    same_window = F.coalesce((ends == ocf_ends) & (sales > 0), F.lit(False))
-    prior_ocf = prior("operating_cash_flow")
-    gap = F.datediff(last_end(F.col("ocf")), last_end(prior_ocf))
-    prior_capex = F.coalesce(F.when(
-        prior("capital_expenditure")["ends"] == prior_ocf["ends"], prior("capital_expenditure")["val"]), F.lit(0.0))
-    prior_fcf = F.when(gap.between(330, 400), prior_ocf["val"] - prior_capex)
-    prior_sales = F.when(prior_fcf.isNotNull() & (before["ends"] == prior_ocf["ends"]), before["val"])
-    aligned_sales = aligned("revenue", ocf_ends)
-    fcf_margin = F.when(aligned_sales > 0, fcf / aligned_sales)
-    both = prior_fcf.isNotNull() & (prior_sales > 0) & fcf_margin.isNotNull()
-    return base.select(
-        *keys, "age_limit",
-        sales.alias("pit_revenue_ttm"),
-        F.datediff("as_of", last_end(F.col("rev"))).cast("double").alias("pit_report_age_days"),
-        F.when(before["val"] > 0, sales / before["val"] - 1.0).alias("pit_revenue_growth_ttm"),
-        F.when(sales.isNotNull(), F.transform(F.array(F.col("revenue")["q"]), lambda q: q)[0]).alias("__q"),
-        margin.alias("pit_gross_margin_ttm"),
-        F.when((prior("gross_profit")["ends"] == before["ends"]) & (before["val"] > 0),
-               margin - prior("gross_profit")["val"] / before["val"]).alias("pit_gross_margin_change"),
-        F.when(sales > 0, aligned("operating_income", ends) / sales).alias("pit_operating_margin_ttm"),
-        F.col("inc")["val"].alias("pit_net_income_ttm"),
-        ocf.alias("pit_operating_cash_flow_ttm"),
-        F.when(same_window, ocf / sales).alias("pit_ocf_margin_ttm"),
+        return F.when(F.datediff("as_of", f"{name}0_last") <= F.col("age_limit"), F.col(f"{name}0"))
+
+    def aligned(name: str, ends: str) -> Column:
+        return F.when(F.col(f"{name}_ends") == F.col(ends), F.col(name))
+
+    first = wide.withColumns({
+        "sales": fresh("rev"), "income": fresh("ni"), "cash_flow": fresh("ocf"),
+        "gap": F.datediff("ocf0_last", "ocf4_last"),
+        "aligned_sales": aligned("rev0", "ocf0_ends"),
+    })
+    second = first.withColumns({
+        "margin": F.when(F.col("sales") > 0, aligned("gp0", "rev0_ends") / F.col("sales")),
+        "fcf": F.col("cash_flow") - F.coalesce(aligned("cx0", "ocf0_ends"), F.lit(0.0)),
+        "prior_fcf": F.when(F.col("cash_flow").isNotNull() & F.col("gap").between(330, 400),
+                            F.col("ocf4") - F.coalesce(aligned("cx4", "ocf4_ends"), F.lit(0.0))),
+        "same_window": F.coalesce((F.col("rev0_ends") == F.col("ocf0_ends")) & (F.col("sales") > 0), F.lit(False)),
+    })
+    third = second.withColumns({
+        "prior_sales": F.when(F.col("prior_fcf").isNotNull(), aligned("rev4", "ocf4_ends")),
+        "fcf_margin": F.when(F.col("aligned_sales") > 0, F.col("fcf") / F.col("aligned_sales")),
+    })
+    sales, fcf, prior_fcf, fcf_margin = F.col("sales"), F.col("fcf"), F.col("prior_fcf"), F.col("fcf_margin")
+    both = prior_fcf.isNotNull() & (F.col("prior_sales") > 0) & fcf_margin.isNotNull()
+    before = F.when(sales.isNotNull() & (F.col("rev4") > 0), F.col("rev4"))
+    return third.select(
+        *keys, "age_limit", sales.alias("pit_revenue_ttm"),
+        F.when(sales.isNotNull(), F.datediff("as_of", "rev0_last").cast("double")).alias("pit_report_age_days"),
+        (sales / before - 1.0).alias("pit_revenue_growth_ttm"),
+        F.when(sales.isNotNull(), F.col("acceleration")).alias("pit_revenue_acceleration"),
+        F.col("margin").alias("pit_gross_margin_ttm"),
+        F.when(F.col("gp4_ends") == F.col("rev4_ends"), F.col("margin") - F.col("gp4") / before).alias("pit_gross_margin_change"),
+        F.when(sales > 0, aligned("oi0", "rev0_ends") / sales).alias("pit_operating_margin_ttm"),
+        F.col("income").alias("pit_net_income_ttm"), F.col("cash_flow").alias("pit_operating_cash_flow_ttm"),
+        F.when(F.col("same_window"), F.col("cash_flow") / sales).alias("pit_ocf_margin_ttm"),
         fcf.alias("pit_free_cash_flow_ttm"),
-        F.when(same_window, fcf / sales).alias("pit_fcf_margin_ttm"),
-        F.when((now("net_income")["ends"] == ocf_ends) & (now("net_income")["val"] > 0),
-               ocf / now("net_income")["val"]).alias("pit_cash_conversion"),
+        F.when(F.col("same_window"), fcf / sales).alias("pit_fcf_margin_ttm"),
+        F.when((F.col("ni0_ends") == F.col("ocf0_ends")) & (F.col("ni0") > 0),
+               F.col("cash_flow") / F.col("ni0")).alias("pit_cash_conversion"),
         prior_fcf.alias("pit_free_cash_flow_prior_ttm"),
-        F.when(both, (fcf + prior_fcf) / (aligned_sales + prior_sales)).otherwise(fcf_margin).alias("pit_fcf_margin_2y"),
-        F.when(both, F.least(fcf_margin, prior_fcf / prior_sales)).otherwise(fcf_margin).alias("pit_fcf_margin_low"),
+        F.when(both, (fcf + prior_fcf) / (F.col("aligned_sales") + F.col("prior_sales"))).otherwise(fcf_margin)
+        .alias("pit_fcf_margin_2y"),
+        F.when(both, F.least(fcf_margin, prior_fcf / F.col("prior_sales"))).otherwise(fcf_margin).alias("pit_fcf_margin_low"),
         F.when(prior_fcf.isNotNull(), (fcf + prior_fcf) / 2.0).otherwise(fcf).alias("fcf_2y"),
         F.when(prior_fcf.isNotNull(), F.least(fcf, prior_fcf)).otherwise(fcf).alias("fcf_low"),
-    ).withColumn("pit_revenue_acceleration", revenue_acceleration("__q")).drop("__q")
+    )
 
 
 def valuation_signals(signals: DataFrame) -> DataFrame:
@@ -520,7 +518,6 @@ def signals_as_of(grid: DataFrame, facts: DataFrame, splits: DataFrame | None =
     ``facts`` are proxy-free and single-currency. ``splits``: ticker (=company), on, ratio.
     """
     from sightline.operators.prices import split_between, split_factor_after
-    from sightline.session import cut
 
     keys = ["company", "as_of"]
     dates = grid.select(*keys).distinct()

@@ -166,6 +166,12 @@ def turnover(tops: DataFrame, horizon: str) -> DataFrame:
     return moved.groupBy("column", "top_n").agg(half_even(F.avg("r"), 4).alias("turnover_percent"))
 
 
+def mean_of_rounded(value: str, digits: int = 4) -> Column:
+    """Mean of per-period figures rounded first; summed as whole numbers, so the order cannot matter."""
+    scale = float(10 ** digits)
+    return F.rint(F.avg(F.rint(F.col(value) * scale))) / scale
+
+
 def compounded(tops: DataFrame, horizon: str) -> DataFrame:
     """Portfolio and benchmark compounded over the periods that have a top N."""
     usable = tops.where((F.col("horizon") == horizon) & F.col("mean_return").isNotNull()
@@ -173,7 +179,7 @@ def compounded(tops: DataFrame, horizon: str) -> DataFrame:
     portfolio = F.product(1.0 + half_even("mean_return", 4) / 100.0)
     benchmark = F.product(1.0 + half_even("mean_benchmark_return", 4) / 100.0)
     return usable.groupBy("column", "top_n").agg(
-        F.count(F.lit(1)).alias("periods"),
+        F.count(F.lit(1)).alias("periods"), portfolio.alias("portfolio_growth"), benchmark.alias("benchmark_growth"),
         half_even((portfolio - 1.0) * 100.0, 2).alias("portfolio_return_percent"),
         half_even((benchmark - 1.0) * 100.0, 2).alias("benchmark_return_percent"),
         half_even((portfolio - benchmark) * 100.0, 2).alias("difference_percent"),
@@ -183,8 +189,7 @@ def compounded(tops: DataFrame, horizon: str) -> DataFrame:
 def ladder_summary(ladder: DataFrame) -> DataFrame:
     """Bucket figures averaged over periods, nulls skipped."""
     means = [
-        half_even(F.avg(half_even(name, 4)), 4).alias(name)
-        for name in ("mean", "median", "winsorised_mean", "win_rate")
+        mean_of_rounded(name).alias(name) for name in ("mean", "median", "winsorised_mean", "win_rate")
     ]
     return ladder.groupBy("horizon", "column", "bucket").agg(F.countDistinct("period").alias("periods"), *means)
 
@@ -203,8 +208,7 @@ def ladder_spread(ladder: DataFrame, quantiles: int) -> DataFrame:
 def top_summary(tops: DataFrame) -> DataFrame:
     return tops.groupBy("horizon", "column", "top_n").agg(
         F.count(F.lit(1)).alias("periods"),
-        *[half_even(F.avg(half_even(name, 4)), 4).alias(name)
-          for name in ("mean_excess", "median_excess", "hit_rate_percent")],
+        *[mean_of_rounded(name).alias(name) for name in ("mean_excess", "median_excess", "hit_rate_percent")],
     )
 
 

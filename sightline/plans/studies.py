@@ -11,6 +11,7 @@ from sightline import config as C
 from sightline.functions import ranking, stats
 from sightline.functions.scalars import half_even
 from sightline.operators import scoring
+from sightline.session import cut
 
 
 def with_screen(rows: DataFrame, score: str = "score_v3", quantiles: int = 5, minimum: int = 3) -> DataFrame:
@@ -193,15 +194,15 @@ def paired_test(rows: DataFrame, model: Mapping, change: Mapping, horizons: Sequ
     keep = ["period", "ticker", *[c for c in rows.columns if c.startswith(("excess_", "return_", "benchmark_return_"))]]
     base = scoring.score_cross_section(rows, ["period"], "ticker", {**model, "prefix": "base"})
     changed = scoring.score_cross_section(rows, ["period"], "ticker", {**apply_change(model, change), "prefix": "changed"})
-    both = base.select(*keep, "base").join(changed.select("period", "ticker", "changed"), ["period", "ticker"])
+    both = cut(base.select(*keep, "base").join(changed.select("period", "ticker", "changed"), ["period", "ticker"]))
     series = stats.rank_correlation(
         outcomes(both, ["base", "changed"], horizons), ["period", "horizon", "column"], "score", "excess", minimum=minimum)
 
     def at(column: str) -> Column:
         return F.max(F.when(F.col("column") == column, F.col("ic")))
 
-    difference = series.groupBy("period", "horizon").agg((at("changed") - at("base")).alias("ic")).withColumn(
-        "column", F.lit("difference"))
+    difference = cut(series.groupBy("period", "horizon").agg((at("changed") - at("base")).alias("ic")).withColumn(
+        "column", F.lit("difference")))
     tables = [windows(difference, name, split).withColumn("horizon", F.lit(name)) for name in horizons]
     result = tables[0]
     for table in tables[1:]:
