@@ -173,28 +173,44 @@ def apply_input_policy(value: Column, policy: tuple[float, float, str]) -> tuple
 def fundamental_factors(frame: DataFrame, quality: str = "quality") -> DataFrame:
     """Adds ``factors`` (array of structs), the score, its normalised value and the confidence."""
     raw = _factor_inputs()
-    staged = frame.withColumns({
+    # Staged columns: value and validity, then policy, then state. One big
+    # expression would repeat each part many times over.
+    first = frame.withColumns({
         **{f"__v_{name}": value for name, (value, _) in raw.items()},
         **{f"__i_{name}": invalid for name, (_, invalid) in raw.items()},
     })
-    entries = []
-    for name, (weight, direction, steps, policy) in C.FUNDAMENTAL_FACTORS.items():
-        value, outcome = apply_input_policy(F.col(f"__v_{name}"), policy)
-        base = F.when(F.col(f"__i_{name}"), "invalid").otherwise(F.col(quality))
-        state = F.when(outcome == "invalid", "invalid").when((base == "fresh") & outcome.isNotNull(), outcome).otherwise(base)
+    policies = {name: apply_input_policy(F.col(f"__v_{name}"), spec[3]) for name, spec in C.FUNDAMENTAL_FACTORS.items()}
+    second = first.withColumns({
+        **{f"__k_{name}": kept for name, (kept, _) in policies.items()},
+        **{f"__o_{name}": outcome for name, (_, outcome) in policies.items()},
+    })
+
+    def state(name: str) -> Column:
+        outcome = F.col(f"__o_{name}")
+        return F.when(F.col(f"__i_{name}") | F.coalesce(outcome == "invalid", F.lit(False)), "invalid").when(
+            (F.col(quality) == "fresh") & outcome.isNotNull(), outcome).otherwise(F.col(quality))
+
+    def applicable(name: str) -> Column:
         barred = [sector for sector, names in C.FACTOR_SECTOR_EXCLUSIONS.items() if name in names]
-        applicable = ~F.coalesce(F.col("sector").isin(*barred), F.lit(False)) if barred else F.lit(True)
-        usable = value.isNotNull() & ~state.isin("stale", "invalid", "invalid_date")
-        available = applicable & usable
+        return ~F.coalesce(F.col("sector").isin(*barred), F.lit(False)) if barred else F.lit(True)
+
+    third = second.withColumns({f"__s_{name}": state(name) for name in raw})
+    blocked = ("stale", "invalid", "invalid_date")
+    staged = third.withColumns({
+        f"__a_{name}": applicable(name) & F.col(f"__k_{name}").isNotNull() & ~F.col(f"__s_{name}").isin(*blocked) for name in raw})
+    entries = []
+    for name, (weight, direction, steps, _) in C.FUNDAMENTAL_FACTORS.items():
+        value, status, available = F.col(f"__k_{name}"), F.col(f"__s_{name}"), F.col(f"__a_{name}")
         points = F.when(available, ladder(value, [(b, weight * s) for b, s in steps], lower=direction == "lower")).otherwise(0.0)
         entries.append(F.struct(
             F.lit(name).alias("name"), value.alias("raw_value"), F.col(f"__v_{name}").alias("source_value"),
-            points.alias("points"), F.lit(weight).alias("max_points"), available.alias("available"), applicable.alias("applicable"),
-            F.when(~applicable, "not_applicable").when(state.isin("stale", "invalid", "invalid_date"), state)
-            .when(value.isNull(), "missing").otherwise(state).alias("data_quality"),
+            points.alias("points"), F.lit(weight).alias("max_points"), available.alias("available"),
+            applicable(name).alias("applicable"),
+            F.when(~applicable(name), "not_applicable").when(value.isNull() & ~status.isin(*blocked), "missing")
+            .otherwise(status).alias("data_quality"),
         ))
     scored = staged.withColumn("factors", F.array(*entries)).drop(
-        *[f"__v_{name}" for name in raw], *[f"__i_{name}" for name in raw])
+        *[f"__{kind}_{name}" for name in raw for kind in "vikosa"])
     return score_factors(scored)
 
 
