@@ -302,7 +302,7 @@ def _(v: Views):
     return best.join(queue.drivers(rows, ["ticker"], False).withColumnRenamed("drivers", "weakest"), "ticker")
 
 
-@register("f09_backtest_universe", "xs quotes", "WITH " + CLASS_SQL + """ SELECT ticker, filter_reason IS NULL AS scored FROM pf WHERE filter_reason IS NULL OR filter_reason IN ('Below minimum market cap', 'Above maximum market cap')""")
+@register("f09_backtest_universe", "xs quotes", "WITH " + CLASS_SQL + """ SELECT CAST(ticker AS VARCHAR) AS ticker, filter_reason IS NULL AS scored FROM pf WHERE filter_reason IS NULL OR filter_reason IN ('Below minimum market cap', 'Above maximum market cap')""")
 def _(v: Views):
     return coverage.backtest_universe(rules.pre_filter(quotes(v)).withColumn(
         "status", F.when(F.col("passed"), "OK").otherwise("FILTERED")), None, "filter_reason").select(
