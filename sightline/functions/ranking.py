@@ -139,10 +139,14 @@ def positions(frame: DataFrame, groups: Sequence[str], order: Sequence[Column],
         F.min_by("__k", F.xxhash64("__k", F.lit(17))).alias("__k"),
     )
     cuts = picked.groupBy(*keys).agg(F.array_sort(F.collect_list("__k")).alias("__cuts"))
+    if not groups:  # one row of at most SLOTS keys
+        cuts = F.broadcast(cuts)
     placed = rows.join(cuts, keys).withColumn(
         "__b", F.size(F.filter("__cuts", lambda edge: edge < F.col("__k"))),
     ).drop("__cuts")
     fences = _running(placed.withColumn("__one", F.lit(1)), keys, "__b", "__one")
+    if not groups:  # at most SLOTS + 1 rows
+        fences = F.broadcast(fences)
     inside = Window.partitionBy(*keys, "__b").orderBy("__k")
     numbered = placed.join(fences, [*keys, "__b"]).withColumn(
         name, (F.col("__start") + F.row_number().over(inside)).cast("bigint"),

@@ -44,7 +44,7 @@ def screen_status(queue: DataFrame, groups: Sequence[str] = (), rules: Mapping =
     primary = F.col("ranking_basis") == "score_v3"
     totals = queue.where(primary).groupBy(*groups).agg(F.count(F.lit(1)).alias("__n"))
     joined = queue.join(totals, list(groups), "left") if groups else queue.withColumn("__g", F.lit(0)).join(
-        totals.withColumn("__g", F.lit(0)), "__g", "left").drop("__g")
+        F.broadcast(totals.withColumn("__g", F.lit(0))), "__g", "left").drop("__g")
     # The primary tier comes first, so the queue rank is its position.
     bucket = ranking.floor_bucket(F.col("research_rank"), F.col("__n"), quantiles)
     graded = joined.withColumn("v3_quintile", F.when(primary, quantiles - bucket)).drop("__n")

@@ -20,7 +20,7 @@ def classify_queue(queue: DataFrame, settings: Mapping = C.COHORT) -> DataFrame:
     """
     scored = F.col("ranking_basis") == "score_v3"
     totals = queue.where(scored).agg(F.count(F.lit(1)).alias("__n")).withColumn("__g", F.lit(0))
-    joined = queue.withColumn("__g", F.lit(0)).join(totals, "__g").drop("__g")
+    joined = queue.withColumn("__g", F.lit(0)).join(F.broadcast(totals), "__g").drop("__g")
     quintile = settings["quantiles"] - ranking.floor_bucket(F.col("research_rank"), F.col("__n"), settings["quantiles"])
     basis = F.col("ranking_basis")
     label = (
