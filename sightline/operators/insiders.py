@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline.functions.scalars import positive, ratio
@@ -13,41 +13,50 @@ def signals_as_of(grid: DataFrame, tx: DataFrame, short: int = 180, long: int =
     """Counts, values and buyers over (D - short, D] and (D - long, D], days since the last purchase.
 
     ``grid``: issuer, as_of[, market_cap]. ``tx``: issuer, owner, filed, kind,
-    value, officer. Transactions are reduced to one row per (issuer, owner,
-    kind, day, officer) before the join, so a busy issuer joins days, not rows.
+    value, officer. Transactions are summed per (issuer, day) first and the
+    spans are range frames over days, so an issuer's window is bounded by the
+    calendar and no date meets every transaction. Distinct buyers come from
+    +1 / -1 marks where an owner enters and leaves the short span.
     """
-    daily = tx.groupBy("issuer", "owner", "kind", "filed", "officer").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("value").alias("value"))
-    dates = grid.select("issuer", "as_of").distinct()
-    joined = dates.join(daily, "issuer").where(F.col("filed") <= F.col("as_of"))
-
-    def inside(days: int) -> Column:
-        return F.col("filed") > F.date_sub("as_of", days)
-
     buy, sell = F.col("kind") == "purchase", F.col("kind") == "sale"
 
-    def count(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("double")
+    def amount(condition: Column, value: Column) -> Column:
+        return F.sum(F.when(condition, value))
+
+    one = F.lit(1.0)
+    daily = tx.groupBy("issuer", F.col("filed").alias("day")).agg(
+        amount(buy, one).alias("bn"), amount(sell, one).alias("sn"), amount(buy & F.col("officer"), one).alias("on"),
+        amount(buy, F.col("value")).alias("bv"), amount(sell, F.col("value")).alias("sv"),
+        F.max(F.when(buy, F.col("filed"))).alias("last"))
+    bought = tx.where(buy).select("issuer", "owner", F.col("filed").alias("day")).distinct()
+    following = F.lead("day").over(Window.partitionBy("issuer", "owner").orderBy("day"))
+    leaves = F.least(F.coalesce(following, F.lit("9999-01-01").cast("date")), F.date_add("day", short))
+    marks = bought.withColumn("leaves", leaves).select("issuer", F.explode(F.array(
+        F.struct(F.col("day").alias("day"), F.lit(1).alias("mark")),
+        F.struct(F.col("leaves").alias("day"), F.lit(-1).alias("mark")))).alias("m")).groupBy(
+        "issuer", F.col("m.day").alias("day")).agg(F.sum("m.mark").alias("mark"))
+    dates = grid.select("issuer", F.col("as_of").alias("day")).distinct().join(
+        tx.select("issuer").distinct(), "issuer", "left_semi").withColumn("asked", F.lit(True))
+    points = daily.join(marks, ["issuer", "day"], "full").join(dates, ["issuer", "day"], "full").withColumn(
+        "__n", F.datediff("day", F.lit("1970-01-01").cast("date")))
+    own = Window.partitionBy("issuer").orderBy("__n")
+    past = own.rowsBetween(Window.unboundedPreceding, 0)
 
-    def value(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("value"))), F.lit(0.0))
+    def over(name: str, span: int) -> Column:
+        return F.coalesce(F.sum(name).over(own.rangeBetween(-(span - 1), 0)), F.lit(0.0))
 
-    measured = joined.groupBy("issuer", "as_of").agg(
-        count(inside(short) & buy).alias("ins_purchase_count_short"), count(inside(short) & sell).alias("ins_sale_count_short"),
-        F.countDistinct(F.when(inside(short) & buy, F.col("owner"))).cast("double").alias("ins_distinct_buyers_short"),
-        count(inside(short) & buy & F.col("officer")).alias("ins_officer_purchase_count_short"),
-        value(inside(short) & buy).alias("ins_purchase_value_short"),
-        (value(inside(short) & buy) - value(inside(short) & sell)).alias("ins_net_value_short"),
-        count(inside(long) & buy).alias("ins_purchase_count_long"), value(inside(long) & buy).alias("ins_purchase_value_long"),
-        (value(inside(long) & buy) - value(inside(long) & sell)).alias("ins_net_value_long"),
-        F.max(F.when(buy, F.col("filed"))).alias("__last"),
-    )
-    # An issuer with any transaction has counts of zero before its first one.
-    known = dates.join(tx.select("issuer").distinct(), "issuer", "left_semi").join(measured, ["issuer", "as_of"], "left")
+    measured = points.select(
+        "issuer", F.col("day").alias("as_of"), "asked",
+        over("bn", short).alias("ins_purchase_count_short"), over("sn", short).alias("ins_sale_count_short"),
+        F.coalesce(F.sum("mark").over(past), F.lit(0)).cast("double").alias("ins_distinct_buyers_short"),
+        over("on", short).alias("ins_officer_purchase_count_short"), over("bv", short).alias("ins_purchase_value_short"),
+        (over("bv", short) - over("sv", short)).alias("ins_net_value_short"),
+        over("bn", long).alias("ins_purchase_count_long"), over("bv", long).alias("ins_purchase_value_long"),
+        (over("bv", long) - over("sv", long)).alias("ins_net_value_long"), F.max("last").over(past).alias("__last"))
+    known = measured.where("asked").drop("asked")
     if data_through is not None:
         known = known.where(F.datediff("as_of", F.lit(data_through).cast("date")) <= 400)
-    zeros = [name for name in measured.columns if name.startswith("ins_")]
-    filled = known.withColumns({name: F.coalesce(name, F.lit(0.0)) for name in zeros}).withColumns({
+    filled = known.withColumns({
         "ins_net_count_short": F.col("ins_purchase_count_short") - F.col("ins_sale_count_short"),
         "ins_cluster_buy_short": F.when(F.col("ins_distinct_buyers_short") >= 2, 1.0).otherwise(0.0),
         "ins_days_since_last_purchase": F.datediff("as_of", "__last").cast("double"),
