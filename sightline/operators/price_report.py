@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from sightline import config as C
 from sightline.functions.scalars import half_even
 
-OWN = Window.partitionBy("ticker").orderBy("d")
+def own():
+    """One security's sessions in date order (built late: importing needs no session)."""
+    return Window.partitionBy("ticker").orderBy("d")
 
 
 def adjust_corporate_actions(points: DataFrame) -> DataFrame:
@@ -23,14 +25,14 @@ def adjust_corporate_actions(points: DataFrame) -> DataFrame:
     The jump test compares unadjusted closes; prices round to 6 places after
     each split, in date order. Adds ``event_status`` on split days.
     """
-    observed = F.col("close") / F.lag("close").over(OWN)
+    observed = F.col("close") / F.lag("close").over(own())
     is_split = (F.col("split") != 0) & (F.col("split") != 1)
     confirmed = is_split & (observed > 0) & (F.abs(F.log(observed * F.col("split"))) <= math.log(C.SPLIT_JUMP_FACTOR))
     marked = points.withColumn("__ok", F.coalesce(confirmed, F.lit(False))).withColumn(
         "event_status",
         F.when(F.col("__ok"), "verified_adjusted").when(is_split, "reported_already_adjusted"),
     )
-    ahead = OWN.rowsBetween(1, Window.unboundedFollowing)
+    ahead = own().rowsBetween(1, Window.unboundedFollowing)
     later = F.collect_list(F.when(F.col("__ok"), F.col("split"))).over(ahead)
     adjusted = marked.withColumn("__later", later)
 
@@ -44,8 +46,8 @@ def adjust_corporate_actions(points: DataFrame) -> DataFrame:
 
 def anomalies(points: DataFrame) -> DataFrame:
     """Day-on-day changes of +300 % or more, or -75 % or less."""
-    change = (F.col("close") / F.lag("close").over(OWN) - 1) * 100
-    return points.select("ticker", "d", "close", F.lag("close").over(OWN).alias("previous_close"),
+    change = (F.col("close") / F.lag("close").over(own()) - 1) * 100
+    return points.select("ticker", "d", "close", F.lag("close").over(own()).alias("previous_close"),
                          change.alias("__change")).where(
         (F.col("__change") >= C.ANOMALY_RISE) | (F.col("__change") <= C.ANOMALY_FALL),
     ).select("ticker", "d", "previous_close", "close", half_even("__change", 2).alias("change_percent"))
@@ -53,7 +55,7 @@ def anomalies(points: DataFrame) -> DataFrame:
 
 def moving_average(points: DataFrame, window: int, name: str, digits: int = 4) -> DataFrame:
     """Mean of full windows only."""
-    frame = OWN.rowsBetween(-(window - 1), 0)
+    frame = own().rowsBetween(-(window - 1), 0)
     return points.withColumn(name, F.when(
         F.count("close").over(frame) == window, half_even(F.avg("close").over(frame), digits),
     ))
@@ -61,7 +63,7 @@ def moving_average(points: DataFrame, window: int, name: str, digits: int = 4) -
 
 def bollinger_bands(points: DataFrame, window: int = 20, deviations: float = 2.0, digits: int = 4) -> DataFrame:
     """Mean and mean +/- deviations of the population standard deviation, full windows only."""
-    frame = OWN.rowsBetween(-(window - 1), 0)
+    frame = own().rowsBetween(-(window - 1), 0)
     middle, spread = F.avg("close").over(frame), F.stddev_pop("close").over(frame) * deviations
     banded = points.select(
         "ticker", "d", F.count("close").over(frame).alias("__n"),
@@ -137,7 +139,7 @@ def period_returns(points: DataFrame, breaks: DataFrame) -> DataFrame:
 def rebased(points: DataFrame, start: str) -> DataFrame:
     """Close over the first close on or after ``start`` (a date column), times 100."""
     chosen = points.where(F.col("d") >= F.col(start))
-    base = F.first("close").over(OWN.rowsBetween(Window.unboundedPreceding, 0))
+    base = F.first("close").over(own().rowsBetween(Window.unboundedPreceding, 0))
     return chosen.select("ticker", "d", half_even(F.col("close") / base * 100, 3).alias("value"))
 
 
@@ -186,11 +188,11 @@ def market_risk(bars: DataFrame, shares: DataFrame | None = None) -> DataFrame:
 
     ``bars``: ticker, d, close, volume, split. ``shares``: ticker, d, shares.
     """
-    running = OWN.rowsBetween(Window.unboundedPreceding, 0)
+    running = own().rowsBetween(Window.unboundedPreceding, 0)
     from_end = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("d").desc()))
     marked = bars.select(
         "ticker", "d", "close", "volume", "split", from_end.alias("__back"),
-        (F.col("close") / F.lag("close").over(OWN) - 1).alias("__r"),
+        (F.col("close") / F.lag("close").over(own()) - 1).alias("__r"),
         (1 - F.col("close") / F.max("close").over(running)).alias("__drop"),
     )
     recent = F.when(F.col("__back") <= 30, F.col("close") * F.col("volume"))

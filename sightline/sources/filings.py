@@ -47,7 +47,6 @@ def exit_filings(rows: DataFrame, exit_forms: list[str]) -> DataFrame:
     return rows.where(F.col("form").isin(*exit_forms) | ((F.col("form") == "8-K") & relevant))
 
 
-@F.pandas_udf("string")
 def html_text(pages: pd.Series) -> pd.Series:
     """Visible text of a page: hidden blocks dropped, block ends as line breaks, spaces collapsed."""
     import re
@@ -90,7 +89,8 @@ def html_text(pages: pd.Series) -> pd.Series:
 
 def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """Adds ``text`` and its content hash."""
-    return pages.withColumn("text", html_text(html)).withColumn("content_hash", F.sha2("text", 256))
+    visible = F.pandas_udf(html_text, "string")
+    return pages.withColumn("text", visible(html)).withColumn("content_hash", F.sha2("text", 256))
 
 
 def latest_documents(documents: DataFrame) -> DataFrame:

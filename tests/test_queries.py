@@ -31,3 +31,12 @@ def test_twins_belong_to_queries():
 @needs_data
 def test_entry_returns_rows(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_registration_needs_no_session():
+    """The twins must load in a process that never starts Spark."""
+    import subprocess
+    import sys
+
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
