@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, jpeg, language, mixing, pieces, urls
+from sightline.llm import chat, jpeg, language, mixing, near, pieces, quality, urls
 from sightline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,14 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(length(named) + length(shown) + 20) AS BIGINT) AS formatted_chars
 FROM coded GROUP BY conv_id
 """
+
+
+@query
+def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
