@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import language, mixing, pieces, queries
-from sightline.llm.common import stored, table
+from sightline.llm import language, lines, mixing, near, pieces, queries
+from sightline.llm.common import WORD, stored, table
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,6 +21,19 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(~F.col("__language.rejected")).select(*docs.columns)
 
 
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 2 (operator 9): texts without repeated lines, n_chars anew; a document that loses all its words goes."""
+    found = lines.dedup_lines(docs, info="__lines")
+    left = (F.col("__lines.n_dropped") == 0) | F.col("text").rlike(WORD)
+    size = F.when(F.col("__lines.n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
+    return found.where(left).withColumn("n_chars", size).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Stage 3 (operator 3): one document of each group of near copies."""
+    return near.one_of_each(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Stage 4 (operator 1): documents drawn so that tokens meet the target marginals."""
     return queries.mixed(docs).where("mix_kept").select(*docs.columns)
@@ -34,6 +47,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("language", keep_languages),
+    ("lines", drop_lines),
+    ("near", drop_near_copies),
     ("mixing", mix_sources),
     ("pieces", encode),
 ]

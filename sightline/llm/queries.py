@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, jpeg, language, mixing, near, pieces, quality, urls
+from sightline.llm import chat, jpeg, language, lines, mixing, near, pieces, quality, urls
 from sightline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,10 @@ def op3_near(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "line_info.n_lines", "line_info.n_dropped", F.length("text").cast("long").alias("n_chars"),
+                        F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
