@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, jpeg, language, lines, mixing, near, pieces, quality, urls
+from sightline.llm import chat, jpeg, language, lines, mixing, near, pieces, quality, suffix_tree, urls
 from sightline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,12 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "line_info.n_lines", "line_info.n_dropped", F.length("text").cast("long").alias("n_chars"),
                         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = language.remainder(F.col("doc_id"), 7) == 2
+    tree, counts = suffix_tree.train(documents.where(~held_out))
+    found = suffix_tree.score_texts(documents, tree, counts)
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
