@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 UNIT = 576  # bytes: 9 blocks of 64 coefficients, a row of 3 x 3 blocks
 PER_IMAGE = 2700  # units in one image; longer payloads take several images, one after another
 GROUP_BYTES = 1 << 19  # payload bytes that are coded in one numpy step; larger groups leave the cache
+ROWS = 128  # rows of an Arrow batch that are held in coded form at a time
 
 #: Natural position of each coefficient in file order, built by walking the diagonals.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, (i // 8 if (i // 8 + i % 8) % 2 else i % 8))))
@@ -436,7 +437,8 @@ def padded(text: bytes | None) -> bytes:
 
 def _store(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
-        yield pd.Series(encode_payloads([padded(text) for text in texts]), dtype=object)
+        for begin in range(0, len(texts), ROWS):
+            yield pd.Series(encode_payloads([padded(text) for text in texts.iloc[begin: begin + ROWS]]), dtype=object)
 
 
 READ = ("payload_bytes long, payload_sha256 string, tail_crc32 long, images int, width int, height int, "
@@ -445,15 +447,16 @@ READ = ("payload_bytes long, payload_sha256 string, tail_crc32 long, images int,
 
 def _read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     names = [part.split()[0] for part in READ.split(", ")]
-    for files in batches:
-        rows = []
-        for row in describe(list(files)):
-            if row is None:
-                rows.append((None,) * len(names))
-            else:
-                payload, *rest = row
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *rest))
-        yield pd.DataFrame(rows, columns=names, dtype=object)
+    for whole in batches:
+        for begin in range(0, len(whole), ROWS):
+            rows = []
+            for row in describe(list(whole.iloc[begin: begin + ROWS])):
+                if row is None:
+                    rows.append((None,) * len(names))
+                else:
+                    payload, *rest = row
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), *rest))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
 
 def store_texts(documents: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
