@@ -15,76 +15,106 @@ from pyspark.sql import functions as F
 from sightline.llm.common import connected_components, stored
 
 DISTANCE = 2  # bits
-SIMILARITY = 90  # percent of the longer line that an edit script may leave alone
+BITS = 60
+SIMILARITY = 90  # percent of the longer line's words that an edit script leaves alone
 MIN_WORDS = 5  # shorter lines ("Yes.", "} else {") repeat for good reasons and always stay
 #: All ASCII but letters and line breaks counts as a gap between words.
 GAPS = r"[\x00-\x09\x0B-\x40\x5B-\x60\x7B-\x7F]+"
-CHUNK = 127  # words whose votes fit 8-bit lanes without reaching the sign
+#: Words whose votes fit 4-bit lanes, and groups of words whose votes fit 8-bit lanes without reaching the sign.
+NARROW, GROUPS = 15, 8
 
 
 def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def votes(words: Column) -> Column:
-    """How many of an array of words have each bit of their 64-bit hash set.
+def _sum(values: Column, shift: int, mask: int) -> Column:
+    return F.aggregate(values, _long(0), lambda acc, x: acc + F.shiftrightunsigned(x, shift).bitwiseAND(_long(mask)))
 
-    Votes of up to 127 words are added in 8-bit lanes of 8 longs; the sums of the chunks in 32-bit lanes of 32 longs.
-    """
-    byte_lanes = _long(0x0101010101010101)
-
-    def empty(n: int) -> Column:
-        return F.struct(*[_long(0).alias(f"c{i}") for i in range(n)])
-
-    def chunk(part: Column) -> Column:
-        return F.aggregate(part, empty(8), lambda acc, h: F.struct(*[
-            (acc[f"c{i}"] + F.shiftrightunsigned(h, i).bitwiseAND(byte_lanes)).alias(f"c{i}") for i in range(8)]))
 
-    def widen(acc: Column, part: Column) -> Column:
-        # Lane j of long i holds bit i + 8j. Long (i, j mod 4) of the sums takes lanes j and j + 4.
-        return F.struct(*[(acc[f"c{i * 4 + j}"] + F.shiftrightunsigned(part[f"c{i}"], 8 * j).bitwiseAND(
-            _long(0x000000FF000000FF))).alias(f"c{i * 4 + j}") for i in range(8) for j in range(4)])
+def _parts(values: Column, size: int) -> Column:
+    last = F.floor((F.size(values) - 1) / size).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * size + 1, F.lit(size)))
 
-    hashes = F.transform(words, lambda w: F.xxhash64(w))
-    n = F.size(words)
-    few = F.aggregate(F.array(chunk(hashes)), empty(32), widen)
-    parts = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int")),
-                        lambda k: chunk(F.slice(hashes, k * CHUNK + 1, F.lit(CHUNK))))
-    many = F.aggregate(parts, empty(32), widen)
-    return F.when(n <= CHUNK, few).otherwise(many)
 
+def with_simhash(lines: DataFrame, words: str, out: str) -> DataFrame:
+    """Add the 60-bit SimHash of an array of words: bit b is set if more than half of the words' hashes have it.
 
-def simhash(sums: str, n: str) -> Column:
-    """The SimHash of the words counted in ``sums``: bit b is set if more than half of the n words have it."""
-    bits = []
-    for i in range(8):
-        for j in range(4):
-            both = F.col(f"{sums}.c{i * 4 + j}")
-            for lane, count in ((j, both.bitwiseAND(_long(0xFFFFFFFF))), (j + 4, F.shiftrightunsigned(both, 32))):
-                bit = i + 8 * lane
-                bits.append(F.when(count * 2 > F.col(n), F.shiftleft(_long(1), bit)).otherwise(_long(0)))
-    return reduce(Column.bitwiseOR, bits)
+    Votes are added for many bits at once: 15 words in the 4-bit lanes of 4 longs (bit i + 4 j is lane j of long i), 8 such
+    sums in the 8-bit lanes of 8 longs, and those bit by bit. The steps are columns, so each is computed once.
+    """
+    frame = lines.withColumn("__h", F.transform(words, lambda w: F.xxhash64(w)))
+    frame = frame.withColumn("__parts", _parts(F.col("__h"), NARROW))
+    frame = frame.select("*", *[F.transform("__parts", _narrow(i)).alias(f"__n{i}") for i in range(4)]).drop("__h", "__parts")
+    few = F.size("__n0") <= GROUPS
+    wide = []
+    for i in range(4):
+        for odd in (0, 1):
+            one = F.array(_sum(F.col(f"__n{i}"), 4 * odd, 0x0F0F0F0F0F0F0F0F))
+            more = F.transform(_parts(F.col(f"__n{i}"), GROUPS), _wide(odd))
+            wide.append(F.when(few, one).otherwise(more).alias(f"__w{i}{odd}"))
+    frame = frame.select("*", *wide).drop("__n0", "__n1", "__n2", "__n3")
+    return frame.withColumn(out, _majority(F.size(words).cast("long"))).drop(*[f"__w{i}{odd}" for i in range(4) for odd in (0, 1)])
+
+
+def _majority(n: Column) -> Column:
+    """The SimHash from the sums of votes of n words. In one group of words all lanes are compared at once: a lane plus
+    127 - n / 2 reaches its highest bit if it is above n / 2; only the uppermost lane could touch the sign and goes alone."""
+    half = F.floor(n / 2)
+    lift = (_long(127) - half) * _long(0x0001010101010101)
+    parts, bits = [], []
+    for i in range(4):
+        for odd in (0, 1):
+            sums, place = F.col(f"__w{i}{odd}"), i + 4 * odd
+            lanes = F.get(sums, F.lit(0))
+            above = (lanes.bitwiseAND(_long(0x00FFFFFFFFFFFFFF)) + lift).bitwiseAND(_long(0x0080808080808080))
+            parts.append(F.shiftleft(F.shiftrightunsigned(above, 7), place))
+            if place + 56 < BITS:
+                top = F.shiftrightunsigned(lanes, 56)
+                parts.append(F.when(top > half, _long(1 << (place + 56))).otherwise(_long(0)))
+            bits += [F.when(_sum(sums, 8 * byte, 255) > half, _long(1 << (8 * byte + place))).otherwise(_long(0))
+                     for byte in range(8) if 8 * byte + place < BITS]
+    return F.when(F.size("__w00") <= 1, reduce(Column.bitwiseOR, parts)).otherwise(reduce(Column.bitwiseOR, bits))
+
+
+def _narrow(shift: int):
+    return lambda part: _sum(part, shift, 0x0111111111111111)
+
+
+def _wide(odd: int):
+    return lambda part: _sum(part, 4 * odd, 0x0F0F0F0F0F0F0F0F)
+
+
+EDGES = [round(BITS * i / (DISTANCE + 1)) for i in range(DISTANCE + 2)]
 
 
 def blocks(value: Column) -> Column:
     """One key per block of bits; the block's number is in the key."""
-    count = DISTANCE + 1
-    edges = [round(64 * i / count) for i in range(count + 1)]
-    keys = []
-    for i, (a, b) in enumerate(zip(edges, edges[1:])):
-        part = F.shiftrightunsigned(value, a).bitwiseAND(_long((1 << (b - a)) - 1))
-        keys.append(part.bitwiseOR(_long(i << 40)))
-    return F.array(*keys)
+    return F.array(*[F.shiftrightunsigned(value, a).bitwiseAND(_long((1 << (b - a)) - 1)).bitwiseOR(_long(i << 40))
+                     for i, (a, b) in enumerate(zip(EDGES, EDGES[1:]))])
 
 
 def near(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
 
 
+def first_shared(block: Column, a: Column, b: Column) -> Column:
+    """Is this the first block in which the two agree? So each pair is looked at once."""
+    number, differ = F.shiftrightunsigned(block, 40), a.bitwiseXOR(b)
+    return reduce(Column.__and__, [
+        (number <= i) | (differ.bitwiseAND(_long(((1 << (high - low)) - 1) << low)) != 0)
+        for i, (low, high) in enumerate(zip(EDGES[:-2], EDGES[1:-1]))])
+
+
+def coded(words: Column) -> Column:
+    """Words as single characters (a hash into the characters U+1000 to U+9FFF): edits of words become edits of text."""
+    digits = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0x9000)) + 0x1000), 4, "0"))
+    return F.decode(F.unhex(F.array_join(digits, "")), "UTF-16BE")
+
+
 def similar(a: Column, b: Column) -> Column:
-    """At most 10 % of the longer line is edited; the distance is only computed up to that limit."""
-    longer = F.greatest(F.length(a), F.length(b))
-    limit = F.floor(longer * (100 - SIMILARITY) / 100.0).cast("int")
+    """At most 10 % of the words of the longer line are edited; the distance is only computed up to that limit."""
+    limit = F.floor(F.greatest(F.length(a), F.length(b)) * (100 - SIMILARITY) / 100.0).cast("int")
     return (F.abs(F.length(a) - F.length(b)) <= limit) & (F.call_function("levenshtein", a, b, limit) >= 0)
 
 
@@ -93,51 +123,55 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), GAPS, " ")
 
 
+def words_of(line: Column) -> Column:
+    return F.split(F.trim(line), " ")
+
+
 def occurrences(documents: DataFrame, text: str, key: str) -> DataFrame:
-    """id, mark (hash of the text), pos, line (hash of the normalised line) and simhash of lines with enough words."""
+    """id, mark (hash of the text), pos, line (hash of the words) and simhash of lines with enough words."""
     base = documents.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("mark"),
                             F.posexplode(F.split(normalised(F.col(text)), "\n")).alias("pos", "raw"))
-    split = base.select("id", "mark", "pos", F.trim("raw").alias("norm"))
-    split = split.where(F.length("norm") - F.length(F.replace(F.col("norm"), F.lit(" "))) >= MIN_WORDS - 1)
-    words = F.split("norm", " ")
-    voted = split.select("id", "mark", "pos", F.xxhash64("norm").alias("line"), votes(words).alias("sums"),
-                         F.size(words).alias("n"))
-    return voted.select("id", "mark", "pos", "line", simhash("sums", "n").alias("sim"))
+    enough = base.where(F.col("raw").rlike(f"^ *([^ ]+ +){{{MIN_WORDS - 1}}}[^ ]"))
+    split = enough.select("id", "mark", "pos", words_of(F.col("raw")).alias("words"))
+    return with_simhash(split.withColumn("line", F.xxhash64("words")), "words", "sim").drop("words")
 
 
 def groups(documents: DataFrame, lines: DataFrame, text: str, key: str) -> DataFrame:
     """line, root of all lines that are linked with another one.
 
-    Only lines with a partner within the distance get their text (from one occurrence each). In every block the lines
-    are linked with its smallest first; only pairs that these links leave in different groups are compared after that.
+    Only lines with a partner within the distance get their words (from one occurrence each). In every block the lines
+    are linked with its smallest first; only pairs without a common such hub are compared after that, once each.
     """
     keyed = lines.select("line", "sim", F.explode(blocks(F.col("sim"))).alias("block"))
     other = keyed.select(F.col("line").alias("line2"), F.col("sim").alias("sim2"), F.col("block").alias("block2"))
     paired = keyed.join(other, (F.col("block") == F.col("block2")) & (F.col("line") != F.col("line2"))
                         & near(F.col("sim"), F.col("sim2")), "left_semi")
-    wanted = paired.select("line").distinct().join(lines, "line").select(
-        "line", "sim", F.col("first.id").alias("fid"), F.col("first.mark").alias("fmark"), F.col("first.pos").alias("fpos"))
+    wanted = paired.select("line").distinct().join(lines, "line").groupBy(
+        F.col("first.id").alias("fid"), F.col("first.mark").alias("fmark")).agg(
+        F.collect_list(F.struct("line", "sim", F.col("first.pos").alias("pos"))).alias("asked"))
     source = documents.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     found = source.join(wanted, F.col("id").eqNullSafe(F.col("fid")) & (F.col("mark") == F.col("fmark")))
-    norm = F.trim(normalised(F.get(F.split("text", "\n"), F.col("fpos"))))
-    texts = stored(found.select("line", "sim", norm.alias("norm")).dropDuplicates(["line"]))
+    cut = found.select("asked", F.split(normalised(F.col("text")), "\n").alias("raw"))
+    one = cut.select(F.explode("asked").alias("x"), "raw").select("x.line", "x.sim", F.get("raw", F.col("x.pos")).alias("raw"))
+    texts = stored(one.select("line", "sim", coded(words_of(F.col("raw"))).alias("code")).dropDuplicates(["line"]))
 
-    keyed = texts.select("line", "sim", "norm", F.explode(blocks(F.col("sim"))).alias("block"))
+    keyed = texts.select("line", "sim", "code", F.explode(blocks(F.col("sim"))).alias("block"))
     hubs = keyed.groupBy("block").agg(F.min("line").alias("hub"), F.count("*").alias("n")).where("n > 1").select("block", "hub")
-    star = keyed.join(hubs, "block").where("line <> hub").select("line", "sim", "norm", "hub").distinct()
-    at_hub = texts.select(F.col("line").alias("hub"), F.col("sim").alias("sim2"), F.col("norm").alias("norm2"))
-    linked = star.join(at_hub, "hub").where(near(F.col("sim"), F.col("sim2")) & similar(F.col("norm"), F.col("norm2")))
-    links = stored(linked.select(F.col("line").alias("a"), F.col("hub").alias("b")))
-    roots = connected_components(links)
-
-    rest = texts.join(roots.select(F.col("node").alias("line"), "root"), "line", "left").withColumn("root", F.coalesce("root", "line"))
-    left = rest.select("line", "sim", "norm", "root", F.explode(blocks(F.col("sim"))).alias("block"))
-    right = left.select(*[F.col(name).alias(f"{name}2") for name in ("line", "sim", "norm", "root", "block")])
+    star = keyed.join(hubs, "block").where("line <> hub").select("line", "sim", "code", "hub").distinct()
+    at_hub = texts.select(F.col("line").alias("hub"), F.col("sim").alias("sim2"), F.col("code").alias("code2"))
+    linked = star.join(at_hub, "hub").where(near(F.col("sim"), F.col("sim2")) & similar(F.col("code"), F.col("code2")))
+    links = stored(linked.select("line", "hub"))
+    label = links.groupBy("line").agg(F.min("hub").alias("label"))
+
+    rest = texts.join(label, "line", "left").withColumn("label", F.coalesce("label", "line"))
+    left = rest.select("line", "sim", "code", "label", F.explode(blocks(F.col("sim"))).alias("block"))
+    right = left.select(*[F.col(name).alias(f"{name}2") for name in ("line", "sim", "code", "label", "block")])
     across = left.join(right, (F.col("block") == F.col("block2")) & (F.col("line") < F.col("line2"))
-                       & (F.col("root") != F.col("root2")) & near(F.col("sim"), F.col("sim2"))
-                       & similar(F.col("norm"), F.col("norm2")))
-    more = stored(across.select(F.col("line").alias("a"), F.col("line2").alias("b")).distinct())
-    return connected_components(links.union(more)).select(F.col("node").alias("line"), "root")
+                       & (F.col("label") != F.col("label2")) & near(F.col("sim"), F.col("sim2"))
+                       & first_shared(F.col("block"), F.col("sim"), F.col("sim2"))
+                       & similar(F.col("code"), F.col("code2")))
+    both = links.select(F.col("line").alias("a"), F.col("hub").alias("b")).union(across.select("line", "line2"))
+    return connected_components(both).select(F.col("node").alias("line"), "root")
 
 
 def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", info: str = "line_info") -> DataFrame:
