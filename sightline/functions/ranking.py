@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.scalars import half_even
+from sightline.functions.scalars import finite, half_even
 
 STEPS_PER_OCTAVE = 1024
 SLOTS = 48
@@ -40,54 +40,59 @@ def magnitude_bucket(value: str | Column) -> Column:
     return F.when(number > 0, index).when(number < 0, -index).otherwise(F.lit(0).cast("bigint"))
 
 
-def _grouped(frame: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
-    if groups:
-        return frame, list(groups)
-    return frame.withColumn("__all", F.lit(0)), ["__all"]
+def grouped(frame: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Add ``__g``, the group as one struct: it is never null, so rows with null groups meet in joins as in ``groupBy``."""
+    return frame.withColumn("__g", F.struct(*[F.col(name) for name in groups] or [F.lit(0).alias("all")]))
 
 
-def _running(frame: DataFrame, groups: list[str], bucket: str, weight: str) -> DataFrame:
-    """Per (group, bucket): weight before it and the group's total weight.
+def join_groups(left: DataFrame, right: DataFrame, groups: Sequence[str], how: str = "inner", also: Sequence[str] = ()) -> DataFrame:
+    """Join two frames on their groups, null groups included, and on the ``also`` columns as usual."""
+    return grouped(left, groups).join(grouped(right, groups).drop(*groups), ["__g", *also], how).drop("__g")
+
+
+def _running(frame: DataFrame, bucket: str, weight: str) -> DataFrame:
+    """Per (__g, bucket): weight before it and the group's total weight.
 
     The window sees one row per bucket, never one per data row.
     """
-    sizes = frame.groupBy(*groups, bucket).agg(F.sum(weight).alias("__size"))
-    whole = Window.partitionBy(*groups)
+    sizes = frame.groupBy("__g", bucket).agg(F.sum(weight).alias("__size"))
+    whole = Window.partitionBy("__g")
     before = whole.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.select(
-        *groups, bucket,
+        "__g", bucket,
         F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"),
         F.sum("__size").over(whole).alias("total"),
     )
 
 
 def value_ladder(frame: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    """One row per (group, distinct value): ``n`` rows hold it, ``below`` are smaller, of ``total``."""
-    frame, keys = _grouped(frame, groups)
+    """One row per (group, distinct value): ``n`` rows hold it, ``below`` are smaller, of ``total``.
+
+    Null, NaN and infinite values have no rung. A null group is a group.
+    """
     counts = (
-        frame.where(F.col(value).isNotNull())
-        .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+        grouped(frame, groups).where(finite(value).isNotNull())
+        .groupBy("__g", value).agg(F.count(F.lit(1)).alias("n"))
         .withColumn("__b", magnitude_bucket(F.col(value).cast("double")))
     )
-    fences = _running(counts, keys, "__b", "n")
-    inside = Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    joined = counts.join(fences, [*keys, "__b"])
-    result = joined.select(
-        *keys, value, "n",
+    fences = _running(counts, "__b", "n")
+    inside = Window.partitionBy("__g", "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.join(fences, ["__g", "__b"]).select(
+        *[F.col(f"__g.{name}") for name in groups], value, "n",
         (F.col("__start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below"),
         "total",
     )
-    return result.drop("__all") if not groups else result
 
 
 def attach_ladder(frame: DataFrame, groups: Sequence[str], value: str, prefix: str = "") -> DataFrame:
-    """Rows with their ladder columns; rows with a null value get nulls."""
+    """Rows with their ladder columns; rows without a finite value get nulls."""
     rungs = value_ladder(frame, groups, value)
     rungs = rungs.select(
         *groups, value,
         *[F.col(name).alias(prefix + name) for name in ("n", "below", "total")],
     )
-    return frame.join(rungs, [*groups, value], "left")
+    return join_groups(frame, rungs, groups, "left", [value]).select(
+        *frame.columns, *[prefix + name for name in ("n", "below", "total")])
 
 
 # Percentile conventions. They differ on purpose; each names its formula.
@@ -133,22 +138,21 @@ def positions(frame: DataFrame, groups: Sequence[str], order: Sequence[Column],
     last one must be unique inside a group.
     """
     columns = frame.columns
-    frame, keys = _grouped(frame, groups)
-    rows = frame.withColumn("__k", F.struct(*[key.alias(f"k{i}") for i, key in enumerate(order)]))
-    picked = rows.groupBy(*keys, F.pmod(F.xxhash64("__k"), F.lit(SLOTS)).alias("__slot")).agg(
+    rows = grouped(frame, groups).withColumn("__k", F.struct(*[key.alias(f"k{i}") for i, key in enumerate(order)]))
+    picked = rows.groupBy("__g", F.pmod(F.xxhash64("__k"), F.lit(SLOTS)).alias("__slot")).agg(
         F.min_by("__k", F.xxhash64("__k", F.lit(17))).alias("__k"),
     )
-    cuts = picked.groupBy(*keys).agg(F.array_sort(F.collect_list("__k")).alias("__cuts"))
+    cuts = picked.groupBy("__g").agg(F.array_sort(F.collect_list("__k")).alias("__cuts"))
     if not groups:  # one row of at most SLOTS keys
         cuts = F.broadcast(cuts)
-    placed = rows.join(cuts, keys).withColumn(
+    placed = rows.join(cuts, "__g").withColumn(
         "__b", F.size(F.filter("__cuts", lambda edge: edge < F.col("__k"))),
     ).drop("__cuts")
-    fences = _running(placed.withColumn("__one", F.lit(1)), keys, "__b", "__one")
+    fences = _running(placed.withColumn("__one", F.lit(1)), "__b", "__one")
     if not groups:  # at most SLOTS + 1 rows
         fences = F.broadcast(fences)
-    inside = Window.partitionBy(*keys, "__b").orderBy("__k")
-    numbered = placed.join(fences, [*keys, "__b"]).withColumn(
+    inside = Window.partitionBy("__g", "__b").orderBy("__k")
+    numbered = placed.join(fences, ["__g", "__b"]).withColumn(
         name, (F.col("__start") + F.row_number().over(inside)).cast("bigint"),
     )
     kept = [*columns, name]
@@ -165,10 +169,19 @@ def leading(frame: DataFrame, groups: Sequence[str], order: Sequence[Column], li
     The rank filter sits directly on the window, so Spark keeps at most
     ``limit`` rows per group and task before it shuffles.
     """
-    frame, keys = _grouped(frame, groups)
-    window = Window.partitionBy(*keys).orderBy(*order)
-    kept = frame.withColumn(name, F.row_number().over(window)).where(F.col(name) <= limit)
-    return kept.drop("__all")
+    window = Window.partitionBy("__g").orderBy(*order)
+    kept = grouped(frame, groups).withColumn(name, F.row_number().over(window)).where(F.col(name) <= limit)
+    return kept.drop("__g")
+
+
+def first_rows(frame: DataFrame, key: str, order: Sequence[Column] = ()) -> DataFrame:
+    """One row per key: the first in ``order``, then by all other columns, so the result never depends on partitions.
+
+    A combined ``min_by``: a key with many rows is no hot group.
+    """
+    rest = [name for name in frame.columns if name != key]
+    rank = F.struct(*[part.alias(f"k{i}") for i, part in enumerate(order)], *[F.col(name).alias(f"r{i}") for i, name in enumerate(rest)])
+    return frame.groupBy(key).agg(F.min_by(F.struct(*rest), rank).alias("x")).select(key, "x.*").select(*frame.columns)
 
 
 # Bucket conventions.

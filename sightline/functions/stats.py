@@ -7,8 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.ranking import attach_ladder, value_ladder
-from sightline.functions.scalars import half_even
+from sightline.functions.ranking import attach_ladder, join_groups, value_ladder
+from sightline.functions.scalars import finite, half_even
 
 
 def _quantile(value: str, share: float) -> Column:
@@ -64,11 +64,12 @@ def outcome_summary(frame: DataFrame, groups: Sequence[str], value: str, tail: f
         (F.sum(number * F.col("n")) / F.sum("n")).alias("mean"),
         (F.sum(F.when(number > 0, F.col("n")).otherwise(0)) / F.sum("n") * 100.0).alias("win_rate"),
     )
-    clipped = rungs.join(first, list(groups)).groupBy(*groups).agg(
+    clipped = join_groups(rungs, first, groups).groupBy(*groups).agg(
         (F.sum(F.least(F.greatest(number, F.col("__low")), F.col("__high")) * F.col("n")) / F.sum("n"))
         .alias("winsorised_mean"),
     )
-    return first.join(clipped, list(groups)).drop("__low", "__high")
+    return join_groups(first, clipped, groups).drop("__low", "__high").select(
+        *groups, "median", "observations", "mean", "win_rate", "winsorised_mean")
 
 
 def trimmed_mean(frame: DataFrame, groups: Sequence[str], value: str, tail: float = 0.02) -> DataFrame:
@@ -90,7 +91,7 @@ def rank_correlation(frame: DataFrame, groups: Sequence[str], left: str, right:
 
     Groups with fewer than ``minimum`` pairs or a constant side give null.
     """
-    pairs = frame.where(F.col(left).isNotNull() & F.col(right).isNotNull()).select(*groups, left, right)
+    pairs = frame.where(finite(left).isNotNull() & finite(right).isNotNull()).select(*groups, left, right)
     ranked = attach_ladder(attach_ladder(pairs, groups, left, "l_"), groups, right, "r_")
     left_rank = F.col("l_below") + (F.col("l_n") + 1) / 2.0
     right_rank = F.col("r_below") + (F.col("r_n") + 1) / 2.0
@@ -110,7 +111,7 @@ def series_summary(frame: DataFrame, groups: Sequence[str], value: str) -> DataF
     """n, mean, sample deviation, t of the mean and positive share of a short series."""
     number = F.col(value)
     spread = F.stddev_samp(value)
-    known = frame.where(number.isNotNull())
+    known = frame.where(finite(value).isNotNull())
     return known.groupBy(*groups).agg(
         F.count(value).alias("periods"),
         half_even(F.avg(value), 4).alias("mean"),
@@ -126,7 +127,7 @@ def newey_west(frame: DataFrame, groups: Sequence[str], order: str, value: str,
     A series holds at most one row per period, so its length is bounded by the
     calendar and a window over it is small. Null when n < lags + 3.
     """
-    known = frame.where(F.col(value).isNotNull())
+    known = frame.where(finite(value).isNotNull())
     if not groups:
         known = known.withColumn("__all", F.lit(0))
     keys = list(groups) or ["__all"]

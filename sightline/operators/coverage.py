@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline import config as C
+from sightline.functions.ranking import first_rows
 from sightline.functions.scalars import half_even, ratio
 from sightline.operators import rules
 
@@ -35,13 +36,16 @@ def official_score(rows: DataFrame, minimum_sessions: int = C.LOOKBACKS["minimum
     })
 
 
-def backtest_universe(rows: DataFrame, duplicates: DataFrame | None, reason: str) -> DataFrame:
-    """OK and FAILED rows plus those filtered for size only, one per ticker, duplicates removed."""
+def backtest_universe(rows: DataFrame, duplicates: DataFrame | None, reason: str, order: Sequence[Column] = ()) -> DataFrame:
+    """OK and FAILED rows plus those filtered for size only, the first per ticker in ``order``, duplicates removed.
+
+    Without an order, the row with the smallest values, column by column: the same in every run.
+    """
     size_only = (F.col("status") == "FILTERED") & F.coalesce(
         F.col(reason).startswith("Below minimum market cap") | F.col(reason).startswith("Above maximum market cap"), F.lit(False))
     kept = rows.where(F.col("status").isin("OK", "FAILED") | size_only).withColumn(
         "ticker", F.upper(F.trim(F.col("ticker").cast("string")))).where(F.col("ticker") != "")
-    single = kept.dropDuplicates(["ticker"])
+    single = first_rows(kept, "ticker", order)
     return single.join(duplicates.select("ticker"), "ticker", "left_anti") if duplicates is not None else single
 
 

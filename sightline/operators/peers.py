@@ -45,24 +45,41 @@ def industry_codes(rows: DataFrame, minimum: int = C.PEERS["minimum"]) -> DataFr
     ).withColumn("industry", F.when(F.col("widened"), F.substring("sic", 1, 3)).otherwise(F.col("sic"))).drop("__n")
 
 
-def closest_by_size(rows: DataFrame, groups: Sequence[str], size: str, limit: int = C.PEERS["closest"]) -> DataFrame:
+def closest_by_size(rows: DataFrame, groups: Sequence[str], size: str, limit: int = C.PEERS["closest"],
+                    asking: DataFrame | None = None) -> DataFrame:
     """The ``limit`` nearest names by |log size ratio| in a group, ties by ticker, without pairing the group.
 
-    Only ``limit`` distinct sizes on either side can hold a nearest name, and of
-    each size only its first ``limit`` + 1 tickers, so each name meets a fixed
-    number of candidates found by equality joins.
+    ``asking`` (default: all rows) are the companies that get peers; they need not be usable themselves. Only
+    ``limit`` distinct sizes on either side can hold a nearest name, and of each size only its first ``limit`` + 1
+    tickers, so each name meets a fixed number of candidates found by equality joins. A company without a positive size
+    gets the largest names of its group; its distance is null.
     """
     known = rows.where(positive(size).isNotNull()).select(*groups, "ticker", F.col(size).alias("size"))
-    sizes = ranking.positions(known.select(*groups, "size").distinct(), groups, [F.col("size")], name="place")
+    wanted = (asking if asking is not None else rows).select(*groups, "ticker", positive(size).alias("size"))
+    held = known.select(*groups, "size").distinct()
+    spots = ranking.positions(held, groups, [F.col("size")], name="place")
+    own = spots.withColumnRenamed("size", "peer_size")
     first = ranking.leading(known, [*groups, "size"], [F.col("ticker")], limit + 1, "__p").select(
         *groups, F.col("size").alias("peer_size"), F.col("ticker").alias("peer"))
-    asked = known.join(sizes, [*groups, "size"]).withColumn(
+    if asking is not None:  # sizes that no usable name has stand where the usable sizes below them end
+        others = ranking.join_groups(wanted.where("size is not null").select(*groups, "size").distinct(), held, groups, "left_anti", ["size"])
+        among = ranking.positions(held.union(others.select(*groups, "size")), groups, [F.col("size")], name="all_places")
+        alone = ranking.positions(others, groups, [F.col("size")], name="other_places")
+        moved = ranking.join_groups(among, alone, groups, "inner", ["size"])
+        spots = spots.union(moved.select(*groups, "size", (F.col("all_places") - F.col("other_places")).alias("place")))
+    asked = ranking.join_groups(wanted.where("size is not null"), spots, groups, "inner", ["size"]).withColumn(
         "place", F.explode(F.transform(F.sequence(F.lit(-limit), F.lit(limit)), lambda step: F.col("place") + step)))
-    near = asked.join(sizes.select(*groups, "place", F.col("size").alias("peer_size")), [*groups, "place"])
-    met = near.join(first, [*groups, "peer_size"]).where(F.col("peer") != F.col("ticker"))
+    near = ranking.join_groups(asked, own, groups, "inner", ["place"])
+    met = ranking.join_groups(near, first, groups, "inner", ["peer_size"]).where(F.col("peer") != F.col("ticker"))
     distance = F.abs(F.log(F.col("peer_size") / F.col("size")))
-    return ranking.leading(met.withColumn("distance", half_even(distance, 9)), ["ticker"], [F.col("distance"), F.col("peer")], limit, "place") \
-        .select(*groups, "ticker", "peer", "place", "distance")
+    columns = [*groups, "ticker", "peer", "distance", (-F.col("peer_size")).alias("__large")]
+    largest = ranking.leading(known, groups, [-F.col("size"), F.col("ticker")], limit + 1, "__p").select(
+        *groups, F.col("ticker").alias("peer"), F.col("size").alias("peer_size"))
+    unsized = ranking.join_groups(wanted.where("size is null"), largest, groups).where(F.col("peer") != F.col("ticker"))
+    found = met.withColumn("distance", distance).select(*columns).union(
+        unsized.withColumn("distance", F.lit(None).cast("double")).select(*columns))
+    order = [F.coalesce("distance", "__large"), F.col("peer")]
+    return ranking.leading(found, ["ticker"], order, limit, "place").select(*groups, "ticker", "peer", "place", "distance")
 
 
 def peer_summary(pairs: DataFrame, metrics: DataFrame, names: Sequence[str]) -> DataFrame:

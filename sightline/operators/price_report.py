@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightline import config as C
-from sightline.functions.scalars import half_even
+from sightline.functions.scalars import half_even, ratio
+
 
 def own():
     """One security's sessions in date order (built late: importing needs no session)."""
@@ -25,16 +26,17 @@ def adjust_corporate_actions(points: DataFrame) -> DataFrame:
     The jump test compares unadjusted closes; prices round to 6 places after
     each split, in date order. Adds ``event_status`` on split days.
     """
-    observed = F.col("close") / F.lag("close").over(own())
+    observed = ratio("close", F.lag("close").over(own()))
     is_split = (F.col("split") != 0) & (F.col("split") != 1)
     confirmed = is_split & (observed > 0) & (F.abs(F.log(observed * F.col("split"))) <= math.log(C.SPLIT_JUMP_FACTOR))
     marked = points.withColumn("__ok", F.coalesce(confirmed, F.lit(False))).withColumn(
         "event_status",
         F.when(F.col("__ok"), "verified_adjusted").when(is_split, "reported_already_adjusted"),
     )
-    ahead = own().rowsBetween(1, Window.unboundedFollowing)
-    later = F.collect_list(F.when(F.col("__ok"), F.col("split"))).over(ahead)
-    adjusted = marked.withColumn("__later", later)
+    # One small array of events per security, made once for its partition; each row keeps the later ones.
+    events = F.collect_list(F.when(F.col("__ok"), F.struct("d", "split"))).over(Window.partitionBy("ticker"))
+    adjusted = marked.withColumn("__events", events).withColumn("__later", F.transform(
+        F.filter(F.array_sort("__events"), lambda event: event["d"] > F.col("d")), lambda event: event["split"])).drop("__events")
 
     def fold(name: str):
         return F.aggregate("__later", F.col(name), lambda value, split: half_even(value / split, 6))
@@ -46,7 +48,7 @@ def adjust_corporate_actions(points: DataFrame) -> DataFrame:
 
 def anomalies(points: DataFrame) -> DataFrame:
     """Day-on-day changes of +300 % or more, or -75 % or less."""
-    change = (F.col("close") / F.lag("close").over(own()) - 1) * 100
+    change = (ratio("close", F.lag("close").over(own())) - 1) * 100
     return points.select("ticker", "d", "close", F.lag("close").over(own()).alias("previous_close"),
                          change.alias("__change")).where(
         (F.col("__change") >= C.ANOMALY_RISE) | (F.col("__change") <= C.ANOMALY_FALL),
@@ -192,8 +194,8 @@ def market_risk(bars: DataFrame, shares: DataFrame | None = None) -> DataFrame:
     from_end = F.row_number().over(Window.partitionBy("ticker").orderBy(F.col("d").desc()))
     marked = bars.select(
         "ticker", "d", "close", "volume", "split", from_end.alias("__back"),
-        (F.col("close") / F.lag("close").over(own()) - 1).alias("__r"),
-        (1 - F.col("close") / F.max("close").over(running)).alias("__drop"),
+        (ratio("close", F.lag("close").over(own())) - 1).alias("__r"),
+        (1 - ratio("close", F.max("close").over(running))).alias("__drop"),
     )
     recent = F.when(F.col("__back") <= 30, F.col("close") * F.col("volume"))
     count = F.count(F.lit(1))

@@ -25,12 +25,12 @@ def drop_incomplete_bars(bars: DataFrame) -> DataFrame:
     and multiplies with a split already there.
     """
     complete = positive("close").isNotNull()
-    own = Window.partitionBy("ticker").orderBy("d")
-    ahead = own.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # The next complete day is the last one seen when the days run backwards: a running frame, one step per row.
+    ahead = Window.partitionBy("ticker").orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = Window.partitionBy("ticker")
     day = F.when(complete, F.col("d"))
     moved = bars.withColumn("__target", F.coalesce(
-        F.first(day, ignorenulls=True).over(ahead), F.max(day).over(whole),
+        F.last(day, ignorenulls=True).over(ahead), F.max(day).over(whole),
     )).withColumn("__keep", complete)
     event = F.nullif(F.coalesce(finite("split"), F.lit(0.0)), F.lit(0.0))
     carried = moved.where(F.col("__target").isNotNull()).groupBy(
@@ -69,30 +69,33 @@ def price_features(bars: DataFrame, by: str = "ticker", settings: Mapping | None
     """Raw price signals and technical inputs as of every session.
 
     Input columns: ``by``, ``d``, ``close``, ``volume``. Signals stay null
-    until ``minimum_price_history_days`` sessions exist.
+    until ``minimum_price_history_days`` sessions exist. A return needs a finite
+    positive close at both ends, volatility one on every day of its window; a
+    null, NaN, zero or negative close elsewhere does no harm.
     """
     look = {**C.LOOKBACKS, **(settings or {})}
     minimum = look["minimum_price_history_days"]
     own = Window.partitionBy(by).orderBy("d")
-    close = F.col("close")
-    change = F.log(close / F.lag("close", 1).over(own))
+    close, price = finite("close"), positive("close")
+    change = F.log(price / F.lag(price, 1).over(own))
     running = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    high = F.max("close").over(own.rowsBetween(-(look["high_window"] - 1), 0))
+    high = F.max(close).over(own.rowsBetween(-(look["high_window"] - 1), 0))
     base = bars.select(
         by, "d", "close", "volume",
         F.row_number().over(own).alias("sessions"),
         F.sum("volume").over(running).alias("__cv"),
-        F.sum("close").over(running).alias("__cc"),
+        F.sum(close).over(running).alias("__cc"),
         change.alias("__r"),
         high.alias("__high"),
         *[
-            F.lag("close", back).over(own).alias(f"__c{back}")
+            F.lag(price, back).over(own).alias(f"__c{back}")
             for back in sorted({
                 look["long_window"], look["medium_window"], look["skip_window"], look["reversal_window"],
                 look["relative_strength_days"] - 1,
             })
         ],
     ).withColumns({
+        "__s0": F.sum(F.col("__r").isNotNull().cast("int")).over(running),
         "__s1": F.sum(F.coalesce("__r", F.lit(0.0))).over(running),
         "__s2": F.sum(F.coalesce(F.col("__r") * F.col("__r"), F.lit(0.0))).over(running),
     })
@@ -104,7 +107,7 @@ def price_features(bars: DataFrame, by: str = "ticker", settings: Mapping | None
         return trailing(total, size) / F.least(F.col("sessions"), F.lit(size))
 
     def window_return(window: int, skip: int) -> Column:
-        end = close if skip == 0 else F.col(f"__c{skip}")
+        end = price if skip == 0 else F.col(f"__c{skip}")
         return F.when(F.col("sessions") > window, end / F.col(f"__c{window}") - 1.0)
 
     n = look["volatility_window"]
@@ -113,9 +116,10 @@ def price_features(bars: DataFrame, by: str = "ticker", settings: Mapping | None
         "momentum_long": window_return(look["long_window"], look["skip_window"]),
         "momentum_medium": window_return(look["medium_window"], look["skip_window"]),
         "short_term_reversal": window_return(look["reversal_window"], 0),
-        "high_proximity": F.when(F.col("sessions") >= look["high_window"], close / F.col("__high")),
+        "high_proximity": F.when(
+            (F.col("sessions") >= look["high_window"]) & (F.col("__high") > 0), ratio(close, "__high")),
         "volatility": F.when(
-            F.col("sessions") > n, F.sqrt(F.greatest(spread, F.lit(0.0))) * math.sqrt(252.0),
+            (F.col("sessions") > n) & (trailing("__s0", n) == n), F.sqrt(F.greatest(spread, F.lit(0.0))) * math.sqrt(252.0),
         ),
         "volume_trend": F.when(
             F.col("sessions") >= look["volume_long"],

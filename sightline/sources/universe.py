@@ -8,21 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline import config as C
+from sightline.functions.ranking import first_rows
 
 
 def enabled_listings(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Enabled rows with a trimmed upper-case ticker, the first per ticker in file order."""
     kept = rows.where(F.upper(F.col("enabled").cast("string")) == "TRUE").withColumn("ticker", F.upper(F.trim("ticker"))).where(
         F.col("ticker") != "")
-    rest = [name for name in kept.columns if name != "ticker"]
-    return kept.groupBy("ticker").agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("x")).select("ticker", "x.*")
+    return first_rows(kept, "ticker", order)
 
 
-def clean_us(rows: DataFrame) -> DataFrame:
-    """Drop names with non-common terms and tickers with '$', one row per ticker."""
+def clean_us(rows: DataFrame, order: Sequence[Column] = ()) -> DataFrame:
+    """Drop names with non-common terms and tickers with '$', the first row per trimmed ticker in ``order``."""
     pattern = "(?i)" + "|".join(C.US_NAME_TERMS)
     named = ~F.coalesce(F.col("company_name").rlike(pattern), F.lit(False))
-    return rows.where(named & ~F.col("ticker").contains("$")).dropDuplicates(["ticker"])
+    return first_rows(rows.withColumn("ticker", F.trim("ticker")).where(named & ~F.col("ticker").contains("$")), "ticker", order)
 
 
 def canadian_asset_type(name: str = "company_name", sector: str = "sector", trust: str = "trust") -> Column:
