@@ -36,24 +36,37 @@ class Limits:
     max_word_distance: float = 0.29
 
 
-def repeated_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more in the array, each word once, the first window included.
+def _bits(words: Column) -> Column:
+    """Low bits that hold any position in the array."""
+    return F.ceil(F.log2(F.size(words).cast("double") + 1)).cast("int")
 
-    A window's hash and position share one long (the position takes as many low bits as it needs), so one sort of
-    longs brings equal windows together. Their positions, sorted, cover 3 words each, less where they overlap.
-    """
-    n = F.size(words)
-    bits = F.ceil(F.log2(n.cast("double") + 1)).cast("int")
 
+def sorted_windows(words: Column) -> Column:
+    """All 3-word windows as sorted longs: a hash above, the position in as many low bits as it needs.
+
+    One sort of longs brings equal windows together, each with its place.
+    """
     def packed(i: Column) -> Column:
         window = F.xxhash64(*(F.get(words, i + k) for k in range(3)))
-        return F.call_function("shiftleft", window, bits).bitwiseOR(i.cast("long"))
+        return F.call_function("shiftleft", window, _bits(words)).bitwiseOR(i.cast("long"))
 
-    windows = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), packed))
-    key = lambda value: F.call_function("shiftright", value, bits)
-    alike = F.filter(windows, lambda x, i: (F.coalesce(key(F.get(F.col("__windows"), i - 1)) == key(x), F.lit(False)))
-                     | (F.coalesce(key(F.get(F.col("__windows"), i + 1)) == key(x), F.lit(False))))
-    return windows, alike, bits
+    return F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), packed))
+
+
+def equal_neighbours(windows: Column, words: Column) -> Column:
+    """Indices of sorted windows that equal the next one. One short test per window; the result is small."""
+    bits = _bits(words)
+    return F.filter(F.sequence(F.lit(0), F.size(windows) - 2), lambda i: F.call_function(
+        "shiftright", F.get(windows, i).bitwiseXOR(F.get(windows, i + 1)), bits) == 0)
+
+
+def covered_words(windows: Column, alike: Column, words: Column) -> Column:
+    """Words inside windows that occur twice or more, each word once: 3 for each place, less where places overlap."""
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), _bits(words)) - 1
+    both = F.flatten(F.transform(alike, lambda i: F.array(F.get(windows, i).bitwiseAND(mask), F.get(windows, i + 1).bitwiseAND(mask))))
+    start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
+    return F.aggregate(F.sort_array(F.array_distinct(both)), start, lambda acc, x: F.struct(
+        x.alias("last"), (acc["n"] + F.least(F.lit(3).cast("long"), x - acc["last"])).alias("n")))["n"]
 
 
 def measure(documents: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id", "lang")) -> DataFrame:
@@ -69,18 +82,14 @@ def measure(documents: DataFrame, text: str = "text", keep: Sequence[str] = ("do
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         F.regexp_replace(value, r"\p{Ll}+", "").alias("__rest"))
     frame = frame.withColumn("__tight", F.regexp_replace("__rest", SPACE_RUN, ""))
-    n = F.size("__words")
-    windows, alike, bits = repeated_words(F.col("__words"))
-    frame = frame.withColumn("__windows", F.when(n >= 3, windows).otherwise(F.array().cast("array<long>")))
-    frame = frame.withColumn("__alike", alike)
-    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1
-    places = F.sort_array(F.transform("__alike", lambda x: x.bitwiseAND(mask)))
-    start = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-    covered = F.aggregate(places, start, lambda acc, x: F.struct(
-        x.alias("last"), (acc["n"] + F.least(F.lit(3).cast("long"), x - acc["last"])).alias("n")))["n"]
+    n, words = F.size("__words"), F.col("__words")
+    none = F.array().cast("array<int>")
+    frame = frame.withColumn("__windows", F.when(n >= 3, sorted_windows(words)).otherwise(F.array().cast("array<long>")))
+    frame = frame.withColumn("__alike", F.when(n >= 4, equal_neighbours(F.col("__windows"), words)).otherwise(none))
     listed = sorted({word for words in COMMON_WORDS.values() for word in words})
-    common = F.filter(F.transform("__words", F.lower), lambda word: word.isin(listed))
-    frame = frame.withColumn("__common", common)
+    longest = max(map(len, listed))
+    common = F.filter("__words", lambda word: (F.length(word) <= longest) & F.lower(word).isin(listed))
+    frame = frame.withColumn("__common", F.transform(common, F.lower))
     tight = F.col("__tight")
     upper, digit = F.regexp_count(tight, F.lit(r"\p{Lu}")), F.regexp_count(tight, F.lit(r"\p{Nd}"))
     symbol = F.regexp_count(tight, F.lit(r"[#*$%&|<>]"))
@@ -91,7 +100,8 @@ def measure(documents: DataFrame, text: str = "text", keep: Sequence[str] = ("do
     return frame.select(
         *[F.col(f"`{name}`") for name in keep], n.cast("long").alias("n_words"),
         (F.col("__chars") - space).cast("long").alias("word_chars"), symbol.cast("long").alias("n_symbols"),
-        "n_dup_lines", F.when(F.size("__alike") > 0, covered).otherwise(0).cast("long").alias("n_repeat_words"),
+        "n_dup_lines", F.when(F.size("__alike") > 0, covered_words(F.col("__windows"), F.col("__alike"), words)).otherwise(0)
+        .cast("long").alias("n_repeat_words"),
         counted.alias("class_counts"), tally.cast("array<long>").alias("word_counts"))
 
 

@@ -8,8 +8,10 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from sightline.llm import language, mixing, quality, queries, suffix_tree, urls
+from sightline.llm.common import stored
 
 DATA = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,15 +68,17 @@ def test_quality_rules(spark):
     odd = [(9001, None, "en"), (9002, "", None), (9003, "a b c a b c a b", "xx"), (9004, "\n\n x \n x \n", "en"), (9004, " a  b", "de"),
            (9005, "w " * 500, "en"), (9006, "a b c", "en")]
     whole = documents.union(spark.createDataFrame(odd, documents.schema)).selectExpr("*", "1 as n_words")
+    whole = stored(whole.withColumn("seq", F.monotonically_increasing_id()))
     limits = quality.Limits()
-    rows = whole.toPandas()
+    rows = whole.toPandas().sort_values("seq")
     texts = rows["text"].map(lambda t: t if isinstance(t, str) else None)
-    measured = quality.measure(whole).toPandas()
+    held = stored(quality.measure(whole, keep=("seq", "lang")))
+    measured = held.toPandas().sort_values("seq")
     base = [_base(text) for text in texts]
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     assert [tuple(row) for row in measured[names].to_numpy().tolist()] == base
-    known = quality.references(quality.measure(whole), limits)
-    found = quality.quality_verdicts(whole, limits).toPandas()
+    known = quality.references(held, limits)
+    found = quality.quality_verdicts(whole, limits, keep=("seq",)).toPandas().sort_values("seq")
     for row, (n, *_, repeat), (_, histogram) in zip(found.itertuples(), base, measured.iterrows()):
         failed = n < 50 or 100 * repeat > 50 * n
         listed = sorted({w for part in quality.COMMON_WORDS.values() for w in part})
