@@ -76,7 +76,8 @@ def price_features(bars: DataFrame, by: str = "ticker", settings: Mapping | None
     look = {**C.LOOKBACKS, **(settings or {})}
     minimum = look["minimum_price_history_days"]
     own = Window.partitionBy(by).orderBy("d")
-    close, price = finite("close"), positive("close")
+    close = F.when(finite("close").isNotNull(), F.col("close"))
+    price = F.when(positive("close").isNotNull(), F.col("close"))
     change = F.log(price / F.lag(price, 1).over(own))
     running = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     high = F.max(close).over(own.rowsBetween(-(look["high_window"] - 1), 0))
