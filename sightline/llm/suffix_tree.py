@@ -7,7 +7,7 @@ state; words that the state does not hold itself fall back to its parent, down t
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -89,25 +89,28 @@ class Tree:
         return np.log10((self.counts + 1) / (self.tokens + self.distinct + 1))
 
     def cache(self) -> _Cache:
-        listed = self.hashes.tolist()
-
-        def place(word: bytes) -> int:
-            at = bisect_left(listed, value := hash_of(word))
-            return at if at < len(listed) and listed[at] == value else -1
-
-        return _Cache(place)
+        places = dict(zip(self.hashes.tolist(), range(self.width)))
+        return _Cache(lambda word: places.get(hash_of(word), -1))
 
     def known(self, depth: int, before: list[np.ndarray]) -> np.ndarray:
         """State of depth ``depth`` (1 is the first) of each position, -1 if there is none. before[k]: the word that
         precedes by k + 1 places, -1 if it is rare or there is none."""
         last, level = before[0], self.levels[depth - 1]
+        out = np.full(len(last), -1)
         if not len(level.states):
-            return np.full(len(last), -1)
-        code = last.copy()
+            return out
+        # A table says which words end a context; most positions need no search.
+        ends = np.zeros(self.width + 1, bool)
+        ends[level.states % self.width] = True
+        here = np.flatnonzero(ends[last])
+        code = last[here]
         for k in range(1, depth):
-            code = np.where((before[k] >= 0) & (code >= 0), before[k] * self.width ** k + code, -1)
+            fit = before[k][here] >= 0
+            here, code = here[fit], code[fit] + before[k][here[fit]] * self.width ** k
         at = np.minimum(np.searchsorted(level.states, code), len(level.states) - 1)
-        return np.where((code >= 0) & (level.states[at] == code), at, -1)
+        hit = level.states[at] == code
+        out[here[hit]] = at[hit]
+        return out
 
     def score(self, word: np.ndarray, before: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each word in its context, without the root's part for rare words (-1)."""
@@ -133,8 +136,8 @@ class Tree:
         return total
 
 
-def _positions(texts, cache: _Cache, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[list[bytes]], int]]:
-    """Groups of texts: owner and word of each token (the end after each text) and the two words before it.
+def _positions(texts, cache: _Cache, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[bytes]]]:
+    """Groups of texts: owner and word of each token (the end after each text), the two words before it, and the tokens.
 
     The end of a text precedes its first word; nothing precedes that.
     """
@@ -144,18 +147,16 @@ def _positions(texts, cache: _Cache, end: int) -> Iterator[tuple[np.ndarray, np.
         group.append(words)
         size += len(words) + 1
         if size >= GROUP or i == len(texts) - 1:
-            ids = np.full(size + len(group), end, np.int64)  # each text: end, its words; then one end more
-            lengths = np.array([len(w) for w in group])
-            starts = np.concatenate([[0], np.cumsum(lengths + 2)])[:-1]
-            for begin, w in zip(starts.tolist(), group):
-                if w:
-                    ids[begin + 1: begin + 1 + len(w)] = list(map(cache.__getitem__, w))
-            own = np.repeat(np.arange(len(group)), lengths + 2)
-            place = np.arange(len(ids)) - starts[own]
-            token = np.flatnonzero(place > 0)
-            last = ids[token - 1]
-            second = np.where(place[token] > 1, ids[np.maximum(token - 2, 0)], -1)
-            yield own[token] + first, ids[token], [last, second], group, first
+            flat = [w for words in group for w in (*words, b"")]
+            lengths = np.array([len(words) + 1 for words in group])
+            ids = np.fromiter(map(cache.__getitem__, flat), np.int64, len(flat))
+            starts = np.cumsum(lengths) - lengths
+            ids[starts + lengths - 1] = end
+            last = np.concatenate([[end], ids[:-1]])
+            last[starts] = end
+            second = np.concatenate([[-1], last[:-1]])
+            second[starts] = -1
+            yield np.repeat(np.arange(first, first + len(group)), lengths), ids, [last, second], flat
             first, group, size = i + 1, [], 0
 
 
@@ -164,10 +165,23 @@ def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return unique, np.bincount(label, minlength=len(unique))
 
 
+def _runs(own: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Distinct hashes of each owner and how often each occurs."""
+    order = np.lexsort((hashes, own))
+    own, hashes = own[order], hashes[order]
+    fresh = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1])])) if len(own) else order
+    m = np.diff(np.append(fresh, len(own)))
+    owners, begin = np.unique(own[fresh], return_index=True)
+    for i, a, b in zip(owners.tolist(), begin.tolist(), [*begin.tolist()[1:], len(fresh)]):
+        yield i, hashes[fresh[a:b]], m[a:b]
+
+
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        label, words = pd.factorize(np.array([w for text in batch["text"] for w in words_of(text)], dtype=object))
-        yield pd.DataFrame({"h": [*map(hash_of, words), END], "n": [*np.bincount(label, minlength=len(words)), len(batch)]})
+        found = Counter()
+        for text in batch["text"]:
+            found.update(words_of(text))
+        yield pd.DataFrame({"h": [*map(hash_of, found), END], "n": [*found.values(), len(batch)]})
 
 
 def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
@@ -199,7 +213,7 @@ def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
             tree = shared.value
             cache = tree.cache()
             for batch in batches:
-                for _, word, before, _, _ in _positions(batch["text"].tolist(), cache, tree.end):
+                for _, word, before, _ in _positions(batch["text"].tolist(), cache, tree.end):
                     state = tree.known(depth, before)
                     fit = (state >= 0) & (word >= 0)
                     code, n = _counted(state[fit] * tree.width + word[fit])
@@ -272,19 +286,20 @@ def score_texts(documents: DataFrame, tree: Tree, counts: DataFrame, text: str =
                 batch = whole.iloc[begin: begin + 512]
                 size = len(batch)
                 total, base, n, known = (np.zeros(size) for _ in range(4))
-                rare: list = [None] * size
-                for own, word, before, group, first in _positions(batch["text"].tolist(), cache, tree.end):
+                rare, times = [np.zeros(0, np.int64)] * size, [np.zeros(0, np.int64)] * size
+                for own, word, before, flat in _positions(batch["text"].tolist(), cache, tree.end):
                     total += np.bincount(own, tree.score(word, before), size)
                     frequent = word >= 0
                     base += np.bincount(own[frequent], root[word[frequent]], size)
                     known += np.bincount(own[frequent], tree.counts[word[frequent]] > 0, size)
                     n += np.bincount(own, minlength=size)
-                    for i, words in enumerate(group):
-                        rare[first + i] = [w for w in words if cache[w] < 0]
-                found = [_counted(np.fromiter(map(hash_of, words), np.int64, len(words))) for words in rare]
+                    few = np.flatnonzero(~frequent)
+                    for i, hashes, m in _runs(own[few], np.fromiter([hash_of(flat[k]) for k in few.tolist()], np.int64, len(few))):
+                        rare[i], times[i] = hashes, m
                 yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "n_tokens": n.astype(np.int64),
                                     "known": known.astype(np.int64), "base": base, "total": total,
-                                    "h": [h for h, _ in found], "m": [m for _, m in found]}, index=batch.index)
+                                    "h": pd.Series(rare, dtype=object, index=batch.index),
+                                    "m": pd.Series(times, dtype=object, index=batch.index)}, index=batch.index)
 
     kind = source.schema["id"].dataType.simpleString()
     scored = stored(source.mapInPandas(score, f"row long, id {kind}, n_tokens long, known long, base double, total double, "
