@@ -143,7 +143,8 @@ def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = language.remainder(F.col("doc_id"), 7) == 2
-    tree, counts = suffix_tree.train(documents.where(~held_out))
-    found = suffix_tree.score_texts(documents, tree, counts)
-    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    documents = documents.withColumn("held_out", language.remainder(F.col("doc_id"), 7) == 2)
+    tree, counts = suffix_tree.vocabulary(documents.where("not held_out"))
+    placed = suffix_tree.place_words(documents, tree)
+    suffix_tree.grow(tree, placed.where("not held_out"))
+    return suffix_tree.score_placed(placed, tree, counts)

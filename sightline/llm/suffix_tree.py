@@ -16,6 +16,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sightline.llm.common import stored
 
@@ -136,27 +137,24 @@ class Tree:
         return total
 
 
-def _positions(texts, cache: _Cache, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray], list[bytes]]]:
-    """Groups of texts: owner and word of each token (the end after each text), the two words before it, and the tokens.
+def _positions(rows: list[np.ndarray], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Groups of texts: owner and word of each token (the end after each text), and the two words before it.
 
     The end of a text precedes its first word; nothing precedes that.
     """
-    group, size, first = [], 0, 0
-    for i, text in enumerate(texts):
-        words = words_of(text)
+    group, size, first, stop = [], 0, 0, np.array([end])
+    for i, words in enumerate(rows):
         group.append(words)
         size += len(words) + 1
-        if size >= GROUP or i == len(texts) - 1:
-            flat = [w for words in group for w in (*words, b"")]
+        if size >= GROUP or i == len(rows) - 1:
+            ids = np.concatenate([part for words in group for part in (words, stop)]).astype(np.int64)
             lengths = np.array([len(words) + 1 for words in group])
-            ids = np.fromiter(map(cache.__getitem__, flat), np.int64, len(flat))
             starts = np.cumsum(lengths) - lengths
-            ids[starts + lengths - 1] = end
-            last = np.concatenate([[end], ids[:-1]])
+            last = np.concatenate([stop, ids[:-1]])
             last[starts] = end
             second = np.concatenate([[-1], last[:-1]])
             second[starts] = -1
-            yield np.repeat(np.arange(first, first + len(group)), lengths), ids, [last, second], flat
+            yield np.repeat(np.arange(first, first + len(group)), lengths), ids, [last, second]
             first, group, size = i + 1, [], 0
 
 
@@ -184,42 +182,82 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"h": [*map(hash_of, found), END], "n": [*found.values(), len(batch)]})
 
 
-def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
-    """Learn a tree from all rows; returns it with the stored counts (h, n) of all words, hashed, and of the end.
+def vocabulary(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
+    """A tree without states, and the stored counts (h, n) of all words, hashed, and of the end of texts.
 
-    All counts cover all documents and are summed by Spark, combined per batch before the shuffle. The driver gets the
-    frequent words, and per depth the frequent words below frequent contexts: the shares bound each list, whatever the
-    size of the corpus. Null texts count as empty. No rows: a tree without states and tokens.
+    Counts cover all rows and are summed by Spark, combined per batch before the shuffle. The driver gets the words
+    with at least ``WORD_SHARE`` of all tokens: their number is bounded at any size of the corpus.
     """
-    spark = documents.sparkSession
     source = documents.select(F.col(text).cast("binary").alias("text"))
     counts = stored(source.mapInPandas(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = int(totals[0]), int(totals[1])
-    limit = max(2, WORD_SHARE * tokens)
-    often = counts.where((F.col("n") >= limit) | (F.col("h") == END)).toPandas().sort_values("h")
-    tree = Tree(often["h"].to_numpy(np.int64), often["n"].to_numpy(np.int64), tokens, distinct)
+    often = counts.where((F.col("n") >= max(2, WORD_SHARE * tokens)) | (F.col("h") == END)).toPandas().sort_values("h")
     if not tokens:
-        tree.hashes, tree.counts = np.array([END]), np.array([0])
-        return tree, counts
+        return Tree(np.array([END]), np.array([0]), 0, 0), counts
+    return Tree(often["h"].to_numpy(np.int64), often["n"].to_numpy(np.int64), tokens, distinct), counts
+
+
+def place_words(documents: DataFrame, tree: Tree, text: str = "text") -> DataFrame:
+    """Replace the text by ``words``: the place of each word in the tree's list, -1 for a rare one; h and m: the hashes of
+    the rare words and how often each occurs; and add ``row``, a number per row. Stored, so texts are split once.
+
+    All other columns stay; columns with those four names are replaced. Null text: no words.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(tree)
+    rest = [name for name in documents.columns if name not in ("row", "words", "h", "m", text)]
+    source = documents.select(*[F.col(f"`{name}`") for name in rest], F.monotonically_increasing_id().alias("row"),
+                              F.col(text).cast("binary").alias("__text"))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = shared.value.cache()
+        for whole in batches:
+            for begin in range(0, len(whole), 512):
+                batch = whole.iloc[begin: begin + 512]
+                words, few = [], []
+                for text in batch["__text"]:
+                    split = words_of(text)
+                    ids = np.fromiter(map(cache.__getitem__, split), np.int32, len(split))
+                    words.append(ids)
+                    few.append([hash_of(split[k]) for k in np.flatnonzero(ids < 0).tolist()])
+                rare, times = [np.zeros(0, np.int64)] * len(batch), [np.zeros(0, np.int64)] * len(batch)
+                own = np.repeat(np.arange(len(batch)), [len(part) for part in few])
+                for i, hashes, m in _runs(own, np.array([h for part in few for h in part], np.int64)):
+                    rare[i], times[i] = hashes, m
+                yield batch.drop(columns="__text").assign(**{
+                    name: pd.Series(value, dtype=object, index=batch.index) for name, value in (("words", words), ("h", rare), ("m", times))})
+
+    schema = source.drop("__text").schema.add("words", T.ArrayType(T.IntegerType()))
+    schema = schema.add("h", T.ArrayType(T.LongType())).add("m", T.ArrayType(T.LongType()))
+    return stored(source.mapInPandas(place, schema))
+
+
+def grow(tree: Tree, placed: DataFrame) -> Tree:
+    """Give the tree its states, learned from the rows of ``place_words`` (those that its vocabulary was counted on).
+
+    Per depth, Spark counts the frequent words below the frequent contexts; the shares bound what the driver gets.
+    """
+    tree.levels.clear()
+    if not tree.tokens:
+        return tree
+    limit = max(2, WORD_SHARE * tree.tokens)
     # Contexts of the first depth: words. Deeper: a word in front of a state.
-    states = np.flatnonzero(tree.counts >= max(2, CONTEXT_SHARE * tokens))
+    states = np.flatnonzero(tree.counts >= max(2, CONTEXT_SHARE * tree.tokens))
     sizes = tree.counts[states]
     for depth in range(1, DEPTH + 1):
         tree.levels.append(Level(states, np.zeros(len(states)), np.zeros(0, np.int64), np.zeros(0)))
-        shared = spark.sparkContext.broadcast(tree)
+        shared = placed.sparkSession.sparkContext.broadcast(tree)
 
         def count(batches: Iterator[pd.DataFrame], depth: int = depth, shared=shared) -> Iterator[pd.DataFrame]:
             tree = shared.value
-            cache = tree.cache()
             for batch in batches:
-                for _, word, before, _ in _positions(batch["text"].tolist(), cache, tree.end):
+                for _, word, before in _positions(batch["words"].tolist(), tree.end):
                     state = tree.known(depth, before)
                     fit = (state >= 0) & (word >= 0)
                     code, n = _counted(state[fit] * tree.width + word[fit])
                     yield pd.DataFrame({"code": code, "n": n})
 
-        found = source.mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        found = placed.select("words").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
         held = found.where(F.col("n") >= limit).toPandas().sort_values("code")
         state, word = np.divmod(held["code"].to_numpy(np.int64), tree.width)
         tree.levels[-1] = prune(tree, depth, states, sizes, state, word, held["n"].to_numpy(np.float64))
@@ -227,13 +265,19 @@ def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
         if depth == DEPTH or not len(kept.states):
             break
         # (state, word) pairs that are frequent enough become contexts if the word alone is a state.
-        grown = np.isin(word, kept.states) & (word != tree.end) & (held["n"].to_numpy() >= CONTEXT_SHARE * tokens)
+        grown = np.isin(word, kept.states) & (word != tree.end) & (held["n"].to_numpy() >= CONTEXT_SHARE * tree.tokens)
         code = states[state[grown]] * tree.width + word[grown]
         order = np.argsort(code)
         states, sizes = code[order], held["n"].to_numpy()[grown][order]
         if not len(states):
             break
-    return tree, counts
+    return tree
+
+
+def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
+    """Learn a tree from all rows; returns it with the counts of all words. No rows: no states and no tokens."""
+    tree, counts = vocabulary(documents, text)
+    return grow(tree, place_words(documents.select(text), tree, text)), counts
 
 
 def prune(tree: Tree, depth: int, states: np.ndarray, sizes: np.ndarray, state: np.ndarray, word: np.ndarray,
@@ -266,51 +310,47 @@ def prune(tree: Tree, depth: int, states: np.ndarray, sizes: np.ndarray, state:
 
 
 def score_texts(documents: DataFrame, tree: Tree, counts: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The key, n_tokens, n_known, train_tokens, base_score and score of every document.
+    """The key, n_tokens, n_known, train_tokens, base_score and score of every document; see ``score_placed``."""
+    return score_placed(place_words(documents.select(F.col(key), F.col(text)), tree, text), tree, counts)
+
+
+def score_placed(placed: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
+    """Score the rows of ``place_words``: all their other columns, n_tokens, n_known, train_tokens, base_score, score.
 
     The tree (bounded by its shares) is broadcast. Words that are too rare for it are looked up in ``counts`` by a shuffle
     join of (row, word hash, times) records; such a word has at most ``WORD_SHARE`` of the training tokens, and one that
     is frequent elsewhere only lies on the side that Spark can split. Texts are not shuffled.
 
-    Null and empty texts are scored by their end alone. Repeated rows, equal keys and null keys are separate rows. Other
-    columns are ignored.
+    Null and empty texts are scored by their end alone. Repeated rows, equal keys and null keys are separate rows.
+    Columns with the names of the results are replaced.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(tree)
-    source = documents.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("id"), F.col(text).cast("binary").alias("text"))
+    shared = placed.sparkSession.sparkContext.broadcast(tree)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tree = shared.value
-        cache, root = tree.cache(), tree.root
-        for whole in batches:
-            for begin in range(0, len(whole), 512):
-                batch = whole.iloc[begin: begin + 512]
-                size = len(batch)
-                total, base, n, known = (np.zeros(size) for _ in range(4))
-                rare, times = [np.zeros(0, np.int64)] * size, [np.zeros(0, np.int64)] * size
-                for own, word, before, flat in _positions(batch["text"].tolist(), cache, tree.end):
-                    total += np.bincount(own, tree.score(word, before), size)
-                    frequent = word >= 0
-                    base += np.bincount(own[frequent], root[word[frequent]], size)
-                    known += np.bincount(own[frequent], tree.counts[word[frequent]] > 0, size)
-                    n += np.bincount(own, minlength=size)
-                    few = np.flatnonzero(~frequent)
-                    for i, hashes, m in _runs(own[few], np.fromiter([hash_of(flat[k]) for k in few.tolist()], np.int64, len(few))):
-                        rare[i], times[i] = hashes, m
-                yield pd.DataFrame({"row": batch["row"], "id": batch["id"], "n_tokens": n.astype(np.int64),
-                                    "known": known.astype(np.int64), "base": base, "total": total,
-                                    "h": pd.Series(rare, dtype=object, index=batch.index),
-                                    "m": pd.Series(times, dtype=object, index=batch.index)}, index=batch.index)
-
-    kind = source.schema["id"].dataType.simpleString()
-    scored = stored(source.mapInPandas(score, f"row long, id {kind}, n_tokens long, known long, base double, total double, "
-                                              "h array<long>, m array<long>"))
-    words = scored.select("row", F.explode(F.arrays_zip("h", "m")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.m").alias("m"))
+        root = tree.root
+        for batch in batches:
+            size = len(batch)
+            total, base, n, known = (np.zeros(size) for _ in range(4))
+            for own, word, before in _positions(batch["words"].tolist(), tree.end):
+                total += np.bincount(own, tree.score(word, before), size)
+                frequent = word >= 0
+                base += np.bincount(own[frequent], root[word[frequent]], size)
+                known += np.bincount(own[frequent], tree.counts[word[frequent]] > 0, size)
+                n += np.bincount(own, minlength=size)
+            yield pd.DataFrame({"row": batch["row"], "n_tokens": n.astype(np.int64), "known": known.astype(np.int64),
+                                "base": base, "total": total})
+
+    scored = placed.select("row", "words").mapInPandas(score, "row long, n_tokens long, known long, base double, total double")
+    words = placed.select("row", F.explode(F.arrays_zip("h", "m")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.m").alias("m"))
     light = counts.where(F.col("n") < max(2, WORD_SHARE * tree.tokens))
     found = words.join(light, "h", "left")
     worth = F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.tokens + tree.distinct + 1)))
     rare = found.groupBy("row").agg(F.sum(worth).alias("worth"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("more"))
-    out = scored.select("row", "id", "n_tokens", "known", "base", "total").join(rare, "row", "left")
+    results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rest = [name for name in placed.columns if name not in ("row", "words", "h", "m", *results)]
+    out = placed.select("row", *[F.col(f"`{name}`") for name in rest]).join(scored, "row").join(rare, "row", "left")
     worth, more = F.coalesce("worth", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return out.select(F.col("id").alias(key), "n_tokens", (F.col("known") + more).alias("n_known"),
+    return out.select(*[F.col(f"`{name}`") for name in rest], "n_tokens", (F.col("known") + more).alias("n_known"),
                       F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + worth).alias("base_score"),
                       (F.col("total") + worth).alias("score"))
