@@ -47,8 +47,8 @@ def _(v: Views):
 
 
 # Exchange rates: order priorities stand for currencies, mean prices for closes.
-FX_SQL = """fc AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'CAD' WHEN '2-HIGH' THEN 'EUR' WHEN '3-MEDIUM' THEN 'USD' END AS base, CASE o_orderpriority WHEN '3-MEDIUM' THEN 'GBP' ELSE 'USD' END AS quote,
-    CAST(o_orderdate AS DATE) AS d, round_even(avg(o_totalprice), 0) / 100000 AS close FROM orders WHERE o_orderpriority < '4' GROUP BY 1, 2, 3),
+FX_SQL = """fc AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'CAD' WHEN '2-HIGH' THEN 'EUR' WHEN '3-MEDIUM' THEN 'USD' WHEN '5-LOW' THEN 'CHF' ELSE 'SEK' END AS base, CASE o_orderpriority WHEN '3-MEDIUM' THEN 'GBP' ELSE 'USD' END AS quote,
+    CAST(o_orderdate AS DATE) AS d, round_even(avg(o_totalprice), 0) / 100000 AS close FROM orders GROUP BY 1, 2, 3),
   l AS (SELECT base, quote, max_by(close, d) AS rate FROM fc WHERE close > 0 GROUP BY 1, 2),
   dr AS (SELECT * FROM l UNION ALL SELECT quote, base, 1.0::DOUBLE / rate FROM l),
   cr AS (SELECT a.base, b.quote, a.rate * b.rate AS rate FROM dr a JOIN dr b ON a.quote = 'USD' AND b.base = 'USD' AND a.base <> b.quote),
@@ -56,8 +56,9 @@ FX_SQL = """fc AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'CAD' WHEN '
 
 
 def rates(v: Views):
-    base = F.when(F.col("o_orderpriority") == "1-URGENT", "CAD").when(F.col("o_orderpriority") == "2-HIGH", "EUR").when(F.col("o_orderpriority") == "3-MEDIUM", "USD")
-    closes = v.table("orders").where(F.col("o_orderpriority") < "4").groupBy(
+    base = F.when(F.col("o_orderpriority") == "1-URGENT", "CAD").when(F.col("o_orderpriority") == "2-HIGH", "EUR").when(
+        F.col("o_orderpriority") == "3-MEDIUM", "USD").when(F.col("o_orderpriority") == "5-LOW", "CHF").otherwise("SEK")
+    closes = v.table("orders").groupBy(
         base.alias("base"), F.when(F.col("o_orderpriority") == "3-MEDIUM", "GBP").otherwise("USD").alias("quote"), F.to_date("o_orderdate").alias("d"),
     ).agg((F.rint(F.avg("o_totalprice")) / 100000).alias("close"))
     return peers.fx_rates(closes)

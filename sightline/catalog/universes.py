@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from sightline.catalog.quotes import quotes
 from sightline.catalog.registry import register
 from sightline.catalog.views import Views, r
-from sightline.functions import stats
-from sightline.functions.scalars import half_even
+from sightline.operators import coverage, floats
 from sightline.sources import universe
 
 
@@ -43,29 +42,27 @@ def _(v: Views):
 
 @register("a44_discovery_quality", "runs", """SELECT run_id, count(*) AS total, round_even(count(*) FILTER (discovery_score < 20000)::DOUBLE / count(*) * 1e6, 0) / 1e6 AS error_rate, count(*) FILTER (discovery_score < 20000)::DOUBLE / count(*) <= 0.02 AS passed FROM runs GROUP BY 1""")
 def _(v: Views):
-    share = F.avg(F.when(F.col("discovery_score") < 20000, 1.0).otherwise(0.0))
-    return v.runs.groupBy("run_id").agg(F.count(F.lit(1)).alias("total"), half_even(share, 6).alias("error_rate"), (share <= 0.02).alias("passed"))
+    return coverage.discovery_quality(v.runs, ["run_id"], F.col("discovery_score") < 20000)
 
 
 @register("a53_score_median", "runs", f"""WITH m AS (SELECT run_id, quantile_cont(discovery_score, 0.5) AS md FROM runs WHERE status = 'OK' GROUP BY 1)
   SELECT runs.run_id, ticker, {r('discovery_score - md', 3)} AS above_median FROM runs JOIN m ON m.run_id = runs.run_id WHERE status = 'OK'""")
 def _(v: Views):
-    ok = v.runs.where(F.col("status") == "OK")
-    medians = stats.quantiles(ok, ["run_id"], "discovery_score", {"md": 0.5})
-    return ok.join(medians, "run_id").select("run_id", "ticker", half_even(F.col("discovery_score") - F.col("md"), 3).alias("above_median"))
+    return coverage.from_median(v.runs.where(F.col("status") == "OK"), ["run_id"], "discovery_score").select(
+        "run_id", "ticker", "above_median")
 
 
-@register("s19_latest_public_floats", "", """SELECT o_custkey AS cik, max_by(o_totalprice, row(o_orderdate, -o_orderkey)) AS public_float FROM orders WHERE o_orderstatus = 'F' GROUP BY 1""")
+@register("s19_latest_public_floats", "", """SELECT o_custkey AS cik, max_by(o_totalprice, row(o_orderdate, -o_orderkey)) AS public_float FROM orders WHERE o_totalprice > 0 GROUP BY 1""")
 def _(v: Views):
-    frames = v.table("orders").where(F.col("o_orderstatus") == "F")
-    return frames.groupBy(F.col("o_custkey").alias("cik")).agg(
-        F.max_by("o_totalprice", F.struct("o_orderdate", (-F.col("o_orderkey")).alias("k"))).alias("public_float"))
+    frames = v.table("orders").select(F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("end"),
+                                      F.col("o_totalprice").alias("val"), F.col("o_orderkey").alias("frame"))
+    return floats.latest_public_floats(frames)
 
 
-@register("j15_public_float_as_of", "", """WITH q AS (SELECT c_custkey AS cik, DATE '1998-06-30' AS as_of FROM customer)
-  SELECT cik, max_by(o_totalprice, row(o_orderdate, o_orderkey)) AS public_float FROM q JOIN orders ON o_custkey = cik AND CAST(o_orderdate AS DATE) + 45 <= as_of AND as_of - CAST(o_orderdate AS DATE) <= 550 GROUP BY 1""")
+@register("j15_public_float_as_of", "", """WITH q AS (SELECT c_custkey AS cik, DATE '1994-06-30' + CAST(c_custkey % 1500 AS INTEGER) AS as_of FROM customer)
+  SELECT cik, strftime(as_of, '%Y-%m-%d') AS as_of, max_by(o_totalprice, row(o_orderdate, o_orderkey)) AS public_float FROM q JOIN orders ON o_custkey = cik AND CAST(o_orderdate AS DATE) + 45 <= as_of AND as_of - CAST(o_orderdate AS DATE) <= 550 GROUP BY 1, 2""")
 def _(v: Views):
-    floats = v.table("orders").select(F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("end"), "o_totalprice", "o_orderkey")
-    as_of = F.lit("1998-06-30").cast("date")
-    return floats.where((F.date_add("end", 45) <= as_of) & (F.datediff(as_of, F.col("end")) <= 550)).groupBy("cik").agg(
-        F.max_by("o_totalprice", F.struct("end", "o_orderkey")).alias("public_float"))
+    held = v.table("orders").select(F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("end"), F.col("o_totalprice").alias("val"),
+                                    F.date_add(F.to_date("o_orderdate"), 45).alias("filed"), F.col("o_orderkey").alias("frame"))
+    asked = v.table("customer").select(F.col("c_custkey").alias("cik"), F.expr("date_add(date'1994-06-30', int(c_custkey % 1500))").alias("as_of"))
+    return floats.public_float_as_of(asked, held, ["frame"]).withColumn("as_of", F.col("as_of").cast("string"))

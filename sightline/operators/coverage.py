@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline import config as C
-from sightline.functions.ranking import first_rows
+from sightline.functions import stats
+from sightline.functions.ranking import first_rows, join_groups
 from sightline.functions.scalars import half_even, ratio
 from sightline.operators import rules
 
@@ -98,3 +99,15 @@ def reason_counts(rows: DataFrame, reasons: str, separator: str = "; ") -> DataF
 def factor_readiness(coverage: DataFrame, ready: float = 75.0, limited: float = 40.0) -> DataFrame:
     return coverage.withColumn("readiness", F.when(F.col("percentage") >= ready, "ready").when(
         F.col("percentage") >= limited, "limited").otherwise("shadow_only"))
+
+
+def discovery_quality(rows: DataFrame, groups: Sequence[str], failed: Column, limit: float = 0.02) -> DataFrame:
+    """Rows, error rate and whether it is within the limit, per run."""
+    share = F.avg(F.when(failed, 1.0).otherwise(0.0))
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("total"), half_even(share, 6).alias("error_rate"), (share <= limit).alias("passed"))
+
+
+def from_median(rows: DataFrame, groups: Sequence[str], score: str, name: str = "above_median") -> DataFrame:
+    """Each row's score less its group's exact median; a null group is a group."""
+    medians = stats.quantiles(rows, groups, score, {"__median": 0.5})
+    return join_groups(rows, medians, groups, "left").withColumn(name, half_even(F.col(score) - F.col("__median"), 3)).drop("__median")

@@ -88,6 +88,9 @@ def price_features(bars: DataFrame, by: str = "ticker", settings: Mapping | None
         F.sum(close).over(running).alias("__cc"),
         change.alias("__r"),
         high.alias("__high"),
+        # Short means are added up anew: running totals of a long history would cost their last digits.
+        F.sum("volume").over(own.rowsBetween(-29, 0)).alias("__v30"),
+        F.sum(close).over(own.rowsBetween(-29, 0)).alias("__c30"),
         *[
             F.lag(price, back).over(own).alias(f"__c{back}")
             for back in sorted({
@@ -138,7 +141,8 @@ def price_features(bars: DataFrame, by: str = "ticker", settings: Mapping | None
             ratio(mean("__cv", look["score_volume_short"]), mean("__cv", look["score_volume_long"])),
         ), 6).alias("volume_ratio"),
         half_even(F.when(F.col("sessions") >= strength, (close - start) / start * 100.0), 6).alias("period_return"),
-        half_even(mean("__cv", 30) * mean("__cc", 30), 6).alias("average_dollar_volume_30d"),
+        half_even(F.col("__v30") / F.least("sessions", F.lit(30)) * (F.col("__c30") / F.least("sessions", F.lit(30))), 6)
+        .alias("average_dollar_volume_30d"),
         half_even(F.when(F.col("sessions") >= look["moving_average_long"], mean("__cc", look["moving_average_short"])), 7)
         .alias("sma_short"),
         half_even(F.when(F.col("sessions") >= look["moving_average_long"], mean("__cc", look["moving_average_long"])), 7)
