@@ -53,7 +53,7 @@ FACTS_SQL = f"""fb AS (SELECT *, CAST(date_trunc('year', start_d) AS DATE) AS ys
   fs AS (SELECT company, nk, start_d, ys, end_d, filed, val, ytd, dir FROM (SELECT *, mode = 0 OR (mode = 2 AND qn < 4) OR qn = 1 AS dir FROM fy WHERE NOT (mode = 3 AND qn % 2 = 1))
     UNION ALL SELECT company, nk, start_d, ys, end_d, CAST(last_day(CAST(end_d + INTERVAL 12 MONTH AS DATE)) + 30 AS DATE), {r('val * 0.9', 2)}, NULL, TRUE FROM fy WHERE nk % 8 = 0 AND lg = 30),
   ff AS ({" UNION ALL ".join(f"SELECT company, nk, '{c}' AS concept, CASE WHEN dir THEN start_d ELSE ys END AS start_d, end_d, filed, " + r(f"CASE WHEN dir THEN val ELSE ytd END * CAST({f} AS DOUBLE)", 2) + " AS val, 0 AS priority FROM fs" for c, f in CONCEPT_FACTORS.items())}),
-  fd AS (SELECT *, date_diff('day', start_d, end_d) AS days, CAST(date_diff('day', DATE '1990-01-01', filed) AS BIGINT) * 100000 + date_diff('day', DATE '1990-01-01', start_d) AS seq FROM ff)"""
+  fd AS MATERIALIZED (SELECT *, date_diff('day', start_d, end_d) AS days, CAST(date_diff('day', DATE '1990-01-01', filed) AS BIGINT) * 100000 + date_diff('day', DATE '1990-01-01', start_d) AS seq FROM ff)"""
 
 QUARTER_SQL = FACTS_SQL + f""", dq AS (SELECT company, concept, start_d, end_d, filed, val, priority, 0 AS kind, seq AS a, 0 AS b FROM fd WHERE days BETWEEN 75 AND 105),
   de AS (SELECT DISTINCT company, concept, end_d FROM dq),
@@ -71,11 +71,11 @@ QUARTER_SQL = FACTS_SQL + f""", dq AS (SELECT company, concept, start_d, end_d,
     FROM yr JOIN ys3 USING (rid) WHERE n = 3 AND abs(le - yr.start_d - 273) <= 24),
   qa AS (SELECT company, concept, end_d, filed, val, priority, min_by(start_d, row(kind, a, b)) AS start_d, min(row(kind, a, b)) AS seq
     FROM (SELECT * FROM kq UNION ALL SELECT * FROM j7) GROUP BY 1, 2, 3, 4, 5, 6),
-  qt AS (SELECT * FROM qa QUALIFY priority = min(priority) OVER (PARTITION BY company, concept, end_d))"""
+  qt AS MATERIALIZED (SELECT * FROM qa QUALIFY priority = min(priority) OVER (PARTITION BY company, concept, end_d))"""
 
 VERSION_SQL = QUARTER_SQL + """, q1 AS (SELECT company, concept, end_d, filed, max_by(val, seq) AS val, max_by(priority, seq) AS priority FROM qt GROUP BY 1, 2, 3, 4),
-  qv AS (SELECT *, lead(filed) OVER w AS valid_to, lag(val) OVER w AS previous_val FROM q1 WINDOW w AS (PARTITION BY company, concept, end_d ORDER BY filed)),
-  gr AS (SELECT DISTINCT company, CAST(end_d + 45 AS DATE) AS as_of FROM facts)"""
+  qv AS MATERIALIZED (SELECT *, lead(filed) OVER w AS valid_to, lag(val) OVER w AS previous_val FROM q1 WINDOW w AS (PARTITION BY company, concept, end_d ORDER BY filed)),
+  gr AS MATERIALIZED (SELECT DISTINCT company, CAST(end_d + 45 AS DATE) AS as_of FROM facts)"""
 
 
 def grid(v: Views):
@@ -141,30 +141,30 @@ def _(v: Views):
         F.count(F.lit(1)).alias("versions"), F.countDistinct("end_d").alias("ends"), half_even(F.sum("val"), 2).alias("total"))
 
 
-ARRAY_SQL = VERSION_SQL + f""", qk AS (SELECT g.company, concept, as_of, list({{'e': end_d, 'f': filed, 'v': val, 'p': priority, 'pv': previous_val}} ORDER BY end_d DESC)[1:8] AS q
+ARRAY_SQL = VERSION_SQL + f""", qk AS MATERIALIZED (SELECT g.company, concept, as_of, list({{'e': end_d, 'f': filed, 'v': val, 'p': priority, 'pv': previous_val}} ORDER BY end_d DESC)[1:8] AS q
     FROM gr g JOIN qv ON qv.company = g.company AND filed <= as_of AND (valid_to IS NULL OR as_of < valid_to) AND end_d <= as_of GROUP BY 1, 2, 3),
-  pv AS (SELECT company, concept, kind, start_d, end_d, filed, val, priority, lead(filed) OVER (PARTITION BY company, concept, kind, end_d ORDER BY filed) AS vt
+  pv AS MATERIALIZED (SELECT company, concept, kind, start_d, end_d, filed, val, priority, lead(filed) OVER (PARTITION BY company, concept, kind, end_d ORDER BY filed) AS vt
     FROM (SELECT *, CASE WHEN days >= 340 THEN 'a' ELSE 'h' END AS kind FROM fd WHERE days BETWEEN 340 AND 380 OR days BETWEEN 170 AND 195)),
-  pk AS (SELECT g.company, concept, as_of, list({{'e': end_d, 's': start_d, 'v': val, 'p': priority}} ORDER BY end_d DESC) FILTER (kind = 'a') AS a,
+  pk AS MATERIALIZED (SELECT g.company, concept, as_of, list({{'e': end_d, 's': start_d, 'v': val, 'p': priority}} ORDER BY end_d DESC) FILTER (kind = 'a') AS a,
       list({{'e': end_d, 's': start_d, 'v': val, 'p': priority}} ORDER BY end_d) FILTER (kind = 'h') AS h
     FROM gr g JOIN pv ON pv.company = g.company AND filed <= as_of AND (vt IS NULL OR as_of < vt) AND end_d <= as_of GROUP BY 1, 2, 3),
-  ar AS (SELECT company, concept, as_of, COALESCE(q, []) AS q, COALESCE(a, []) AS a, COALESCE(h, []) AS h FROM qk FULL JOIN pk USING (company, concept, as_of)),
-  hb AS (SELECT company, concept, as_of, list({{'e': he, 'v': yv + hv - ov}} ORDER BY he) AS b FROM (
+  ar AS MATERIALIZED (SELECT company, concept, as_of, COALESCE(q, []) AS q, COALESCE(a, []) AS a, COALESCE(h, []) AS h FROM qk FULL JOIN pk USING (company, concept, as_of)),
+  hb AS MATERIALIZED (SELECT company, concept, as_of, list({{'e': he, 'v': yv + hv - ov}} ORDER BY he) AS b FROM (
       SELECT company, concept, as_of, hh.e AS he, hh.v AS hv, list_filter(a, lambda y: abs(hh.s - y.e - 1) <= 12)[1].v AS yv,
         list_filter(h, lambda o: abs(hh.e - o.e - 365) <= 12 AND abs(hh.s - o.s - 365) <= 12)[1].v AS ov
       FROM (SELECT *, unnest(h) AS hh FROM ar) x) z WHERE yv IS NOT NULL AND ov IS NOT NULL GROUP BY 1, 2, 3),
-  rr AS (SELECT ar.*, COALESCE(b, []) AS b, CASE WHEN concept = 'revenue' AND len(q) >= 5 AND q[5].f = q[1].f AND q[5].pv > 0 AND q[5].v > 0
+  rr AS MATERIALIZED (SELECT ar.*, COALESCE(b, []) AS b, CASE WHEN concept = 'revenue' AND len(q) >= 5 AND q[5].f = q[1].f AND q[5].pv > 0 AND q[5].v > 0
       AND (q[1].e - q[2].e) BETWEEN 63 AND 117 AND (q[2].e - q[3].e) BETWEEN 63 AND 117 AND (q[3].e - q[4].e) BETWEEN 63 AND 117 AND (q[4].e - q[5].e) BETWEEN 63 AND 117
       AND abs(q[5].v / q[5].pv - 1) > 0.05 THEN q[5].v / q[5].pv END AS ratio FROM ar LEFT JOIN hb USING (company, concept, as_of)),
-  tt AS (SELECT company, concept, as_of, q, a, h, b, ratio,
+  tt AS MATERIALIZED (SELECT company, concept, as_of, q, a, h, b, ratio,
     {", ".join(f'''CASE WHEN len(q) >= {o + 4} AND (q[{o+1}].e - q[{o+2}].e) BETWEEN 63 AND 117 AND (q[{o+2}].e - q[{o+3}].e) BETWEEN 63 AND 117 AND (q[{o+3}].e - q[{o+4}].e) BETWEEN 63 AND 117
       AND q[{o+1}].p = q[{o+2}].p AND q[{o+1}].p = q[{o+3}].p AND q[{o+1}].p = q[{o+4}].p
       THEN {" + ".join(f"q[{o+i}].v * CASE WHEN ratio IS NOT NULL AND q[{o+i}].f < q[1].f THEN ratio ELSE 1 END" for i in (4, 3, 2, 1))} END AS q{o}''' for o in (0, 4))},
     {", ".join(f"list_filter(b, lambda x: abs(x.e - (b[len(b)].e - {365 * y})) <= 12)[-1] AS hb{y}" for y in (0, 1))} FROM rr),
-  tm AS (SELECT *, {", ".join(f'''CASE WHEN greatest(CASE WHEN q{o} IS NOT NULL THEN q[{o+1}].e END, a[{y+1}].e, hb{y}.e) IS NULL THEN NULL
+  tm AS MATERIALIZED (SELECT *, {", ".join(f'''CASE WHEN greatest(CASE WHEN q{o} IS NOT NULL THEN q[{o+1}].e END, a[{y+1}].e, hb{y}.e) IS NULL THEN NULL
       WHEN q{o} IS NOT NULL AND q[{o+1}].e = greatest(CASE WHEN q{o} IS NOT NULL THEN q[{o+1}].e END, a[{y+1}].e, hb{y}.e) THEN 'quarters'
       WHEN a[{y+1}].e = greatest(CASE WHEN q{o} IS NOT NULL THEN q[{o+1}].e END, a[{y+1}].e, hb{y}.e) THEN 'annual' ELSE 'half' END AS kind{o}''' for o, y in ((0, 0), (4, 1)))} FROM tt),
-  ty AS (SELECT *, {", ".join(f"CASE kind{o} WHEN 'quarters' THEN q{o} WHEN 'annual' THEN a[{y+1}].v WHEN 'half' THEN hb{y}.v END AS ttm{o}, CASE kind{o} WHEN 'quarters' THEN [q[{o+4}].e, q[{o+3}].e, q[{o+2}].e, q[{o+1}].e] WHEN 'annual' THEN [a[{y+1}].e] WHEN 'half' THEN [hb{y}.e] END AS ends{o}" for o, y in ((0, 0), (4, 1)))} FROM tm)"""
+  ty AS MATERIALIZED (SELECT *, {", ".join(f"CASE kind{o} WHEN 'quarters' THEN q{o} WHEN 'annual' THEN a[{y+1}].v WHEN 'half' THEN hb{y}.v END AS ttm{o}, CASE kind{o} WHEN 'quarters' THEN [q[{o+4}].e, q[{o+3}].e, q[{o+2}].e, q[{o+1}].e] WHEN 'annual' THEN [a[{y+1}].e] WHEN 'half' THEN [hb{y}.e] END AS ends{o}" for o, y in ((0, 0), (4, 1)))} FROM tm)"""
 
 
 def trailing(v: Views):
@@ -306,7 +306,7 @@ def _(v: Views):
     return text(now.join(then, ["company", "as_of"], "left"), "as_of")
 
 
-DEBT_SQL = INSTANT_SQL + """, gr AS (SELECT DISTINCT company, CAST(end_d + 45 AS DATE) AS as_of FROM facts),
+DEBT_SQL = INSTANT_SQL + """, gr AS MATERIALIZED (SELECT DISTINCT company, CAST(end_d + 45 AS DATE) AS as_of FROM facts),
   cb AS (SELECT g.company, as_of, max(end_d) AS be FROM gr g JOIN ins ON ins.company = g.company AND concept = 'cash' AND filed <= as_of AND end_d <= as_of GROUP BY 1, 2),
   tg AS (SELECT cb.company, as_of, be, concept, priority, max_by(val, row(end_d, filed)) AS val FROM cb JOIN ins ON ins.company = cb.company AND concept NOT IN ('cash', 'shares_outstanding')
     AND end_d BETWEEN be - 7 AND be AND filed <= as_of GROUP BY 1, 2, 3, 4, 5),
@@ -355,7 +355,7 @@ def _(v: Views):
     return text(fx.weighted_shares(weighted(v)), "end_d", "filed").select("company", "end_d", "filed", "val")
 
 
-@register("w33_share_count", "facts", "WITH " + WEIGHTED_SQL + ", " + INSTANT_SQL + f""", gr AS (SELECT DISTINCT company, CAST(end_d + 45 AS DATE) AS as_of FROM facts),
+@register("w33_share_count", "facts", "WITH " + WEIGHTED_SQL + ", " + INSTANT_SQL + f""", gr AS MATERIALIZED (SELECT DISTINCT company, CAST(end_d + 45 AS DATE) AS as_of FROM facts),
   pe AS (SELECT company, as_of, max_by(val, end_d) AS val, max(end_d) AS e FROM (SELECT g.company, as_of, end_d, max_by(val, filed) AS val FROM gr g JOIN ins ON ins.company = g.company AND concept = 'shares_outstanding'
     AND filed <= as_of AND end_d <= as_of GROUP BY 1, 2, 3) GROUP BY 1, 2),
   wv AS (SELECT company, as_of, max_by(val, end_d) AS val, max(end_d) AS e FROM (SELECT g.company, as_of, end_d, max_by(val, row(filed, seq)) AS val FROM gr g JOIN wc ON wc.company = g.company
