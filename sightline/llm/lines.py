@@ -131,13 +131,13 @@ def occurrences(documents: DataFrame, text: str, key: str) -> DataFrame:
     """id, mark (hash of the text), pos, line (hash of the words) and simhash of lines with enough words."""
     base = documents.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("mark"),
                             F.posexplode(F.split(normalised(F.col(text)), "\n")).alias("pos", "raw"))
-    enough = base.where(F.col("raw").rlike(f"^ *([^ ]+ +){{{MIN_WORDS - 1}}}[^ ]"))
+    enough = base.where(F.col("raw").rlike(f"^ *(?:[^ ]++ ++){{{MIN_WORDS - 1}}}+[^ ]"))
     split = enough.select("id", "mark", "pos", words_of(F.col("raw")).alias("words"))
     return with_simhash(split.withColumn("line", F.xxhash64("words")), "words", "sim").drop("words")
 
 
 def groups(documents: DataFrame, lines: DataFrame, text: str, key: str) -> DataFrame:
-    """line, root of all lines that are linked with another one.
+    """line, first, n and root of all lines that are linked with another one.
 
     Only lines with a partner within the distance get their words (from one occurrence each). In every block the lines
     are linked with its smallest first; only pairs without a common such hub are compared after that, once each.
@@ -148,12 +148,12 @@ def groups(documents: DataFrame, lines: DataFrame, text: str, key: str) -> DataF
                         & near(F.col("sim"), F.col("sim2")), "left_semi")
     wanted = paired.select("line").distinct().join(lines, "line").groupBy(
         F.col("first.id").alias("fid"), F.col("first.mark").alias("fmark")).agg(
-        F.collect_list(F.struct("line", "sim", F.col("first.pos").alias("pos"))).alias("asked"))
+        F.collect_list(F.struct("line", "sim", "first", "n")).alias("asked"))
     source = documents.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     found = source.join(wanted, F.col("id").eqNullSafe(F.col("fid")) & (F.col("mark") == F.col("fmark")))
-    cut = found.select("asked", F.split(normalised(F.col("text")), "\n").alias("raw"))
-    one = cut.select(F.explode("asked").alias("x"), "raw").select("x.line", "x.sim", F.get("raw", F.col("x.pos")).alias("raw"))
-    texts = stored(one.select("line", "sim", coded(words_of(F.col("raw"))).alias("code")).dropDuplicates(["line"]))
+    cut = found.select(F.explode("asked").alias("x"), F.split("text", "\n").alias("raw"))
+    code = coded(words_of(normalised(F.get("raw", F.col("x.first.pos")))))
+    texts = stored(cut.select("x.*", code.alias("code")).dropDuplicates(["line"]))
 
     keyed = texts.select("line", "sim", "code", F.explode(blocks(F.col("sim"))).alias("block"))
     hubs = keyed.groupBy("block").agg(F.min("line").alias("hub"), F.count("*").alias("n")).where("n > 1").select("block", "hub")
@@ -171,7 +171,8 @@ def groups(documents: DataFrame, lines: DataFrame, text: str, key: str) -> DataF
                        & first_shared(F.col("block"), F.col("sim"), F.col("sim2"))
                        & similar(F.col("code"), F.col("code2")))
     both = links.select(F.col("line").alias("a"), F.col("hub").alias("b")).union(across.select("line", "line2"))
-    return connected_components(both).select(F.col("node").alias("line"), "root")
+    roots = connected_components(both).select(F.col("node").alias("line"), "root")
+    return texts.select("line", "first", "n").join(roots, "line")
 
 
 def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", info: str = "line_info") -> DataFrame:
@@ -188,8 +189,9 @@ def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", i
     found = stored(occurrences(documents, text, key))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "pos")
     lines = stored(found.groupBy("line").agg(F.max("sim").alias("sim"), F.min(order).alias("first"), F.count("*").alias("n")))
-    roots = groups(documents, lines, text, key)
-    grouped = lines.select("line", "first", "n").join(roots, "line", "left").withColumn("root", F.coalesce("root", "line"))
+    linked = stored(groups(documents, lines, text, key))
+    alone = lines.where("n > 1").join(linked, "line", "left_anti").select("line", "first", "n", F.col("line").alias("root"))
+    grouped = linked.union(alone)
     first = grouped.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("total")).where("total > 1")
     again = grouped.select("line", "root").join(first, "root").select("line", "best")
     dropped = found.join(again, "line").where(~(
