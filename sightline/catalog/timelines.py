@@ -13,36 +13,40 @@ from sightline.plans import cohorts
 from sightline.session import cut
 
 RUNS_SQL = """rr AS (SELECT *, CASE WHEN status = 'OK' THEN row_number() OVER (PARTITION BY run_id, status ORDER BY discovery_score DESC, ticker) END AS rank FROM runs),
-  o AS (SELECT * FROM rr WHERE run_id = 1996), n AS (SELECT * FROM rr WHERE run_id = 1997),
-  df AS (SELECT COALESCE(o.ticker, n.ticker) AS ticker, o.status AS old_status, n.status AS new_status, o.rank AS old_rank, n.rank AS new_rank, o.rank - n.rank AS rank_change,
+  pr AS (SELECT * FROM (SELECT lag(run_id) OVER (ORDER BY run_id) AS old_run_id, run_id AS new_run_id FROM (SELECT DISTINCT run_id FROM runs)) WHERE old_run_id IS NOT NULL),
+  o AS (SELECT rr.*, old_run_id, new_run_id FROM rr JOIN pr ON run_id = old_run_id), n AS (SELECT rr.*, old_run_id, new_run_id FROM rr JOIN pr ON run_id = new_run_id),
+  df AS (SELECT COALESCE(o.old_run_id, n.old_run_id) AS old_run_id, COALESCE(o.new_run_id, n.new_run_id) AS new_run_id, COALESCE(o.ticker, n.ticker) AS ticker, o.status AS old_status, n.status AS new_status, o.rank AS old_rank, n.rank AS new_rank, o.rank - n.rank AS rank_change,
     round_even((n.discovery_score - o.discovery_score) * 1e6, 0) / 1e6 AS score_change, CASE WHEN o.status IS NULL THEN 'entrant' WHEN n.status IS NULL THEN 'exit' ELSE 'retained' END AS presence
-    FROM o FULL JOIN n ON n.ticker = o.ticker)"""
+    FROM o FULL JOIN n ON n.ticker = o.ticker AND n.new_run_id = o.new_run_id)"""
 
 
 def compared(v: Views):
-    return history.compare_runs(cut(history.with_ranks(cut(v.runs))), 1996, 1997)
+    ranked = cut(history.with_ranks(cut(v.runs)))
+    return history.compare_runs(ranked, history.consecutive_pairs(ranked))
 
 
-@register("j12_run_diff", "runs", "WITH " + RUNS_SQL + """ SELECT ticker, presence, old_rank, new_rank, rank_change, round_even(score_change * 100, 0) / 100 AS score_change, COALESCE(nullif(array_to_string(list_filter([CASE WHEN presence <> 'retained' THEN presence END,
+@register("j12_run_diff", "runs", "WITH " + RUNS_SQL + """ SELECT old_run_id, new_run_id, ticker, presence, old_rank, new_rank, rank_change, round_even(score_change * 100, 0) / 100 AS score_change, COALESCE(nullif(array_to_string(list_filter([CASE WHEN presence <> 'retained' THEN presence END,
     CASE WHEN presence = 'retained' AND old_status <> new_status THEN 'status_transition' END, CASE WHEN rank_change <> 0 THEN 'rank_change' END, CASE WHEN score_change <> 0 THEN 'score_change' END], lambda x: x IS NOT NULL), '|'), ''), 'unchanged') AS change_types FROM df""")
 def _(v: Views):
-    return compared(v).select("ticker", "presence", "old_rank", "new_rank", "rank_change", half_even("score_change", 2).alias("score_change"),
+    return compared(v).select("old_run_id", "new_run_id", "ticker", "presence", "old_rank", "new_rank", "rank_change", half_even("score_change", 2).alias("score_change"),
                               F.array_join("change_types", "|").alias("change_types"))
 
 
-@register("a39_status_transitions", "runs", "WITH " + RUNS_SQL + " SELECT old_status, new_status, count(*) AS count FROM df WHERE presence = 'retained' GROUP BY 1, 2")
+@register("a39_status_transitions", "runs", "WITH " + RUNS_SQL + " SELECT old_run_id, new_run_id, old_status, new_status, count(*) AS count FROM df WHERE presence = 'retained' GROUP BY ALL")
 def _(v: Views):
     return history.status_transitions(compared(v))
 
 
-@register("a39_composition_changes", "runs", """SELECT sector, count(*) FILTER (run_id = 1996) AS old_count, count(*) FILTER (run_id = 1997) AS new_count, count(*) FILTER (run_id = 1997) - count(*) FILTER (run_id = 1996) AS change
-  FROM runs WHERE run_id IN (1996, 1997) GROUP BY 1""")
+@register("a39_composition_changes", "runs", "WITH " + RUNS_SQL + """, c AS (SELECT run_id, sector, count(*) AS n FROM runs GROUP BY 1, 2),
+  s AS (SELECT old_run_id, new_run_id, sector, n AS a, 0 AS b FROM c JOIN pr ON run_id = old_run_id UNION ALL SELECT old_run_id, new_run_id, sector, 0, n FROM c JOIN pr ON run_id = new_run_id)
+  SELECT old_run_id, new_run_id, sector, CAST(sum(a) AS BIGINT) AS old_count, CAST(sum(b) AS BIGINT) AS new_count, CAST(sum(b) - sum(a) AS BIGINT) AS change FROM s GROUP BY 1, 2, 3""")
 def _(v: Views):
-    return history.composition_changes(v.runs, 1996, 1997, "sector")
+    return history.composition_changes(v.runs, history.consecutive_pairs(v.runs), "sector")
 
 
-@register("r07_rank_movers", "runs", "WITH " + RUNS_SQL + """, g AS (SELECT 'gain' AS side, ticker, old_rank, new_rank, rank_change FROM df WHERE rank_change <> 0 ORDER BY rank_change DESC, ticker DESC LIMIT 10),
-  l AS (SELECT 'decline' AS side, ticker, old_rank, new_rank, rank_change FROM df WHERE rank_change <> 0 ORDER BY rank_change, ticker LIMIT 10) SELECT * FROM g UNION ALL SELECT * FROM l""")
+@register("r07_rank_movers", "runs", "WITH " + RUNS_SQL + """, m AS (SELECT old_run_id, new_run_id, ticker, old_rank, new_rank, rank_change, row_number() OVER (PARTITION BY new_run_id ORDER BY rank_change DESC, ticker DESC) AS up,
+    row_number() OVER (PARTITION BY new_run_id ORDER BY rank_change, ticker) AS down FROM df WHERE rank_change <> 0)
+  SELECT 'gain' AS side, old_run_id, new_run_id, ticker, old_rank, new_rank, rank_change FROM m WHERE up <= 10 UNION ALL SELECT 'decline', old_run_id, new_run_id, ticker, old_rank, new_rank, rank_change FROM m WHERE down <= 10""")
 def _(v: Views):
     rows = cut(compared(v))
     return history.rank_movers(rows, True).withColumn("side", F.lit("gain")).unionByName(
@@ -64,8 +68,7 @@ def _(v: Views):
 
 @register("a46_history_summary", "runs", """SELECT count(DISTINCT run_id) AS runs, count(*) AS results, max(run_id) AS latest_run_id FROM runs""")
 def _(v: Views):
-    return v.runs.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).agg(
-        F.count(F.lit(1)).alias("runs"), F.sum("n").alias("results"), F.max("run_id").alias("latest_run_id"))
+    return history.history_summary(v.runs)
 
 
 @register("a30_insider_signals", "tx", """WITH g AS (SELECT DISTINCT issuer, filed + CAST(issuer % 3 AS INTEGER) AS as_of FROM tx)

@@ -16,13 +16,24 @@ def with_ranks(rows: DataFrame) -> DataFrame:
     return rows.join(ranked.select("run_id", "ticker", "rank"), ["run_id", "ticker"], "left")
 
 
-def compare_runs(rows: DataFrame, old_run, new_run) -> DataFrame:
-    """Full outer diff of two runs with presence and change types. ``rows`` carry ranks."""
-    def side(run, prefix: str) -> DataFrame:
-        return rows.where(F.col("run_id") == run).select("ticker", *[
+def consecutive_pairs(rows: DataFrame) -> DataFrame:
+    """old_run_id, new_run_id: each run and the one before it. The window sees one row per run."""
+    runs = rows.select("run_id").distinct().withColumn("__one", F.lit(1))
+    before = F.lag("run_id").over(Window.partitionBy("__one").orderBy("run_id"))
+    return runs.select(before.alias("old_run_id"), F.col("run_id").alias("new_run_id")).where("old_run_id is not null")
+
+
+def compare_runs(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Full outer diff of each pair (old_run_id, new_run_id) with presence and change types. ``rows`` carry ranks.
+
+    ``latest_compatible_pair`` or ``consecutive_pairs`` give the pairs.
+    """
+    def side(prefix: str) -> DataFrame:
+        keyed = rows.join(pairs.withColumn("run_id", F.col(f"{prefix}_run_id")), "run_id")
+        return keyed.select("old_run_id", "new_run_id", "ticker", *[
             F.col(name).alias(f"{prefix}_{name}") for name in ("status", "rank", "discovery_score", "sector")])
 
-    both = side(old_run, "old").join(side(new_run, "new"), "ticker", "full")
+    both = side("old").join(side("new"), ["old_run_id", "new_run_id", "ticker"], "full")
     presence = F.when(F.col("old_status").isNull(), "entrant").when(F.col("new_status").isNull(), "exit").otherwise("retained")
     compared = both.withColumns({
         "presence": presence, "rank_change": F.col("old_rank") - F.col("new_rank"),
@@ -40,23 +51,25 @@ def compare_runs(rows: DataFrame, old_run, new_run) -> DataFrame:
 def status_transitions(compared: DataFrame) -> DataFrame:
     unknown = F.lit("UNKNOWN")
     return compared.where(F.col("presence") == "retained").groupBy(
-        F.coalesce("old_status", unknown).alias("old_status"), F.coalesce("new_status", unknown).alias("new_status"),
+        "old_run_id", "new_run_id", F.coalesce("old_status", unknown).alias("old_status"), F.coalesce("new_status", unknown).alias("new_status"),
     ).agg(F.count(F.lit(1)).alias("count"))
 
 
-def composition_changes(rows: DataFrame, old_run, new_run, field: str) -> DataFrame:
-    """Counts of both runs per value of a field and their change."""
-    counts = rows.where(F.col("run_id").isin(old_run, new_run)).groupBy(F.coalesce(field, F.lit("UNKNOWN")).alias(field)).agg(
-        F.sum((F.col("run_id") == old_run).cast("bigint")).alias("old_count"),
-        F.sum((F.col("run_id") == new_run).cast("bigint")).alias("new_count"))
-    return counts.withColumn("change", F.col("new_count") - F.col("old_count"))
+def composition_changes(rows: DataFrame, pairs: DataFrame, field: str) -> DataFrame:
+    """Counts of both runs of each pair per value of a field and their change."""
+    counts = rows.groupBy("run_id", F.coalesce(field, F.lit("UNKNOWN")).alias(field)).agg(F.count(F.lit(1)).alias("n"))
+    sides = [counts.join(pairs.withColumn("run_id", F.col(f"{side}_run_id")), "run_id").select(
+        "old_run_id", "new_run_id", field, F.col("n").alias(f"{side}_count")) for side in ("old", "new")]
+    both = sides[0].join(sides[1], ["old_run_id", "new_run_id", field], "full").fillna(0, ["old_count", "new_count"])
+    return both.withColumn("change", F.col("new_count") - F.col("old_count"))
 
 
 def rank_movers(compared: DataFrame, gains: bool, limit: int = 10) -> DataFrame:
-    """Largest gains (ticker descending on ties) or declines (ticker ascending)."""
+    """Largest gains (ticker descending on ties) or declines (ticker ascending) of each pair of runs."""
     moved = compared.where(F.col("rank_change").isNotNull() & (F.col("rank_change") != 0))
     order = [F.col("rank_change").desc(), F.col("ticker").desc()] if gains else [F.col("rank_change").asc(), F.col("ticker").asc()]
-    return moved.select("ticker", "old_rank", "new_rank", "rank_change").orderBy(*order).limit(limit)
+    columns = ["old_run_id", "new_run_id", "ticker", "old_rank", "new_rank", "rank_change"]
+    return ranking.leading(moved.select(*columns), columns[:2], order, limit, "__place").drop("__place")
 
 
 def timeline(rows: DataFrame) -> DataFrame:
@@ -82,3 +95,9 @@ def latest_compatible_pair(runs: DataFrame) -> DataFrame:
     older = complete.select(F.col("run_id").alias("old_run_id"), "universe_size")
     return complete.select(F.col("run_id").alias("new_run_id"), "universe_size").join(older, "universe_size").where(
         F.col("old_run_id") < F.col("new_run_id")).orderBy(F.col("new_run_id").desc(), F.col("old_run_id").desc()).limit(1)
+
+
+def history_summary(rows: DataFrame) -> DataFrame:
+    """Number of runs and results, and the latest run."""
+    return rows.groupBy("run_id").agg(F.count(F.lit(1)).alias("n")).agg(
+        F.count(F.lit(1)).alias("runs"), F.sum("n").alias("results"), F.max("run_id").alias("latest_run_id"))
