@@ -117,12 +117,30 @@ def _(v: Views):
     return resolved(v).select("ticker", "horizon", "status", "excess_return_percent")
 
 
-@register("a16_cohort_summary", "px bench listing", "WITH " + MEMBER_SQL + f""", rd AS (SELECT horizon, status, {r('x', 4)} AS x FROM rv WHERE status <> 'pending'),
-  rk AS (SELECT *, row_number() OVER (PARTITION BY horizon ORDER BY x) AS k, count(*) OVER (PARTITION BY horizon) AS n FROM rd WHERE x IS NOT NULL),
-  tm AS (SELECT horizon, {r('avg(x)', 4)} AS trimmed_mean FROM rk WHERE n < 3 OR (k > greatest(floor(n * 0.02), 1) AND k <= n - greatest(floor(n * 0.02), 1)) GROUP BY 1)
-  SELECT rd.horizon, count(*) AS candidates, count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status LIKE 'unresolved%') AS unresolved, max(trimmed_mean) AS trimmed_mean FROM rd LEFT JOIN tm USING (horizon) GROUP BY 1""")
+def _summary_sql(by: str) -> str:
+    """Cohort figures per ``by`` over the due rows ``rd`` (status, x)."""
+    return f""", rk AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY x) AS k, count(*) OVER (PARTITION BY {by}) AS n FROM rd WHERE x IS NOT NULL),
+  tm AS (SELECT {by}, {r('avg(x)', 4)} AS trimmed_mean FROM rk WHERE n < 3 OR (k > greatest(floor(n * 0.02), 1) AND k <= n - greatest(floor(n * 0.02), 1)) GROUP BY ALL),
+  st AS (SELECT {by}, {r('quantile_cont(x, 0.5)', 4)} AS median_excess, {r('avg(x)', 4)} AS mean_excess, {r('count(*) FILTER (x > 0)::DOUBLE / count(*) * 100.0', 4)} AS win_rate FROM rk GROUP BY ALL),
+  ct AS (SELECT {by}, count(*) AS candidates, count(*) FILTER (status = 'resolved') AS resolved, count(*) FILTER (status LIKE 'unresolved%') AS unresolved,
+    {r("count(*) FILTER (status LIKE 'resolved%')::DOUBLE / count(*) * 100", 2)} AS resolution_percent FROM rd GROUP BY ALL),
+  sm AS (SELECT * FROM ct LEFT JOIN st USING ({by}) LEFT JOIN tm USING ({by}))"""
+
+
+DUE_SQL = MEMBER_SQL + f""", rd AS (SELECT horizon, ticker % 5 AS label, CASE WHEN ticker % 5 < 2 THEN 'selected' WHEN ticker % 5 < 4 THEN 'control' END AS side, status, {r('x', 4)} AS x FROM rv WHERE status <> 'pending')"""
+
+
+@register("a16_cohort_summary", "px bench listing", "WITH " + DUE_SQL + _summary_sql("horizon") + " SELECT * FROM sm")
+def _(v: Views):
+    return cohorts.cohort_summary(cut(resolved(v)), ["horizon"])
+
+
+@register("a17_selected_minus_control", "px bench listing", "WITH " + DUE_SQL.replace("status <> 'pending'", "status <> 'pending' AND ticker % 5 < 4") + _summary_sql("horizon, side") + f"""
+  SELECT horizon, COALESCE(s.resolved, 0) AS selected_resolved, COALESCE(c.resolved, 0) AS control_resolved, {", ".join(f"{r(f's.{x} - c.{x}', 2)} AS {x}_difference" for x in cohorts.FIGURES)},
+    COALESCE(s.resolved, 0) >= 5 AND COALESCE(c.resolved, 0) >= 5 AS comparable FROM (SELECT * FROM sm WHERE side = 'selected') s FULL JOIN (SELECT * FROM sm WHERE side = 'control') c USING (horizon)""")
 def _(v: Views):
-    return cohorts.cohort_summary(cut(resolved(v)), ["horizon"]).select("horizon", "candidates", "resolved", "unresolved", "trimmed_mean")
+    rows = resolved(v).withColumn("label", (F.col("ticker") % 5).cast("string"))
+    return cohorts.selected_minus_control(cut(rows), "label", ["0", "1"], ["2", "3"], ["horizon"])
 
 
 @register("p13_cohort_labels", "xs quotes", "WITH " + QUEUE_SQL + """ SELECT ticker, CASE WHEN ranking_basis = 'score_v3' AND research_rank <= 25 THEN 'queue_top_n' WHEN ranking_basis = 'score_v3' THEN 'v3_quintile_' || v3_quintile

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -77,9 +77,34 @@ def cohort_summary(resolved: DataFrame, by: list[str]) -> DataFrame:
         half_even(ratio(F.sum(is_resolved.cast("bigint")), F.count(F.lit(1))) * 100, 2).alias("resolution_percent"))
     measured = due.where(F.col("excess_return_percent").isNotNull())
     outcome = stats.outcome_summary(measured, by, "excess_return_percent").select(
-        *by, half_even("median", 4).alias("median_excess"), half_even("win_rate", 4).alias("win_rate"))
+        *by, half_even("median", 4).alias("median_excess"), half_even("mean", 4).alias("mean_excess"),
+        half_even("win_rate", 4).alias("win_rate"))
     trimmed = stats.trimmed_mean(measured, by, "excess_return_percent").withColumn("trimmed_mean", half_even("trimmed_mean", 4))
-    return counts.join(outcome, by, "left").join(trimmed, by, "left")
+    joined = ranking.join_groups(counts, outcome, by, "left")
+    return ranking.join_groups(joined, trimmed, by, "left")
+
+
+FIGURES = ("median_excess", "mean_excess", "trimmed_mean", "win_rate")
+
+
+def selected_minus_control(resolved: DataFrame, label: str, selected: Sequence[str], control: Sequence[str], by: Sequence[str],
+                           minimum: int = C.COHORT["minimum_size"]) -> DataFrame:
+    """Per group the figures of the selected labels less those of the control labels, and whether both are large enough.
+
+    A side without resolved names leaves its figures, and so the differences, null.
+    """
+    side = F.when(F.col(label).isin(*selected), "selected").when(F.col(label).isin(*control), "control")
+    summary = cohort_summary(resolved.withColumn("__side", side).where("__side is not null"), [*by, "__side"])
+
+    def part(name: str) -> DataFrame:
+        return summary.where(F.col("__side") == name).select(
+            *by, F.col("resolved").alias(f"{name}_resolved"), *[F.col(x).alias(f"__{name}_{x}") for x in FIGURES])
+
+    both = part("selected").join(part("control"), list(by), "full")
+    counts = {f"{name}_resolved": F.coalesce(f"{name}_resolved", F.lit(0)) for name in ("selected", "control")}
+    return both.withColumns(counts).select(
+        *by, *counts, *[half_even(F.col(f"__selected_{x}") - F.col(f"__control_{x}"), 2).alias(f"{x}_difference") for x in FIGURES],
+        ((F.col("selected_resolved") >= minimum) & (F.col("control_resolved") >= minimum)).alias("comparable"))
 
 
 def due_horizons(members: DataFrame, resolved: DataFrame, as_of) -> DataFrame:
