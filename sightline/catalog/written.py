@@ -1,4 +1,4 @@
-"""Sinks, read back: K1, K2, K3, K4, K5; small summaries that had no query: A29, A51, U4."""
+"""Sinks, read back: K1, K2, K3, K4, K5; scenarios and small summaries: A29, A34, A51, U4, X19."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sightline.catalog.registry import register
 from sightline.catalog.smallcaps import EXIT_SQL, exit_rows
 from sightline.catalog.views import Views, r
-from sightline.operators import calibration, coverage, exits
+from sightline.operators import calibration, coverage, exits, smallcap
 from sightline.session import recovery_directory
 from sightline.sinks import tables
 
@@ -95,3 +95,40 @@ def _(v: Views):
     first = ranking.positions(rows, [], [-F.col("c_acctbal"), F.col("ticker")], name="a")
     both = ranking.positions(first, [], [F.col("ticker") % 97, F.col("ticker")], name="b")
     return calibration.top_overlap(both, "a", "b", [25, 100])
+
+
+BASE = {"a": 50.0, "b": 30.0, "c": 20.0}
+SCENARIOS = {"base": {}, "growth": {"a": 1.5}, "thrift": {"c": 0.5, "b": 1.2}}
+SCENARIO_SQL = "f AS (SELECT c_custkey AS ticker, (c_custkey % 11) / 10.0::DOUBLE AS a, CASE WHEN c_custkey % 5 > 0 THEN (c_custkey * 7 % 13) / 12.0::DOUBLE END AS b, (c_custkey % 17) / 16.0::DOUBLE AS c FROM customer), sc AS (" + \
+    " UNION ALL ".join("SELECT ticker, '" + name + "' AS scenario, " + r(
+        " + ".join(f"COALESCE({k}, 0) * {w!r}::DOUBLE" for k, w in smallcap.scenario_weights(BASE, m).items()), 6) + " AS score FROM f"
+        for name, m in SCENARIOS.items()) + \
+    "), rk AS (SELECT *, row_number() OVER (PARTITION BY scenario ORDER BY score DESC, ticker) AS rank FROM sc)"
+
+
+def scenario_rows(v: Views):
+    key = F.col("c_custkey")
+    rows = v.table("customer").select(key.alias("ticker"), ((key % 11) / 10.0).alias("a"),
+                                      F.when(key % 5 > 0, (key * 7 % 13) / 12.0).alias("b"), ((key % 17) / 16.0).alias("c"))
+    return smallcap.scenario_ranks(rows, BASE, SCENARIOS)
+
+
+@register("x19_scenario_ranks", "", "WITH " + SCENARIO_SQL + " SELECT ticker, scenario, score, rank FROM rk")
+def _(v: Views):
+    return scenario_rows(v).select("ticker", "scenario", "score", "rank")
+
+
+@register("a34_rank_sensitivity", "", "WITH " + SCENARIO_SQL + f""" SELECT ticker, min(rank) AS minimum_rank, max(rank) AS maximum_rank, max(rank) - min(rank) AS rank_range, {r('stddev_pop(rank)', 2)} AS rank_standard_deviation FROM rk GROUP BY 1""")
+def _(v: Views):
+    return smallcap.rank_sensitivity(scenario_rows(v))
+
+
+@register("a34_scenario_overlaps", "", "WITH " + SCENARIO_SQL + """ SELECT a.scenario AS first, b.scenario AS second, count(*) AS shared FROM rk a JOIN rk b ON a.ticker = b.ticker AND a.scenario < b.scenario WHERE a.rank <= 50 AND b.rank <= 50 GROUP BY 1, 2""")
+def _(v: Views):
+    return smallcap.scenario_overlaps(scenario_rows(v), 50)
+
+
+@register("a34_sensitivity_summary", "", "WITH " + SCENARIO_SQL + f""", s AS (SELECT max(rank) - min(rank) AS g FROM rk GROUP BY ticker)
+  SELECT {r('quantile_cont(g, 0.5)', 2)} AS median_rank_range, {r('quantile_cont(g, 0.9)', 2)} AS p90_rank_range FROM s""")
+def _(v: Views):
+    return smallcap.sensitivity_summary(smallcap.rank_sensitivity(scenario_rows(v)))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions import ranking
+from sightline.functions import ranking, stats
 from sightline.functions.scalars import finite, first_known, half_even, ladder, nonnegative, positive, ratio
 
 # Fixed values of the small-cap model.
@@ -136,6 +136,35 @@ def scenario_weights(base: Mapping[str, float], multipliers: Mapping[str, float]
     return {name: round(value / total * 100, 8) for name, value in scaled.items()}
 
 
+def scenario_ranks(rows: DataFrame, base: Mapping[str, float], scenarios: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """ticker, scenario, score and rank of every candidate in every scenario.
+
+    ``rows``: ticker and a share (0 to 1, null counts as 0) per factor of ``base``. The scenarios are parameters, so each
+    row becomes as many rows as there are scenarios, without a join.
+    """
+    entries = []
+    for name, multipliers in scenarios.items():
+        weights = scenario_weights(base, multipliers)
+        score = sum((F.coalesce(factor, F.lit(0.0)) * weight for factor, weight in weights.items()), F.lit(0.0))
+        entries.append(F.struct(F.lit(name).alias("scenario"), half_even(score, 6).alias("score")))
+    long = rows.select("ticker", F.explode(F.array(*entries)).alias("x")).select("ticker", "x.*")
+    return ranking.positions(long, ["scenario"], [-F.col("score"), F.col("ticker")], name="rank")
+
+
+def scenario_overlaps(ranks: DataFrame, top: int) -> DataFrame:
+    """first, second and the number of names that two scenarios share among their first ``top``."""
+    best = ranks.where(F.col("rank") <= top).select("ticker", "scenario")
+    other = best.select("ticker", F.col("scenario").alias("second"))
+    return best.join(other, "ticker").where(F.col("scenario") < F.col("second")).groupBy(
+        F.col("scenario").alias("first"), "second").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def sensitivity_summary(sensitivity: DataFrame) -> DataFrame:
+    """Median and 90th percentile of the rank ranges."""
+    found = stats.quantiles(sensitivity, [], "rank_range", {"median_rank_range": 0.5, "p90_rank_range": 0.9})
+    return found.select(half_even("median_rank_range", 2).alias("median_rank_range"), half_even("p90_rank_range", 2).alias("p90_rank_range"))
+
+
 def rank_sensitivity(ranks: DataFrame) -> DataFrame:
     """Range and population deviation of a ticker's ranks over scenarios."""
     return ranks.groupBy("ticker").agg(
