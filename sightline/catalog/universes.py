@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sightline.catalog.quotes import quotes
 from sightline.catalog.registry import register
 from sightline.catalog.views import Views, r
+from sightline.functions.scalars import half_even
 from sightline.operators import coverage, floats
 from sightline.sources import universe
 
@@ -34,6 +35,21 @@ def _(v: Views):
     return universe.clean_canadian(rows, [F.col("root_ticker")]).select("ticker")
 
 
+@register("j14_dead_observations", "", f"""WITH ex AS (SELECT c_custkey AS cik, DATE '1996-03-10' + CAST(c_custkey % 900 AS INTEGER) AS exit_date FROM customer WHERE c_custkey % 3 = 0),
+  mo AS (SELECT cik, exit_date, last_day(CAST(unnest(generate_series(DATE '1995-01-01', exit_date, INTERVAL 1 MONTH)) AS DATE)) AS as_of FROM ex),
+  q AS (SELECT * FROM mo WHERE as_of < exit_date),
+  fl AS (SELECT cik, exit_date, as_of, max_by(o_totalprice, row(o_orderdate, o_orderkey)) AS f FROM q JOIN orders ON o_custkey = cik AND CAST(o_orderdate AS DATE) + 45 <= as_of AND as_of - CAST(o_orderdate AS DATE) <= 550 GROUP BY 1, 2, 3)
+  SELECT cik, CAST(exit_date AS VARCHAR) AS exit_date, CAST(as_of AS VARCHAR) AS as_of, {r('f / 0.75', 4)} AS estimated_cap FROM fl WHERE f / 0.75 BETWEEN 100000 AND 300000""")
+def _(v: Views):
+    held = v.table("orders").select(F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("end"), F.col("o_totalprice").alias("val"),
+                                    F.date_add(F.to_date("o_orderdate"), 45).alias("filed"), F.col("o_orderkey").alias("frame"))
+    gone = v.table("customer").where("c_custkey % 3 = 0").select(
+        F.col("c_custkey").alias("cik"), F.expr("date_add(date'1996-03-10', int(c_custkey % 900))").alias("exit_date"))
+    found = floats.dead_observations(gone, held, "1995-01-01", 100000.0, 300000.0, ["frame"])
+    return found.select("cik", F.col("exit_date").cast("string").alias("exit_date"), F.col("as_of").cast("string").alias("as_of"),
+                        half_even("estimated_cap", 4).alias("estimated_cap"))
+
+
 @register("f22_allowed_urls", "", """WITH h AS (SELECT page_id, url LIKE 'https://%' AS s, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host FROM pages)
   SELECT page_id, COALESCE(s AND (host = 'example.com' OR host LIKE '%.example.com'), FALSE) AS allowed FROM h""")
 def _(v: Views):

@@ -30,3 +30,21 @@ def public_float_as_of(asked: DataFrame, floats: DataFrame, ties: Sequence[str]
 def estimated_market_cap(public_float, insider_share: float = 0.25):
     """Market value when insiders hold ``insider_share`` of it; null for a float that is not positive."""
     return F.when(public_float > 0, public_float / (1.0 - insider_share))
+
+
+def dead_observations(exits: DataFrame, floats: DataFrame, start: str, minimum_cap: float, maximum_cap: float,
+                      ties: Sequence[str] = (), insider_share: float = 0.25, include_unknown_size: bool = False) -> DataFrame:
+    """cik, exit_date, exit_type, as_of, estimated_cap: every month-end from ``start`` to the exit on which the company was in the size band.
+
+    Month-ends come from the exit date itself, one row per company and month, so nothing is paired with a calendar. The size is
+    estimated from the float that was known on the month-end. A company whose size is unknown then is left out
+    unless ``include_unknown_size``.
+    """
+    months = F.expr(f"sequence(last_day(date'{start}'), exit_date, interval 1 month)")
+    asked = exits.where(F.col("exit_date") > F.last_day(F.lit(start).cast("date"))).withColumn("month", F.explode(months))
+    asked = asked.withColumn("as_of", F.last_day("month")).drop("month").where(F.col("as_of") < F.col("exit_date"))
+    known = public_float_as_of(asked.select("cik", "as_of").distinct(), floats, ties)
+    sized = asked.join(known, ["cik", "as_of"], "left").withColumn(
+        "estimated_cap", estimated_market_cap(F.col("public_float"), insider_share)).drop("public_float")
+    inside = F.col("estimated_cap").between(minimum_cap, maximum_cap)
+    return sized.where(F.coalesce(inside, F.lit(include_unknown_size)))
