@@ -148,3 +148,70 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = suffix_tree.place_words(documents, tree)
     suffix_tree.grow(tree, placed.where("not held_out"))
     return suffix_tree.score_placed(placed, tree, counts)
+
+
+ORACLE_SQL["op3_near"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS s
+  FROM w, unnest(range(1, greatest(len(w) - 3, 2))) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS MATERIALIZED (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id, d.doc_id = min(r.b) AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN r ON r.a = d.doc_id GROUP BY d.doc_id, n.n
+"""
+
+
+def _quality_sql() -> str:
+    limits = quality.Limits()
+    names = list(quality.COMMON_WORDS)
+    size = "length(regexp_replace(t, '[^{0}]', '', 'g'))"
+    classes = [size.format(part) for part in (r"\p{Ll}", r"\p{Lu}", r"\p{Nd}", r"\x20\x09-\x0D", "#*$%&|<>")]
+    words = {name: [f"len(list_filter(lw, lambda x: x = '{word}'))" for word in listed] for name, listed in quality.COMMON_WORDS.items()}
+    entropy = "-list_sum(list_transform({0}, lambda p: CASE WHEN p > 0 THEN p * log2(p) ELSE 0.0 END))"
+    return rf"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i:i + 2] AS g FROM w, unnest(range(1, greatest(len(w) - 1, 1))) AS u(i)),
+rep AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1) GROUP BY 1),
+ln AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM w)
+  WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
+m AS MATERIALIZED (
+  SELECT w.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(t) - {classes[3]} AS BIGINT) AS word_chars, CAST({classes[4]} AS BIGINT) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    [{", ".join(classes)}, length(t) - ({" + ".join(classes)})] AS cc, list_transform(w, lambda x: lower(x)) AS lw
+  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
+b AS MATERIALIZED (
+  SELECT *, n_words < {limits.min_words} OR 100 * n_repeat_words > {limits.max_repeat_percent} * n_words AS base_failed FROM m),
+c AS MATERIALIZED ({" UNION ALL ".join(f"SELECT doc_id, lang, n_words, base_failed, '{name}' AS name, cc, [{', '.join(words[name])}] AS cw FROM b" for name in names)}),
+h AS MATERIALIZED (SELECT doc_id, lang, n_words, base_failed, name, cc, list_append(cw, n_words - list_sum(cw)) AS cw FROM c),
+rs AS (
+  SELECT name, [{", ".join(f"sum(cc[{i}])" for i in range(1, 7))}] AS qc, [{", ".join(f"sum(cw[{i}])" for i in range(1, 14))}] AS qw FROM h
+  WHERE lang = name AND NOT base_failed AND n_words >= {limits.guard_words} GROUP BY 1),
+rf AS (SELECT name, list_transform(qc, lambda x: x::DOUBLE / list_sum(qc)) AS qc, list_transform(qw, lambda x: x::DOUBLE / list_sum(qw)) AS qw FROM rs),
+sh AS (
+  SELECT doc_id, qc, qw, list_transform(cc, lambda x: x::DOUBLE / list_sum(cc)) AS pc, list_transform(cw, lambda x: x::DOUBLE / list_sum(cw)) AS pw,
+    list_sum(cc) AS tc, list_sum(cw) AS tw FROM h JOIN rf USING (name)),
+md AS (
+  SELECT *, list_transform(range(1, 7), lambda i: (pc[i] + qc[i]) / 2) AS mc, list_transform(range(1, 14), lambda i: (pw[i] + qw[i]) / 2) AS mw FROM sh),
+ds AS (
+  SELECT doc_id,
+    min(CASE WHEN tc > 0 THEN sqrt(greatest({entropy.format("mc")} - ({entropy.format("pc")} + {entropy.format("qc")}) / 2, 0.0)) ELSE 0.0 END) AS dc,
+    min(CASE WHEN tw > 0 THEN sqrt(greatest({entropy.format("mw")} - ({entropy.format("pw")} + {entropy.format("qw")}) / 2, 0.0)) ELSE 0.0 END) AS dw
+  FROM md GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (n_words >= {limits.guard_words} AND (dc > {limits.max_class_distance} OR dw > {limits.max_word_distance})) AS kept,
+  round(dc, 6) AS class_distance, round(dw, 6) AS word_distance
+FROM b JOIN ds USING (doc_id)
+"""
+
+
+ORACLE_SQL["op10_quality"] = _quality_sql()
