@@ -15,7 +15,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 #: Target shares of tokens. Values that are not named share ``*``.
 SOURCE_TARGETS = {"src0": 0.10, "src1": 0.10, "src2": 0.08, "src3": 0.06, "*": 0.66}
-LANG_TARGETS = {"en": 0.40, "de": 0.20, "fr": 0.20, "es": 0.20}
+LANG_TARGETS = {"en": 0.40, "de": 0.20, "fr": 0.20, "es": 0.19, "*": 0.01}
 TOPIC_TARGETS = {"prose": 0.90, "list": 0.05, "shouted": 0.02, "numeric": 0.03}
 MIX_FRACTION = 0.5
 
