@@ -43,7 +43,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.distinct())
+        large = stored(large)  # repeated links do no harm before the next step
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = stored(small.union(lower.select("a", F.col("m").alias("b"))).distinct())
