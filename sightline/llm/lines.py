@@ -142,11 +142,10 @@ def groups(documents: DataFrame, lines: DataFrame, text: str, key: str) -> DataF
     Only lines with a partner within the distance get their words (from one occurrence each). In every block the lines
     are linked with its smallest first; only pairs without a common such hub are compared after that, once each.
     """
-    def side(k: int) -> DataFrame:  # the same plan but for names, so both sides of the join read one exchange
-        return lines.select(F.col("line").alias(f"line{k}"), F.col("sim").alias(f"sim{k}"), F.explode(blocks(F.col("sim"))).alias(f"block{k}"))
-
-    paired = side(1).join(side(2), (F.col("block1") == F.col("block2")) & (F.col("line1") != F.col("line2"))
-                          & near(F.col("sim1"), F.col("sim2")), "left_semi").select(F.col("line1").alias("line"))
+    # A self join under two aliases: both sides keep their names, so they read one exchange.
+    keyed = lines.select("line", "sim", F.explode(blocks(F.col("sim"))).alias("block"))
+    paired = keyed.alias("l").join(keyed.alias("r"), (F.col("l.block") == F.col("r.block")) & (F.col("l.line") != F.col("r.line"))
+                                   & near(F.col("l.sim"), F.col("r.sim")), "left_semi").select("line")
     wanted = paired.select("line").distinct().join(lines, "line").groupBy(
         F.col("first.id").alias("fid"), F.col("first.mark").alias("fmark")).agg(
         F.collect_list(F.struct("line", "sim", "first", "n")).alias("asked"))
