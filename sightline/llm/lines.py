@@ -170,7 +170,9 @@ def groups(documents: DataFrame, lines: DataFrame, text: str, key: str) -> DataF
                        & (F.col("label") != F.col("label2")) & near(F.col("sim"), F.col("sim2"))
                        & first_shared(F.col("block"), F.col("sim"), F.col("sim2"))
                        & similar(F.col("code"), F.col("code2")))
-    both = links.select(F.col("line").alias("a"), F.col("hub").alias("b")).union(across.select("line", "line2"))
+    # A line is linked with its label already, so two groups need one link between their labels, however many pairs meet.
+    between = across.select(F.greatest("label", "label2"), F.least("label", "label2")).distinct()
+    both = links.select(F.col("line").alias("a"), F.col("hub").alias("b")).union(between)
     roots = connected_components(both).select(F.col("node").alias("line"), "root")
     return texts.select("line", "first", "n").join(roots, "line")
 
