@@ -146,7 +146,7 @@ def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = documents.withColumn("held_out", language.remainder(F.col("doc_id"), 7) == 2)
     tree, counts = suffix_tree.vocabulary(documents.where("not held_out"))
     placed = suffix_tree.place_words(documents, tree)
-    suffix_tree.grow(tree, placed.where("not held_out"))
+    suffix_tree.grow(tree, placed.where("not held_out"), counts)
     return suffix_tree.score_placed(placed, tree, counts)
 
 

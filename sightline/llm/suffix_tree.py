@@ -1,8 +1,12 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
-A state is a context of up to ``DEPTH`` words that is frequent enough and whose next-word distribution diverges from its
-parent's (the context without its first word). A word is scored by the longest suffix of what precedes it that is a
-state; words that the state does not hold itself fall back to its parent, down to the smoothed word frequencies.
+A state is a context of up to ``DEPTH`` words that occurs ``CONTEXT_COUNT`` times and whose next-word distribution diverges
+from its parent's (the context without its first word). A word is scored by the longest suffix of what precedes it that
+is a state; words that the state does not hold itself fall back to its parent, down to the smoothed word frequencies.
+
+The model is a set of Spark tables and grows with the corpus. What falls below a state is its fallback, and for a word that
+it holds the difference to that; both depend on a run of words alone, so the score of a text is the sum of one value
+for every run of up to ``DEPTH + 1`` words in it. Frequent runs are broadcast, all others are joined.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,16 +25,21 @@ from pyspark.sql import types as T
 
 from sightline.llm.common import stored
 
-DEPTH = 2
-#: A context has at least this share of all tokens, and a word below a context this share: so each depth has at most
-#: 1 / CONTEXT_SHARE states and 1 / WORD_SHARE words below them, at any size of the corpus.
-CONTEXT_SHARE, WORD_SHARE = 1e-4, 1e-6
+DEPTH = 3
+#: A context occurs so often, and a word so often below it, at any size of the corpus.
+CONTEXT_COUNT, WORD_COUNT = 4, 2
+#: What is broadcast: contexts of up to LEVELS words and runs of words with these shares of all tokens. The rest is joined.
+LEVELS, CONTEXT_SHARE, WORD_SHARE = 2, 1e-4, 1e-6
 #: Taken off each count below a state, and so left to its parent.
 DISCOUNT = 0.5
 #: A state's log-likelihood gain over its parent exceeds what chance gives by this many standard deviations.
 DEVIATIONS = 4.0
 #: Hash of the end of a text; no word holds a space.
 END = xxhash.xxh64_intdigest(b"end of text") - (1 << 63)
+#: Hash of what precedes a text.
+START = xxhash.xxh64_intdigest(b"start of text") - (1 << 63)
+#: A filter of runs has 8 to 16 bits a run, but at most so many; what passes it in error finds no partner.
+FILTER_BITS = 1 << 28
 #: Tokens that are scored at a time.
 GROUP = 1 << 19
 
@@ -76,6 +86,15 @@ class Tree:
     tokens: int
     distinct: int
     levels: list[Level] = field(default_factory=list)
+    #: Frequent runs that are not in the levels: sorted keys, and what each adds to a score.
+    often: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    worth: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: All other runs that add to a score (key, worth), and a filter of their keys.
+    tail: DataFrame | None = None
+    passes: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "tail": None}  # is joined, not broadcast
 
     @property
     def width(self) -> int:
@@ -158,20 +177,60 @@ def _positions(rows: list[np.ndarray], end: int) -> Iterator[tuple[np.ndarray, n
             first, group, size = i + 1, [], 0
 
 
-def _counted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    label, unique = pd.factorize(codes)
-    return unique, np.bincount(label, minlength=len(unique))
-
-
-def _runs(own: np.ndarray, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Distinct hashes of each owner and how often each occurs."""
-    order = np.lexsort((hashes, own))
-    own, hashes = own[order], hashes[order]
-    fresh = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (hashes[1:] != hashes[:-1])])) if len(own) else order
-    m = np.diff(np.append(fresh, len(own)))
-    owners, begin = np.unique(own[fresh], return_index=True)
-    for i, a, b in zip(owners.tolist(), begin.tolist(), [*begin.tolist()[1:], len(fresh)]):
-        yield i, hashes[fresh[a:b]], m[a:b]
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Key of a run from the keys of the run without its last and of the run without its first word."""
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(29))) + b.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _run_keys(words: list[np.ndarray], rare: list[np.ndarray], hashes: np.ndarray) -> Iterator[tuple[np.ndarray, list]]:
+    """Groups of texts: owners of all places and, for each length of 1 to ``DEPTH + 1``, the places where such runs end
+    and their keys at all places. Every text is its words between a start and an end."""
+    first = 0
+    while first < len(words):
+        last, size = first, 0
+        while last < len(words) and size < GROUP:
+            size += len(words[last]) + 2
+            last += 1
+        lengths = np.array([len(part) + 2 for part in words[first:last]])
+        starts = np.cumsum(lengths) - lengths
+        place = np.arange(size) - np.repeat(starts, lengths)
+        keys = np.empty(size, np.int64)
+        inner = np.ones(size, bool)
+        inner[starts] = inner[starts + lengths - 1] = False
+        ids = np.concatenate(words[first:last])
+        found = hashes[ids]
+        found[ids < 0] = np.concatenate(rare[first:last])
+        keys[inner], keys[starts], keys[starts + lengths - 1] = found, START, END
+        out = [(np.arange(size), keys)]
+        for n in range(2, DEPTH + 2):
+            keys = np.concatenate([keys[:1], _mix(keys[:-1], keys[1:])])
+            out.append((np.flatnonzero(place >= n - 1), keys))
+        yield np.repeat(np.arange(first, last), lengths), out
+        first = last
+
+
+def _passing(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    slot = keys & (64 * len(bits) - 1)
+    return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def _filter_of(keys: DataFrame) -> np.ndarray:
+    """Bits of the keys of a table (key), at most ``FILTER_BITS``."""
+    size = min(FILTER_BITS, 1 << max(10, (8 * keys.count()).bit_length()))
+    slot = F.col("key").bitwiseAND(F.lit(size - 1).cast("long"))
+    words = keys.select(F.shiftright(slot, 6).alias("at"), F.call_function(
+        "shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int")).alias("bit"))
+    held = words.groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
+    bits = np.zeros(size >> 6, np.int64)
+    bits[held["at"].to_numpy(np.int64)] = held["bit"].to_numpy(np.int64)
+    return bits
+
+
+def _with_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        yield batch.assign(key=_mix(batch["ctx"].to_numpy(np.int64), batch["suf"].to_numpy(np.int64)))
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,13 +258,13 @@ def vocabulary(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFram
 
 
 def place_words(documents: DataFrame, tree: Tree, text: str = "text") -> DataFrame:
-    """Replace the text by ``words``: the place of each word in the tree's list, -1 for a rare one; h and m: the hashes of
-    the rare words and how often each occurs; and add ``row``, a number per row. Stored, so texts are split once.
+    """Replace the text by ``words``: the place of each word in the tree's list, -1 for a rare one; h: the hashes of
+    the rare words in their order; and add ``row``, a number per row. Stored, so texts are split once.
 
-    All other columns stay; columns with those four names are replaced. Null text: no words.
+    All other columns stay; columns with those three names are replaced. Null text: no words.
     """
     shared = documents.sparkSession.sparkContext.broadcast(tree)
-    rest = [name for name in documents.columns if name not in ("row", "words", "h", "m", text)]
+    rest = [name for name in documents.columns if name not in ("row", "words", "h", text)]
     source = documents.select(*[F.col(f"`{name}`") for name in rest], F.monotonically_increasing_id().alias("row"),
                               F.col(text).cast("binary").alias("__text"))
 
@@ -219,94 +278,115 @@ def place_words(documents: DataFrame, tree: Tree, text: str = "text") -> DataFra
                     split = words_of(text)
                     ids = np.fromiter(map(cache.__getitem__, split), np.int32, len(split))
                     words.append(ids)
-                    few.append([hash_of(split[k]) for k in np.flatnonzero(ids < 0).tolist()])
-                rare, times = [np.zeros(0, np.int64)] * len(batch), [np.zeros(0, np.int64)] * len(batch)
-                own = np.repeat(np.arange(len(batch)), [len(part) for part in few])
-                for i, hashes, m in _runs(own, np.array([h for part in few for h in part], np.int64)):
-                    rare[i], times[i] = hashes, m
+                    few.append(np.array([hash_of(split[k]) for k in np.flatnonzero(ids < 0).tolist()], np.int64))
                 yield batch.drop(columns="__text").assign(**{
-                    name: pd.Series(value, dtype=object, index=batch.index) for name, value in (("words", words), ("h", rare), ("m", times))})
+                    name: pd.Series(value, dtype=object, index=batch.index) for name, value in (("words", words), ("h", few))})
 
-    schema = source.drop("__text").schema.add("words", T.ArrayType(T.IntegerType()))
-    schema = schema.add("h", T.ArrayType(T.LongType())).add("m", T.ArrayType(T.LongType()))
+    schema = source.drop("__text").schema.add("words", T.ArrayType(T.IntegerType())).add("h", T.ArrayType(T.LongType()))
     return stored(source.mapInPandas(place, schema))
 
 
-def grow(tree: Tree, placed: DataFrame) -> Tree:
+def _count_runs(placed: DataFrame, hashes, length: int, filter_: np.ndarray) -> DataFrame:
+    """Stored runs (ctx, suf, n, key) of ``length`` words that occur ``WORD_COUNT`` times. filter_: keys of the shorter runs
+    that do; a run cannot be more frequent than the two inside it."""
+    passes = placed.sparkSession.sparkContext.broadcast(filter_)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, runs in _run_keys(batch["words"].tolist(), batch["h"].tolist(), hashes.value):
+                at, keys = runs[length - 1]
+                shorter = runs[length - 2][1]
+                fit = _passing(shorter, passes.value)
+                at = at[fit[at] & fit[at - 1]]
+                label, _ = pd.factorize(keys[at])
+                _, one = np.unique(label, return_index=True)
+                yield pd.DataFrame({"ctx": shorter[at[one] - 1], "suf": shorter[at[one]], "n": np.bincount(label, minlength=len(one))})
+
+    found = placed.select("words", "h").mapInPandas(count, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+    return stored(found.where(F.col("n") >= WORD_COUNT).mapInPandas(_with_keys, "ctx long, suf long, n long, key long"))
+
+
+def grow(tree: Tree, placed: DataFrame, counts: DataFrame) -> Tree:
     """Give the tree its states, learned from the rows of ``place_words`` (those that its vocabulary was counted on).
 
-    Per depth, Spark counts the frequent words below the frequent contexts; the shares bound what the driver gets.
+    Per depth, Spark counts the runs of words, joins each with its context's count and its parent's value, and tests the
+    contexts. States and values stay in Spark; the driver gets those whose shares bound their number, and a filter.
     """
     tree.levels.clear()
     if not tree.tokens:
         return tree
-    limit = max(2, WORD_SHARE * tree.tokens)
-    # Contexts of the first depth: words. Deeper: a word in front of a state.
-    states = np.flatnonzero(tree.counts >= max(2, CONTEXT_SHARE * tree.tokens))
-    sizes = tree.counts[states]
+    big, often = max(CONTEXT_COUNT, CONTEXT_SHARE * tree.tokens), max(WORD_COUNT, WORD_SHARE * tree.tokens)
+    hashes = placed.sparkSession.sparkContext.broadcast(tree.hashes)
+    root = F.log10((F.col("n") + 1) / F.lit(float(tree.tokens + tree.distinct + 1)))
+    values = counts.where(F.col("n") >= WORD_COUNT).select(F.col("h").alias("key"), root.alias("value"))
+    start = counts.where(F.col("h") == END).select(F.lit(START).alias("key"), F.col("n").alias("size"))
+    contexts = counts.where(F.col("h") != END).select(F.col("h").alias("key"), F.col("n").alias("size")).union(start)
+    contexts = contexts.where(F.col("size") >= CONTEXT_COUNT)
+    filter_ = _filter_of(counts.where(F.col("n") >= WORD_COUNT).select(F.col("h").alias("key")).union(start.select("key")))
+    digits = pd.Series(np.append(np.arange(tree.width), tree.end), np.append(tree.hashes, START))
+    rest = []
     for depth in range(1, DEPTH + 1):
-        tree.levels.append(Level(states, np.zeros(len(states)), np.zeros(0, np.int64), np.zeros(0)))
-        shared = placed.sparkSession.sparkContext.broadcast(tree)
-
-        def count(batches: Iterator[pd.DataFrame], depth: int = depth, shared=shared) -> Iterator[pd.DataFrame]:
-            tree = shared.value
-            for batch in batches:
-                for _, word, before in _positions(batch["words"].tolist(), tree.end):
-                    state = tree.known(depth, before)
-                    fit = (state >= 0) & (word >= 0)
-                    code, n = _counted(state[fit] * tree.width + word[fit])
-                    yield pd.DataFrame({"code": code, "n": n})
-
-        found = placed.select("words").mapInPandas(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-        held = found.where(F.col("n") >= limit).toPandas().sort_values("code")
-        state, word = np.divmod(held["code"].to_numpy(np.int64), tree.width)
-        tree.levels[-1] = prune(tree, depth, states, sizes, state, word, held["n"].to_numpy(np.float64))
-        kept = tree.levels[-1]
-        if depth == DEPTH or not len(kept.states):
-            break
-        # (state, word) pairs that are frequent enough become contexts if the word alone is a state.
-        grown = np.isin(word, kept.states) & (word != tree.end) & (held["n"].to_numpy() >= CONTEXT_SHARE * tree.tokens)
-        code = states[state[grown]] * tree.width + word[grown]
-        order = np.argsort(code)
-        states, sizes = code[order], held["n"].to_numpy()[grown][order]
-        if not len(states):
+        runs = _count_runs(placed, hashes, depth + 1, filter_)
+        below = runs.join(contexts.withColumnRenamed("key", "ctx"), "ctx").join(
+            values.select(F.col("key").alias("suf"), F.col("value").alias("parent")), "suf")
+        kept = stored(diverging(below))
+        held = below.join(kept.select("ctx", "fallback"), "ctx").withColumn("value", F.log10((F.col("n") - DISCOUNT) / F.col("size")))
+        held = stored(held.select("ctx", "suf", "key", "n", "size", "value", (F.col("value") - F.col("fallback") - F.col("parent")).alias("more")))
+        inside = F.lit(depth <= LEVELS)
+        if depth <= LEVELS:
+            tree.levels.append(level(tree, digits, kept.where(F.col("size") >= big).toPandas(),
+                                     held.where((F.col("size") >= big) & (F.col("n") >= often)).toPandas()))
+        if depth < LEVELS:
+            run = runs.where(F.col("n") >= often).toPandas()
+            last = digits.loc[run["suf"]].to_numpy() % tree.width
+            digits = pd.Series(digits.loc[run["ctx"]].to_numpy() * tree.width + last, run["key"].to_numpy())
+        rest += [kept.where(~(inside & (F.col("size") >= big))).select(F.col("ctx").alias("key"), F.col("size").alias("n"), F.col("fallback").alias("worth")),
+                 held.where(~(inside & (F.col("size") >= big) & (F.col("n") >= often))).select("key", "n", F.col("more").alias("worth"))]
+        if depth == DEPTH:
             break
+        # A run becomes a context if the run without its first word is a state; runs to the end of a text have no next word.
+        contexts = runs.where(F.col("n") >= CONTEXT_COUNT).join(kept.select(F.col("ctx").alias("suf")), "suf", "left_semi").select("key", F.col("n").alias("size"))
+        values, filter_ = held.select("key", "value"), _filter_of(runs.select("key"))
+    whole = stored(reduce(DataFrame.union, rest).groupBy("key").agg(F.max("n").alias("n"), F.sum("worth").alias("worth")))
+    head = whole.where(F.col("n") >= often).toPandas().sort_values("key")
+    tree.often, tree.worth = head["key"].to_numpy(np.int64), head["worth"].to_numpy(np.float64)
+    tree.tail = whole.where(F.col("n") < often).select("key", "worth")
+    tree.passes = _filter_of(tree.tail.select("key"))
     return tree
 
 
 def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
     """Learn a tree from all rows; returns it with the counts of all words. No rows: no states and no tokens."""
     tree, counts = vocabulary(documents, text)
-    return grow(tree, place_words(documents.select(text), tree, text)), counts
+    return grow(tree, place_words(documents.select(text), tree, text), counts), counts
 
 
-def prune(tree: Tree, depth: int, states: np.ndarray, sizes: np.ndarray, state: np.ndarray, word: np.ndarray,
-          n: np.ndarray) -> Level:
-    """Keep the states whose next-word distribution diverges from their parent's, and smooth it.
+def diverging(below: DataFrame) -> DataFrame:
+    """The states (ctx, size, fallback): contexts whose next-word distribution diverges from their parent's.
 
     The gain of a state is its size times the Kullback-Leibler divergence; under the parent's distribution twice the gain
     follows a chi-square law with as many degrees of freedom as it holds words. A word below a state has its count less the
     discount over the state's size; all other words have what is left, in the parent's proportions.
     """
-    before = [states[state] % tree.width]
-    for k in range(1, depth):
-        before.append(states[state] // tree.width ** k % tree.width)
-    outer = Tree(tree.hashes, tree.counts, tree.tokens, tree.distinct, tree.levels[: depth - 1])
-    parent = 10.0 ** outer.score(word, before)
-    share = n / sizes[state]
-    m = len(states)
-    held, base = np.bincount(state, share, m), np.bincount(state, parent, m)
-    kinds = np.bincount(state, minlength=m)
-    rest, left = np.clip(1 - held, 0, None), np.clip(1 - base, 1e-12, None)
-    gain = np.bincount(state, share * np.log(share / parent), m) + np.where(rest > 1e-12, rest * np.log(np.maximum(rest, 1e-12) / left), 0)
-    keep = (kinds > 0) & (2 * sizes * gain > kinds + DEVIATIONS * np.sqrt(2 * kinds))
-    place = np.cumsum(keep) - 1
-    mine = keep[state]
-    smooth = (n - DISCOUNT) / sizes[state]
-    free = np.clip(1 - np.bincount(state, smooth, m), 1e-12, None)
-    codes = place[state[mine]] * tree.width + word[mine]
+    share, parent = F.col("n") / F.col("size"), F.pow(F.lit(10.0), F.col("parent"))
+    sums = below.groupBy("ctx").agg(
+        F.max("size").alias("size"), F.count("*").alias("kinds"), F.sum(share).alias("held"), F.sum(parent).alias("base"),
+        F.sum(share * F.log(share / parent)).alias("near"), F.sum((F.col("n") - DISCOUNT) / F.col("size")).alias("smooth"))
+    rest, left = F.greatest(1 - F.col("held"), F.lit(1e-12)), F.greatest(1 - F.col("base"), F.lit(1e-12))
+    gain = F.col("near") + F.when(rest > 1e-12, rest * F.log(rest / left)).otherwise(0)
+    keep = 2 * F.col("size") * gain > F.col("kinds") + DEVIATIONS * F.sqrt(2 * F.col("kinds"))
+    return sums.where(keep).select("ctx", "size", F.log10(F.greatest(1 - F.col("smooth"), F.lit(1e-12)) / left).alias("fallback"))
+
+
+def level(tree: Tree, digits: pd.Series, kept: pd.DataFrame, held: pd.DataFrame) -> Level:
+    """The frequent states of a depth and the frequent words below them. digits: of the runs of that length by key."""
+    codes = digits.loc[kept["ctx"]].to_numpy(np.int64)
     order = np.argsort(codes)
-    return Level(states[keep], np.log10(free / left)[keep], codes[order], np.log10(smooth[mine][order]))
+    states = codes[order]
+    state = np.searchsorted(states, digits.loc[held["ctx"]].to_numpy(np.int64))
+    codes = state * tree.width + digits.loc[held["suf"]].to_numpy(np.int64) % tree.width
+    place = np.argsort(codes)
+    return Level(states, kept["fallback"].to_numpy(np.float64)[order], codes[place], held["value"].to_numpy(np.float64)[place])
 
 
 def score_texts(documents: DataFrame, tree: Tree, counts: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -317,9 +397,9 @@ def score_texts(documents: DataFrame, tree: Tree, counts: DataFrame, text: str =
 def score_placed(placed: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     """Score the rows of ``place_words``: all their other columns, n_tokens, n_known, train_tokens, base_score, score.
 
-    The tree (bounded by its shares) is broadcast. Words that are too rare for it are looked up in ``counts`` by a shuffle
-    join of (row, word hash, times) records; such a word has at most ``WORD_SHARE`` of the training tokens, and one that
-    is frequent elsewhere only lies on the side that Spark can split. Texts are not shuffled.
+    The tree (bounded by its shares) is broadcast. Words that are too rare for it are looked up in ``counts``, and runs of
+    words in its tail, by shuffle joins of (row, hash) records; such a word or run has at most ``WORD_SHARE`` of the
+    training tokens, and one that is frequent elsewhere only lies on the side that Spark can split. Texts are not shuffled.
 
     Null and empty texts are scored by their end alone. Repeated rows, equal keys and null keys are separate rows.
     Columns with the names of the results are replaced.
@@ -332,6 +412,12 @@ def score_placed(placed: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
         for batch in batches:
             size = len(batch)
             total, base, n, known = (np.zeros(size) for _ in range(4))
+            if len(tree.often):
+                for own, runs in _run_keys(batch["words"].tolist(), batch["h"].tolist(), tree.hashes):
+                    for at, keys in runs:
+                        place = np.minimum(np.searchsorted(tree.often, keys[at]), len(tree.often) - 1)
+                        hit = tree.often[place] == keys[at]
+                        total += np.bincount(own[at[hit]], tree.worth[place[hit]], size)
             for own, word, before in _positions(batch["words"].tolist(), tree.end):
                 total += np.bincount(own, tree.score(word, before), size)
                 frequent = word >= 0
@@ -341,16 +427,29 @@ def score_placed(placed: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
             yield pd.DataFrame({"row": batch["row"], "n_tokens": n.astype(np.int64), "known": known.astype(np.int64),
                                 "base": base, "total": total})
 
-    scored = placed.select("row", "words").mapInPandas(score, "row long, n_tokens long, known long, base double, total double")
-    words = placed.select("row", F.explode(F.arrays_zip("h", "m")).alias("x")).select("row", F.col("x.h").alias("h"), F.col("x.m").alias("m"))
+    def rare_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = shared.value
+        for batch in batches:
+            rows = batch["row"].to_numpy()
+            for own, runs in _run_keys(batch["words"].tolist(), batch["h"].tolist(), tree.hashes):
+                for at, keys in runs:
+                    at = at[_passing(keys[at], tree.passes)]
+                    yield pd.DataFrame({"row": rows[own[at]], "key": keys[at]})
+
+    texts = placed.select("row", "words", "h")
+    scored = texts.mapInPandas(score, "row long, n_tokens long, known long, base double, total double")
     light = counts.where(F.col("n") < max(2, WORD_SHARE * tree.tokens))
-    found = words.join(light, "h", "left")
-    worth = F.col("m") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.tokens + tree.distinct + 1)))
-    rare = found.groupBy("row").agg(F.sum(worth).alias("worth"), F.sum(F.when(F.col("n") > 0, F.col("m")).otherwise(0)).alias("more"))
+    found = placed.select("row", F.explode("h").alias("h")).join(light, "h", "left")
+    worth = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.tokens + tree.distinct + 1)))
+    rare = found.select("row", worth.alias("worth"), F.lit(0.0).alias("below"), F.when(F.col("n") > 0, 1).otherwise(0).alias("more"))
+    if tree.tail is not None:
+        met = texts.mapInPandas(rare_runs, "row long, key long").join(tree.tail, "key")
+        rare = rare.union(met.select("row", F.lit(0.0), "worth", F.lit(0)))
+    rare = rare.groupBy("row").agg(F.sum("worth").alias("worth"), F.sum("below").alias("below"), F.sum("more").alias("more"))
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    rest = [name for name in placed.columns if name not in ("row", "words", "h", "m", *results)]
+    rest = [name for name in placed.columns if name not in ("row", "words", "h", *results)]
     out = placed.select("row", *[F.col(f"`{name}`") for name in rest]).join(scored, "row").join(rare, "row", "left")
-    worth, more = F.coalesce("worth", F.lit(0.0)), F.coalesce("more", F.lit(0))
+    worth, below, more = F.coalesce("worth", F.lit(0.0)), F.coalesce("below", F.lit(0.0)), F.coalesce("more", F.lit(0))
     return out.select(*[F.col(f"`{name}`") for name in rest], "n_tokens", (F.col("known") + more).alias("n_known"),
                       F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + worth).alias("base_score"),
-                      (F.col("total") + worth).alias("score"))
+                      (F.col("total") + worth + below).alias("score"))

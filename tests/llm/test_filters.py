@@ -235,3 +235,60 @@ def test_suffix_tree_without_documents(spark):
     row = suffix_tree.score_texts(frame, tree, counts).first()
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["base_score"]) == (3, 0, 0, 0.0)
     assert suffix_tree.score_texts(frame.limit(0), tree, counts).count() == 0
+
+
+def _whole_model(texts):
+    """Values of all states by context, of any count: {context: (fallback, {word: log10 value})}, and the root."""
+    ends = ("<s>", "</s>")
+    listed = [[ends[0], *(t or "").lower().split(), ends[1]] for t in texts]
+    runs = collections.Counter(tuple(w[i: i + n]) for w in listed for n in range(1, suffix_tree.DEPTH + 2) for i in range(len(w) - n + 1))
+    words = {r[0]: n for r, n in runs.items() if len(r) == 1 and r[0] != ends[0]}
+    tokens, kinds = sum(words.values()), len(words)
+    root = lambda w: math.log10((words.get(w, 0) + 1) / (tokens + kinds + 1))
+    below = collections.defaultdict(dict)
+    for r, n in runs.items():
+        if len(r) > 1 and n >= suffix_tree.WORD_COUNT:
+            below[r[:-1]][r[-1]] = n
+    states = {}
+    for c in sorted(below, key=len):
+        size = runs[c]
+        if size < suffix_tree.CONTEXT_COUNT or len(c) > suffix_tree.DEPTH or (len(c) > 1 and c[1:] not in states):
+            continue
+        up = {w: 10 ** (states[c[1:]][1][w] if len(c) > 1 else root(w)) for w in below[c]}
+        left, rest = max(1 - sum(up.values()), 1e-12), 1 - sum(below[c].values()) / size
+        gain = sum(n / size * math.log(n / size / up[w]) for w, n in below[c].items()) + (rest * math.log(rest / left) if rest > 1e-12 else 0)
+        if 2 * size * gain > len(up) + suffix_tree.DEVIATIONS * math.sqrt(2 * len(up)):
+            smooth = {w: (n - suffix_tree.DISCOUNT) / size for w, n in below[c].items()}
+            states[c] = (math.log10(max(1 - sum(smooth.values()), 1e-12) / left), {w: math.log10(x) for w, x in smooth.items()})
+    return states, root
+
+
+@pytest.mark.parametrize("shares", [(1e-4, 1e-6), (5e-2, 2e-2), (1.0, 1.0)])
+def test_scores_are_those_of_the_whole_model(spark, shares, monkeypatch):
+    """Contexts and words below every share of the corpus count, wherever they are held."""
+    monkeypatch.setattr(suffix_tree, "CONTEXT_SHARE", shares[0])
+    monkeypatch.setattr(suffix_tree, "WORD_SHARE", shares[1])
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in np.cumsum(rng.integers(1, 3, 30)) * 7 % 23) for _ in range(120)]
+    texts += [text for k in range(4) for text in [f"p{k} q r s{k}", f"z{k} r t{k}"] * 9] + [None, "", "w7 p1 q r s1 q r s2 z1 r s1", "never seen"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    states, root = _whole_model([t for i, t in enumerate(texts) if i % 9])
+    assert max(map(len, states)) == suffix_tree.DEPTH and ("p1", "q", "r") in states
+    want = []
+    for text in texts:
+        seen, total = ["<s>"], 0.0
+        for w in [*(text or "").lower().split(), "</s>"]:
+            for d in range(suffix_tree.DEPTH, -1, -1):
+                state = states.get(tuple(seen[-d:])) if 0 < d <= len(seen) else None
+                if d == 0:
+                    total += root(w)
+                elif state and w in state[1]:
+                    total += state[1][w]
+                    break
+                elif state:
+                    total += state[0]
+            seen.append(w)
+        want.append(total)
+    tree, counts = suffix_tree.train(frame.where("doc_id % 9 > 0"))
+    out = suffix_tree.score_texts(frame, tree, counts).toPandas().sort_values("doc_id")
+    assert np.allclose(out["score"], want)
