@@ -1,109 +1,57 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
-Lines are normalised, hashed to SimHashes and joined on pigeonhole blocks: two SimHashes that differ in at most
-``DISTANCE`` bits agree in one of ``DISTANCE + 1`` blocks. Pairs within that distance are verified by edit similarity;
-of each group of connected lines one occurrence stays, all other occurrences go.
+Lines are normalised and joined on runs of ``RUN`` words. k edited words change at most ``RUN * k`` of a line's runs, so
+of two lines within k edits the first ``RUN * k + 1`` runs of each, in an order common to all lines, share one: no
+similar pair is missed. Pairs that meet are verified by edit similarity; of each group of connected lines one occurrence
+stays, all other occurrences go.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sightline.llm.common import connected_components, stored
 
-DISTANCE = 2  # bits
-BITS = 60
+#: Words of a run; a line of 9 words (one edit away from one of 10) has enough runs for it.
+RUN = 4
+#: Runs that are frequent in a sample of the documents (one of SAMPLE) come last in the order, so that lines meet at rare
+#: ones; this changes the work, not the result.
+SAMPLE, FREQUENT, LISTED = 32, 4, 4000
+#: Only for brute force in tests: of that many SimHash bits, lines of 90 % equal words differ in at most DISTANCE but for a
+#: chance of about 1e-6 (one word of 10: 7 on average), so other pairs need no edit distance. Nothing here screens by it.
+BITS, DISTANCE = 60, 20
 SIMILARITY = 90  # percent of the longer line's words that an edit script leaves alone
 MIN_WORDS = 5  # shorter lines ("Yes.", "} else {") repeat for good reasons and always stay
 #: All ASCII but letters and line breaks counts as a gap between words.
 GAPS = r"[\x00-\x09\x0B-\x40\x5B-\x60\x7B-\x7F]+"
-#: Words whose votes fit 4-bit lanes, and groups of words whose votes fit 8-bit lanes without reaching the sign.
-NARROW, GROUPS = 15, 8
 
 
 def _long(value: int) -> Column:
     return F.lit(value).cast("long")
 
 
-def _sum(values: Column, shift: int, mask: int) -> Column:
-    return F.aggregate(values, _long(0), lambda acc, x: acc + F.shiftrightunsigned(x, shift).bitwiseAND(_long(mask)))
-
-
-def _parts(values: Column, size: int) -> Column:
-    last = F.floor((F.size(values) - 1) / size).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(values, k * size + 1, F.lit(size)))
-
-
-def with_simhash(lines: DataFrame, words: str, out: str) -> DataFrame:
-    """Add the 60-bit SimHash of an array of words: bit b is set if more than half of the words' hashes have it.
-
-    Votes are added for many bits at once: 15 words in the 4-bit lanes of 4 longs (bit i + 4 j is lane j of long i), 8 such
-    sums in the 8-bit lanes of 8 longs, and those bit by bit. The steps are columns, so each is computed once.
-    """
-    frame = lines.withColumn("__h", F.transform(words, lambda w: F.xxhash64(w)))
-    frame = frame.withColumn("__parts", _parts(F.col("__h"), NARROW))
-    frame = frame.select("*", *[F.transform("__parts", _narrow(i)).alias(f"__n{i}") for i in range(4)]).drop("__h", "__parts")
-    few = F.size("__n0") <= GROUPS
-    wide = []
-    for i in range(4):
-        for odd in (0, 1):
-            one = F.array(_sum(F.col(f"__n{i}"), 4 * odd, 0x0F0F0F0F0F0F0F0F))
-            more = F.transform(_parts(F.col(f"__n{i}"), GROUPS), _wide(odd))
-            wide.append(F.when(few, one).otherwise(more).alias(f"__w{i}{odd}"))
-    frame = frame.select("*", *wide).drop("__n0", "__n1", "__n2", "__n3")
-    return frame.withColumn(out, _majority(F.size(words).cast("long"))).drop(*[f"__w{i}{odd}" for i in range(4) for odd in (0, 1)])
-
-
-def _majority(n: Column) -> Column:
-    """The SimHash from the sums of votes of n words. In one group of words all lanes are compared at once: a lane plus
-    127 - n / 2 reaches its highest bit if it is above n / 2; only the uppermost lane could touch the sign and goes alone."""
-    half = F.floor(n / 2)
-    lift = (_long(127) - half) * _long(0x0001010101010101)
-    parts, bits = [], []
-    for i in range(4):
-        for odd in (0, 1):
-            sums, place = F.col(f"__w{i}{odd}"), i + 4 * odd
-            lanes = F.get(sums, F.lit(0))
-            above = (lanes.bitwiseAND(_long(0x00FFFFFFFFFFFFFF)) + lift).bitwiseAND(_long(0x0080808080808080))
-            parts.append(F.shiftleft(F.shiftrightunsigned(above, 7), place))
-            if place + 56 < BITS:
-                top = F.shiftrightunsigned(lanes, 56)
-                parts.append(F.when(top > half, _long(1 << (place + 56))).otherwise(_long(0)))
-            bits += [F.when(_sum(sums, 8 * byte, 255) > half, _long(1 << (8 * byte + place))).otherwise(_long(0))
-                     for byte in range(8) if 8 * byte + place < BITS]
-    return F.when(F.size("__w00") <= 1, reduce(Column.bitwiseOR, parts)).otherwise(reduce(Column.bitwiseOR, bits))
-
+def runs(words: Column) -> Column:
+    """Hashes of the runs of ``RUN`` words of a line, below 2^62; none for fewer words."""
+    starts = F.sequence(_long(0), F.size(words) - RUN)
+    hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get(words, (i + k).cast("int")) for k in range(RUN)]))
+    return F.when(F.size(words) >= RUN, F.transform(hashed, lambda h: F.shiftrightunsigned(h, 2)))
 
-def _narrow(shift: int):
-    return lambda part: _sum(part, shift, 0x0111111111111111)
 
+def keys(runs_: Column, n: Column, frequent: list[int]) -> Column:
+    """The runs at which a line of n words meets others. A partner has at most n / 0.9 words, so at most n / 9 are edited."""
+    last = F.transform(runs_, lambda h: F.when(h.isin(frequent), h.bitwiseOR(_long(1 << 62))).otherwise(h)) if frequent else runs_
+    edits = F.floor(n * (100 - SIMILARITY) / F.lit(float(SIMILARITY))).cast("int")
+    first = F.slice(F.sort_array(last), F.lit(1), edits * RUN + 1)
+    return F.when(edits > 0, F.array_distinct(first)).otherwise(F.array().cast("array<bigint>"))
 
-def _wide(odd: int):
-    return lambda part: _sum(part, 4 * odd, 0x0F0F0F0F0F0F0F0F)
 
-
-EDGES = [round(BITS * i / (DISTANCE + 1)) for i in range(DISTANCE + 2)]
-
-
-def blocks(value: Column) -> Column:
-    """One key per block of bits; the block's number is in the key."""
-    return F.array(*[F.shiftrightunsigned(value, a).bitwiseAND(_long((1 << (b - a)) - 1)).bitwiseOR(_long(i << 40))
-                     for i, (a, b) in enumerate(zip(EDGES, EDGES[1:]))])
-
-
-def near(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= DISTANCE
-
-
-def first_shared(block: Column, a: Column, b: Column) -> Column:
-    """Is this the first block in which the two agree? So each pair is looked at once."""
-    number, differ = F.shiftrightunsigned(block, 40), a.bitwiseXOR(b)
-    return reduce(Column.__and__, [
-        (number <= i) | (differ.bitwiseAND(_long(((1 << (high - low)) - 1) << low)) != 0)
-        for i, (low, high) in enumerate(zip(EDGES[:-2], EDGES[1:-1]))])
+def frequent_runs(split: DataFrame) -> list[int]:
+    """The most frequent runs of a sample of the documents, at most ``LISTED``."""
+    some = split.where(F.col("mark").bitwiseAND(_long(SAMPLE - 1)) == 0).dropDuplicates(["line"])
+    counted = some.select(F.explode(F.array_distinct(runs(F.col("hashes")))).alias("run")).groupBy("run").count()
+    listed = counted.where(F.col("count") >= FREQUENT).orderBy(F.desc("count"), "run").limit(LISTED)
+    return [row["run"] for row in listed.collect()]
 
 
 def coded(words: Column) -> Column:
@@ -128,48 +76,46 @@ def words_of(line: Column) -> Column:
 
 
 def occurrences(documents: DataFrame, text: str, key: str) -> DataFrame:
-    """id, mark (hash of the text), pos, line (hash of the words) and simhash of lines with enough words."""
+    """id, mark (hash of the text), pos, line (hash of the words) and keys of lines with enough words."""
     base = documents.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("mark"),
                             F.posexplode(F.split(normalised(F.col(text)), "\n")).alias("pos", "raw"))
     enough = base.where(F.col("raw").rlike(f"^ *(?:[^ ]++ ++){{{MIN_WORDS - 1}}}+[^ ]"))
     split = enough.select("id", "mark", "pos", words_of(F.col("raw")).alias("words"))
-    return with_simhash(split.withColumn("line", F.xxhash64("words")), "words", "sim").drop("words")
+    split = split.select("id", "mark", "pos", F.xxhash64("words").alias("line"), F.transform("words", lambda w: F.xxhash64(w)).alias("hashes"))
+    found = split.withColumn("runs", runs(F.col("hashes")))
+    return found.select("id", "mark", "pos", "line", keys(F.col("runs"), F.size("hashes"), frequent_runs(split)).alias("keys"))
 
 
 def groups(documents: DataFrame, lines: DataFrame, text: str, key: str) -> DataFrame:
     """line, first, n and root of all lines that are linked with another one.
 
-    Only lines with a partner within the distance get their words (from one occurrence each). In every block the lines
-    are linked with its smallest first; only pairs without a common such hub are compared after that, once each.
+    Only lines that share a key get their words (from one occurrence each). At every key the lines are linked with its
+    smallest first; only pairs without a common such hub are compared after that.
     """
-    # A self join under two aliases: both sides keep their names, so they read one exchange.
-    keyed = lines.select("line", "sim", F.explode(blocks(F.col("sim"))).alias("block"))
-    paired = keyed.alias("l").join(keyed.alias("r"), (F.col("l.block") == F.col("r.block")) & (F.col("l.line") != F.col("r.line"))
-                                   & near(F.col("l.sim"), F.col("r.sim")), "left_semi").select("line")
+    keyed = lines.select("line", F.explode("keys").alias("block"))
+    hubs = stored(keyed.groupBy("block").agg(F.min("line").alias("hub"), F.count("*").alias("n")).where("n > 1").select("block", "hub"))
+    paired = stored(keyed.join(hubs, "block"))
     wanted = paired.select("line").distinct().join(lines, "line").groupBy(
         F.col("first.id").alias("fid"), F.col("first.mark").alias("fmark")).agg(
-        F.collect_list(F.struct("line", "sim", "first", "n")).alias("asked"))
+        F.collect_list(F.struct("line", "first", "n")).alias("asked"))
     source = documents.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     found = source.join(wanted, F.col("id").eqNullSafe(F.col("fid")) & (F.col("mark") == F.col("fmark")))
     cut = found.select(F.explode("asked").alias("x"), F.split("text", "\n").alias("raw"))
     code = coded(words_of(normalised(F.get("raw", F.col("x.first.pos")))))
     texts = stored(cut.select("x.*", code.alias("code")).dropDuplicates(["line"]))
 
-    keyed = texts.select("line", "sim", "code", F.explode(blocks(F.col("sim"))).alias("block"))
-    hubs = keyed.groupBy("block").agg(F.min("line").alias("hub"), F.count("*").alias("n")).where("n > 1").select("block", "hub")
-    star = keyed.join(hubs, "block").where("line <> hub").select("line", "sim", "code", "hub").distinct()
-    at_hub = texts.select(F.col("line").alias("hub"), F.col("sim").alias("sim2"), F.col("code").alias("code2"))
-    linked = star.join(at_hub, "hub").where(near(F.col("sim"), F.col("sim2")) & similar(F.col("code"), F.col("code2")))
-    links = stored(linked.select("line", "hub"))
+    star = paired.where("line <> hub").select("line", "hub").distinct().join(texts.select("line", "code"), "line")
+    at_hub = texts.select(F.col("line").alias("hub"), F.col("code").alias("code2"))
+    links = stored(star.join(at_hub, "hub").where(similar(F.col("code"), F.col("code2"))).select("line", "hub"))
     label = links.groupBy("line").agg(F.min("hub").alias("label"))
 
-    rest = texts.join(label, "line", "left").withColumn("label", F.coalesce("label", "line"))
-    left = rest.select("line", "sim", "code", "label", F.explode(blocks(F.col("sim"))).alias("block"))
-    right = left.select(*[F.col(name).alias(f"{name}2") for name in ("line", "sim", "code", "label", "block")])
-    across = left.join(right, (F.col("block") == F.col("block2")) & (F.col("line") < F.col("line2"))
-                       & (F.col("label") != F.col("label2")) & near(F.col("sim"), F.col("sim2"))
-                       & first_shared(F.col("block"), F.col("sim"), F.col("sim2"))
-                       & similar(F.col("code"), F.col("code2")))
+    rest = texts.join(label, "line", "left").select("line", "code", F.coalesce("label", "line").alias("label"))
+    # A self join under two aliases: both sides keep their names, so they read one exchange.
+    left = paired.select("line", "block").join(rest, "line")
+    l, r = (lambda name: F.col(f"l.{name}")), (lambda name: F.col(f"r.{name}"))
+    across = left.alias("l").join(left.alias("r"), (l("block") == r("block")) & (l("line") < r("line")) & (l("label") != r("label"))
+                                  & similar(l("code"), r("code")))
+    across = across.select(l("label").alias("label"), r("label").alias("label2"))
     # A line is linked with its label already, so two groups need one link between their labels, however many pairs meet.
     between = across.select(F.greatest("label", "label2"), F.least("label", "label2")).distinct()
     both = links.select(F.col("line").alias("a"), F.col("hub").alias("b")).union(between)
@@ -185,12 +131,12 @@ def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", i
     in key and text share one decision. Adds the struct ``info``: n_lines, n_dropped. All other columns stay; a column
     named like ``info`` is replaced. An empty table gives an empty table.
 
-    Shuffles move hashes (about 40 bytes a line), and texts twice: once to fetch the lines that have a near partner, once
-    to cut the lines. A line that holds a third of all lines is one row after a combined aggregation.
+    Shuffles move hashes (about 40 bytes a line and 8 for every two words), and texts twice: once to fetch the lines that
+    share a key, once to cut the lines. A line that holds a third of all lines is one row after a combined aggregation.
     """
     found = stored(occurrences(documents, text, key))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "pos")
-    lines = stored(found.groupBy("line").agg(F.max("sim").alias("sim"), F.min(order).alias("first"), F.count("*").alias("n")))
+    lines = stored(found.groupBy("line").agg(F.first("keys").alias("keys"), F.min(order).alias("first"), F.count("*").alias("n")))
     linked = stored(groups(documents, lines, text, key))
     alone = lines.where("n > 1").join(linked, "line", "left_anti").select("line", "first", "n", F.col("line").alias("root"))
     grouped = linked.union(alone)

@@ -221,6 +221,27 @@ def test_lines_of_the_table(spark):
     assert sorted((r["doc_id"], r["text"]) for r in found.collect()) == sorted(brute_lines(rows)[0])
 
 
+def test_every_pair_of_lines_within_the_edit_limit_is_found(spark):
+    """Recall against edit similarity alone, where SimHashes are many bits apart."""
+    rng = random.Random(5)
+    rows, changed = [], []
+    for i, n in enumerate([9, 10, 11, 18, 19, 20, 30, 50, 100, 205] * 12):
+        words = [f"{rng.choice('abcdefgh')}{''.join(rng.choice('xyzuvw') for _ in range(6))}" for _ in range(n)]
+        copy = list(words)
+        for _ in range(n // 10):
+            at, how = rng.randrange(len(copy)), rng.randrange(3)
+            copy[at: at + (how != 1)] = [] if how == 0 and n % 10 else ["new" + rng.choice("pqrst") * 3]
+        if n == 9:
+            copy.insert(rng.randrange(10), "added")
+        near = _edits(words, copy) <= max(len(words), len(copy)) // 10
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        changed += [2 * i + 1] if near else []
+    rows += [(9000, "b " * 30), (9001, "b " * 27), (9002, "c " * 9 + "d"), (9003, "c " * 10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    gone = {r["doc_id"] for r in lines.dedup_lines(frame).collect() if r["line_info"]["n_dropped"]}
+    assert gone == {*changed, 9001, 9003} and len(changed) > 100
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------------
 
 def test_pipeline_stage_by_stage(spark):
