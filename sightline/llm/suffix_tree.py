@@ -222,7 +222,7 @@ def _filter_of(keys: DataFrame) -> np.ndarray:
     slot = F.col("key").bitwiseAND(F.lit(size - 1).cast("long"))
     words = keys.select(F.shiftright(slot, 6).alias("at"), F.call_function(
         "shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int")).alias("bit"))
-    held = words.groupBy("at").agg(F.bit_or("bit").alias("bit")).toPandas()
+    held = words.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow().to_pandas()
     bits = np.zeros(size >> 6, np.int64)
     bits[held["at"].to_numpy(np.int64)] = held["bit"].to_numpy(np.int64)
     return bits
@@ -251,7 +251,7 @@ def vocabulary(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFram
     counts = stored(source.mapInPandas(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = int(totals[0]), int(totals[1])
-    often = counts.where((F.col("n") >= max(2, WORD_SHARE * tokens)) | (F.col("h") == END)).toPandas().sort_values("h")
+    often = counts.where((F.col("n") >= max(2, WORD_SHARE * tokens)) | (F.col("h") == END)).toArrow().to_pandas().sort_values("h")
     if not tokens:
         return Tree(np.array([END]), np.array([0]), 0, 0), counts
     return Tree(often["h"].to_numpy(np.int64), often["n"].to_numpy(np.int64), tokens, distinct), counts
@@ -302,7 +302,7 @@ def _count_runs(placed: DataFrame, hashes, length: int, filter_: np.ndarray) ->
                 _, one = np.unique(label, return_index=True)
                 yield pd.DataFrame({"ctx": shorter[at[one] - 1], "suf": shorter[at[one]], "n": np.bincount(label, minlength=len(one))})
 
-    found = placed.select("words", "h").mapInPandas(count, "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+    found = placed.select("words", "h").mapInPandas(count, "ctx long, suf long, n long").repartition("ctx", "suf").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
     return stored(found.where(F.col("n") >= WORD_COUNT).mapInPandas(_with_keys, "ctx long, suf long, n long, key long"))
 
 
@@ -334,10 +334,10 @@ def grow(tree: Tree, placed: DataFrame, counts: DataFrame) -> Tree:
         held = stored(held.select("ctx", "suf", "key", "n", "size", "value", (F.col("value") - F.col("fallback") - F.col("parent")).alias("more")))
         inside = F.lit(depth <= LEVELS)
         if depth <= LEVELS:
-            tree.levels.append(level(tree, digits, kept.where(F.col("size") >= big).toPandas(),
-                                     held.where((F.col("size") >= big) & (F.col("n") >= often)).toPandas()))
+            tree.levels.append(level(tree, digits, kept.where(F.col("size") >= big).toArrow().to_pandas(),
+                                     held.where((F.col("size") >= big) & (F.col("n") >= often)).toArrow().to_pandas()))
         if depth < LEVELS:
-            run = runs.where(F.col("n") >= often).toPandas()
+            run = runs.where(F.col("n") >= often).toArrow().to_pandas()
             last = digits.loc[run["suf"]].to_numpy() % tree.width
             digits = pd.Series(digits.loc[run["ctx"]].to_numpy() * tree.width + last, run["key"].to_numpy())
         rest += [kept.where(~(inside & (F.col("size") >= big))).select(F.col("ctx").alias("key"), F.col("size").alias("n"), F.col("fallback").alias("worth")),
@@ -348,7 +348,7 @@ def grow(tree: Tree, placed: DataFrame, counts: DataFrame) -> Tree:
         contexts = runs.where(F.col("n") >= CONTEXT_COUNT).join(kept.select(F.col("ctx").alias("suf")), "suf", "left_semi").select("key", F.col("n").alias("size"))
         values, filter_ = held.select("key", "value"), _filter_of(runs.select("key"))
     whole = stored(reduce(DataFrame.union, rest).groupBy("key").agg(F.max("n").alias("n"), F.sum("worth").alias("worth")))
-    head = whole.where(F.col("n") >= often).toPandas().sort_values("key")
+    head = whole.where(F.col("n") >= often).toArrow().to_pandas().sort_values("key")
     tree.often, tree.worth = head["key"].to_numpy(np.int64), head["worth"].to_numpy(np.float64)
     tree.tail = whole.where(F.col("n") < often).select("key", "worth")
     tree.passes = _filter_of(tree.tail.select("key"))
