@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.llm import chat, jpeg, language, lines, mixing, near, pieces, quality, suffix_tree, urls
+from sightline.llm import (chat, jpeg, language, lines, mixing, near, pieces, quality, resharding, suffix_tree, urls,
+                           variants, whitening)
 from sightline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +20,8 @@ LANG_TARGETS = {"en": 0.40, "de": 0.20, "fr": 0.20, "es": 0.19, "*": 0.01}
 TOPIC_TARGETS = {"prose": 0.90, "list": 0.05, "shouted": 0.02, "numeric": 0.03}
 MIX_FRACTION = 0.5
 
+OLD_SHARDS, NEW_SHARDS = 6, 8
+
 RULES = (urls.Rule("block", "net"), urls.Rule("allow", "example.net", "/en/"), urls.Rule("block", "example.com", "/de/"),
          urls.Rule("allow", "org", "/fr/"))
 
@@ -215,3 +218,92 @@ FROM b JOIN ds USING (doc_id)
 
 
 ORACLE_SQL["op10_quality"] = _quality_sql()
+
+
+@query
+def op11_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus lies in 6 shards by source, which are far from equal; it is moved to 8 of equal bytes."""
+    documents = table(spark, sf_dir, "documents")
+    old = F.pmod(F.crc32(F.coalesce("source", F.lit("")).cast("binary")), F.lit(OLD_SHARDS)).cast("int")
+    found = resharding.reshard(documents, old, NEW_SHARDS)
+    return found.select("doc_id", "placed.size", resharding.checksum(F.col("text")).alias("text_crc32"), F.lit("bytes").alias("law"),
+                        "placed.shard", "placed.slot", F.lit(None).cast("int").alias("grown_shard"),
+                        F.col("placed.old").alias("old_shard"), "placed.moved")
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding", 8)
+    each = found.select("vec_id", "white", F.posexplode("white.values").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "white.n", "white.deviation", "whitened",
+                       F.get("white.explained", F.col("at")).alias("explained"), "white.identity_error")
+
+
+@query
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    runs = documents.select("doc_id", F.explode(variants.letter_runs(F.col("text"))).alias("run"))
+    found = variants.variant_groups(variants.count_words(variants.with_slips(runs, "doc_id")))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+#: SQL of a relation crc(t) with the table of the checksum's bytes, and of the checksum of a string given that table.
+CRC_TABLE = """(SELECT list(list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(3988292384, a >> 1) ELSE a >> 1 END) ORDER BY k) AS t FROM range(256) AS r(k))"""
+
+
+def _crc(text: str) -> str:
+    held = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda b: ('0x' || b)::BIGINT)"
+    return f"xor(4294967295, list_reduce({held}, lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295))"
+
+
+ORACLE_SQL["op11_shards"] = rf"""
+WITH c AS MATERIALIZED {CRC_TABLE},
+d AS MATERIALIZED (
+  SELECT doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, {_crc("coalesce(text, '')")} AS text_crc32,
+    CAST({_crc("coalesce(source, '')")} % {OLD_SHARDS} AS INT) AS old FROM documents, c),
+b AS MATERIALIZED (
+  SELECT d.*, {_crc("concat_ws(':', doc_id::VARCHAR, text_crc32::VARCHAR)")} % {resharding.BLOCKS} AS block FROM d, c),
+s AS (SELECT old, block, CAST(sum(size) AS BIGINT) AS bytes, count(*) AS n FROM b GROUP BY 1, 2),
+t AS (SELECT CAST(sum(bytes) AS BIGINT) AS total FROM s),
+cap AS (SELECT k AS shard, total // {NEW_SHARDS} + CASE WHEN k < total % {NEW_SHARDS} THEN 1 ELSE 0 END AS cap FROM t, range({NEW_SHARDS}) AS r(k)),
+o AS (SELECT old, CAST(sum(bytes) AS BIGINT) AS bytes FROM s GROUP BY 1),
+same AS (SELECT old, shard, bytes, cap, least(coalesce(bytes, 0), coalesce(cap, 0)) AS stay FROM o FULL JOIN cap ON old = shard),
+give AS (SELECT old, sum(bytes - stay) OVER (ORDER BY old) - (bytes - stay) AS lo, sum(bytes - stay) OVER (ORDER BY old) AS hi FROM same WHERE old IS NOT NULL),
+take AS (SELECT shard, sum(cap - stay) OVER (ORDER BY shard) - (cap - stay) AS lo, sum(cap - stay) OVER (ORDER BY shard) AS hi FROM same WHERE shard IS NOT NULL),
+flow AS (
+  SELECT old, shard, stay AS amount FROM same WHERE stay > 0
+  UNION ALL SELECT old, shard, least(give.hi, take.hi) - greatest(give.lo, take.lo) FROM give JOIN take ON give.lo < take.hi AND take.lo < give.hi),
+span AS (SELECT old, shard, 2 * (sum(amount) OVER w - amount) AS low, 2 * sum(amount) OVER w AS high
+  FROM flow WHERE amount > 0 WINDOW w AS (PARTITION BY old ORDER BY old <> shard, shard)),
+line AS (SELECT *, 2 * sum(bytes) OVER (PARTITION BY old ORDER BY bytes DESC, block) - bytes AS middle FROM s),
+p AS (SELECT line.old, block, shard FROM line JOIN span ON line.old = span.old AND middle >= low AND middle < high)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard, CAST(NULL AS INT) AS grown_shard, old AS old_shard, old <> shard AS moved,
+  row_number() OVER (PARTITION BY shard ORDER BY old, block, doc_id NULLS FIRST, text_crc32) - 1 AS slot
+FROM b JOIN p USING (old, block)
+"""
+
+ORACLE_SQL["op13_variants"] = rf"""
+WITH RECURSIVE c AS MATERIALIZED {CRC_TABLE},
+r AS MATERIALIZED (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents)
+  GROUP BY 1, 2),
+h AS (SELECT run, n, {_crc("id || ':' || run")} AS h FROM r, c),
+w AS MATERIALIZED (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substring(run, 1, h % length(run)) || substring(run, h % length(run) + 2) ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+x AS MATERIALIZED (SELECT word, n, i, substring(word, 1, i - 1) || substring(word, i + 1) AS less FROM w, unnest(range(1, length(word) + 1)) AS u(i)),
+near AS MATERIALIZED (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM x a JOIN x b ON a.less = b.less AND a.i = b.i AND a.word <> b.word
+  UNION SELECT w.word, w.n, x.word, x.n FROM w JOIN x ON w.word = x.less
+  UNION SELECT x.word, x.n, w.word, w.n FROM w JOIN x ON w.word = x.less),
+k AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, encode(other)) AS place FROM near),
+f AS MATERIALIZED (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form, CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n
+  FROM w LEFT JOIN k ON k.word = w.word AND place = 1),
+up(word, root) AS (SELECT word, form FROM f WHERE form IS NOT NULL UNION ALL SELECT up.word, f.form FROM up JOIN f ON f.word = up.root WHERE f.form IS NOT NULL),
+top AS (SELECT up.word, root FROM up JOIN f ON f.word = up.root WHERE f.form IS NULL)
+SELECT f.word, form, coalesce(root, f.word) AS root, n, n_near, form_n FROM f LEFT JOIN top ON top.word = f.word
+"""
