@@ -118,11 +118,11 @@ def plan_blocks(blocks: DataFrame, room: Mapping[int, int], cost=None, file_byte
     return stored(ahead.withColumn("file", F.dense_rank().over(Window.orderBy("shard", "part")) - 1))
 
 
-def placements(rows: DataFrame, old: Column, shards: int, text: str, key: str, blocks: int, file_bytes: int,
-               room: Mapping[int, int] | None, cost) -> tuple[DataFrame, DataFrame]:
-    """row, placed and shard of every row, dealt by file and in the order of slots; and the plan of the blocks."""
+def placements(rows: DataFrame, columns: list[str], old: Column, shards: int, text: str, key: str, blocks: int,
+               file_bytes: int, room: Mapping[int, int] | None, cost) -> tuple[DataFrame, DataFrame]:
+    """row (the columns named), placed and shard of every row, dealt by file, in the order of slots; and the plan of the blocks."""
     keyed = rows.select(
-        F.struct(*rows.columns).alias("row"), row_size(F.col(text)).alias("size"), F.coalesce(old, F.lit(0)).cast("int").alias("old"),
+        F.struct(*columns).alias("row"), row_size(F.col(text)).alias("size"), F.coalesce(old, F.lit(0)).cast("int").alias("old"),
         F.pmod(F.crc32(F.concat_ws(":", F.col(key).cast("string"), checksum(F.col(text)).cast("string")).cast("binary")),
                F.lit(blocks).cast("long")).cast("int").alias("block"))
     sums = stored(keyed.groupBy("old", "block").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")))
@@ -153,7 +153,8 @@ def reshard(rows: DataFrame, old: Column, shards: int, text: str = "text", key:
     Texts are shuffled once, by file of about ``file_bytes``; a shard that holds a third of all bytes is cut into blocks
     and files like any other. A long text is never cut: a shard is full to within half a block at each of its cuts.
     """
-    numbered, _ = placements(rows.drop("placed"), old, shards, text, key, blocks, file_bytes, room, cost)
+    columns = [name for name in rows.columns if name != "placed"]
+    numbered, _ = placements(rows, columns, old, shards, text, key, blocks, file_bytes, room, cost)
     return _reread(numbered, f"{recovery_directory(rows.sparkSession)}/shards-{uuid.uuid4().hex}").select("row.*", "placed")
 
 
@@ -171,7 +172,8 @@ def reshard_folder(spark: SparkSession, folder: str, shards: int, text: str = "t
     rows are left out.
     """
     rows = spark.read.parquet(folder)
-    numbered, plan = placements(rows.drop("shard"), F.col("shard"), shards, text, key, options.get("blocks", BLOCKS),
+    columns = [name for name in rows.columns if name != "shard"]
+    numbered, plan = placements(rows, columns, F.col("shard"), shards, text, key, options.get("blocks", BLOCKS),
                                 options.get("file_bytes", FILE_BYTES), options.get("room"), options.get("cost"))
     moves = plan.where("old <> shard").select("old", "shard").distinct().collect()  # pairs of shards only
     affected = {number for move in moves for number in move}
