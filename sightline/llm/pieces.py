@@ -272,7 +272,7 @@ class Codec:
                 continue
             if held:
                 out.append(_decode_bytes(held))
-                held = bytearray()
+                held, begin = bytearray(), False
             if kind == "c":
                 continue
             piece = " ⁇ " if kind == "u" else self.plain[i]
