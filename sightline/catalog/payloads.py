@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sightline.catalog.registry import register
 from sightline.catalog.views import Views
-from sightline.sources import filings
+from sightline.sources import filings, pages
 
 
 def payloads(v: Views):
@@ -53,9 +55,23 @@ def _(v: Views):
     return filings.exit_filings(filings.submission_rows(submissions(v)), ["15-12G", "25"]).select("cik", "form", "filed")
 
 
-@register("s20_page_text")
+def _text_sql() -> str:
+    """The page's text in DuckDB: the same fixed patterns, references replaced part by part."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    cut = lambda text, steps: reduce(lambda t, s: f"regexp_replace({t}, {quoted(s[0])}, {quoted(s[1])}, 'g')", steps, text)
+    names = "MAP {" + ", ".join(f"{quoted(name)}: {quoted(char)}" for name, char in pages.NAMED.items()) + "}"
+    return f"""WITH c AS (SELECT page_id, url, string_split({cut("html", pages.CUTS)}, '&') AS parts FROM pages),
+  u AS (SELECT page_id, i, parts[i + 1] AS part FROM c, unnest(range(len(parts))) AS r(i)),
+  e AS (SELECT *, regexp_extract(part, '^(#[0-9]+|[A-Za-z][A-Za-z0-9]*);', 1) AS name FROM u),
+  d AS (SELECT *, CASE WHEN name LIKE '#%' THEN chr(CAST(substr(name, 2) AS INT)) WHEN name <> '' THEN names[name] END AS char FROM e, (SELECT {names} AS names)),
+  j AS (SELECT page_id, string_agg(CASE WHEN i = 0 THEN part WHEN char IS NULL THEN '&' || part ELSE char || substr(part, length(name) + 2) END, '' ORDER BY i) AS text FROM d GROUP BY 1),
+  t AS (SELECT page_id, {cut("text", pages.TIDY)} || chr(10) AS text FROM j)
+  SELECT page_id, url, sha256(text) AS content_hash, length(text) AS characters FROM pages LEFT JOIN t USING (page_id)"""
+
+
+@register("s20_page_text", "", _text_sql())
 def _(v: Views):
-    return filings.page_text(v.table("pages")).select("page_id", "url", "content_hash", F.length("text").alias("characters"))
+    return pages.page_text(v.table("pages")).select("page_id", "url", "content_hash", F.length("text").alias("characters"))
 
 
 @register("r12_latest_documents", "", """SELECT regexp_replace(url, '/+$', '') AS url, max(page_id) AS page_id FROM pages GROUP BY regexp_replace(url, '/+$', ''), sha256(html)""")

@@ -3,12 +3,11 @@
 import math
 import statistics
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from sightline.functions import ranking, stats
 from sightline.operators import coverage, peers, price_report, prices
-from sightline.sources import filings, universe
+from sightline.sources import pages, universe
 
 NAN, INF = float("nan"), float("inf")
 
@@ -100,9 +99,18 @@ def test_nearest_names(spark):
         assert [r.peer for r in sorted(found, key=lambda r: r.place) if r.ticker == ticker] == want
 
 
-def test_visible_text():
+def test_visible_text(spark):
     page = ("<html><head><title>x</title></head><body><ix:header>hid</ix:header><p>Net&nbsp;sales</p><table><tr><td>Cash</td>"
-            "<td>12</td></tr></table>one<br/>two<dl><dt>a</dt><dd>b​c</dd></dl><template>shown</template><script>no()</script></body></html>")
-    text = filings.html_text(pd.Series([page, None]))
-    assert text[1] is None
-    assert text[0] == "Net sales\n\nCash 12\n\none\ntwo\na\n\nbc\nshown\n"
+            "<td>12</td></tr></table>one<br/>two<dl><dt>a</dt><dd>b\u200bc</dd></dl><template>shown</template><script>no()</script></body></html>")
+    cases = [
+        (page, "a.htm", "Net sales\n\nCash 12\n\none\ntwo\na\n\nbc\nshown\n"), (None, None, None), ("", None, "\n"),
+        ("a &amp;lt; b &lt;p&gt; &#8364;&#x20AC;&#128;&unknown; & &amp", None, "a &lt; b <p> \u20ac\u20ac\x80&unknown; & &amp\n"),
+        ("x<!-- <p> --> y<style>p > q</style\n>z<SCRIPT src='a>b'>1</SCRIPT>w<header>h</header>", None, "x yzw\nh\n"),
+        ("seen<script>var a = '<p>'; never closed <p>gone", None, "seen\n"), ("1 < 2 and <b title='>'>bold</b>", None, "1 < 2 and bold\n"),
+        ("plain &amp; <p>text\r\n\r\n\r\n\r\nmore\u00a0 x", "NOTE.TXT", "plain &amp; <p>text\n\nmore x\n"),
+        ("<HTML><p>text", "note.txt", "text\n"),
+    ]
+    frame = spark.createDataFrame([(i, h, n) for i, (h, n, _) in enumerate(cases)], "id int, html string, name string")
+    found = {row["id"]: row["text"] for row in pages.page_text(frame, name="name").collect()}
+    assert found == {i: want for i, (_, _, want) in enumerate(cases)}
+    assert pages.page_text(frame.limit(0)).count() == 0
