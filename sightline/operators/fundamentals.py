@@ -520,27 +520,28 @@ def signals_as_of(grid: DataFrame, facts: DataFrame, splits: DataFrame | None =
     from sightline.operators.prices import split_between, split_factor_after
 
     keys = ["company", "as_of"]
-    dates = grid.select(*keys).distinct()
+    dates = cut(grid.select(*keys).distinct())
     trailing = cut(trailing_years(dates, facts))
-    limits = dates.join(report_age_limit(trailing), keys, "left").withColumn(
-        "age_limit", F.coalesce("age_limit", F.lit(RULES["maximum_age"])))
+    limits = cut(dates.join(report_age_limit(trailing), keys, "left").withColumn(
+        "age_limit", F.coalesce("age_limit", F.lit(RULES["maximum_age"]))))
     statements = statement_signals(trailing, limits).drop("age_limit")
     instants = instant_facts(facts)
     single = best_tag(instants.where(F.col("concept").isin("cash", "shares_outstanding")), [*KEY, "end_d"])
-    versions = known_versions(single, [*KEY, "end_d"], sequence="seq")
+    versions = cut(known_versions(single, [*KEY, "end_d"], sequence="seq"))
     cash = instant_as_of(dates, versions.where(F.col("concept") == "cash"), prefix="c_").drop("concept").join(limits, keys)
-    cash = cash.where(F.datediff("as_of", "c_end") <= F.col("age_limit")).select(
-        *keys, F.col("c_end").alias("balance_end"), F.col("c_val").alias("pit_cash"))
+    cash = cut(cash.where(F.datediff("as_of", "c_end") <= F.col("age_limit")).select(
+        *keys, F.col("c_end").alias("balance_end"), F.col("c_val").alias("pit_cash")))
     debt = total_debt(debt_components(cash, instants))
     balance = cash.join(debt, [*keys, "balance_end"], "left").select(
         *keys, "pit_cash", F.coalesce("total_debt", F.lit(0.0)).alias("pit_total_debt"),
         F.coalesce("debt_coverage", F.lit("none_found")).alias("pit_debt_coverage"),
     ).withColumn("pit_net_cash", F.col("pit_cash") - F.col("pit_total_debt"))
     period_versions = versions.where(F.col("concept") == "shares_outstanding")
-    average_versions = known_versions(weighted_shares(facts), [*KEY, "end_d"], sequence="seq")
+    average_versions = cut(known_versions(weighted_shares(facts), [*KEY, "end_d"], sequence="seq"))
     counted = share_counts(limits, period_versions, average_versions).where(F.col("shares").isNotNull())
     counted = counted.withColumns({"s_end": F.col("shares.end"), "s_filed": F.col("shares.filed")}).withColumn(
         "cap_end", F.date_sub("s_end", 350))
+    counted = cut(counted)
     year_ago = share_counts(
         counted.select(*keys, "cap_end", "age_limit", F.col("shares_basis").alias("b")),
         period_versions, average_versions, cap="cap_end", basis="b",

@@ -5,19 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.scalars import positive, ratio
+from sightline.functions.scalars import finite, half_even, positive, ratio
 
 
 def signals_as_of(grid: DataFrame, tx: DataFrame, short: int = 180, long: int = 365,
-                  data_through: str | None = None) -> DataFrame:
+                  data_through: str | None = None, minimum_value: float = 0.0) -> DataFrame:
     """Counts, values and buyers over (D - short, D] and (D - long, D], days since the last purchase.
 
-    ``grid``: issuer, as_of[, market_cap]. ``tx``: issuer, owner, filed, kind,
-    value, officer. Transactions are summed per (issuer, day) first and the
-    spans are range frames over days, so an issuer's window is bounded by the
-    calendar and no date meets every transaction. Distinct buyers come from
-    +1 / -1 marks where an owner enters and leaves the short span.
+    ``grid``: issuer, as_of[, market_cap]. ``tx``: issuer, filed, kind, value, officer, and the owners of each row as
+    ``owners`` array<string> or one ``owner``[, shares]. Rows without a date, of another kind, without a finite share count
+    or below ``minimum_value`` don't count; an unknown value counts as a transaction of no value. ``data_through`` is the
+    date the data ends; more than 400 days later nothing is known. Issuers without transactions have nulls.
+
+    Transactions are summed per (issuer, day) first and the spans are range frames over days, so an issuer's window is
+    bounded by the calendar and no date meets every transaction. Distinct buyers come from +1 / -1 marks where an owner
+    enters and leaves the short span.
     """
+    if "owners" not in tx.columns:
+        tx = tx.withColumn("owners", F.array_compact(F.array(F.col("owner").cast("string"))))
+    usable = F.col("filed").isNotNull() & F.col("kind").isin("purchase", "sale")
+    if "shares" in tx.columns:
+        usable = usable & finite("shares").isNotNull()
+    tx = tx.withColumn("value", finite("value")).where(usable & F.coalesce(F.col("value") >= minimum_value, F.lit(True)))
     buy, sell = F.col("kind") == "purchase", F.col("kind") == "sale"
 
     def amount(condition: Column, value: Column) -> Column:
@@ -28,7 +37,7 @@ def signals_as_of(grid: DataFrame, tx: DataFrame, short: int = 180, long: int =
         amount(buy, one).alias("bn"), amount(sell, one).alias("sn"), amount(buy & F.col("officer"), one).alias("on"),
         amount(buy, F.col("value")).alias("bv"), amount(sell, F.col("value")).alias("sv"),
         F.max(F.when(buy, F.col("filed"))).alias("last"))
-    bought = tx.where(buy).select("issuer", "owner", F.col("filed").alias("day")).distinct()
+    bought = tx.where(buy).select("issuer", F.explode("owners").alias("owner"), F.col("filed").alias("day")).distinct()
     following = F.lead("day").over(Window.partitionBy("issuer", "owner").orderBy("day"))
     leaves = F.least(F.coalesce(following, F.lit("9999-01-01").cast("date")), F.date_add("day", short))
     marks = bought.withColumn("leaves", leaves).select("issuer", F.explode(F.array(
@@ -66,7 +75,8 @@ def signals_as_of(grid: DataFrame, tx: DataFrame, short: int = 180, long: int =
         cap = positive("market_cap")
         result = result.withColumns({
             f"ins_net_value_to_market_cap_{span}": ratio(f"ins_net_value_{span}", cap) for span in ("short", "long")})
-    return result
+    rounded = {name: half_even(name, 6) for name in result.columns if name.startswith("ins_")}
+    return result.withColumns({**rounded, "ins_data_through": F.lit(data_through).cast("date")})
 
 
 def quarter_end(label: Column) -> Column:
