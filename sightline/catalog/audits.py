@@ -1,4 +1,4 @@
-"""Survivorship, rescoring, frozen scores and review checks: A18, A28, F16, P5, P9, X25, X28, X38, X43."""
+"""Survivorship, rescoring, frozen scores and review checks: A18, A28, A47, F16, P5, P9, X25, X28, X38, X43."""
 
 from __future__ import annotations
 
@@ -219,7 +219,7 @@ def _(v: Views):
     return checked(v).select(F.explode(linked).alias("error")).groupBy("error").agg(F.count("*").alias("reviews"))
 
 
-@register("a43_review_counts", "", "WITH " + REVIEW_SQL + """ SELECT CASE WHEN len(own) + len(linked) > 0 THEN 'validation_failed' ELSE 'valid' END AS review_status, CASE WHEN len(own) + len(linked) = 0 THEN CASE WHEN c % 11 = 2 THEN 'avoid' ELSE 'clear' END END AS verdict,
+@register("a47_review_counts", "", "WITH " + REVIEW_SQL + """ SELECT CASE WHEN len(own) + len(linked) > 0 THEN 'validation_failed' ELSE 'valid' END AS review_status, CASE WHEN len(own) + len(linked) = 0 THEN CASE WHEN c % 11 = 2 THEN 'avoid' ELSE 'clear' END END AS verdict,
   count(*) AS reviews, CAST(sum(CASE WHEN c % 4 = 2 THEN 1 ELSE 0 END) AS BIGINT) AS disagreements FROM e GROUP BY 1, 2""")
 def _(v: Views):
     return review.review_counts(checked(v))

@@ -148,7 +148,7 @@ def stable_id(columns: Mapping[str, Column], digits: int = 6, length: int = 16)
     for name in sorted(columns):
         value = columns[name]
         text = F.when(value.isNull(), F.lit("null")).otherwise(F.to_json(F.struct(value.cast("string").alias("v"))))
-        number = F.format_string(f"%.{digits}f", value.try_cast("double"))
+        number = F.format_string(f"%.{digits}f", value.cast("string").try_cast("double"))
         numeric = F.typeof(value).isin("double", "float", "int", "bigint", "smallint", "tinyint") | F.startswith(F.typeof(value), F.lit("decimal"))
         body = F.when(numeric & value.isNotNull(), number).otherwise(F.regexp_replace(text, r'^\{"v":(.*)\}$', "$1"))
         parts.append(F.concat(F.lit(f'"{name}":'), body))

@@ -38,6 +38,9 @@ def model_comparison(scores: DataFrame, outcomes: DataFrame, groups: Sequence[st
     difference in coverage can't pass for skill; it needs two models. Fewer than ``minimum`` names give no correlation. A name that was not
     resolved (no finite excess) counts nowhere.
     """
+    if not groups:
+        whole = [rows.withColumn("__all", F.lit(0)) for rows in (scores, outcomes)]
+        return model_comparison(*whole, ["__all"], key, minimum).drop("__all")
     resolved = outcomes.where(finite("excess").isNotNull()).select(*groups, key, F.col("excess").cast("double").alias("excess"))
     pairs = cut(scores.join(resolved, [*groups, key]))
     present = pairs.groupBy(*groups).agg(F.countDistinct("model").alias("models")).where("models > 1")
