@@ -17,19 +17,47 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(frame: DataFrame) -> DataFrame:
+#: Spark removes the shuffle files of an execution when it ends, if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(frame: DataFrame, free: bool = False) -> DataFrame:
     """Write a stage as Parquet in the shared checkpoint folder and read it back.
 
     Unlike ``checkpoint`` the copy is columnar, so later branches read only their columns. A lost executor costs a
-    re-read: no lineage and no machine-local file is needed.
+    re-read: no lineage and no machine-local file is needed. ``free``: the shuffle files of the stage are removed once it is
+    written, as nothing reads them again.
     """
     spark = frame.sparkSession
     path = f"{recovery_directory(spark)}/stage-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    try:
+        if free:
+            spark.conf.set(CLEANUP, "true")
+        frame.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(path)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Caches of the operators in this Python worker, by owner.
+_CACHES: dict[str, list] = {}
+
+
+def claim(owner: str, *caches) -> None:
+    """Called when a task starts: registers the owner's caches and empties those of all others.
+
+    Workers are reused by later stages, and without this every operator that ever ran would keep its words.
+    """
+    for other, held in _CACHES.items():
+        if other != owner:
+            for cache in held:
+                cache.clear()
+    _CACHES[owner] = list(caches)
+
+
+def connected_components(edges: DataFrame, rounds: int = 60, free: bool = False) -> DataFrame:
     """Smallest reachable node of every node that occurs in ``edges(a, b)``; columns node, root.
 
     Alternating large-star and small-star steps: each replaces links by links to the smallest neighbour, so a chain
@@ -37,16 +65,16 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     list of neighbours, so a node of any degree is fine. Links of null nodes and self links are ignored.
     """
     pairs = edges.select("a", "b").where("a <> b")
-    links = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    links = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), free)
     state = None
     for _ in range(rounds):
         both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stored(large.distinct())
+        large = stored(large.distinct(), free)
         lower = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(lower, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        links = stored(small.union(lower.select("a", F.col("m").alias("b"))).distinct())
+        links = stored(small.union(lower.select("a", F.col("m").alias("b"))).distinct(), free)
         found = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
         if found == state:
             break

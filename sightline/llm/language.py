@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.common import claim
+
 #: Longest n-gram.
 ORDER = 4
 #: A language is learned from about so many documents (whole texts, drawn by a hash): the bound of the sample.
@@ -189,6 +191,7 @@ class Identifier:
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """n-grams of all orders of each language in a batch."""
+    claim("language")
     for batch in batches:
         for language, texts in batch.groupby("lang")["text"]:
             pad = np.full(ORDER - 1, EDGE, np.uint32)
@@ -283,6 +286,7 @@ def identify(documents: DataFrame, identifier: Identifier, text: str = "text", o
     names = [part.split()[0] for part in RESULT.split(", ")]
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("language")
         for texts in batches:
             yield pd.DataFrame(shared.value.predict(list(texts)), columns=names)
 

@@ -93,8 +93,8 @@ def groups(documents: DataFrame, lines: DataFrame, text: str, key: str) -> DataF
     smallest first; only pairs without a common such hub are compared after that.
     """
     keyed = lines.select("line", F.explode("keys").alias("block"))
-    hubs = stored(keyed.groupBy("block").agg(F.min("line").alias("hub"), F.count("*").alias("n")).where("n > 1").select("block", "hub"))
-    paired = stored(keyed.join(hubs, "block"))
+    hubs = stored(keyed.groupBy("block").agg(F.min("line").alias("hub"), F.count("*").alias("n")).where("n > 1").select("block", "hub"), free=True)
+    paired = stored(keyed.join(hubs, "block"), free=True)
     wanted = paired.select("line").distinct().join(lines, "line").groupBy(
         F.col("first.id").alias("fid"), F.col("first.mark").alias("fmark")).agg(
         F.collect_list(F.struct("line", "first", "n")).alias("asked"))
@@ -102,11 +102,11 @@ def groups(documents: DataFrame, lines: DataFrame, text: str, key: str) -> DataF
     found = source.join(wanted, F.col("id").eqNullSafe(F.col("fid")) & (F.col("mark") == F.col("fmark")))
     cut = found.select(F.explode("asked").alias("x"), F.split("text", "\n").alias("raw"))
     code = coded(words_of(normalised(F.get("raw", F.col("x.first.pos")))))
-    texts = stored(cut.select("x.*", code.alias("code")).dropDuplicates(["line"]))
+    texts = stored(cut.select("x.*", code.alias("code")).dropDuplicates(["line"]), free=True)
 
     star = paired.where("line <> hub").select("line", "hub").distinct().join(texts.select("line", "code"), "line")
     at_hub = texts.select(F.col("line").alias("hub"), F.col("code").alias("code2"))
-    links = stored(star.join(at_hub, "hub").where(similar(F.col("code"), F.col("code2"))).select("line", "hub"))
+    links = stored(star.join(at_hub, "hub").where(similar(F.col("code"), F.col("code2"))).select("line", "hub"), free=True)
     label = links.groupBy("line").agg(F.min("hub").alias("label"))
 
     rest = texts.join(label, "line", "left").select("line", "code", F.coalesce("label", "line").alias("label"))
@@ -119,7 +119,7 @@ def groups(documents: DataFrame, lines: DataFrame, text: str, key: str) -> DataF
     # A line is linked with its label already, so two groups need one link between their labels, however many pairs meet.
     between = across.select(F.greatest("label", "label2"), F.least("label", "label2")).distinct()
     both = links.select(F.col("line").alias("a"), F.col("hub").alias("b")).union(between)
-    roots = connected_components(both).select(F.col("node").alias("line"), "root")
+    roots = connected_components(both, free=True).select(F.col("node").alias("line"), "root")
     return texts.select("line", "first", "n").join(roots, "line")
 
 
@@ -136,22 +136,23 @@ def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", i
     """
     found = stored(occurrences(documents, text, key))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "pos")
-    lines = stored(found.groupBy("line").agg(F.first("keys").alias("keys"), F.min(order).alias("first"), F.count("*").alias("n")))
-    linked = stored(groups(documents, lines, text, key))
+    lines = stored(found.groupBy("line").agg(F.first("keys").alias("keys"), F.min(order).alias("first"), F.count("*").alias("n")), free=True)
+    linked = stored(groups(documents, lines, text, key), free=True)
     alone = lines.where("n > 1").join(linked, "line", "left_anti").select("line", "first", "n", F.col("line").alias("root"))
     grouped = linked.union(alone)
     first = grouped.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("total")).where("total > 1")
     again = grouped.select("line", "root").join(first, "root").select("line", "best")
     dropped = found.join(again, "line").where(~(
         F.col("id").eqNullSafe(F.col("best.id")) & (F.col("mark") == F.col("best.mark")) & (F.col("pos") == F.col("best.pos"))))
-    cuts = dropped.groupBy("id", "mark").agg(F.array_distinct(F.collect_list("pos")).alias("__cut"))
-    cuts = cuts.select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), "__cut")
-    marked = documents.withColumn("__at", F.xxhash64(F.col(text)))
-    joined = marked.join(cuts, F.col(key).eqNullSafe(F.col("__id")) & (F.col("__at") == F.col("__mark")), "left")
-    parts = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col("__cut"), i)), "\n")
-    out = joined.withColumn(info, F.struct(
-        F.when(F.col(text).isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__cut"), F.lit(0)).cast("long").alias("n_dropped")))
-    out = out.withColumn(text, F.when(F.col("__cut").isNull(), F.col(text)).otherwise(kept))
-    return out.drop("__at", "__id", "__mark", "__cut")
+    cuts = dropped.groupBy("id", "mark").agg(F.array_distinct(F.collect_list("pos")).alias("cut"))
+    # The row travels in a struct, so its columns may have any name.
+    marked = documents.select(F.struct(*[name for name in documents.columns if name != info]).alias("row"), F.xxhash64(F.col(text)).alias("at"))
+    joined = marked.join(cuts, F.col(f"row.{key}").eqNullSafe(F.col("id")) & (F.col("at") == F.col("mark")), "left")
+    whole = F.col(f"row.{text}")
+    parts = F.split(whole, "\n")
+    kept = F.array_join(F.filter(parts, lambda line, i: ~F.array_contains(F.col("cut"), i)), "\n")
+    counted = F.struct(F.when(whole.isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
+                       F.coalesce(F.size("cut"), F.lit(0)).cast("long").alias("n_dropped"))
+    done = joined.select("row", F.when(F.col("cut").isNull(), whole).otherwise(kept).alias("text_"), counted.alias("info_"))
+    return done.select(*[F.col("text_").alias(text) if name == text else F.col(f"row.`{name}`") for name in documents.columns if name != info],
+                       F.col("info_").alias(info))

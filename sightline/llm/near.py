@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import connected_components, stored
+from sightline.llm.common import claim, connected_components, stored
 
 SIZE = 5  # words of a shingle
 PERCENT = 75  # least similarity
@@ -65,6 +65,7 @@ def node_of(shingle_set: np.ndarray) -> int:
 
 
 def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    claim("near", WORDS)
     for batch in batches:
         rows = []
         for text in batch["text"]:
@@ -76,6 +77,7 @@ def _sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    claim("near", WORDS)
     for batch in batches:
         found = [shingles(text) for text in batch["text"]]
         out = pd.DataFrame({"node": [node_of(part) for part in found], "members": [part.tobytes() for part in found]})

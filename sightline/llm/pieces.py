@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sightline.llm.common import claim
+
 SPACE = "▁"
 #: Segments whose result a worker keeps; the cache is emptied when full, so its size does not grow with the data.
 CACHE = 300_000
@@ -315,7 +317,9 @@ class _Texts:
         if broadcast.id not in cls.codecs:
             cls.codecs.clear()
             cls.codecs[broadcast.id] = Codec(broadcast.value)
-        return cls.codecs[broadcast.id]
+        codec = cls.codecs[broadcast.id]
+        claim("pieces", codec.cache, codec.pairs)
+        return codec
 
 
 class _Shared:

@@ -213,6 +213,16 @@ def test_lines_equal_brute_force(spark):
     assert lines.dedup_lines(frame.limit(0)).count() == 0
 
 
+def test_lines_leave_other_columns_alone(spark):
+    names = ["__id", "__cut", "__at", "__mark", "id", "mark", "pos", "cut", "row", "at", "line", "block"]
+    row = "five words are enough here"
+    frame = spark.createDataFrame([(i, *[f"{name}{i}" for name in names], f"{row}\nother{i}", "old") for i in range(3)],
+                                  ["doc_id", *names, "text", "line_info"])
+    found = {r["doc_id"]: r for r in lines.dedup_lines(frame).collect()}
+    assert [found[i]["text"] for i in range(3)] == [f"{row}\nother0", "other1", "other2"]
+    assert all(found[i][name] == f"{name}{i}" for i in range(3) for name in names) and found[1]["line_info"]["n_dropped"] == 1
+
+
 def test_lines_of_the_table(spark):
     rows = [(r["doc_id"], r["text"]) for r in table(spark, DATA, "documents").where("doc_id % 2 = 0").collect()]
     frame = table(spark, DATA, "documents").where("doc_id % 2 = 0")
