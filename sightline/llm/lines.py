@@ -86,15 +86,17 @@ def occurrences(documents: DataFrame, text: str, key: str) -> DataFrame:
     return found.select("id", "mark", "pos", "line", keys(F.col("runs"), F.size("hashes"), frequent_runs(split)).alias("keys"))
 
 
-def groups(documents: DataFrame, lines: DataFrame, text: str, key: str) -> DataFrame:
+def groups(documents: DataFrame, found: DataFrame, lines: DataFrame, text: str, key: str) -> DataFrame:
     """line, first, n and root of all lines that are linked with another one.
 
+    Keys are read from the occurrences ``found``, so no shuffle carries lists of keys; a key counts if two lines hold it.
+
     Only lines that share a key get their words (from one occurrence each). At every key the lines are linked with its
     smallest first; only pairs without a common such hub are compared after that.
     """
-    keyed = lines.select("line", F.explode("keys").alias("block"))
-    hubs = stored(keyed.groupBy("block").agg(F.min("line").alias("hub"), F.count("*").alias("n")).where("n > 1").select("block", "hub"), free=True)
-    paired = stored(keyed.join(hubs, "block"), free=True)
+    keyed = found.select("line", F.explode("keys").alias("block"))
+    hubs = stored(keyed.groupBy("block").agg(F.min("line").alias("hub"), F.max("line").alias("last")).where("hub <> last").select("block", "hub"), free=True)
+    paired = stored(keyed.join(hubs, "block").distinct(), free=True)
     wanted = paired.select("line").distinct().join(lines, "line").groupBy(
         F.col("first.id").alias("fid"), F.col("first.mark").alias("fmark")).agg(
         F.collect_list(F.struct("line", "first", "n")).alias("asked"))
@@ -136,8 +138,8 @@ def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", i
     """
     found = stored(occurrences(documents, text, key))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "pos")
-    lines = stored(found.groupBy("line").agg(F.first("keys").alias("keys"), F.min(order).alias("first"), F.count("*").alias("n")), free=True)
-    linked = stored(groups(documents, lines, text, key), free=True)
+    lines = stored(found.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n")), free=True)
+    linked = stored(groups(documents, found, lines, text, key), free=True)
     alone = lines.where("n > 1").join(linked, "line", "left_anti").select("line", "first", "n", F.col("line").alias("root"))
     grouped = linked.union(alone)
     first = grouped.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("total")).where("total > 1")
