@@ -60,6 +60,26 @@ def coded(words: Column) -> Column:
     return F.decode(F.unhex(F.array_join(digits, "")), "UTF-16BE")
 
 
+#: Longs of a line's word mask.
+MASKS = 4
+
+
+def masks(words: Column) -> list[Column]:
+    """``MASKS`` longs with the bit of every word set; words that ``coded`` takes for equal have the same bit."""
+    bits = F.transform(words, lambda w: (F.pmod(F.xxhash64(w), F.lit(0x9000)) % (64 * MASKS)).cast("int"))
+    part = lambda k: F.filter(bits, lambda bit: F.floor(bit / 64) == k)
+    one = F.lit(1).cast("long")
+    return [F.aggregate(part(k), F.lit(0).cast("long"), lambda mask, bit: mask.bitwiseOR(F.call_function("shiftleft", one, bit % 64)))
+            for k in range(MASKS)]
+
+
+def maybe_similar(l, r) -> Column:
+    """True for all similar lines and few others: an edit of a word changes two bits of the masks at most."""
+    limit = F.floor(F.greatest(l("n_words"), r("n_words")) * (100 - SIMILARITY) / 100.0)
+    apart = sum((F.bit_count(l(f"m{k}").bitwiseXOR(r(f"m{k}"))) for k in range(1, MASKS)), F.bit_count(l("m0").bitwiseXOR(r("m0"))))
+    return (F.abs(l("n_words") - r("n_words")) <= limit) & (apart <= 2 * limit)
+
+
 def similar(a: Column, b: Column) -> Column:
     """At most 10 % of the words of the longer line are edited; the distance is only computed up to that limit."""
     limit = F.floor(F.greatest(F.length(a), F.length(b)) * (100 - SIMILARITY) / 100.0).cast("int")
@@ -103,21 +123,26 @@ def groups(documents: DataFrame, found: DataFrame, lines: DataFrame, text: str,
     source = documents.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).alias("text"))
     found = source.join(wanted, F.col("id").eqNullSafe(F.col("fid")) & (F.col("mark") == F.col("fmark")))
     cut = found.select(F.explode("asked").alias("x"), F.split("text", "\n").alias("raw"))
-    code = coded(words_of(normalised(F.get("raw", F.col("x.first.pos")))))
-    texts = stored(cut.select("x.*", code.alias("code")).dropDuplicates(["line"]), free=True)
+    words = words_of(normalised(F.get("raw", F.col("x.first.pos"))))
+    fetched = cut.select("x.*", words.alias("words")).select(
+        "line", "first", "n", coded(F.col("words")).alias("code"), *[mask.alias(f"m{k}") for k, mask in enumerate(masks(F.col("words")))])
+    texts = stored(fetched.dropDuplicates(["line"]), free=True)
 
     star = paired.where("line <> hub").select("line", "hub").distinct().join(texts.select("line", "code"), "line")
     at_hub = texts.select(F.col("line").alias("hub"), F.col("code").alias("code2"))
     links = stored(star.join(at_hub, "hub").where(similar(F.col("code"), F.col("code2"))).select("line", "hub"), free=True)
     label = links.groupBy("line").agg(F.min("hub").alias("label"))
 
-    rest = texts.join(label, "line", "left").select("line", "code", F.coalesce("label", "line").alias("label"))
+    # Pairs meet with their masks alone; texts are fetched for the few that pass.
+    narrow = [F.col(f"m{k}") for k in range(MASKS)]
+    rest = texts.join(label, "line", "left").select("line", F.length("code").alias("n_words"), F.coalesce("label", "line").alias("label"), *narrow)
     # A self join under two aliases: both sides keep their names, so they read one exchange.
     left = paired.select("line", "block").join(rest, "line")
     l, r = (lambda name: F.col(f"l.{name}")), (lambda name: F.col(f"r.{name}"))
-    across = left.alias("l").join(left.alias("r"), (l("block") == r("block")) & (l("line") < r("line")) & (l("label") != r("label"))
-                                  & similar(l("code"), r("code")))
-    across = across.select(l("label").alias("label"), r("label").alias("label2"))
+    met = left.alias("l").join(left.alias("r"), (l("block") == r("block")) & (l("line") < r("line")) & (l("label") != r("label")) & maybe_similar(l, r))
+    met = stored(met.select(l("line").alias("line"), r("line").alias("line2"), l("label").alias("label"), r("label").alias("label2")).distinct(), free=True)
+    at_second = texts.select(F.col("line").alias("line2"), F.col("code").alias("code2"))
+    across = met.join(texts.select("line", "code"), "line").join(at_second, "line2").where(similar(F.col("code"), F.col("code2")))
     # A line is linked with its label already, so two groups need one link between their labels, however many pairs meet.
     between = across.select(F.greatest("label", "label2"), F.least("label", "label2")).distinct()
     both = links.select(F.col("line").alias("a"), F.col("hub").alias("b")).union(between)
