@@ -41,6 +41,17 @@ def stored(frame: DataFrame, free: bool = False) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def forget(frame: DataFrame) -> None:
+    """Remove the files of a ``stored`` stage whose readers are all stored themselves; nothing may read it afterwards."""
+    spark = frame.sparkSession
+    folders = {path.rsplit("/", 1)[0] for path in frame.inputFiles()}
+    for folder in folders:
+        if not folder.rsplit("/", 1)[-1].startswith("stage-"):
+            raise ValueError(f"{folder} is not a stored stage.")
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Caches of the operators in this Python worker, by owner.
 _CACHES: dict[str, list] = {}
 

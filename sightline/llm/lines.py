@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.llm.common import connected_components, stored
+from sightline.llm.common import connected_components, forget, stored
 
 #: Words of a run; a line of 9 words (one edit away from one of 10) has enough runs for it.
 RUN = 4
@@ -110,6 +110,7 @@ def groups(documents: DataFrame, found: DataFrame, lines: DataFrame, text: str,
     """line, first, n and root of all lines that are linked with another one.
 
     Keys are read from the occurrences ``found``, so no shuffle carries lists of keys; a key counts if two lines hold it.
+    ``found`` is a stored stage and is removed once its keys have been joined.
 
     Only lines that share a key get their words (from one occurrence each). At every key the lines are linked with its
     smallest first; only pairs without a common such hub are compared after that.
@@ -117,6 +118,7 @@ def groups(documents: DataFrame, found: DataFrame, lines: DataFrame, text: str,
     keyed = found.select("line", F.explode("keys").alias("block"))
     hubs = stored(keyed.groupBy("block").agg(F.min("line").alias("hub"), F.max("line").alias("last")).where("hub <> last").select("block", "hub"), free=True)
     paired = stored(keyed.join(hubs, "block").distinct(), free=True)
+    forget(found)
     wanted = paired.select("line").distinct().join(lines, "line").groupBy(
         F.col("first.id").alias("fid"), F.col("first.mark").alias("fmark")).agg(
         F.collect_list(F.struct("line", "first", "n")).alias("asked"))
@@ -161,10 +163,11 @@ def dedup_lines(documents: DataFrame, text: str = "text", key: str = "doc_id", i
     Shuffles move hashes (about 40 bytes a line and 8 for every two words), and texts twice: once to fetch the lines that
     share a key, once to cut the lines. A line that holds a third of all lines is one row after a combined aggregation.
     """
-    found = stored(occurrences(documents, text, key))
+    keyed = stored(occurrences(documents, text, key))
+    found = stored(keyed.drop("keys"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "mark", "pos")
     lines = stored(found.groupBy("line").agg(F.min(order).alias("first"), F.count("*").alias("n")), free=True)
-    linked = stored(groups(documents, found, lines, text, key), free=True)
+    linked = stored(groups(documents, keyed, lines, text, key), free=True)
     alone = lines.where("n > 1").join(linked, "line", "left_anti").select("line", "first", "n", F.col("line").alias("root"))
     grouped = linked.union(alone)
     first = grouped.groupBy("root").agg(F.min("first").alias("best"), F.sum("n").alias("total")).where("total > 1")
