@@ -33,8 +33,11 @@ def _filed(v: Views):
         "price": F.when(F.col("l_linenumber") == 3, "").otherwise(F.col("l_extendedprice").cast("string"))})
 
 
-RELATIONS = F.when(F.col("o_orderpriority") == "1-URGENT", "Officer").when(F.col("o_orderpriority") == "2-HIGH", "DIRECTOR").when(
-    F.col("o_orderpriority") == "3-MEDIUM", "TenPercentOwner").when(F.col("o_orderpriority") == "5-LOW", "").otherwise("Officer of a subsidiary")
+def relations():
+    """Relationships in several spellings; one of them only sounds like an officer."""
+    urgency = F.col("o_orderpriority")
+    return F.when(urgency == "1-URGENT", "Officer").when(urgency == "2-HIGH", "DIRECTOR").when(
+        urgency == "3-MEDIUM", "TenPercentOwner").when(urgency == "5-LOW", "").otherwise("Officer of a subsidiary")
 
 
 def publish(v: Views, everything: bool) -> str:
@@ -49,7 +52,7 @@ def publish(v: Views, everything: bool) -> str:
             "quarter", key, day("o_orderdate").alias("FILING_DATE"), F.lit("4").alias("DOCUMENT_TYPE"), F.col("o_custkey").alias("ISSUERCIK"),
             F.concat(F.lit("c"), "o_custkey").alias("ISSUERTRADINGSYMBOL")),
         "REPORTINGOWNER": orders.select("quarter", F.explode(F.array(F.col("o_orderkey") % 50, F.col("o_orderkey") * 7 % 50)).alias("RPTOWNERCIK"),
-                                        RELATIONS.alias("RPTOWNER_RELATIONSHIP"), key),
+                                        relations().alias("RPTOWNER_RELATIONSHIP"), key),
         "NONDERIV_TRANS": rows.select("quarter", key, day("l_shipdate").alias("TRANS_DATE"), F.col("code").alias("TRANS_CODE"), F.col("shares").alias("TRANS_SHARES"),
                                       F.col("price").alias("TRANS_PRICEPERSHARE"), F.when(F.col("l_returnflag") == "A", "A").otherwise("D").alias("TRANS_ACQUIRED_DISP_CD")),
     }
