@@ -99,6 +99,23 @@ def weighted_score(prefix: str, weights: Mapping[str, float], quality: Column, a
             half_even(F.coalesce(ratio(confident, applicable), F.lit(0.0)) * 100, 2))
 
 
+def class_label(up: Column, ruin: Column, sure: Column, market: Column) -> Column:
+    """Class of a candidate from its scores and confidences."""
+    return (
+        F.when(sure < LIMITS["confidence"], "insufficient_evidence")
+        .when(market < LIMITS["market_confidence"], "market_data_required")
+        .when((sure >= LIMITS["priority_confidence"]) & (up >= LIMITS["priority_upside"]) & (ruin <= LIMITS["priority_risk"]), "priority_research")
+        .when((up >= LIMITS["watch_upside"]) & (ruin <= LIMITS["watch_risk"]), "asymmetric_watch")
+        .when(up >= LIMITS["speculative_upside"], "speculative_watch").otherwise("low_upside_signal")
+    )
+
+
+def risk_band(ruin: Column, sure: Column, market: Column) -> Column:
+    """Band of the risk score; unresolved where evidence is thin."""
+    return F.when((sure <= LIMITS["confidence"]) | (market < LIMITS["market_confidence"]), "unresolved").when(
+        ruin <= 30, "controlled").when(ruin <= 55, "elevated").otherwise("severe")
+
+
 def classify(rows: DataFrame) -> DataFrame:
     """Scores, confidences, class and size tier. Needs factor shares and ``quality_ratio``."""
     quality = F.col("quality_ratio")
@@ -110,14 +127,7 @@ def classify(rows: DataFrame) -> DataFrame:
         "upside_score": upside, "upside_confidence": upside_confidence, "risk_of_ruin_score": risk, "risk_confidence": risk_confidence,
         "market_risk_confidence": half_even(market / sum(RISK_WEIGHTS[name] for name in MARKET_FACTORS) * 100, 2),
     }).withColumn("confidence", F.least("upside_confidence", "risk_confidence"))
-    up, ruin, sure = F.col("upside_score"), F.col("risk_of_ruin_score"), F.col("confidence")
-    label = (
-        F.when(sure < LIMITS["confidence"], "insufficient_evidence")
-        .when(F.col("market_risk_confidence") < LIMITS["market_confidence"], "market_data_required")
-        .when((sure >= LIMITS["priority_confidence"]) & (up >= LIMITS["priority_upside"]) & (ruin <= LIMITS["priority_risk"]), "priority_research")
-        .when((up >= LIMITS["watch_upside"]) & (ruin <= LIMITS["watch_risk"]), "asymmetric_watch")
-        .when(up >= LIMITS["speculative_upside"], "speculative_watch").otherwise("low_upside_signal")
-    )
+    label = class_label(*map(F.col, ("upside_score", "risk_of_ruin_score", "confidence", "market_risk_confidence")))
     return scored.withColumns({"classification": label, "size_tier": F.when(
         F.col("market_cap") < CAP["nano"], "nano_cap").otherwise("micro_cap")})
 
