@@ -55,3 +55,29 @@ def _(v: Views):
   SELECT horizon, third, count(*) AS names, {r("quantile_cont(excess, 0.5) FILTER (verdict IN ('clear', 'caution')) - quantile_cont(excess, 0.5) FILTER (verdict = 'avoid')", 2)} AS rest_minus_avoid FROM th WHERE size >= 3 GROUP BY 1, 2""")
 def _(v: Views):
     return verdicts.defensive_thirds(outcomes(v))
+
+
+#: The least names of a horizon here: the operator asks for 50, which no horizon of the small tables has.
+SCREENED = 20
+SCREEN_SQL = MEMBER_SQL + f""", sc AS (SELECT horizon, ticker, CAST(ticker * 7 % 10 AS DOUBLE) AS d, CAST(ticker * 31 % 97 AS DOUBLE) AS v, {r('x', 4)} AS x FROM rv WHERE status = 'resolved' AND x IS NOT NULL AND ticker % 7 <> 0 AND ticker % 5 <> 0),
+  sk AS (SELECT *, count(*) OVER h AS n, row_number() OVER (PARTITION BY horizon ORDER BY d, ticker) AS k, rank() OVER (PARTITION BY horizon ORDER BY d) + (count(*) OVER (PARTITION BY horizon, d) - 1) / 2.0 AS rd,
+    rank() OVER (PARTITION BY horizon ORDER BY v) + (count(*) OVER (PARTITION BY horizon, v) - 1) / 2.0 AS rv_, rank() OVER (PARTITION BY horizon ORDER BY x) + (count(*) OVER (PARTITION BY horizon, x) - 1) / 2.0 AS rx FROM sc WINDOW h AS (PARTITION BY horizon))"""
+
+
+def screened(v: Views):
+    key = F.col("ticker")
+    rows = resolved(v).where("status = 'resolved'").select(
+        "horizon", "ticker", F.when(key % 7 != 0, "passes").otherwise("fails").alias("screen_status"), (key * 7 % 10).cast("double").alias("score_defensive"),
+        F.when(key % 5 != 0, (key * 31 % 97).cast("double")).alias("score_v3"), half_even("excess_return_percent", 4).alias("excess"))
+    return cut(verdicts.screened(rows))
+
+
+@register("a19_screen_correlations", "px bench listing", "WITH " + SCREEN_SQL + f""", cc AS (SELECT horizon, count(*) AS resolved, CASE WHEN count(*) >= 20 THEN {r('corr(rd, rx)', 4)} END AS a, CASE WHEN count(*) >= 20 THEN {r('corr(rv_, rx)', 4)} END AS b FROM sk GROUP BY 1)
+  SELECT horizon, resolved, a AS ic_defensive, b AS ic_v3, {r('a - b', 4)} AS defensive_minus_v3 FROM cc""")
+def _(v: Views):
+    return verdicts.screen_correlations(screened(v), SCREENED)
+
+
+@register("a19_screen_terciles", "px bench listing", "WITH " + SCREEN_SQL + f""" SELECT horizon, least(2, (k - 1) * 3 // n) + 1 AS tercile, count(*) AS resolved, {r('quantile_cont(x, 0.5)', 2)} AS median_excess_percent, {r('count(*) FILTER (x > 0) * 100.0::DOUBLE / count(*)', 2)} AS win_rate_percent FROM sk WHERE n >= 20 GROUP BY 1, 2""")
+def _(v: Views):
+    return verdicts.screen_terciles(screened(v), SCREENED)

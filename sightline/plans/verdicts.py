@@ -69,3 +69,27 @@ def defensive_thirds(rows: DataFrame) -> DataFrame:
     parts = ranking.join_groups(placed, sizes, ["horizon"]).withColumn("third", F.ceil(F.col("place") * 3 / F.col("size")).cast("int"))
     names = parts.groupBy("horizon", "third").agg(F.count(F.lit(1)).alias("names"))
     return names.join(_spreads(_medians(parts, ["horizon", "third"]), ["horizon", "third"], {"rest_minus_avoid": ("rest", "avoid")}), ["horizon", "third"])
+
+
+def screened(rows: DataFrame) -> DataFrame:
+    """Names that passed the screen, carry both frozen scores and were resolved: both orders are measured on the same names."""
+    both = finite("score_defensive").isNotNull() & finite("score_v3").isNotNull() & finite("excess").isNotNull()
+    return rows.where((F.col("screen_status") == "passes") & both).select("horizon", "ticker", "score_defensive", "score_v3", "excess")
+
+
+def screen_correlations(rows: DataFrame, minimum: int = 50) -> DataFrame:
+    """horizon, resolved, ic_defensive, ic_v3 and their difference, over ``screened`` rows; null below ``minimum`` names."""
+    one = lambda score, name: stats.rank_correlation(rows, ["horizon"], score, "excess", minimum=minimum, name=name)
+    both = one("score_defensive", "d").join(one("score_v3", "v").drop("pairs"), "horizon")
+    d, v = half_even("d", 4), half_even("v", 4)
+    return both.select("horizon", F.col("pairs").alias("resolved"), d.alias("ic_defensive"), v.alias("ic_v3"), half_even(d - v, 4).alias("defensive_minus_v3"))
+
+
+def screen_terciles(rows: DataFrame, minimum: int = 50) -> DataFrame:
+    """horizon, tercile (1 least defensive), resolved, median and win rate of ``screened`` rows; none below ``minimum`` names."""
+    sizes = rows.groupBy("horizon").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= minimum)
+    placed = ranking.positions(rows, ["horizon"], [F.col("score_defensive"), F.col("ticker")], name="place")
+    parts = ranking.join_groups(placed, sizes, ["horizon"]).withColumn("tercile", ranking.floor_bucket(F.col("place"), F.col("size"), 3) + 1)
+    wins = F.sum(F.when(F.col("excess") > 0, F.col("n")).otherwise(0))
+    found = stats.quantiles(parts, ["horizon", "tercile"], "excess", {"median": 0.5}, extra=[F.sum("n").alias("resolved"), wins.alias("wins")])
+    return found.select("horizon", "tercile", "resolved", half_even("median", 2).alias("median_excess_percent"), half_even(F.col("wins") * 100.0 / F.col("resolved"), 2).alias("win_rate_percent"))

@@ -21,3 +21,12 @@ def test_outcomes_by_verdict(spark):
     assert sorted(tuple(r) for r in verdicts.defensive_thirds(rows).collect()) == [("1M", 1, 1, None), ("1M", 2, 1, None), ("1M", 3, 1, None)]
     assert verdicts.defensive_thirds(rows.where("ticker <> 'A'")).count() == 0
     assert verdicts.verdict_outcomes(rows.limit(0)).count() == verdicts.verdict_spreads(rows.limit(0)).count() == 0
+
+
+def test_screen_orders_are_measured_on_the_same_names(spark):
+    rows = spark.createDataFrame([("1M", f"T{i}", "passes", float(i), float(-i), float(i)) for i in range(7)] + [("1M", "N", "passes", None, 1.0, 1.0), ("1M", "F", "fails", 1.0, 1.0, 1.0), ("1M", "Q", "passes", 1.0, 1.0, float("nan")),
+                                 ("3M", "A", "passes", 1.0, 1.0, 1.0)], "horizon string, ticker string, screen_status string, score_defensive double, score_v3 double, excess double")
+    kept = verdicts.screened(rows)
+    assert sorted(tuple(r) for r in verdicts.screen_correlations(kept, 5).collect()) == [("1M", 7, 1.0, -1.0, 2.0), ("3M", 1, None, None, None)]
+    assert sorted(tuple(r) for r in verdicts.screen_terciles(kept, 5).collect()) == [("1M", 1, 3, 1.0, 66.67), ("1M", 2, 2, 3.5, 100.0), ("1M", 3, 2, 5.5, 100.0)]
+    assert verdicts.screen_terciles(kept.limit(0), 5).count() == 0
