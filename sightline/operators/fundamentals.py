@@ -96,6 +96,12 @@ def differenced_quarters(durations: DataFrame, direct_ends: DataFrame) -> DataFr
     )
 
 
+def exact_sum(value: str) -> Column:
+    """Sum that no order of the rows changes: in decimals of 12 places where all values fit, else in doubles."""
+    fixed = F.col(value).try_cast("decimal(28,12)")
+    return F.when(F.count(fixed) == F.count(value), F.sum(fixed).cast("double")).otherwise(F.sum(value))
+
+
 def annual_minus_three(durations: DataFrame, quarters: DataFrame, direct_ends: DataFrame) -> DataFrame:
     """Annual figure minus exactly three quarters as they were known when it was filed."""
     low, high = RULES["annual_days"]
@@ -119,7 +125,7 @@ def annual_minus_three(durations: DataFrame, quarters: DataFrame, direct_ends: D
         (F.col("q.start_d") >= F.date_sub("y_start", tolerance)) & (F.col("q.priority") == F.col("y_priority")))
     summed = known.groupBy(*item).agg(
         F.count(F.lit(1)).alias("n"), F.max("end_d").alias("last_end"), F.max("q.filed").alias("last_filed"),
-        F.sum("q.val").alias("three"),
+        exact_sum("q.val").alias("three"),
     ).where((F.col("n") == 3) & (F.abs(F.datediff("last_end", "y_start") - 273) <= 2 * tolerance))
     return summed.select(
         *KEY, F.col("last_end").alias("start_d"), F.col("y_end").alias("end_d"),

@@ -44,3 +44,10 @@ def test_market_cap_needs_a_price_and_reconciles(spark):
     cap, basis = fx.reconciled_market_cap(F.col("shares"), F.col("price"), F.col("supplied"))
     assert [(r[0], r[1]) for r in frame.select(cap, basis).collect()] == [
         (50.0, "reported_shares"), (200.0, "reported_shares_unreconciled"), (None, None), (50.0, "reported_shares")]
+
+
+def test_sums_do_not_depend_on_the_order_of_rows(spark):
+    for values in ([1e15, 0.07, -1e15], [0.07, 1e15, -1e15], [1e15, -1e15, 0.07, None]):
+        rows = spark.createDataFrame([(v,) for v in values], "val double").coalesce(1)
+        assert rows.agg(fx.exact_sum("val")).first()[0] == 0.07
+    assert spark.createDataFrame([(1e30,), (1e30,)], "val double").agg(fx.exact_sum("val")).first()[0] == 2e30
