@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sightline.session import recovery_directory
+from sightline.session import stored  # noqa: F401  (the operators import it from here)
 
 #: Words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,30 +15,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-#: Spark removes the shuffle files of an execution when it ends, if this is set.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def stored(frame: DataFrame, free: bool = False) -> DataFrame:
-    """Write a stage as Parquet in the shared checkpoint folder and read it back.
-
-    Unlike ``checkpoint`` the copy is columnar, so later branches read only their columns. A lost executor costs a
-    re-read: no lineage and no machine-local file is needed. ``free``: the shuffle files of the stage are removed once it is
-    written, as nothing reads them again.
-    """
-    spark = frame.sparkSession
-    path = f"{recovery_directory(spark)}/stage-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    try:
-        if free:
-            spark.conf.set(CLEANUP, "true")
-        frame.write.parquet(path)
-    finally:
-        if free:
-            spark.conf.set(CLEANUP, before)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def forget(frame: DataFrame) -> None:
     """Remove the files of a ``stored`` stage whose readers are all stored themselves; nothing may read it afterwards."""
     spark = frame.sparkSession

@@ -15,24 +15,70 @@ from pyspark.sql import functions as F
 from sightline import config as C
 from sightline.functions import ranking, stats
 from sightline.functions.scalars import half_even, positive
-from sightline.operators import asof, prices, scoring
+from sightline.operators import prices, scoring
+from sightline.session import cut
+
+
+def _month(day: str) -> Column:
+    """Months as whole numbers, one apart."""
+    return F.year(day) * 12 + F.month(day)
+
+
+def known_at(own: DataFrame, ends: DataFrame, minimum: int) -> DataFrame:
+    """The last of own(ticker, benchmark, own_d, sessions, ...) on or before every month end, unless it is stale then.
+
+    ``ends``: benchmark, d, m (the month of d), stale_after. Sessions outside the calendar count. A session is kept if it is
+    the last one before some month end, so no ticker meets its whole calendar.
+    """
+    own = own.withColumn("m", _month("own_d"))
+    bounds = ends.groupBy("benchmark").agg(F.max("m").alias("__last"))
+    dated = own.join(bounds, "benchmark").join(ends.select("benchmark", "m", F.col("d").alias("__end")), ["benchmark", "m"], "left")
+    # The first month whose end is not before the session.
+    dated = dated.withColumn("__first", F.when(F.col("own_d") > F.col("__end"), F.col("m") + 1).otherwise(F.col("m")))
+    following = F.lead("__first").over(Window.partitionBy("ticker").orderBy("own_d"))
+    until = F.least(F.coalesce(F.col("__next") - 1, F.col("__last")), F.col("__last"))
+    latest = dated.withColumn("__next", following).withColumn("__until", until).where(
+        (F.col("__first") <= F.col("__until")) & (F.col("sessions") >= minimum))
+    spread = latest.withColumn("m", F.explode(F.sequence("__first", "__until"))).drop("__end", "__first", "__next", "__until", "__last")
+    return spread.join(ends, ["benchmark", "m"]).where(F.col("own_d") >= F.col("stale_after"))
+
+
+def closes_at(bars: DataFrame, calendar: DataFrame, ends: DataFrame, stale: int, horizons: Mapping[str, int]) -> DataFrame:
+    """ticker, m, start_close at the month end and ``close_<horizon>`` that many sessions later.
+
+    A close of bars(ticker, benchmark, d, close) holds on its session of the calendar and at most ``stale`` sessions after it,
+    until the next one; only sessions that a month end asks for are kept.
+    """
+    dated = bars.where(F.col("close").isNotNull()).join(calendar.select("benchmark", "d", "at"), ["benchmark", "d"])
+    following = F.lead("at").over(Window.partitionBy("ticker").orderBy("d"))
+    final = F.col("at") + stale
+    held = dated.select("ticker", "benchmark", "close", "at", F.least(final, F.coalesce(following - 1, final)).alias("__until"))
+    held = held.select("ticker", "benchmark", "close", F.explode(F.sequence("at", "__until")).alias("at"))
+    slots = {"start_close": 0, **{f"close_{name}": days for name, days in horizons.items()}}
+    asked = F.explode(F.array(*[
+        F.struct((F.col("at") + days).alias("at"), F.lit(i).alias("slot")) for i, days in enumerate(slots.values())]))
+    # A session after the end of the calendar has no close.
+    wanted = ends.select("benchmark", "m", "length", asked.alias("x")).where("x.at <= length").select("benchmark", "m", "x.at", "x.slot")
+    return held.join(wanted, ["benchmark", "at"]).groupBy("ticker", "m").agg(
+        *[F.max(F.when(F.col("slot") == i, F.col("close"))).alias(name) for i, name in enumerate(slots)])
 
 
 def observations(bars: DataFrame, bench: DataFrame, listing: DataFrame, settings: Mapping | None = None) -> DataFrame:
     """One row per (period, ticker): features known at month end and forward returns.
 
     ``bars``: ticker, d, close, volume. ``bench``: benchmark, d, close.
-    ``listing``: ticker, benchmark, sector, market_cap.
+    ``listing``: ticker, benchmark, sector, market_cap. Only month ends and the sessions that a horizon leads to are looked
+    up, so the rows that are sorted and joined grow with the bars, not with tickers times sessions.
     """
     rules = {**C.BACKTEST, **(settings or {})}
     horizons: Mapping[str, int] = rules["horizons"]
     stale = rules["stale_sessions"]
-    features = prices.price_features(bars)
     over_bench = Window.partitionBy("benchmark").orderBy("d")
     strength = C.LOOKBACKS["relative_strength_days"]
     base = F.lag("close", strength - 1).over(over_bench)
-    calendar = bench.select(
-        "benchmark", "d",
+    calendar = cut(bench.select(
+        "benchmark", "d", F.row_number().over(over_bench).alias("at"),
+        F.count(F.lit(1)).over(Window.partitionBy("benchmark")).alias("length"),
         half_even((F.col("close") - base) / base * 100.0, 6).alias("benchmark_period_return"),
         F.coalesce(F.lag("d", stale).over(over_bench), F.min("d").over(Window.partitionBy("benchmark")))
         .alias("stale_after"),
@@ -40,29 +86,20 @@ def observations(bars: DataFrame, bench: DataFrame, listing: DataFrame, settings
             ((F.lead("close", days).over(over_bench) / F.col("close") - 1.0) * 100.0).alias(f"benchmark_return_{name}")
             for name, days in horizons.items()
         ],
-    )
-    grid = asof.calendar_grid(listing, calendar)
-    # Own sessions outside the benchmark calendar still count as known history.
+    ))
+    # Both calendars are stored, so Spark knows that they are small and broadcasts them.
+    ends = cut(calendar.join(prices.month_ends(calendar.select("benchmark", "d")), ["benchmark", "d"]).withColumn("m", _month("d")))
+    members = listing.select("ticker", "benchmark", "sector", "market_cap")
+    features = prices.price_features(bars)
     names = [name for name in features.columns if name not in ("ticker", "d")]
-    own = features.select("ticker", "d", F.struct(F.col("d").alias("own_d"), *names).alias("own"))
-    joined = grid.join(own, ["ticker", "d"], "full")
-    by_ticker = Window.partitionBy("ticker").orderBy("d")
-    known = joined.withColumn(
-        "known", F.last("own", ignorenulls=True).over(by_ticker.rowsBetween(Window.unboundedPreceding, 0)),
-    ).where(F.col("benchmark").isNotNull())
-    aligned = asof.forward_fill(known.withColumn("__c", F.col("own.close")), "ticker", "__c", stale, "start_close")
-    ahead = {
-        name: (F.lead("start_close", days).over(by_ticker) / F.col("start_close") - 1.0) * 100.0
-        for name, days in horizons.items()
-    }
-    with_returns = aligned.withColumns({f"return_{name}": value for name, value in ahead.items()})
-    ends = prices.month_ends(bench.select("benchmark", "d"))
-    chosen = with_returns.join(ends, ["benchmark", "d"]).where(
-        (F.col("known.sessions") >= rules["minimum_history"]) & (F.col("known.own_d") >= F.col("stale_after")),
-    )
-    flat = chosen.select(
+    known = known_at(features.withColumnRenamed("d", "own_d").join(members, "ticker"), ends, rules["minimum_history"])
+    closes = closes_at(bars.join(members.select("ticker", "benchmark"), "ticker"), calendar, ends, stale, horizons)
+    chosen = known.join(closes, ["ticker", "m"], "left")
+    with_returns = chosen.withColumns({
+        f"return_{name}": (F.col(f"close_{name}") / F.col("start_close") - 1.0) * 100.0 for name in horizons})
+    flat = with_returns.select(
         "period", "d", "ticker", "benchmark", "sector", "market_cap", "start_close", "benchmark_period_return",
-        *[F.col(f"known.{name}").alias(name) for name in names],
+        *names,
         *[f"return_{name}" for name in horizons],
         *[f"benchmark_return_{name}" for name in horizons],
         *[

@@ -1,9 +1,10 @@
-"""Session settings and lineage cuts that survive executor loss."""
+"""Session settings, stored stages and lineage cuts that survive executor loss."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,11 +45,35 @@ def recovery_directory(spark: SparkSession) -> str:
     return configured
 
 
+#: Spark removes the shuffle files of an execution when it ends, if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(frame: DataFrame, free: bool = False) -> DataFrame:
+    """Write a stage as Parquet in the shared checkpoint folder and read it back.
+
+    Unlike ``checkpoint`` the copy is columnar, so later branches read only their columns. A lost executor costs a
+    re-read: no lineage and no machine-local file is needed. ``free``: the shuffle files of the stage are removed once it is
+    written, as nothing reads them again.
+    """
+    spark = frame.sparkSession
+    path = f"{recovery_directory(spark)}/stage-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    try:
+        if free:
+            spark.conf.set(CLEANUP, "true")
+        frame.write.parquet(path)
+    finally:
+        if free:
+            spark.conf.set(CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Materialise a stage that several branches read, in the shared folder.
 
     Later branches read one stored copy: nothing is recomputed, float sums keep
-    one value in every branch, and a lost executor costs a re-read only.
+    one value in every branch, and a lost executor costs a re-read only. The
+    shuffle files of the stage go once it is stored.
     """
-    recovery_directory(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    return stored(frame, free=True)
