@@ -5,6 +5,8 @@ their reduced forms are equal or differ by one edit as well. So each word genera
 reduced form, which is small because the alphabet is, joins it with the reduced vocabulary, and the pairs that meet are
 verified on the original strings. No pair is missed and none is met twice.
 
+A stored vocabulary is small in bytes and large in memory, so its joins are sort merges: none goes through the driver.
+
 All steps are DataFrame functions. Words are counted before the shuffle, so a word that holds a third of all tokens is one
 row a task. The vocabulary is joined by reduced form; a form that many words share is split by AQE like any other join key.
 """
@@ -50,7 +52,7 @@ def near_pairs(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     asked = held.select("word", "n", F.explode(neighbourhood(F.col("form"), symbols)).alias("form"))
     other = held.select(F.col("word").alias("other"), F.col("n").alias("other_n"), "form")
     near = (F.abs(F.length("word") - F.length("other")) <= 1) & (F.call_function("levenshtein", F.col("word"), F.col("other"), F.lit(1)) == 1)
-    return asked.join(other, "form").where(near).select("word", "n", "other", "other_n")
+    return asked.hint("merge").join(other.hint("merge"), "form").where(near).select("word", "n", "other", "other_n")
 
 
 def variant_groups(words: DataFrame, ratio: int = 5, symbols: int = SYMBOLS) -> DataFrame:
@@ -69,7 +71,7 @@ def variant_groups(words: DataFrame, ratio: int = 5, symbols: int = SYMBOLS) ->
     # UTF-8 bytes sort like code points, so the smallest of equal counts is the minimum of a plain struct.
     best = F.min(F.struct((-F.col("other_n")).alias("rank"), F.col("other").alias("word")))
     found = near_pairs(vocabulary, symbols).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    joined = vocabulary.join(found, "word", "left")
+    joined = vocabulary.hint("merge").join(found.hint("merge"), "word", "left")
     fits = (-F.col("best.rank") >= ratio * F.col("n")) & (F.col("n") > 0)
     ranked = stored(joined.select(
         "word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("best.word")).alias("form"),
@@ -78,11 +80,11 @@ def variant_groups(words: DataFrame, ratio: int = 5, symbols: int = SYMBOLS) ->
     links = ranked.where("form is not null").select("word", F.col("form").alias("root"))
     while True:  # pointer doubling: each round doubles the steps taken
         ahead = links.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        moved = stored(links.join(ahead, "root", "left").select("word", F.coalesce("further", "root").alias("root"), "further"))
+        moved = stored(links.hint("merge").join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root"), "further"))
         links = moved.select("word", "root")
         if moved.where("further is not null").isEmpty():
             break
-    return ranked.join(links, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return ranked.hint("merge").join(links.hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
 
 
 def count_words(tokens: DataFrame, min_length: int = 6, min_count: int = 5) -> DataFrame:

@@ -20,9 +20,10 @@ def latest_public_floats(frames: DataFrame) -> DataFrame:
 def public_float_as_of(asked: DataFrame, floats: DataFrame, ties: Sequence[str] = (), max_age_days: int = 550) -> DataFrame:
     """The float known on each asked (cik, as_of): filed by then, at most ``max_age_days`` old, the latest (end, filed).
 
-    Requests without such a float have no row.
+    Requests without such a float have no row. Both sides are shuffled: requests made by ``explode`` look small to Spark, which
+    would broadcast them through the driver.
     """
-    known = asked.join(floats, "cik").where(
+    known = asked.hint("merge").join(floats.hint("merge"), "cik").where(
         (F.col("filed") <= F.col("as_of")) & (F.datediff("as_of", "end") <= max_age_days))
     return known.groupBy("cik", "as_of").agg(F.max_by("val", F.struct("end", "filed", *ties)).alias("public_float"))
 
@@ -44,7 +45,7 @@ def dead_observations(exits: DataFrame, floats: DataFrame, start: str, minimum_c
     asked = exits.where(F.col("exit_date") > F.last_day(F.lit(start).cast("date"))).withColumn("month", F.explode(months))
     asked = asked.withColumn("as_of", F.last_day("month")).drop("month").where(F.col("as_of") < F.col("exit_date"))
     known = public_float_as_of(asked.select("cik", "as_of").distinct(), floats, ties)
-    sized = asked.join(known, ["cik", "as_of"], "left").withColumn(
+    sized = asked.hint("merge").join(known.hint("merge"), ["cik", "as_of"], "left").withColumn(
         "estimated_cap", estimated_market_cap(F.col("public_float"), insider_share)).drop("public_float")
     inside = F.col("estimated_cap").between(minimum_cap, maximum_cap)
     return sized.where(F.coalesce(inside, F.lit(include_unknown_size)))

@@ -6,7 +6,8 @@ import statistics
 from pyspark.sql import functions as F
 
 from sightline.functions import ranking, stats
-from sightline.operators import coverage, peers, price_report, prices
+from sightline.llm import variants
+from sightline.operators import coverage, floats, peers, price_report, prices
 from sightline.sources import pages, universe
 
 NAN, INF = float("nan"), float("inf")
@@ -114,3 +115,24 @@ def test_visible_text(spark):
     found = {row["id"]: row["text"] for row in pages.page_text(frame, name="name").collect()}
     assert found == {i: want for i, (_, _, want) in enumerate(cases)}
     assert pages.page_text(frame.limit(0)).count() == 0
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_requests_made_by_explode_do_not_pass_the_driver(spark):
+    exits = spark.createDataFrame([(1, "2020-03-15"), (2, "2020-02-20")], "cik int, exit_date string").withColumn("exit_date", F.to_date("exit_date"))
+    held = spark.createDataFrame([(1, "2019-12-31", 90.0), (2, "2019-12-31", 15.0)], "cik int, end string, val double").select(
+        "cik", F.to_date("end").alias("end"), "val", F.to_date("end").alias("filed"), F.lit(1).alias("frame"))
+    found = floats.dead_observations(exits, held, "2020-01-01", 100.0, 300.0, ["frame"])
+    assert "BroadcastHashJoin" not in _plan(found)
+    assert [(r.cik, str(r.as_of), r.estimated_cap) for r in found.orderBy("as_of").collect()] == [(1, "2020-01-31", 120.0), (1, "2020-02-29", 120.0)]
+
+
+def test_vocabularies_do_not_pass_the_driver(spark):
+    words = spark.createDataFrame([("abcdef", 9), ("abcdeg", 100), ("zzzzzz", 5)], "word string, n long")
+    assert "BroadcastHashJoin" not in _plan(variants.near_pairs(words))
+    found = variants.variant_groups(words)
+    assert "BroadcastHashJoin" not in _plan(found)
+    assert {r.word: r.root for r in found.collect()} == {"abcdef": "abcdeg", "abcdeg": "abcdeg", "zzzzzz": "zzzzzz"}
