@@ -14,12 +14,16 @@ so no window here is partitioned by the group alone. Two plans do the work:
     picked through a hash (about ``SLOTS`` per group), rows are numbered inside
     their cut, and the totals of the cuts before are added.
 
+With ``sized`` both first count the rows of each group (combined before the shuffle): groups of at most ``GATHER`` rows are
+ranked by a window each, so their rows are shuffled once; larger ones take the plans above. The input is read three times
+then, so it should be a stored stage.
+
 Both need keys that are reproducible across branches: stored, or rounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +32,8 @@ from sightline.functions.scalars import finite, half_even
 
 STEPS_PER_OCTAVE = 1024
 SLOTS = 48
+#: Rows of a group that one task may rank.
+GATHER = 200_000
 
 
 def magnitude_bucket(value: str | Column) -> Column:
@@ -84,8 +90,44 @@ def value_ladder(frame: DataFrame, groups: Sequence[str], value: str) -> DataFra
     )
 
 
-def attach_ladder(frame: DataFrame, groups: Sequence[str], value: str, prefix: str = "") -> DataFrame:
+def by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of groups ``__g`` of at most ``GATHER`` rows, whole groups to a task, and all other rows.
+
+    There is at most one large group for every ``GATHER`` rows, so their list is short and is broadcast.
+    """
+    large = F.broadcast(rows.groupBy("__g").agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > GATHER).select("__g"))
+    return rows.join(large, "__g", "left_anti").repartition("__g"), rows.join(large, "__g", "left_semi")
+
+
+def attach_ladders(frame: DataFrame, groups: Sequence[str], values: Mapping[str, str]) -> DataFrame:
+    """``attach_ladder`` of several columns, values[prefix]; the groups are counted first (see ``sized`` above)."""
+    others = [name for name in frame.columns if name not in groups]
+    names = [prefix + name for prefix in values for name in ("n", "below", "total")]
+    small, large = by_size(grouped(frame, groups).select("__g", *others))
+    for prefix, value in values.items():
+        # Adding zero makes one value of 0.0 and -0.0.
+        small = small.withColumn("__v", finite(value) + 0.0).withColumn("__known", F.col("__v").isNotNull())
+        known = Window.partitionBy("__g", "__known")
+        found = {
+            "n": F.count(F.lit(1)).over(Window.partitionBy("__g", "__known", "__v")),
+            "below": F.rank().over(known.orderBy("__v")).cast("bigint") - 1,
+            "total": F.count(F.lit(1)).over(known),
+        }
+        small = small.select("__g", "__known", *[c for c in small.columns if c not in ("__g", "__known", "__v")], *[
+            column.alias(f"__{name}") for name, column in found.items()])
+        small = small.withColumns({prefix + name: F.when(F.col("__known"), F.col(f"__{name}")) for name in found}).drop(
+            "__known", *[f"__{name}" for name in found])
+    whole = [F.col("__g")[name].alias(name) if name in groups else F.col(name) for name in frame.columns]
+    rest = large.select(*whole)
+    for prefix, value in values.items():
+        rest = attach_ladder(rest, groups, value, prefix)
+    return small.select(*whole, *names).unionByName(rest)
+
+
+def attach_ladder(frame: DataFrame, groups: Sequence[str], value: str, prefix: str = "", sized: bool = False) -> DataFrame:
     """Rows with their ladder columns; rows without a finite value get nulls."""
+    if sized and groups:
+        return attach_ladders(frame, groups, {prefix: value})
     rungs = value_ladder(frame, groups, value)
     rungs = rungs.select(
         *groups, value,
@@ -131,13 +173,20 @@ def descending_minimum_rank(n: str = "n", below: str = "below", total: str = "to
 
 
 def positions(frame: DataFrame, groups: Sequence[str], order: Sequence[Column], *,
-              name: str = "position", total: str | None = None) -> DataFrame:
+              name: str = "position", total: str | None = None, sized: bool = False) -> DataFrame:
     """Add 1-based row numbers of a total order inside each group.
 
     ``order`` lists ascending keys (negate numbers for descending order); the
     last one must be unique inside a group.
     """
     columns = frame.columns
+    if sized and groups:
+        small, large = by_size(grouped(frame, groups))
+        whole = Window.partitionBy("__g")
+        numbered = small.withColumn("__p", F.row_number().over(whole.orderBy(*order)).cast("bigint")).withColumn(
+            "__n", F.count(F.lit(1)).over(whole))
+        numbered = numbered.select(*columns, F.col("__p").alias(name), *[F.col("__n").alias(total)] * bool(total))
+        return numbered.unionByName(positions(large.select(*columns), groups, order, name=name, total=total))
     rows = grouped(frame, groups).withColumn("__k", F.struct(*[key.alias(f"k{i}") for i, key in enumerate(order)]))
     picked = rows.groupBy("__g", F.pmod(F.xxhash64("__k"), F.lit(SLOTS)).alias("__slot")).agg(
         F.min_by("__k", F.xxhash64("__k", F.lit(17))).alias("__k"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.ranking import attach_ladder, join_groups, value_ladder
+from sightline.functions.ranking import attach_ladder, attach_ladders, join_groups, value_ladder
 from sightline.functions.scalars import finite, half_even
 
 
@@ -92,7 +92,10 @@ def rank_correlation(frame: DataFrame, groups: Sequence[str], left: str, right:
     Groups with fewer than ``minimum`` pairs or a constant side give null.
     """
     pairs = frame.where(finite(left).isNotNull() & finite(right).isNotNull()).select(*groups, left, right)
-    ranked = attach_ladder(attach_ladder(pairs, groups, left, "l_"), groups, right, "r_")
+    if groups:
+        ranked = attach_ladders(pairs, groups, {"l_": left, "r_": right})
+    else:
+        ranked = attach_ladder(attach_ladder(pairs, groups, left, "l_"), groups, right, "r_")
     left_rank = F.col("l_below") + (F.col("l_n") + 1) / 2.0
     right_rank = F.col("r_below") + (F.col("r_n") + 1) / 2.0
     enough = (

@@ -43,7 +43,7 @@ def signal_percentiles(frame: DataFrame, groups: Sequence[str], key: str, signal
         .where(F.col("e.value").isNotNull())
         .select(*groups, key, F.explode("__scopes").alias("scope"), "e.signal", "e.value")
     )
-    placed = attach_ladder(long, [*groups, "scope", "signal"], "value").withColumn("pct", percent_spread())
+    placed = attach_ladder(long, [*groups, "scope", "signal"], "value", sized=bool(groups)).withColumn("pct", percent_spread())
     is_universe = F.col("scope") == UNIVERSE
     columns = []
     for name in signals:
@@ -51,7 +51,9 @@ def signal_percentiles(frame: DataFrame, groups: Sequence[str], key: str, signal
         universe = F.max(F.when(own & is_universe, F.col("pct")))
         local = F.max(F.when(own & ~is_universe & (F.col("total") >= minimum_group), F.col("pct")))
         columns += [universe.alias(f"u_{name}"), F.coalesce(local, universe).alias(f"p_{name}")]
-    return placed.groupBy(*groups, key).agg(*columns)
+    # A key has few rows, each of few bytes: they are shuffled as they are, not as a wide row of partial results each.
+    narrow = placed.select(*groups, key, "scope", "signal", "total", "pct").repartition(*groups, key)
+    return narrow.groupBy(*groups, key).agg(*columns)
 
 
 def score_cross_section(frame: DataFrame, groups: Sequence[str], key: str, model: Mapping, *,

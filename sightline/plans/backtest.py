@@ -166,7 +166,7 @@ def ranked_outcomes(long: DataFrame) -> DataFrame:
     """Tie-broken order per cross-section: score, then relative strength, both descending, then ticker."""
     scored = long.where(F.col("score").isNotNull())
     order = [-F.col("score"), F.col("relative_strength_6m").isNull(), -F.col("relative_strength_6m"), F.col("ticker")]
-    return ranking.positions(scored, ["period", "horizon", "column"], order, total="members")
+    return ranking.positions(scored, ["period", "horizon", "column"], order, total="members", sized=True)
 
 
 def quantile_ladder(ranked: DataFrame, quantiles: int) -> DataFrame:

@@ -25,7 +25,7 @@ def with_screen(rows: DataFrame, score: str = "score_v3", quantiles: int = 5, mi
     candidate = F.col(score).isNotNull() & ~barred
     placed = ranking.positions(
         rows.where(candidate).select("period", "ticker", score), ["period"],
-        [-F.col(score), F.col("ticker")], total="__n",
+        [-F.col(score), F.col("ticker")], total="__n", sized=True,
     )
     quintile = (quantiles - ranking.floor_bucket(F.col("position"), F.col("__n"), quantiles)).cast("int")
     graded = placed.select("period", "ticker", quintile.alias("quintile"))
@@ -100,7 +100,7 @@ def half_split(long: DataFrame, directions: DataFrame | None, minimum: int, spli
     paired = long.where(F.col("score").isNotNull() & F.col("excess").isNotNull())
     if directions is not None:
         paired = paired.join(directions, "column").withColumn("score", F.col("score") * F.col("direction"))
-    placed = ranking.attach_ladder(paired.select(*keys, "score", "excess"), keys, "score")
+    placed = ranking.attach_ladder(paired.select(*keys, "score", "excess"), keys, "score", sized=True)
     halves = placed.withColumn("half", F.when(ranking.rank_share() > 0.5, "better").otherwise("worse")).where(
         (F.col("total") >= minimum) & (F.col("n") < F.col("total")))
     summary = stats.outcome_summary(halves, [*keys, "half"], "excess")
@@ -227,6 +227,6 @@ def tiebreaker(rows: DataFrame, chosen: Mapping[str, float], name: str = "tiebre
     ])
     long = rows.select("period", "ticker", F.explode(entries).alias("e")).select("period", "ticker", "e.*") \
         .where(F.col("value").isNotNull())
-    placed = ranking.attach_ladder(long, ["period", "signal"], "value")
+    placed = ranking.attach_ladder(long, ["period", "signal"], "value", sized=True)
     mean = placed.groupBy("period", "ticker").agg(half_even(F.avg(ranking.rank_share()), 9).alias("__t"))
     return rows.join(mean, ["period", "ticker"], "left").withColumn(name, F.coalesce("__t", F.lit(0.5))).drop("__t")

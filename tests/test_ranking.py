@@ -69,3 +69,33 @@ def test_rank_correlation_with_constant_side_is_null(spark):
                                   "g string, x double, y double")
     found = {row.g: row.ic for row in stats.rank_correlation(frame, ["g"], "x", "y").collect()}
     assert found["a"] is None and round(found["b"], 9) == -1.0
+
+
+def test_small_groups_shuffle_their_rows_once_and_large_ones_give_the_same(spark, monkeypatch):
+    from sightline.session import cut
+
+    data = [(i % 5 or None, i % 3, i, [0.0, -0.0, None, float("nan"), float("inf"), i % 4 / 2, -1.5, float(i)][i % 8]) for i in range(900)]
+    frame = cut(spark.createDataFrame(data, "g int, k int, id int, v double").repartition(8))
+    order = [-F.coalesce("v", F.lit(0.0)), F.col("id")]
+
+    def results():
+        ladder = ranking.attach_ladder(frame, ["g", "k"], "v", sized=True)
+        places = ranking.positions(frame, ["g", "k"], order, total="members", sized=True)
+        pairs = stats.rank_correlation(frame, ["g", "k"], "v", "id", minimum=2)
+        return [sorted(map(repr, rows.collect())) for rows in (ladder, places, pairs.withColumn("ic", F.round("ic", 9)))]
+
+    def written():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    plain = sorted(map(repr, ranking.attach_ladder(frame, ["g", "k"], "v").collect()))
+    before = written()
+    stats.rank_correlation(frame, ["g", "k"], "v", "id", minimum=2).collect()
+    # Every row once, the sizes of 15 groups per task and the last sums of each task.
+    assert written() - before <= 900 + 15 * 8 * 3
+    small = results()
+    for limit in (0, 60):
+        monkeypatch.setattr(ranking, "GATHER", limit)
+        assert results() == small
+    assert small[0] == plain
