@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sightline.llm.common import stored
+from sightline.llm.common import forget, stored
 
 DEPTH = 3
 #: A context occurs so often, and a word so often below it, at any size of the corpus.
@@ -248,7 +248,7 @@ def vocabulary(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFram
     with at least ``WORD_SHARE`` of all tokens: their number is bounded at any size of the corpus.
     """
     source = documents.select(F.col(text).cast("binary").alias("text"))
-    counts = stored(source.mapInPandas(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")))
+    counts = stored(source.mapInPandas(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), free=True)
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = int(totals[0]), int(totals[1])
     often = counts.where((F.col("n") >= max(2, WORD_SHARE * tokens)) | (F.col("h") == END)).toArrow().to_pandas().sort_values("h")
@@ -303,7 +303,7 @@ def _count_runs(placed: DataFrame, hashes, length: int, filter_: np.ndarray) ->
                 yield pd.DataFrame({"ctx": shorter[at[one] - 1], "suf": shorter[at[one]], "n": np.bincount(label, minlength=len(one))})
 
     found = placed.select("words", "h").mapInPandas(count, "ctx long, suf long, n long").repartition("ctx", "suf").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
-    return stored(found.where(F.col("n") >= WORD_COUNT).mapInPandas(_with_keys, "ctx long, suf long, n long, key long"))
+    return stored(found.where(F.col("n") >= WORD_COUNT).mapInPandas(_with_keys, "ctx long, suf long, n long, key long"), free=True)
 
 
 def grow(tree: Tree, placed: DataFrame, counts: DataFrame) -> Tree:
@@ -324,14 +324,15 @@ def grow(tree: Tree, placed: DataFrame, counts: DataFrame) -> Tree:
     contexts = contexts.where(F.col("size") >= CONTEXT_COUNT)
     filter_ = _filter_of(counts.where(F.col("n") >= WORD_COUNT).select(F.col("h").alias("key")).union(start.select("key")))
     digits = pd.Series(np.append(np.arange(tree.width), tree.end), np.append(tree.hashes, START))
-    rest = []
+    rest, stages = [], []
     for depth in range(1, DEPTH + 1):
         runs = _count_runs(placed, hashes, depth + 1, filter_)
         below = runs.join(contexts.withColumnRenamed("key", "ctx"), "ctx").join(
             values.select(F.col("key").alias("suf"), F.col("value").alias("parent")), "suf")
-        kept = stored(diverging(below))
+        kept = stored(diverging(below), free=True)
         held = below.join(kept.select("ctx", "fallback"), "ctx").withColumn("value", F.log10((F.col("n") - DISCOUNT) / F.col("size")))
-        held = stored(held.select("ctx", "suf", "key", "n", "size", "value", (F.col("value") - F.col("fallback") - F.col("parent")).alias("more")))
+        held = stored(held.select("ctx", "suf", "key", "n", "size", "value", (F.col("value") - F.col("fallback") - F.col("parent")).alias("more")), free=True)
+        stages += [runs, kept, held]
         inside = F.lit(depth <= LEVELS)
         if depth <= LEVELS:
             tree.levels.append(level(tree, digits, kept.where(F.col("size") >= big).toArrow().to_pandas(),
@@ -347,7 +348,9 @@ def grow(tree: Tree, placed: DataFrame, counts: DataFrame) -> Tree:
         # A run becomes a context if the run without its first word is a state; runs to the end of a text have no next word.
         contexts = runs.where(F.col("n") >= CONTEXT_COUNT).join(kept.select(F.col("ctx").alias("suf")), "suf", "left_semi").select("key", F.col("n").alias("size"))
         values, filter_ = held.select("key", "value"), _filter_of(runs.select("key"))
-    whole = stored(reduce(DataFrame.union, rest).groupBy("key").agg(F.max("n").alias("n"), F.sum("worth").alias("worth")))
+    whole = stored(reduce(DataFrame.union, rest).groupBy("key").agg(F.max("n").alias("n"), F.sum("worth").alias("worth")), free=True)
+    for stage in stages:
+        forget(stage)
     head = whole.where(F.col("n") >= often).toArrow().to_pandas().sort_values("key")
     tree.often, tree.worth = head["key"].to_numpy(np.int64), head["worth"].to_numpy(np.float64)
     tree.tail = whole.where(F.col("n") < often).select("key", "worth")
@@ -441,14 +444,17 @@ def score_placed(placed: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     light = counts.where(F.col("n") < max(2, WORD_SHARE * tree.tokens))
     found = placed.select("row", F.explode("h").alias("h")).join(light, "h", "left")
     worth = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.tokens + tree.distinct + 1)))
-    rare = found.select("row", worth.alias("worth"), F.lit(0.0).alias("below"), F.when(F.col("n") > 0, 1).otherwise(0).alias("more"))
+    known_words = F.count(F.when(F.col("n") > 0, True))
+    # Both sums are stored one after the other, so the shuffle files of their joins are not on disk together.
+    rare = stored(found.withColumn("worth", worth).groupBy("row").agg(F.sum("worth").alias("worth"), known_words.alias("more")), free=True)
     if tree.tail is not None:
         met = texts.mapInPandas(rare_runs, "row long, key long").join(tree.tail, "key")
-        rare = rare.union(met.select("row", F.lit(0.0), "worth", F.lit(0)))
-    rare = rare.groupBy("row").agg(F.sum("worth").alias("worth"), F.sum("below").alias("below"), F.sum("more").alias("more"))
+        met = stored(met.groupBy("row").agg(F.sum("worth").alias("below")), free=True)
+    else:
+        met = rare.select("row", F.lit(0.0).alias("below"))
     results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     rest = [name for name in placed.columns if name not in ("row", "words", "h", *results)]
-    out = placed.select("row", *[F.col(f"`{name}`") for name in rest]).join(scored, "row").join(rare, "row", "left")
+    out = placed.select("row", *[F.col(f"`{name}`") for name in rest]).join(scored, "row").join(rare, "row", "left").join(met, "row", "left")
     worth, below, more = F.coalesce("worth", F.lit(0.0)), F.coalesce("below", F.lit(0.0)), F.coalesce("more", F.lit(0))
     return out.select(*[F.col(f"`{name}`") for name in rest], "n_tokens", (F.col("known") + more).alias("n_known"),
                       F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + worth).alias("base_score"),

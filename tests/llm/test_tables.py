@@ -194,3 +194,19 @@ def test_whitening_query(spark):
     found = queries.QUERIES["op12_whitening"](spark, DATA).toPandas()
     assert len(found) == 8 * table(spark, DATA, "embeddings").count() and found["identity_error"].nunique() == 1
     assert found["identity_error"].max() < 1e-9 and sorted(found["component"].unique()) == list(range(1, 9))
+
+
+def test_suffix_tree_leaves_no_stage_that_nothing_reads(spark):
+    import os
+
+    from sightline.llm import suffix_tree
+    from sightline.session import recovery_directory
+
+    folder = recovery_directory(spark).removeprefix("file:")
+    texts = spark.createDataFrame([(i, f"a b c d a b c {'d e' if i % 2 else 'f g'}") for i in range(40)], "doc_id long, text string")
+    before = set(os.listdir(folder))
+    tree, counts = suffix_tree.train(texts)
+    # The counts of words, the placed words and what runs are worth; the runs and states of each depth are gone.
+    assert len(set(os.listdir(folder)) - before) == 3
+    out = suffix_tree.score_texts(texts, tree, counts).collect()
+    assert len(out) == 40 and all(row.score > row.base_score for row in out)
