@@ -41,7 +41,7 @@ LAST_SQL = FEATURES_SQL + """, last AS (
 
 
 def features(v: Views):
-    return prices.price_features(v.px)
+    return prices.price_features(v.bars)
 
 
 def latest(frame):
@@ -50,10 +50,10 @@ def latest(frame):
 
 
 def monthly(frame):
-    """The last session of each month per security."""
-    rest = [name for name in frame.columns if name not in ("ticker", "d")]
-    month = F.trunc("d", "month").alias("m")
-    return frame.groupBy("ticker", month).agg(F.max_by(F.struct("d", *rest), "d").alias("x")).select("ticker", "x.*")
+    """The last session of each month per security. Select what is asked first: all columns given are worked out and kept."""
+    month = F.struct(F.trunc("d", "month"))
+    following = F.lead(month).over(Window.partitionBy("ticker").orderBy("d"))
+    return frame.withColumn("__last", ~following.eqNullSafe(month)).where("__last").drop("__last")
 
 
 MONTHLY = "SELECT ticker, CAST(d AS VARCHAR) AS d, {cols} FROM pf QUALIFY row_number() OVER (PARTITION BY ticker, date_trunc('month', d) ORDER BY d DESC) = 1"
@@ -62,7 +62,7 @@ MONTHLY = "SELECT ticker, CAST(d AS VARCHAR) AS d, {cols} FROM pf QUALIFY row_nu
 def _feature_query(name: str, columns: list[str]) -> None:
     @register(name, "px", "WITH " + FEATURES_SQL + " " + MONTHLY.format(cols=", ".join(columns)))
     def plan(v: Views):
-        return monthly(features(v)).select("ticker", F.col("d").cast("string").alias("d"), *columns)
+        return monthly(features(v).select("ticker", "d", *columns)).withColumn("d", F.col("d").cast("string"))
 
 
 _feature_query("w01_window_return", ["v2_momentum_long", "v2_momentum_medium", "v2_short_term_reversal"])
@@ -79,7 +79,7 @@ _feature_query("w07_period_return", ["period_return"])
 def split_bars(v: Views):
     own = Window.partitionBy("ticker").orderBy("d")
     jump = F.lag("close").over(own) / F.col("close")
-    return v.px.withColumn(
+    return v.bars.withColumn(
         "split", F.when((jump >= 1.6) | (jump <= 0.5), half_even(jump, 1)).otherwise(0.0),
     )
 
@@ -364,7 +364,8 @@ for _name, _columns in {
     "x03_trend_points": ["sma_short", "sma_long", "trend_score"],
 }.items():
     def _plan(v: Views, columns=_columns):
-        return monthly(technical(v)).select("ticker", F.col("d").cast("string").alias("d"), *[half_even(c, 6).alias(c) for c in columns])
+        own = technical(v).select("ticker", "d", *columns)
+        return monthly(own).select("ticker", F.col("d").cast("string").alias("d"), *[half_even(c, 6).alias(c) for c in columns])
 
     register(_name, "px bench listing", "WITH " + FEATURES_SQL + ", " + POINTS_SQL
              + " SELECT ticker, CAST(d AS VARCHAR) AS d, " + ", ".join(

@@ -24,22 +24,18 @@ def drop_incomplete_bars(bars: DataFrame) -> DataFrame:
     A split on a dropped bar goes to the next complete bar (else the last one)
     and multiplies with a split already there.
     """
-    complete = positive("close").isNotNull()
-    # The next complete day is the last one seen when the days run backwards: a running frame, one step per row.
-    ahead = Window.partitionBy("ticker").orderBy(F.col("d").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy("ticker")
-    day = F.when(complete, F.col("d"))
-    moved = bars.withColumn("__target", F.coalesce(
-        F.last(day, ignorenulls=True).over(ahead), F.max(day).over(whole),
-    )).withColumn("__keep", complete)
+    complete = F.col("__complete")
+    before = Window.partitionBy("ticker").orderBy("d").rowsBetween(Window.unboundedPreceding, -1)
+    counted = bars.withColumn("__complete", positive("close").isNotNull()).withColumns({
+        "__before": F.coalesce(F.count(F.when(complete, 1)).over(before), F.lit(0)),
+        "__all": F.count(F.when(complete, 1)).over(Window.partitionBy("ticker")),
+    })
+    # A complete bar and the dropped ones just before it count the same complete bars before them; those at the end join the last.
     event = F.nullif(F.coalesce(finite("split"), F.lit(0.0)), F.lit(0.0))
-    carried = moved.where(F.col("__target").isNotNull()).groupBy(
-        "ticker", F.col("__target").alias("d"),
-    ).agg(F.product(event).alias("__split"))
-    kept = moved.where("__keep").drop("__target", "__keep", "split")
-    return kept.join(carried, ["ticker", "d"], "left").withColumn(
-        "split", F.coalesce("__split", F.lit(0.0)),
-    ).drop("__split")
+    moved = counted.withColumn("__run", F.least("__before", F.col("__all") - 1)).withColumn(
+        "__split", F.product(event).over(Window.partitionBy("ticker", "__run")))
+    return moved.where(complete).drop("__complete", "__before", "__all", "__run", "split").withColumn(
+        "split", F.coalesce("__split", F.lit(0.0))).drop("__split")
 
 
 def normalise_history(raw: DataFrame, sequence: str) -> DataFrame:
