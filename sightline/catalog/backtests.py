@@ -71,7 +71,7 @@ def ic_sql(source: str, keys: str, minimum: int, name: str = "ic") -> str:
 
 
 def observed(v: Views):
-    return backtest.observations(v.px, v.bench, v.listing)
+    return backtest.observations(v.bars, v.bench, v.listing)
 
 
 def scored(v: Views):
@@ -102,7 +102,7 @@ def _(v: Views):
 @register("w23_staleness_gate", VIEWS, "WITH " + OBS_SQL + """ SELECT period, count(*) AS kept, CAST(min(stale_after) AS VARCHAR) AS earliest_boundary
     FROM obs GROUP BY 1""")
 def _(v: Views):
-    rows = backtest.observations(v.px, v.bench, v.listing)
+    rows = backtest.observations(v.bars, v.bench, v.listing)
     over = prices_boundary(v)
     return rows.join(over, ["benchmark", "d"]).groupBy("period").agg(
         F.count(F.lit(1)).alias("kept"), F.min("stale_after").cast("string").alias("earliest_boundary"))

@@ -144,7 +144,7 @@ PANEL_SQL = OBS_SQL + f""", fl AS (SELECT s_suppkey AS ticker, CASE WHEN s_suppk
 
 def observed(v: Views):
     listing = v.listing.join(filers(v), "ticker")
-    return panel.full_observations(v.px, v.bench, listing, facts(v), transactions(v), splits(v),
+    return panel.full_observations(v.bars, v.bench, listing, facts(v), transactions(v), splits(v),
                                    {"liquidity_floor": FLOOR, "band": BAND}, THROUGH)
 
 

@@ -19,48 +19,63 @@ from sightline.operators import prices, scoring
 from sightline.session import cut
 
 
+#: Columns that a listing gives every session of its ticker.
+MEMBER = ("ticker", "benchmark", "sector", "market_cap")
+
+
 def _month(day: str) -> Column:
     """Months as whole numbers, one apart."""
     return F.year(day) * 12 + F.month(day)
 
 
-def known_at(own: DataFrame, ends: DataFrame, minimum: int) -> DataFrame:
-    """The last of own(ticker, benchmark, own_d, sessions, ...) on or before every month end, unless it is stale then.
+def close_requests(calendar: DataFrame, ends: DataFrame, stale: int, slots: Sequence[int]) -> DataFrame:
+    """benchmark, d, at and ``asks``: what the close of this session answers, if it still holds ``back`` sessions later.
 
-    ``ends``: benchmark, d, m (the month of d), stale_after. Sessions outside the calendar count. A session is kept if it is
-    the last one before some month end, so no ticker meets its whole calendar.
+    The month end ``m`` asks in ``slot`` for the close slots[slot] sessions later; one after the end of the calendar has no
+    close. A session has at most ``stale`` + 1 times the number of slots of them, so the table is as long as the calendar.
+    """
+    asked = F.explode(F.array(*[
+        F.struct((F.col("at") + days).alias("at"), F.lit(i).alias("slot")) for i, days in enumerate(slots)]))
+    wanted = ends.select("benchmark", "m", "length", asked.alias("x")).where("x.at <= length").withColumn(
+        "back", F.explode(F.sequence(F.lit(0), F.lit(stale))))
+    asks = wanted.groupBy("benchmark", (F.col("x.at") - F.col("back")).alias("at")).agg(
+        F.collect_list(F.struct("back", "m", "x.slot")).alias("asks"))
+    return calendar.select("benchmark", "d", "at").join(asks, ["benchmark", "at"], "left")
+
+
+def month_rows(dated: DataFrame, ends: DataFrame, requests: DataFrame, minimum: int, stale: int, slots: Sequence[str]) -> DataFrame:
+    """Per (ticker, month end): the last of dated(ticker, benchmark, d, sessions, close, ...) on or before it, unless it is
+    stale then, and the close that holds at every slot of ``requests``.
+
+    ``ends``: benchmark, d, m (the month of d), stale_after. Every session says which month ends it is the last one before
+    and which requests its close answers, from the tables of the calendar alone; so no ticker meets its whole calendar and
+    nothing but ``ticker`` deals the rows, as in the windows before. A null close answers nothing; sessions outside the
+    calendar are known, but their closes answer nothing.
     """
-    own = own.withColumn("m", _month("own_d"))
+    values = [name for name in dated.columns if name not in MEMBER]
     bounds = ends.groupBy("benchmark").agg(F.max("m").alias("__last"))
-    dated = own.join(bounds, "benchmark").join(ends.select("benchmark", "m", F.col("d").alias("__end")), ["benchmark", "m"], "left")
+    rows = dated.withColumn("m", _month("d")).join(bounds, "benchmark").join(
+        ends.select("benchmark", "m", F.col("d").alias("__end")), ["benchmark", "m"], "left").join(requests, ["benchmark", "d"], "left")
     # The first month whose end is not before the session.
-    dated = dated.withColumn("__first", F.when(F.col("own_d") > F.col("__end"), F.col("m") + 1).otherwise(F.col("m")))
-    following = F.lead("__first").over(Window.partitionBy("ticker").orderBy("own_d"))
+    rows = rows.withColumn("__first", F.when(F.col("d") > F.col("__end"), F.col("m") + 1).otherwise(F.col("m"))).withColumn(
+        "__held", F.when(F.col("close").isNotNull(), F.col("at")))
+    rows = rows.withColumns({
+        "__next": F.lead("__first").over(Window.partitionBy("ticker").orderBy("d")),
+        "__then": F.expr("lead(__held) IGNORE NULLS OVER (PARTITION BY ticker ORDER BY d)"),
+    })
     until = F.least(F.coalesce(F.col("__next") - 1, F.col("__last")), F.col("__last"))
-    latest = dated.withColumn("__next", following).withColumn("__until", until).where(
-        (F.col("__first") <= F.col("__until")) & (F.col("sessions") >= minimum))
-    spread = latest.withColumn("m", F.explode(F.sequence("__first", "__until"))).drop("__end", "__first", "__next", "__until", "__last")
-    return spread.join(ends, ["benchmark", "m"]).where(F.col("own_d") >= F.col("stale_after"))
-
-
-def closes_at(bars: DataFrame, calendar: DataFrame, ends: DataFrame, stale: int, horizons: Mapping[str, int]) -> DataFrame:
-    """ticker, m, start_close at the month end and ``close_<horizon>`` that many sessions later.
-
-    A close of bars(ticker, benchmark, d, close) holds on its session of the calendar and at most ``stale`` sessions after it,
-    until the next one; only sessions that a month end asks for are kept.
-    """
-    dated = bars.where(F.col("close").isNotNull()).join(calendar.select("benchmark", "d", "at"), ["benchmark", "d"])
-    following = F.lead("at").over(Window.partitionBy("ticker").orderBy("d"))
-    final = F.col("at") + stale
-    held = dated.select("ticker", "benchmark", "close", "at", F.least(final, F.coalesce(following - 1, final)).alias("__until"))
-    held = held.select("ticker", "benchmark", "close", F.explode(F.sequence("at", "__until")).alias("at"))
-    slots = {"start_close": 0, **{f"close_{name}": days for name, days in horizons.items()}}
-    asked = F.explode(F.array(*[
-        F.struct((F.col("at") + days).alias("at"), F.lit(i).alias("slot")) for i, days in enumerate(slots.values())]))
-    # A session after the end of the calendar has no close.
-    wanted = ends.select("benchmark", "m", "length", asked.alias("x")).where("x.at <= length").select("benchmark", "m", "x.at", "x.slot")
-    return held.join(wanted, ["benchmark", "at"]).groupBy("ticker", "m").agg(
-        *[F.max(F.when(F.col("slot") == i, F.col("close"))).alias(name) for i, name in enumerate(slots)])
+    known = F.when((F.col("__first") <= until) & (F.col("sessions") >= minimum), F.transform(
+        F.sequence("__first", until), lambda m: F.struct(m.alias("m"), F.lit(-1).alias("slot"))))
+    lasting = F.coalesce(F.col("__then") - 1 - F.col("at"), F.lit(stale))
+    answers = F.when(F.col("__held").isNotNull(), F.transform(
+        F.filter("asks", lambda ask: ask["back"] <= lasting), lambda ask: F.struct(ask["m"].alias("m"), ask["slot"].alias("slot"))))
+    none = F.array().cast("array<struct<m:int,slot:int>>")
+    spread = rows.select(*MEMBER, *values, F.explode(F.concat(F.coalesce(known, none), F.coalesce(answers, none))).alias("x"))
+    found = spread.groupBy(*MEMBER, F.col("x.m").alias("m")).agg(
+        F.max(F.col("x.slot") == -1).alias("__known"),
+        *[F.max(F.when(F.col("x.slot") == -1, F.col(name))).alias("own_d" if name == "d" else name) for name in values],
+        *[F.max(F.when(F.col("x.slot") == i, F.col("close"))).alias(name) for i, name in enumerate(slots)])
+    return found.where("__known").drop("__known").join(ends, ["benchmark", "m"]).where(F.col("own_d") >= F.col("stale_after"))
 
 
 def observations(bars: DataFrame, bench: DataFrame, listing: DataFrame, settings: Mapping | None = None) -> DataFrame:
@@ -68,7 +83,8 @@ def observations(bars: DataFrame, bench: DataFrame, listing: DataFrame, settings
 
     ``bars``: ticker, d, close, volume. ``bench``: benchmark, d, close.
     ``listing``: ticker, benchmark, sector, market_cap. Only month ends and the sessions that a horizon leads to are looked
-    up, so the rows that are sorted and joined grow with the bars, not with tickers times sessions.
+    up, so the rows that are sorted and joined grow with the bars, not with tickers times sessions. All steps deal the bars
+    by ticker: they are shuffled once, and not at all if they come so.
     """
     rules = {**C.BACKTEST, **(settings or {})}
     horizons: Mapping[str, int] = rules["horizons"]
@@ -87,14 +103,13 @@ def observations(bars: DataFrame, bench: DataFrame, listing: DataFrame, settings
             for name, days in horizons.items()
         ],
     ))
-    # Both calendars are stored, so Spark knows that they are small and broadcasts them.
+    # The calendars are stored, so Spark knows that they are small and broadcasts them.
     ends = cut(calendar.join(prices.month_ends(calendar.select("benchmark", "d")), ["benchmark", "d"]).withColumn("m", _month("d")))
-    members = listing.select("ticker", "benchmark", "sector", "market_cap")
+    slots = {"start_close": 0, **{f"close_{name}": days for name, days in horizons.items()}}
+    requests = cut(close_requests(calendar, ends, stale, list(slots.values())))
     features = prices.price_features(bars)
     names = [name for name in features.columns if name not in ("ticker", "d")]
-    known = known_at(features.withColumnRenamed("d", "own_d").join(members, "ticker"), ends, rules["minimum_history"])
-    closes = closes_at(bars.join(members.select("ticker", "benchmark"), "ticker"), calendar, ends, stale, horizons)
-    chosen = known.join(closes, ["ticker", "m"], "left")
+    chosen = month_rows(features.join(listing.select(*MEMBER), "ticker"), ends, requests, rules["minimum_history"], stale, list(slots))
     with_returns = chosen.withColumns({
         f"return_{name}": (F.col(f"close_{name}") / F.col("start_close") - 1.0) * 100.0 for name in horizons})
     flat = with_returns.select(

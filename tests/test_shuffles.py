@@ -5,6 +5,7 @@ import pytest
 import __spark_entry__ as entry
 from sightline.catalog.views import Views
 from sightline.operators import prices
+from sightline.plans import backtest
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -36,3 +37,10 @@ def test_splits_of_dropped_bars_multiply_into_the_next_complete_one(spark):
     dropped = prices.drop_incomplete_bars(frame)
     assert sorted(map(tuple, dropped.collect())) == [("A", 2, 5.0, 6.0), ("A", 5, 6.0, 4.0), ("C", 1, 1.0, 0.0)]
     assert "Join" not in plan(dropped)
+
+
+def test_observations_shuffle_the_trades_once(spark):
+    v = Views(spark, FOLDER)
+    text = plan(backtest.observations(v.bars, v.bench, v.listing))
+    # One exchange of the trades, one of the listing; the windows, months and closes need none.
+    assert text.count("hashpartitioning(ticker") + text.count("hashpartitioning(l_suppkey") == 2 and text.count("REPARTITION_BY_COL") == 1
