@@ -9,6 +9,7 @@ from sightline.catalog.prices import FEATURES_SQL
 from sightline.catalog.registry import register
 from sightline.catalog.scores import newey_west_sql, score_sql
 from sightline.catalog.views import Views, r
+from sightline.functions import ranking
 from sightline.functions.scalars import half_even
 from sightline.plans import backtest, studies
 from sightline.session import cut
@@ -74,12 +75,23 @@ def observed(v: Views):
     return backtest.observations(v.bars, v.bench, v.listing)
 
 
-def scored(v: Views):
-    return cut(backtest.scored_observations(cut(observed(v)), (MODEL,)))
+def by_period(v: Views, columns, plan):
+    """``plan(scored, dealt)`` of the scored observations with ``columns``; see ``ranking.in_groups``.
 
+    Only the columns that the model or the plan reads are stored. Periods of at most ``ranking.DEALT`` tickers are shuffled once
+    and scored and ranked where they are; those of larger ones are stored again once scored.
+    """
+    needed = dict.fromkeys(["period", "ticker", "sector", *MODEL["signals"], *columns])
 
-def composite_outcomes(v: Views, columns=COMPOSITES):
-    return backtest.outcomes(scored(v), columns, HORIZONS, keep=["relative_strength_6m"])
+    def scored(rows, dealt):
+        found = backtest.scored_observations(rows, (MODEL,), dealt)
+        return plan(found if dealt else cut(found), dealt)
+
+    return ranking.in_groups(cut(observed(v).select(*[name for name in needed if not name.startswith("score_v2")])), ["period"], scored)
+
+
+def measures(horizons, kinds=("excess", "return", "benchmark_return")):
+    return [f"{kind}_{name}" for name in horizons for kind in kinds]
 
 
 @register("p04_backtest_observations", VIEWS, "WITH " + OBS_SQL + f""" SELECT period, ticker, CAST(d AS VARCHAR) AS d, sector, sessions,
@@ -128,16 +140,20 @@ def _(v: Views):
 @register("p04_scored_observations", VIEWS, "WITH " + SCORED_SQL
           + " SELECT period, ticker, score_v2, score_v2_confidence, score_v2_excluded FROM so")
 def _(v: Views):
-    return backtest.scored_observations(cut(observed(v)), (MODEL,)).select(
-        "period", "ticker", "score_v2", "score_v2_confidence", "score_v2_excluded")
+    return by_period(v, [], lambda rows, dealt: rows.select(
+        "period", "ticker", "score_v2", "score_v2_confidence", "score_v2_excluded"))
 
 
 @register("a06_information_coefficient", VIEWS, "WITH " + SCORED_SQL + ", " + long_sql("so", COMPOSITES + SIGNALS) + ", "
           + ic_sql("lg", "period, horizon, col", MINIMUM)
           + f""" SELECT period, horizon, col AS "column", pairs, {r('ic', 6)} AS ic FROM ic""")
 def _(v: Views):
-    long = composite_outcomes(v, tuple(dict.fromkeys((*COMPOSITES, *SIGNALS))))
-    return backtest.information_coefficients(long, MINIMUM).select(
+    columns = tuple(dict.fromkeys((*COMPOSITES, *SIGNALS)))
+
+    def coefficients(rows, dealt):
+        return backtest.information_coefficients(backtest.outcomes(rows, columns, HORIZONS), MINIMUM, dealt)
+
+    return by_period(v, [*columns, *measures(HORIZONS)], coefficients).select(
         "period", "horizon", "column", "pairs", half_even("ic", 6).alias("ic"))
 
 
@@ -152,12 +168,18 @@ LADDER_SQL = RANKED_SQL + """, bk AS (SELECT *, CAST(greatest(ceil((n - pos) * 5
     FROM bk JOIN bq USING (period, horizon, col, bucket) GROUP BY 1, 2, 3, 4)"""
 
 
-def ranked(v: Views):
-    return backtest.ranked_outcomes(cut(backtest.wide_enough(composite_outcomes(v), MINIMUM)))
+def ranked(v: Views, plan=lambda rows: rows):
+    """``plan`` of the ranked outcomes; it keeps to the periods."""
+    def ranks(rows, dealt):
+        long = backtest.wide_enough(backtest.outcomes(rows, COMPOSITES, HORIZONS, keep=["relative_strength_6m"]), MINIMUM, dealt)
+        return plan(backtest.ranked_outcomes(long if dealt else cut(long), dealt))
+
+    return by_period(v, [*COMPOSITES, "relative_strength_6m", *measures(HORIZONS)], ranks)
 
 
 def ladder(v: Views):
-    return backtest.quantile_ladder(cut(ranked(v)), 5)
+    needed = ["period", "horizon", "column", "position", "members", "excess"]
+    return backtest.quantile_ladder(cut(ranked(v, lambda rows: rows.select(*needed))), 5)
 
 
 @register("r13_backtest_order", VIEWS, "WITH " + RANKED_SQL + """ SELECT period, horizon, col AS "column", ticker, pos AS position, n AS members FROM rk""")
@@ -179,7 +201,7 @@ TOP_SQL = RANKED_SQL + """, tn AS (SELECT rk.*, t.top_n FROM rk JOIN (VALUES (10
 
 
 def tops(v: Views):
-    return backtest.top_portfolios(ranked(v), TOPS)
+    return ranked(v, lambda rows: backtest.top_portfolios(rows, TOPS))
 
 
 @register("a10_top_portfolios", VIEWS, "WITH " + TOP_SQL + f""" SELECT period, horizon, col AS "column", top_n,
@@ -214,7 +236,8 @@ def _(v: Views):
   SELECT horizon, part, count(*) AS observations, {r('max(md)', 4)} AS median, {r('avg(least(greatest(x, lo), hi))', 4)} AS winsorised_mean,
     {r('avg(CASE WHEN x > 0 THEN 100.0 ELSE 0 END)', 4)} AS win_rate FROM jd JOIN q USING (horizon, part) GROUP BY 1, 2""")
 def _(v: Views):
-    return backtest.filter_diagnostics(scored(v), MODEL, HORIZONS).select(
+    rows = cut(by_period(v, measures(HORIZONS), lambda rows, dealt: rows))
+    return backtest.filter_diagnostics(rows, MODEL, HORIZONS).select(
         "horizon", "part", "observations", *[half_even(c, 4).alias(c) for c in ("median", "winsorised_mean", "win_rate")])
 
 
@@ -247,17 +270,30 @@ STUDY = ("score_v2", "technical_score", "v2_momentum_long", "v2_volatility")
 PAIRS = 25
 
 
-def screened(v: Views):
-    return cut(studies.with_screen(scored(v), "score_v2").where("in_screen"))
+def screened(v: Views, columns, plan=lambda rows, dealt: rows):
+    """``plan(rows, dealt)`` of the observations in the screen; it keeps to the periods."""
+    def passed(rows, dealt):
+        found = studies.with_screen(rows, "score_v2", dealt=dealt).where("in_screen")
+        return plan(found if dealt else cut(found), dealt)
+
+    return by_period(v, columns, passed)
+
+
+def study_outcomes(v: Views, horizons=("3M", "1Y"), plan=lambda long, dealt: long):
+    def unpivoted(rows, dealt):
+        long = backtest.outcomes(rows, STUDY, horizons)
+        return plan(long if dealt else cut(long), dealt)
+
+    return screened(v, [*STUDY, *measures(horizons)], unpivoted)
 
 
-def study_outcomes(v: Views, horizons=("3M", "1Y")):
-    return cut(backtest.outcomes(screened(v), STUDY, horizons))
+def study_series(v: Views, horizons=("3M", "1Y")):
+    return study_outcomes(v, horizons, lambda long, dealt: studies.signal_series(long, PAIRS, dealt))
 
 
 @register("x32_screen_groups", VIEWS, "WITH " + SCREEN_SQL + """ SELECT period, ticker, quintile, grp AS "group" FROM ss""")
 def _(v: Views):
-    return studies.label_groups(scored(v), "score_v2").select("period", "ticker", "quintile", "group")
+    return by_period(v, [], lambda rows, dealt: studies.label_groups(rows, "score_v2", dealt)).select("period", "ticker", "quintile", "group")
 
 
 STUDY_SQL = SCREEN_SQL + ", sn AS (SELECT * FROM ss WHERE in_screen), " + long_sql("sn", STUDY, ("3M", "1Y")) + ", " + ic_sql("lg", "period, horizon, col", PAIRS)
@@ -266,7 +302,7 @@ STUDY_SQL = SCREEN_SQL + ", sn AS (SELECT * FROM ss WHERE in_screen), " + long_s
 @register("a22_screen_ic_series", VIEWS, "WITH " + STUDY_SQL + f""" SELECT lg.period, lg.horizon, lg.col AS "column", {r('count(score) / count(*)', 6)} AS coverage,
     {r('max(ic)', 6)} AS ic FROM lg LEFT JOIN ic USING (period, horizon, col) GROUP BY 1, 2, 3""")
 def _(v: Views):
-    return studies.signal_series(study_outcomes(v), PAIRS).select(
+    return study_series(v).select(
         "period", "horizon", "column", half_even("coverage", 6).alias("coverage"), half_even("ic", 6).alias("ic"))
 
 
@@ -275,7 +311,7 @@ WINDOW_SQL = STUDY_SQL + f", wd AS (SELECT *, CASE WHEN period < '{SPLIT}' THEN
 
 @register("a23_fit_holdout_windows", VIEWS, "WITH " + WINDOW_SQL + f""" SELECT col AS "column", win AS "window", periods, {r('mean', 6)} AS mean, {r('t', 4)} AS t FROM nw""")
 def _(v: Views):
-    series = studies.signal_series(study_outcomes(v, ("3M",)), PAIRS)
+    series = study_series(v, ("3M",))
     return studies.windows(series, "3M", SPLIT).select(
         "column", "window", "periods", half_even("mean", 6).alias("mean"), half_even("t", 4).alias("t"))
 
@@ -285,7 +321,7 @@ def _(v: Views):
   SELECT col AS "column", {r('fm', 6)} AS fit_mean, {r('hm', 6)} AS holdout_mean, CASE WHEN fm IS NULL OR hm IS NULL OR ft IS NULL OR ht IS NULL OR sign(fm) <> sign(hm) OR fm = 0 THEN 'no'
     ELSE ['no', 'suggestive', 'separates'][1 + CAST(abs(ft) >= 1 AND sign(ft) = sign(fm) AS INTEGER) + CAST(abs(ht) >= 1 AND sign(ht) = sign(fm) AS INTEGER)] END AS verdict FROM wv""")
 def _(v: Views):
-    series = studies.signal_series(study_outcomes(v, ("3M",)), PAIRS)
+    series = study_series(v, ("3M",))
     return studies.verdicts(studies.windows(series, "3M", SPLIT), threshold=1.0).select(
         "column", half_even("fit_mean", 6).alias("fit_mean"), half_even("holdout_mean", 6).alias("holdout_mean"), "verdict")
 
@@ -299,7 +335,7 @@ def _(v: Views):
   SELECT horizon, col AS "column", CASE WHEN period < '{SPLIT}' THEN 'fit' ELSE 'holdout' END AS "window", {r('avg(bm)', 4)} AS better_median_excess,
     {r('avg(wm)', 4)} AS worse_median_excess, {r('avg(bw)', 4)} AS better_win_rate, {r('avg(ww)', 4)} AS worse_win_rate FROM hp WHERE bm IS NOT NULL AND wm IS NOT NULL GROUP BY 1, 2, 3""")
 def _(v: Views):
-    return studies.half_split(study_outcomes(v), None, PAIRS, SPLIT).select("horizon", "column", "window", *[
+    return studies.half_split(cut(study_outcomes(v)), None, PAIRS, SPLIT).select("horizon", "column", "window", *[
         half_even(c, 4).alias(c) for c in ("better_median_excess", "worse_median_excess", "better_win_rate", "worse_win_rate")])
 
 
@@ -307,7 +343,7 @@ def _(v: Views):
   SELECT col AS "column", count(*) AS years, CAST(sum(CASE WHEN ic > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_years,
     CAST(sum(CASE WHEN ic < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative_years FROM yy GROUP BY 1""")
 def _(v: Views):
-    return studies.yearly_agreement(studies.signal_series(study_outcomes(v, ("3M",)), PAIRS), "3M")
+    return studies.yearly_agreement(study_series(v, ("3M",)), "3M")
 
 
 @register("a26_within_correlation", VIEWS, "WITH " + SCREEN_SQL + """, lg AS (SELECT period, 'technical_score' AS first, 'score_v2' AS second, technical_score AS score, score_v2 AS excess FROM ss WHERE in_screen
@@ -315,7 +351,8 @@ def _(v: Views):
   SELECT first, second, count(*) AS periods, {r('avg(ic)', 6)} AS mean_correlation FROM ic WHERE ic IS NOT NULL GROUP BY 1, 2""")
 def _(v: Views):
     pairs = [("technical_score", "score_v2"), ("v2_volatility", "market_cap")]
-    return studies.within_correlation(screened(v), pairs, PAIRS).withColumn(
+    series = screened(v, [name for pair in pairs for name in pair], lambda rows, dealt: studies.within_periods(rows, pairs, PAIRS, dealt))
+    return studies.within_correlation(series).withColumn(
         "mean_correlation", half_even("mean_correlation", 6))
 
 
@@ -326,7 +363,8 @@ def _(v: Views):
     count(sm) AS compared_periods, {r('avg(md - sm)', 4)} AS median_minus_screen, {r('avg(wr - sw)', 4)} AS win_rate_minus_screen,
     CAST(sum(CASE WHEN md > sm THEN 1 WHEN md <= sm THEN 0 END) AS BIGINT) AS periods_median_above_screen FROM gj GROUP BY 1, 2""")
 def _(v: Views):
-    out = studies.group_comparison(cut(studies.label_groups(scored(v), "score_v2")), "3M", SPLIT)
+    labelled = cut(by_period(v, ["excess_3M"], lambda rows, dealt: studies.label_groups(rows, "score_v2", dealt)))
+    out = studies.group_comparison(labelled, "3M", SPLIT)
     return out.select("group", "window", "periods", "compared_periods", "periods_median_above_screen", *[
         half_even(c, 4).alias(c) for c in ("median_excess", "win_rate", "mean_excess", "median_minus_screen", "win_rate_minus_screen")])
 
@@ -354,5 +392,5 @@ def _(v: Views):
   tr AS (SELECT period, ticker, (rank() OVER (PARTITION BY period, s ORDER BY x) + (count(*) OVER (PARTITION BY period, s, x) - 1) / 2.0) / count(*) OVER (PARTITION BY period, s) AS pr FROM tl)
   SELECT sn.period, sn.ticker, {r('COALESCE(avg(pr), 0.5)', 6)} AS tiebreaker FROM (SELECT * FROM ss WHERE in_screen) sn LEFT JOIN tr USING (period, ticker) GROUP BY 1, 2""")
 def _(v: Views):
-    return studies.tiebreaker(screened(v), {"v2_volatility": -1.0, "v2_momentum_long": 1.0}).select(
+    return studies.tiebreaker(cut(screened(v, [])), {"v2_volatility": -1.0, "v2_momentum_long": 1.0}).select(
         "period", "ticker", half_even("tiebreaker", 6).alias("tiebreaker"))

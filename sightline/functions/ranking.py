@@ -18,12 +18,15 @@ With ``sized`` both first count the rows of each group (combined before the shuf
 ranked by a window each, so their rows are shuffled once; larger ones take the plans above. The input is read three times
 then, so it should be a stored stage.
 
+``in_groups`` goes further where a whole plan stays inside groups: rows of groups of at most ``DEALT`` rows are dealt to
+tasks once, and every step of the plan with ``dealt`` ranks them where they are.
+
 Both need keys that are reproducible across branches: stored, or rounded.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,6 +37,8 @@ STEPS_PER_OCTAVE = 1024
 SLOTS = 48
 #: Rows of a group that one task may rank.
 GATHER = 200_000
+#: Rows of a group that ``in_groups`` deals to one task; its plans make a few dozen narrow rows of each.
+DEALT = 100_000
 
 
 def magnitude_bucket(value: str | Column) -> Column:
@@ -99,6 +104,35 @@ def by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows.join(large, "__g", "left_anti").repartition("__g"), rows.join(large, "__g", "left_semi")
 
 
+def in_groups(rows: DataFrame, groups: Sequence[str], plan: Callable[[DataFrame, bool], DataFrame]) -> DataFrame:
+    """``plan(part, dealt)`` of stored ``rows``: of groups of at most ``DEALT`` rows, dealt whole to tasks, and of all others.
+
+    The plan keeps to the groups, so with ``dealt`` none of its steps shuffles rows again; a part without rows has no plan.
+    The groups are counted first. There are enough tasks that most have a group or two, whatever the settings.
+    """
+    spark = rows.sparkSession
+    keyed = grouped(rows, groups)
+    sizes = keyed.groupBy("__g").agg(F.count(F.lit(1)).alias("__size"))
+    most, number, total = sizes.agg(F.max("__size"), F.count(F.lit(1)), F.sum("__size")).first()
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(4 * number, (total or 0) // 25_000))
+    if (most or 0) <= DEALT:
+        return plan(rows.repartition(parts, *groups), True)
+    large = F.broadcast(sizes.where(F.col("__size") > DEALT).select("__g"))
+    small = keyed.join(large, "__g", "left_anti").drop("__g").repartition(parts, *groups)
+    return plan(small, True).unionByName(plan(keyed.join(large, "__g", "left_semi").drop("__g"), False))
+
+
+def ladder_over(groups: Sequence[str | Column], value: str | Column) -> tuple[Column, Column, Column]:
+    """n, below and total of the finite ``value`` by one window; null where the value is none. For dealt rows."""
+    # Adding zero makes one value of 0.0 and -0.0.
+    number = finite(value) + 0.0
+    own = Window.partitionBy(*groups, number.isNotNull()).orderBy(number)
+    below = F.rank().over(own).cast("bigint") - 1
+    until = F.count(F.lit(1)).over(own.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    total = F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return tuple(F.when(number.isNotNull(), column) for column in (until - below, below, total))
+
+
 def attach_ladders(frame: DataFrame, groups: Sequence[str], values: Mapping[str, str]) -> DataFrame:
     """``attach_ladder`` of several columns, values[prefix]; the groups are counted first (see ``sized`` above)."""
     others = [name for name in frame.columns if name not in groups]
@@ -173,13 +207,17 @@ def descending_minimum_rank(n: str = "n", below: str = "below", total: str = "to
 
 
 def positions(frame: DataFrame, groups: Sequence[str], order: Sequence[Column], *,
-              name: str = "position", total: str | None = None, sized: bool = False) -> DataFrame:
+              name: str = "position", total: str | None = None, sized: bool = False, dealt: bool = False) -> DataFrame:
     """Add 1-based row numbers of a total order inside each group.
 
     ``order`` lists ascending keys (negate numbers for descending order); the
     last one must be unique inside a group.
     """
     columns = frame.columns
+    if dealt:
+        own = Window.partitionBy(*groups).orderBy(*order)
+        members = F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        return frame.select(*columns, F.row_number().over(own).cast("bigint").alias(name), *[members.alias(total)] * bool(total))
     if sized and groups:
         small, large = by_size(grouped(frame, groups))
         whole = Window.partitionBy("__g")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sightline.functions.ranking import attach_ladder, attach_ladders, join_groups, value_ladder
+from sightline.functions.ranking import attach_ladder, attach_ladders, join_groups, ladder_over, value_ladder
 from sightline.functions.scalars import finite, half_even
 
 
@@ -85,28 +85,38 @@ def trimmed_mean(frame: DataFrame, groups: Sequence[str], value: str, tail: floa
     )
 
 
-def rank_correlation(frame: DataFrame, groups: Sequence[str], left: str, right: str, *,
-                     minimum: int = 2, name: str = "ic") -> DataFrame:
+def rank_correlation(frame: DataFrame, groups: Sequence[str], left: str, right: str, *, minimum: int = 2, name: str = "ic",
+                     dealt: bool = False, extra: Sequence[Column] = ()) -> DataFrame:
     """Spearman correlation per group: pairs first, then average ranks, then Pearson.
 
-    Groups with fewer than ``minimum`` pairs or a constant side give null.
+    Groups with fewer than ``minimum`` pairs or a constant side give null. ``dealt``: see ``ranking.in_groups``; only then
+    ``extra`` aggregates over all rows of a group, and a group without pairs stays.
     """
-    pairs = frame.where(finite(left).isNotNull() & finite(right).isNotNull()).select(*groups, left, right)
-    if groups:
+    pair = finite(left).isNotNull() & finite(right).isNotNull()
+    if dealt and extra:
+        pairs = frame.withColumn("__pair", pair)
+    else:
+        pairs = frame.where(pair).select(*groups, left, right).withColumn("__pair", F.lit(True))
+    if dealt:
+        for prefix, value in (("l_", left), ("r_", right)):
+            n, below, _ = ladder_over([*groups, "__pair"], value)
+            pairs = pairs.select("*", n.alias(prefix + "n"), below.alias(prefix + "below"))
+        ranked = pairs
+    elif groups:
         ranked = attach_ladders(pairs, groups, {"l_": left, "r_": right})
     else:
         ranked = attach_ladder(attach_ladder(pairs, groups, left, "l_"), groups, right, "r_")
-    left_rank = F.col("l_below") + (F.col("l_n") + 1) / 2.0
-    right_rank = F.col("r_below") + (F.col("r_n") + 1) / 2.0
-    enough = (
-        (F.count(F.lit(1)) >= minimum)
-        & (F.min(left) < F.max(left)) & (F.min(right) < F.max(right))
-    )
+    paired = lambda column: F.when(F.col("__pair"), column)
+    left_rank = paired(F.col("l_below") + (F.col("l_n") + 1) / 2.0)
+    right_rank = paired(F.col("r_below") + (F.col("r_n") + 1) / 2.0)
+    a, b = paired(F.col(left)), paired(F.col(right))
+    enough = (F.count(a) >= minimum) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
     return ranked.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("pairs"),
+        F.count(a).alias("pairs"),
         # Pearson from moments: a constant side gives null, not a division error.
         F.when(enough, F.covar_pop(left_rank, right_rank) / F.nullif(
             F.stddev_pop(left_rank) * F.stddev_pop(right_rank), F.lit(0.0))).alias(name),
+        *extra,
     )
 
 

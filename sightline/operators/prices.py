@@ -61,6 +61,10 @@ def clean_points(bars: DataFrame) -> DataFrame:
     )
 
 
+#: Closes of one of the short windows that make up a high.
+HIGH_STEP = 16
+
+
 def price_features(bars: DataFrame, by: str = "ticker", settings: Mapping | None = None) -> DataFrame:
     """Raw price signals and technical inputs as of every session.
 
@@ -76,14 +80,17 @@ def price_features(bars: DataFrame, by: str = "ticker", settings: Mapping | None
     price = F.when(positive("close").isNotNull(), F.col("close"))
     change = F.log(price / F.lag(price, 1).over(own))
     running = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    high = F.max(close).over(own.rowsBetween(-(look["high_window"] - 1), 0))
+    # The highest close of a long window is the highest of short ones that cover it: a sliding maximum looks at its whole frame.
+    size = look["high_window"]
+    step = min(HIGH_STEP, size)
+    covers = sorted({min(back, size - step) for back in range(0, size, step)})
     base = bars.select(
         by, "d", "close", "volume",
         F.row_number().over(own).alias("sessions"),
         F.sum("volume").over(running).alias("__cv"),
         F.sum(close).over(running).alias("__cc"),
         change.alias("__r"),
-        high.alias("__high"),
+        F.max(close).over(own.rowsBetween(-(step - 1), 0)).alias("__high"),
         # Short means are added up anew: running totals of a long history would cost their last digits.
         F.sum("volume").over(own.rowsBetween(-29, 0)).alias("__v30"),
         F.sum(close).over(own.rowsBetween(-29, 0)).alias("__c30"),
@@ -98,6 +105,7 @@ def price_features(bars: DataFrame, by: str = "ticker", settings: Mapping | None
         "__s0": F.sum(F.col("__r").isNotNull().cast("int")).over(running),
         "__s1": F.sum(F.coalesce("__r", F.lit(0.0))).over(running),
         "__s2": F.sum(F.coalesce(F.col("__r") * F.col("__r"), F.lit(0.0))).over(running),
+        "__high": F.array_max(F.array(*[F.lag("__high", back).over(own) for back in covers])),
     })
 
     def trailing(total: str, size: int) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sightline.functions.ranking import attach_ladder, descending_minimum_rank, percent_spread
+from sightline.functions.ranking import attach_ladder, descending_minimum_rank, ladder_over, percent_spread
 from sightline.functions.scalars import finite, half_even
 
 UNIVERSE = ""
@@ -56,24 +56,42 @@ def signal_percentiles(frame: DataFrame, groups: Sequence[str], key: str, signal
     return narrow.groupBy(*groups, key).agg(*columns)
 
 
+def dealt_percentiles(frame: DataFrame, groups: Sequence[str], signals: Sequence[str], *, sector: str | None = None,
+                      minimum_group: int = 20, sector_exclusions: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
+    """``signal_percentiles`` as columns of rows whose groups are whole in their tasks: a window a scope, no shuffle, no join."""
+    kept = frame.columns
+    frame = frame.withColumn("__sector", F.coalesce(F.col(sector), F.lit("")) if sector else F.lit(""))
+    for name in signals:
+        frame = frame.withColumn("__v", F.when(_applicable(F.col("__sector"), name, sector_exclusions or {}), finite(name)))
+        for scope, keys in (("u", []), ("l", ["__sector"])):
+            n, below, total = ladder_over([*groups, *keys], "__v")
+            frame = frame.select("*", *[c.alias(f"__{scope}{i}") for i, c in enumerate((n, below, total))])
+        universe, local = (percent_spread(f"__{scope}0", f"__{scope}1", f"__{scope}2") for scope in "ul")
+        large = (F.col("__sector") != UNIVERSE) & (F.col("__l2") >= minimum_group)
+        percentiles = {f"u_{name}": universe, f"p_{name}": F.coalesce(F.when(large, local), universe)}
+        kept = [*kept, *percentiles]
+        frame = frame.withColumns(percentiles).select(*kept, "__sector")
+    return frame.drop("__sector")
+
+
 def score_cross_section(frame: DataFrame, groups: Sequence[str], key: str, model: Mapping, *,
-                        sector: str | None = "sector") -> DataFrame:
+                        sector: str | None = "sector", dealt: bool = False) -> DataFrame:
     """Score every row against its cross-section with one model.
 
     Adds ``<prefix>``, ``_confidence``, ``_excluded``, ``_exclusion_reasons``
     and ``pct_<signal>``. Percentiles are rounded to 2 before weighting; a
     signal that does not apply to a sector leaves the score but stays in the
-    confidence denominator. ``(groups, key)`` must be unique.
+    confidence denominator. ``(groups, key)`` must be unique. ``dealt``: see ``ranking.in_groups``.
     """
     signals: Mapping[str, tuple[float, str]] = model["signals"]
     present = [name for name in signals if name in frame.columns]
     rules = [rule for rule in model["exclusions"] if rule[0] in frame.columns]
     wanted = list(dict.fromkeys([*present, *[rule[0] for rule in rules]]))
     prefix = model["prefix"]
-    ranked = signal_percentiles(
-        frame, groups, key, wanted, sector=sector, minimum_group=model["minimum_group"],
-        sector_exclusions=model["sector_exclusions"],
-    )
+    rules_of_groups = {
+        "sector": sector, "minimum_group": model["minimum_group"], "sector_exclusions": model["sector_exclusions"]}
+    ranked = dealt_percentiles(frame, groups, wanted, **rules_of_groups) if dealt \
+        else signal_percentiles(frame, groups, key, wanted, **rules_of_groups)
     hits, reasons = [], []
     for name, below, above, reason in rules:
         universe = F.col(f"u_{name}")
@@ -100,14 +118,14 @@ def score_cross_section(frame: DataFrame, groups: Sequence[str], key: str, model
     total = float(sum(weight for weight, _ in signals.values()))
     confidence = half_even(available / total * 100.0, 2)
     scored = ranked.select(
-        *groups, key,
+        *(frame.columns if dealt else [*groups, key]),
         *[value.alias(name) for name, value in percentiles.items()],
         confidence.alias("__confidence"), excluded.alias("__excluded"),
         F.array_join(F.array_compact(F.array(*reasons)), "; ").alias("__reasons") if reasons
         else F.lit("").alias("__reasons"),
         half_even(weighted / F.nullif(available, F.lit(0.0)), 2).alias("__raw"),
     )
-    joined = frame.join(scored, [*groups, key], "left")
+    joined = scored if dealt else frame.join(scored, [*groups, key], "left")
     sure = F.coalesce("__confidence", F.lit(0.0))
     barred = F.coalesce("__excluded", F.lit(False))
     return joined.withColumns({

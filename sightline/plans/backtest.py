@@ -164,24 +164,28 @@ def outcomes(rows: DataFrame, columns: Sequence[str], horizons: Sequence[str], *
         .select("period", "horizon", "c.column", "ticker", *keep, "c.score", "excess", "stock", "market")
 
 
-def wide_enough(long: DataFrame, minimum: int) -> DataFrame:
+def wide_enough(long: DataFrame, minimum: int, dealt: bool = False) -> DataFrame:
     """Keep (period, horizon) cross-sections with enough measured names."""
+    if dealt:
+        counted = long.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("period", "horizon", "column")))
+        most = F.max("__n").over(Window.partitionBy("period", "horizon"))
+        return counted.withColumn("__n", most).where(F.col("__n") >= minimum).drop("__n")
     counts = long.groupBy("period", "horizon", "column").agg(F.count(F.lit(1)).alias("__n")).groupBy(
         "period", "horizon").agg(F.max("__n").alias("__n"))
     return long.join(counts.where(F.col("__n") >= minimum).drop("__n"), ["period", "horizon"])
 
 
-def information_coefficients(long: DataFrame, minimum: int) -> DataFrame:
+def information_coefficients(long: DataFrame, minimum: int, dealt: bool = False) -> DataFrame:
     """Spearman IC per (period, horizon, column)."""
     return stats.rank_correlation(
-        long.where(F.col("score").isNotNull()), ["period", "horizon", "column"], "score", "excess", minimum=minimum)
+        long.where(F.col("score").isNotNull()), ["period", "horizon", "column"], "score", "excess", minimum=minimum, dealt=dealt)
 
 
-def ranked_outcomes(long: DataFrame) -> DataFrame:
+def ranked_outcomes(long: DataFrame, dealt: bool = False) -> DataFrame:
     """Tie-broken order per cross-section: score, then relative strength, both descending, then ticker."""
     scored = long.where(F.col("score").isNotNull())
     order = [-F.col("score"), F.col("relative_strength_6m").isNull(), -F.col("relative_strength_6m"), F.col("ticker")]
-    return ranking.positions(scored, ["period", "horizon", "column"], order, total="members", sized=True)
+    return ranking.positions(scored, ["period", "horizon", "column"], order, total="members", sized=True, dealt=dealt)
 
 
 def quantile_ladder(ranked: DataFrame, quantiles: int) -> DataFrame:
@@ -276,9 +280,9 @@ def filter_diagnostics(rows: DataFrame, model: Mapping, horizons: Sequence[str])
     return stats.outcome_summary(labelled, ["horizon", "part"], "excess")
 
 
-def scored_observations(rows: DataFrame, models: Sequence[Mapping] = (C.MODEL_V2,)) -> DataFrame:
+def scored_observations(rows: DataFrame, models: Sequence[Mapping] = (C.MODEL_V2,), dealt: bool = False) -> DataFrame:
     """Every period's cross-section scored with each model."""
     for model in models:
-        rows = scoring.score_cross_section(rows, ["period"], "ticker", model)
+        rows = scoring.score_cross_section(rows, ["period"], "ticker", model, dealt=dealt)
         rows = rows.drop(*[name for name in rows.columns if name.startswith("pct_")])
     return rows

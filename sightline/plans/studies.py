@@ -14,7 +14,7 @@ from sightline.operators import scoring
 from sightline.session import cut
 
 
-def with_screen(rows: DataFrame, score: str = "score_v3", quantiles: int = 5, minimum: int = 3) -> DataFrame:
+def with_screen(rows: DataFrame, score: str = "score_v3", quantiles: int = 5, minimum: int = 3, dealt: bool = False) -> DataFrame:
     """Adds the score quintile (5 best) and whether the screen passes the row.
 
     Rows are ordered by score descending, then ticker; bucket = floor(index * q / n).
@@ -23,19 +23,24 @@ def with_screen(rows: DataFrame, score: str = "score_v3", quantiles: int = 5, mi
     barred = F.coalesce(F.lower(F.col(flag).cast("string")).isin("true", "1"), F.lit(False)) \
         if flag in rows.columns else F.lit(False)
     candidate = F.col(score).isNotNull() & ~barred
+    quintile = (quantiles - ranking.floor_bucket(F.col("position"), F.col("__n"), quantiles)).cast("int")
+    if dealt:
+        placed = ranking.positions(rows.withColumn("__candidate", candidate), ["period", "__candidate"],
+                                   [-F.col(score), F.col("ticker")], total="__n", dealt=True)
+        graded = placed.withColumn("quintile", F.when(F.col("__candidate"), quintile)).drop("__candidate", "position", "__n")
+        return graded.withColumn("in_screen", F.coalesce(F.col("quintile") >= minimum, F.lit(False)))
     placed = ranking.positions(
         rows.where(candidate).select("period", "ticker", score), ["period"],
         [-F.col(score), F.col("ticker")], total="__n", sized=True,
     )
-    quintile = (quantiles - ranking.floor_bucket(F.col("position"), F.col("__n"), quantiles)).cast("int")
     graded = placed.select("period", "ticker", quintile.alias("quintile"))
     return rows.join(graded, ["period", "ticker"], "left").withColumn(
         "in_screen", F.coalesce(F.col("quintile") >= minimum, F.lit(False)))
 
 
-def label_groups(rows: DataFrame, score: str = "score_v3") -> DataFrame:
+def label_groups(rows: DataFrame, score: str = "score_v3", dealt: bool = False) -> DataFrame:
     """Screen group of every observation, and the part of the never-scored ones."""
-    screened = with_screen(rows, score)
+    screened = with_screen(rows, score, dealt=dealt)
     excluded = F.coalesce(F.lower(F.col(f"{score}_excluded").cast("string")).isin("true", "1"), F.lit(False))
     group = (
         F.when(F.col("in_screen"), "screen").when(F.col(score).isNotNull(), "low_quintile")
@@ -54,12 +59,15 @@ def window_label(split: str = C.FIT_SPLIT) -> Column:
     return F.when(F.col("period") < split, "fit").otherwise("holdout")
 
 
-def signal_series(long: DataFrame, minimum: int) -> DataFrame:
+def signal_series(long: DataFrame, minimum: int, dealt: bool = False) -> DataFrame:
     """IC and coverage per (period, horizon, column) inside a group.
 
     ``long`` has one row per measured name and column, score null when missing.
     """
     keys = ["period", "horizon", "column"]
+    if dealt:
+        return stats.rank_correlation(long, keys, "score", "excess", minimum=minimum, dealt=True, extra=[
+            (F.count("score") / F.count(F.lit(1))).alias("coverage")])
     coverage = long.groupBy(*keys).agg((F.count("score") / F.count(F.lit(1))).alias("coverage"))
     ic = stats.rank_correlation(long, keys, "score", "excess", minimum=minimum)
     return coverage.join(ic, keys, "left")
@@ -128,14 +136,18 @@ def yearly_agreement(series: DataFrame, horizon: str) -> DataFrame:
     )
 
 
-def within_correlation(rows: DataFrame, pairs: Sequence[tuple[str, str]], minimum: int) -> DataFrame:
-    """Mean within-period rank correlation of signal pairs."""
+def within_periods(rows: DataFrame, pairs: Sequence[tuple[str, str]], minimum: int, dealt: bool = False) -> DataFrame:
+    """Rank correlation of signal pairs per period."""
     long = rows.select("period", F.explode(F.array(*[
         F.struct(F.lit(left).alias("first"), F.lit(right).alias("second"),
                  F.col(left).cast("double").alias("x"), F.col(right).cast("double").alias("y"))
         for left, right in pairs
     ])).alias("p")).select("period", "p.*")
-    series = stats.rank_correlation(long, ["period", "first", "second"], "x", "y", minimum=minimum)
+    return stats.rank_correlation(long, ["period", "first", "second"], "x", "y", minimum=minimum, dealt=dealt)
+
+
+def within_correlation(series: DataFrame) -> DataFrame:
+    """Mean of the rank correlations of ``within_periods``."""
     return series.where(F.col("ic").isNotNull()).groupBy("first", "second").agg(
         F.count(F.lit(1)).alias("periods"), F.avg("ic").alias("mean_correlation"))
 

@@ -1,11 +1,17 @@
 """How often bars are shuffled and sorted, and what a query works out, read from its plan."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from sightline import config as C
 from sightline.catalog.views import Views
+from sightline.functions import ranking
 from sightline.operators import prices
-from sightline.plans import backtest
+from sightline.plans import backtest, studies
+from sightline.session import cut
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -44,3 +50,63 @@ def test_observations_shuffle_the_trades_once(spark):
     text = plan(backtest.observations(v.bars, v.bench, v.listing))
     # One exchange of the trades, one of the listing; the windows, months and closes need none.
     assert text.count("hashpartitioning(ticker") + text.count("hashpartitioning(l_suppkey") == 2 and text.count("REPARTITION_BY_COL") == 1
+
+
+def test_a_high_of_short_windows_equals_the_whole_window(spark):
+    closes = [None if i % 13 == 4 else float("nan") if i % 17 == 5 else float(i * 37 % 101) for i in range(90)]
+    frame = spark.createDataFrame([("A", i, c, 1.0) for i, c in enumerate(closes)], "ticker string, d int, close double, volume double")
+    for size in (5, 16, 20, 37):
+        found = prices.price_features(frame, settings={"high_window": size, "minimum_price_history_days": 1}).orderBy("d").collect()
+        for i, row in enumerate(found):
+            known = [c for c in closes[max(i - size + 1, 0):i + 1] if c is not None and c == c]
+            own = closes[i] if closes[i] is not None and closes[i] == closes[i] else None
+            expected = None if i + 1 < size or own is None or max(known) <= 0 else round(own / max(known), 6)
+            assert row.v2_high_proximity == expected, (size, i)
+
+
+SHARED = ["a06_information_coefficient", "a15_top_summary", "a22_screen_ic_series", "a26_within_correlation", "x32_screen_groups"]
+
+
+@pytest.mark.parametrize("name", SHARED)
+def test_scored_observations_are_shuffled_by_period_once(spark, name):
+    text = plan(entry.queries()[name](spark, FOLDER))
+    # Stored rows are dealt by period; after that only sums of periods move, no join, no second scan.
+    assert text.count("FileScan") == 1 and "Join" not in text and text.count("REPARTITION_BY_NUM") == 1
+    assert text.count("Exchange") <= 2
+
+
+def test_large_periods_take_ladders_and_give_the_same(spark, monkeypatch):
+    model = {**C.MODEL_V2, "minimum_group": 5, "exclusions": (("v2_volatility", None, 80.0, "high"),)}
+    columns = ["score_v2", "v2_volatility"]
+    pick = random.Random(5)
+    value = lambda: pick.choice([None, float("nan"), 0.0, -0.0, 1.5, pick.uniform(-9, 9)])
+    rows = [(f"2020-0{1 + i % 3}", i, pick.choice([None, "", "a", "b"]), *[value() for _ in range(8)]) for i in range(150) if i % 3 or i < 40]
+    names = [*model["signals"], "excess_1M", "relative_strength_6m"]
+    frame = cut(spark.createDataFrame(rows, "period string, ticker int, sector string, " + ", ".join(f"{n} double" for n in names)).withColumns(
+        {"return_1M": F.col("excess_1M"), "benchmark_return_1M": F.lit(1.0)}))
+
+    def results():
+        def of(plan):
+            def scored(part, dealt):
+                found = backtest.scored_observations(part, (model,), dealt)
+                return plan(found if dealt else cut(found), dealt)
+            return sorted(map(repr, ranking.in_groups(frame, ["period"], scored).collect()))
+
+        def long(part, keep=()):
+            return backtest.outcomes(part, columns, ["1M"], keep=keep)
+
+        return [
+            of(lambda part, dealt: studies.label_groups(part, "score_v2", dealt).select("period", "ticker", "score_v2", "score_v2_confidence",
+                                                                                       "score_v2_exclusion_reasons", "quintile", "group")),
+            of(lambda part, dealt: backtest.information_coefficients(long(part), 5, dealt).withColumn("ic", F.round("ic", 9))),
+            of(lambda part, dealt: studies.signal_series(long(part), 5, dealt).select("period", "horizon", "column", "coverage", F.round("ic", 9))),
+            of(lambda part, dealt: backtest.ranked_outcomes(backtest.wide_enough(long(part, ["relative_strength_6m"]), 30, dealt), dealt).select(
+                "period", "horizon", "column", "ticker", "position", "members")),
+            of(lambda part, dealt: studies.within_periods(part, [("v2_volatility", "excess_1M")], 5, dealt).withColumn("ic", F.round("ic", 9))),
+        ]
+
+    whole = results()
+    assert all(whole) and len({row.period for row in frame.select("period").collect()}) == 3
+    for limit in (0, 45):  # all periods, and those with 50 tickers but not the one with 14
+        monkeypatch.setattr(ranking, "DEALT", limit)
+        assert results() == whole
