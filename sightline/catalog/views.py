@@ -15,6 +15,10 @@ from sightline.functions.scalars import half_even
 from sightline.session import cut
 
 
+#: Trades that one task sorts on average, whatever the number of shuffle partitions.
+TASK_TRADES = 1_000_000
+
+
 class Views:
     """Lazy domain views of one table folder."""
 
@@ -43,7 +47,13 @@ class Views:
         The sums of a day come from a window too, so a task holds one sort and no hash table.
         """
         trades = self.table("lineitem").select(
-            F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("d"), "l_extendedprice", "l_quantity").repartition("ticker")
+            F.col("l_suppkey").alias("ticker"), F.to_date("l_shipdate").alias("d"), "l_extendedprice", "l_quantity")
+        number = trades.count()  # from the footers of the files
+        if number > TASK_TRADES:
+            parts = max(-(-number // TASK_TRADES), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+            trades = trades.repartition(parts, "ticker")
+        else:
+            trades = trades.repartition("ticker")
         day = Window.partitionBy("ticker", "d")
         volume = F.sum("l_quantity").over(day)
         return trades.select(
