@@ -10,6 +10,7 @@ from sightline.catalog.registry import register
 from sightline.catalog.views import Views, r
 from sightline.functions.scalars import half_even
 from sightline.operators import asof, price_report, prices
+from sightline.session import cut
 
 FEATURES_SQL = f"""pf AS (
   SELECT ticker, d, close, volume, rn AS sessions,
@@ -349,12 +350,16 @@ POINTS_SQL = f"""bf AS (SELECT benchmark, d, CASE WHEN row_number() OVER o >= 12
       WHEN average_dollar_volume_30d >= 250000 THEN 4 ELSE 0 END AS liquidity_score FROM tp)"""
 
 
-def technical(v: Views):
-    """Technical points per (ticker, session) against the ticker's benchmark."""
+def technical(v: Views, strength: bool = True):
+    """Technical points per (ticker, session) against the ticker's benchmark.
+
+    If ``strength`` is asked for, the benchmarks are stored, so Spark knows that they are small and no session is shuffled to
+    meet them; else nothing reads them.
+    """
     bench = prices.price_features(v.bench.withColumn("volume", F.lit(0.0)), by="benchmark").select(
         "benchmark", "d", F.col("period_return").alias("benchmark_period_return"))
     joined = features(v).join(v.listing.select("ticker", "benchmark", "sector", "market_cap"), "ticker").join(
-        bench, ["benchmark", "d"], "left")
+        cut(bench) if strength else bench, ["benchmark", "d"], "left")
     return prices.technical_points(joined)
 
 
@@ -364,7 +369,7 @@ for _name, _columns in {
     "x03_trend_points": ["sma_short", "sma_long", "trend_score"],
 }.items():
     def _plan(v: Views, columns=_columns):
-        own = technical(v).select("ticker", "d", *columns)
+        own = technical(v, "relative_strength_6m" in columns).select("ticker", "d", *columns)
         return monthly(own).select("ticker", F.col("d").cast("string").alias("d"), *[half_even(c, 6).alias(c) for c in columns])
 
     register(_name, "px bench listing", "WITH " + FEATURES_SQL + ", " + POINTS_SQL

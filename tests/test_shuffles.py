@@ -73,6 +73,12 @@ def test_a_high_of_short_windows_equals_the_whole_window(spark):
             assert row.v2_high_proximity == expected, (size, i)
 
 
+def test_sessions_meet_their_benchmark_where_they_are(spark):
+    text = plan(entry.queries()["x02_relative_strength"](spark, FOLDER))
+    # One exchange of the trades, one of the listing.
+    assert "hashpartitioning(benchmark" not in text and text.count("hashpartitioning") == 2
+
+
 SHARED = ["a06_information_coefficient", "a15_top_summary", "a22_screen_ic_series", "a26_within_correlation", "x32_screen_groups"]
 
 
