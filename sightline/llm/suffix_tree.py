@@ -7,17 +7,20 @@ is a state; words that the state does not hold itself fall back to its parent, d
 The model is a set of Spark tables and grows with the corpus. What falls below a state is its fallback, and for a word that
 it holds the difference to that; both depend on a run of words alone, so the score of a text is the sum of one value
 for every run of up to ``DEPTH + 1`` words in it. Frequent runs are broadcast, all others are joined.
+
+Tasks split, hash and count whole Arrow batches. What they shuffle is dealt by ranges of the hashed runs, many runs to a row.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,31 +43,92 @@ END = xxhash.xxh64_intdigest(b"end of text") - (1 << 63)
 START = xxhash.xxh64_intdigest(b"start of text") - (1 << 63)
 #: A filter of runs has 8 to 16 bits a run, but at most so many; what passes it in error finds no partner.
 FILTER_BITS = 1 << 28
-#: Tokens that are scored at a time.
-GROUP = 1 << 19
-
+#: Tokens that are scored, and bytes of text that are split, at a time.
+GROUP, PIECE = 1 << 18, 1 << 23
+#: Runs that a task counts before it passes them on, that it looks up, and tokens whose runs one task gathers.
+BLOCK, ASKED, TASK_TOKENS = 1 << 21, 1 << 20, 1 << 21
+#: Words of more bytes are hashed one by one.
+LONG = 1 << 10
+_BLANK, _LOWER = np.zeros(256, bool), np.arange(256, dtype=np.uint8)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER[65:91] += 32
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
-def hash_of(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) - (1 << 63)
 
+def _stir(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15)
+    x = ((x ^ (x >> np.uint64(29))) + b) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
 
-class _Cache(dict):
-    """Values of words, emptied when full."""
 
-    def __init__(self, value, limit: int = 300_000):
-        super().__init__()
-        self.value, self.limit = value, limit
+def hashes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of binary texts, A-Z lower-cased and split at ASCII white space, and the number of words of each.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        found = self[word] = self.value(word)
-        return found
+    All words take eight bytes at a time together. Null text: no words.
+    """
+    joined = pc.binary_join_element_wise(texts.fill_null(b""), pa.scalar(b" ", texts.type), pa.scalar(b"", texts.type))
+    wide = pa.types.is_large_binary(joined.type)
+    offsets = np.frombuffer(joined.buffers()[1], np.int64 if wide else np.int32)[joined.offset: joined.offset + len(joined) + 1].astype(np.int64)
+    data = np.frombuffer(joined.buffers()[2], np.uint8)[offsets[0]: offsets[-1]]
+    text = np.full(len(data) + 9, 32, np.uint8)
+    np.take(_LOWER, data, out=text[1: len(data) + 1])
+    blank = _BLANK[text]
+    edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    starts, size = edges[::2], edges[1::2] - edges[::2]
+    eight = np.ndarray(len(text) - 7, np.uint64, text, strides=(1,))
+    found = _stir(size.astype(np.uint64), eight[starts] & _BYTES[np.minimum(size, 8)])
+    at, here = 8, np.flatnonzero((size > 8) & (size <= LONG))
+    while len(here):
+        found[here] = _stir(found[here], eight[starts[here] + at] & _BYTES[np.minimum(size[here] - at, 8)])
+        at += 8
+        here = here[size[here] > at]
+    for k in np.flatnonzero(size > LONG).tolist():
+        found[k] = xxhash.xxh64_intdigest(text[starts[k]: starts[k] + size[k]].tobytes())
+    return found.view(np.int64), np.diff(np.searchsorted(starts, offsets - offsets[0] + 1))
+
+
+def _pieces(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Parts of a batch of about ``PIECE`` bytes of text, the hashes of their words and the number of words of each row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    first = 0
+    while first < len(batch):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE, "right")))
+        piece = batch.slice(first, last - first)
+        yield piece, *hashes_of(piece.column(text))
+        first = last
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    """A-Z lower-cased, split at ASCII white space."""
-    return (text or b"").lower().split()
+class Places:
+    """Places of keys in a list of distinct hashes, by a table with open addresses."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.mask = (1 << max(4, (3 * len(keys)).bit_length())) - 1
+        self.table = np.full(self.mask + 1, -1, np.int32)
+        left, slot = np.arange(len(keys), dtype=np.int32), keys & self.mask
+        while len(left):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = left[free]
+            out = self.table[slot] != left
+            left, slot = left[out], (slot[out] + 1) & self.mask
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The place of each key, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(keys), -1, np.int32)
+        slot = keys & self.mask
+        out = self.table[slot]
+        here = np.flatnonzero(out >= 0)
+        here = here[self.keys[out[here]] != keys[here]]
+        slot = slot[here]
+        while len(here):
+            slot = (slot + 1) & self.mask
+            found = self.table[slot]
+            out[here] = found
+            next_ = np.flatnonzero(found >= 0)
+            next_ = next_[self.keys[found[next_]] != keys[here[next_]]]
+            here, slot = here[next_], slot[next_]
+        return out
 
 
 @dataclass
@@ -86,15 +150,15 @@ class Tree:
     tokens: int
     distinct: int
     levels: list[Level] = field(default_factory=list)
-    #: Frequent runs that are not in the levels: sorted keys, and what each adds to a score.
+    #: Frequent runs, those of the levels among them: sorted keys, and what each adds to a score.
     often: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     worth: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: All other runs that add to a score (key, worth), and a filter of their keys.
+    #: All other runs that add to a score (key, worth, length), and a filter of their keys.
     tail: DataFrame | None = None
-    passes: np.ndarray | None = None
+    passes: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "tail": None}  # is joined, not broadcast
+        return {**self.__dict__, "tail": None, "levels": []}  # the tail is joined, the levels are in ``often``
 
     @property
     def width(self) -> int:
@@ -108,9 +172,13 @@ class Tree:
     def root(self) -> np.ndarray:
         return np.log10((self.counts + 1) / (self.tokens + self.distinct + 1))
 
-    def cache(self) -> _Cache:
-        places = dict(zip(self.hashes.tolist(), range(self.width)))
-        return _Cache(lambda word: places.get(hash_of(word), -1))
+    @cached_property
+    def places(self) -> Places:
+        return Places(self.hashes)
+
+    @cached_property
+    def often_places(self) -> Places:
+        return Places(self.often)
 
     def known(self, depth: int, before: list[np.ndarray]) -> np.ndarray:
         """State of depth ``depth`` (1 is the first) of each position, -1 if there is none. before[k]: the word that
@@ -156,89 +224,106 @@ class Tree:
         return total
 
 
-def _positions(rows: list[np.ndarray], end: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """Groups of texts: owner and word of each token (the end after each text), and the two words before it.
+def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Key of a run from the keys of the run without its last and of the run without its first word."""
+    return _stir(a.view(np.uint64), b.view(np.uint64)).view(np.int64)
+
 
-    The end of a text precedes its first word; nothing precedes that.
-    """
-    group, size, first, stop = [], 0, 0, np.array([end])
-    for i, words in enumerate(rows):
-        group.append(words)
-        size += len(words) + 1
-        if size >= GROUP or i == len(rows) - 1:
-            ids = np.concatenate([part for words in group for part in (words, stop)]).astype(np.int64)
-            lengths = np.array([len(words) + 1 for words in group])
-            starts = np.cumsum(lengths) - lengths
-            last = np.concatenate([stop, ids[:-1]])
-            last[starts] = end
-            second = np.concatenate([[-1], last[:-1]])
-            second[starts] = -1
-            yield np.repeat(np.arange(first, first + len(group)), lengths), ids, [last, second]
-            first, group, size = i + 1, [], 0
+def _list(values: np.ndarray, lengths: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values))
 
 
-def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Key of a run from the keys of the run without its last and of the run without its first word."""
-    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = ((x ^ (x >> np.uint64(29))) + b.view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
+def _groups(batch: pa.RecordBatch) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of placed texts of about ``GROUP`` tokens: their rows, words, rare words and numbers of words."""
+    columns = [batch.column(name) for name in ("words", "h")]
+    (words, rare), (at, far) = ([c.flatten().to_numpy() for c in columns], [c.offsets.to_numpy().astype(np.int64) for c in columns])
+    at, far = at - at[0], far - far[0]
+    ends, first = at[1:] + 2 * np.arange(1, len(batch) + 1), 0
+    while first < len(batch):
+        last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + GROUP, "right")))
+        yield slice(first, last), words[at[first]: at[last]], rare[far[first]: far[last]], np.diff(at[first: last + 1])
+        first = last
 
 
-def _run_keys(words: list[np.ndarray], rare: list[np.ndarray], hashes: np.ndarray) -> Iterator[tuple[np.ndarray, list]]:
-    """Groups of texts: owners of all places and, for each length of 1 to ``DEPTH + 1``, the places where such runs end
+def _run_keys(words: np.ndarray, rare: np.ndarray, lengths: np.ndarray, hashes: np.ndarray, longest: int) -> tuple[np.ndarray, list]:
+    """Owners of all places of a group of texts and, for each length of 1 to ``longest``, the places where such runs end
     and their keys at all places. Every text is its words between a start and an end."""
-    first = 0
-    while first < len(words):
-        last, size = first, 0
-        while last < len(words) and size < GROUP:
-            size += len(words[last]) + 2
-            last += 1
-        lengths = np.array([len(part) + 2 for part in words[first:last]])
-        starts = np.cumsum(lengths) - lengths
-        place = np.arange(size) - np.repeat(starts, lengths)
-        keys = np.empty(size, np.int64)
-        inner = np.ones(size, bool)
-        inner[starts] = inner[starts + lengths - 1] = False
-        ids = np.concatenate(words[first:last])
-        found = hashes[ids]
-        found[ids < 0] = np.concatenate(rare[first:last])
-        keys[inner], keys[starts], keys[starts + lengths - 1] = found, START, END
-        out = [(np.arange(size), keys)]
-        for n in range(2, DEPTH + 2):
-            keys = np.concatenate([keys[:1], _mix(keys[:-1], keys[1:])])
-            out.append((np.flatnonzero(place >= n - 1), keys))
-        yield np.repeat(np.arange(first, last), lengths), out
-        first = last
+    lengths = lengths + 2
+    size, starts = int(lengths.sum()), np.cumsum(lengths) - lengths
+    own = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(size) - starts[own]
+    keys = np.empty(size, np.int64)
+    inner = np.ones(size, bool)
+    inner[starts] = inner[starts + lengths - 1] = False
+    found = hashes[words]
+    found[words < 0] = rare
+    keys[inner], keys[starts], keys[starts + lengths - 1] = found, START, END
+    out = [(np.arange(size), keys)]
+    for n in range(2, longest + 1):
+        keys = np.concatenate([keys[:1], _mix(keys[:-1], keys[1:])])
+        out.append((np.flatnonzero(place >= n - 1), keys))
+    return own, out
+
+
+def _parts(spark, tokens: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // TASK_TOKENS))
+
+
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts keys, the parts that hold some, and the number of keys of each: ranges of the keys."""
+    order = np.argsort(keys.view(np.uint64))
+    part = ((keys[order].view(np.uint64) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, int)
+    return order, part[first].astype(np.int64), np.diff(np.append(first, len(part)))
+
+
+def _firsts(keys: np.ndarray) -> np.ndarray:
+    """Where each distinct key of a sorted list begins."""
+    return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, int)
+
+
+def _batches(columns: dict[str, np.ndarray], rows: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    whole = pa.RecordBatch.from_pydict({name: pa.array(value) for name, value in columns.items()})
+    for first in range(0, len(whole), rows):
+        yield whole.slice(first, rows)
 
 
 def _passing(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    slot = keys & (64 * len(bits) - 1)
-    return (bits[slot >> 6] >> (slot & 63)) & 1 == 1
+    word, both = bits[(keys & (64 * len(bits) - 1)) >> 6], (np.int64(1) << (keys & 63)) | (np.int64(1) << ((keys >> 40) & 63))
+    return word & both == both
 
 
 def _filter_of(keys: DataFrame) -> np.ndarray:
-    """Bits of the keys of a table (key), at most ``FILTER_BITS``."""
+    """Bits of the keys of a table (key), two for each in one word, at most ``FILTER_BITS``."""
     size = min(FILTER_BITS, 1 << max(10, (8 * keys.count()).bit_length()))
-    slot = F.col("key").bitwiseAND(F.lit(size - 1).cast("long"))
-    words = keys.select(F.shiftright(slot, 6).alias("at"), F.call_function(
-        "shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63).cast("long")).cast("int")).alias("bit"))
-    held = words.groupBy("at").agg(F.bit_or("bit").alias("bit")).toArrow().to_pandas()
+    key = F.col("key")
+    first, second = (F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63).cast("long")).cast("int")) for x in (key, F.shiftright(key, 40)))
+    words = keys.select(F.shiftright(key.bitwiseAND(F.lit(size - 1).cast("long")), 6).alias("at"), first.bitwiseOR(second).alias("bit"))
+    # Stored, so the shuffle files go.
+    merged = stored(words.groupBy("at").agg(F.bit_or("bit").alias("bit")), free=True)
+    held = merged.toArrow().to_pandas()
+    forget(merged)
     bits = np.zeros(size >> 6, np.int64)
     bits[held["at"].to_numpy(np.int64)] = held["bit"].to_numpy(np.int64)
     return bits
 
 
-def _with_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        yield batch.assign(key=_mix(batch["ctx"].to_numpy(np.int64), batch["suf"].to_numpy(np.int64)))
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size, texts = [], 0, 0
 
+    def told() -> Iterator[pa.RecordBatch]:
+        words, n = np.unique(np.concatenate(held), return_counts=True)
+        return _batches({"h": np.append(words, END), "n": np.append(n, texts)})
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        found = Counter()
-        for text in batch["text"]:
-            found.update(words_of(text))
-        yield pd.DataFrame({"h": [*map(hash_of, found), END], "n": [*found.values(), len(batch)]})
+        for piece, words, _ in _pieces(batch, "text"):
+            held.append(words)
+            size, texts = size + len(words), texts + len(piece)
+            if size >= BLOCK:
+                yield from told()
+                held, size, texts = [], 0, 0
+    if texts:
+        yield from told()
 
 
 def vocabulary(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
@@ -248,7 +333,7 @@ def vocabulary(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFram
     with at least ``WORD_SHARE`` of all tokens: their number is bounded at any size of the corpus.
     """
     source = documents.select(F.col(text).cast("binary").alias("text"))
-    counts = stored(source.mapInPandas(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), free=True)
+    counts = stored(source.mapInArrow(_count_words, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), free=True)
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     tokens, distinct = int(totals[0]), int(totals[1])
     often = counts.where((F.col("n") >= max(2, WORD_SHARE * tokens)) | (F.col("h") == END)).toArrow().to_pandas().sort_values("h")
@@ -268,42 +353,70 @@ def place_words(documents: DataFrame, tree: Tree, text: str = "text") -> DataFra
     source = documents.select(*[F.col(f"`{name}`") for name in rest], F.monotonically_increasing_id().alias("row"),
                               F.col(text).cast("binary").alias("__text"))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = shared.value.cache()
-        for whole in batches:
-            for begin in range(0, len(whole), 512):
-                batch = whole.iloc[begin: begin + 512]
-                words, few = [], []
-                for text in batch["__text"]:
-                    split = words_of(text)
-                    ids = np.fromiter(map(cache.__getitem__, split), np.int32, len(split))
-                    words.append(ids)
-                    few.append(np.array([hash_of(split[k]) for k in np.flatnonzero(ids < 0).tolist()], np.int64))
-                yield batch.drop(columns="__text").assign(**{
-                    name: pd.Series(value, dtype=object, index=batch.index) for name, value in (("words", words), ("h", few))})
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places = shared.value.places
+        for batch in batches:
+            for piece, words, lengths in _pieces(batch, "__text"):
+                ids = places(words)
+                few = np.concatenate([[0], np.cumsum(ids < 0)])[np.concatenate([[0], np.cumsum(lengths)])]
+                keep = [name for name in piece.schema.names if name != "__text"]
+                yield pa.RecordBatch.from_arrays([*map(piece.column, keep), _list(ids, lengths), _list(words[ids < 0], np.diff(few))],
+                                                 [*keep, "words", "h"])
 
     schema = source.drop("__text").schema.add("words", T.ArrayType(T.IntegerType())).add("h", T.ArrayType(T.LongType()))
-    return stored(source.mapInPandas(place, schema))
+    return stored(source.mapInArrow(place, schema), codec="zstd")
 
 
-def _count_runs(placed: DataFrame, hashes, length: int, filter_: np.ndarray) -> DataFrame:
+def _count_runs(placed: DataFrame, hashes, tokens: int, length: int, filter_: np.ndarray) -> DataFrame:
     """Stored runs (ctx, suf, n, key) of ``length`` words that occur ``WORD_COUNT`` times. filter_: keys of the shorter runs
     that do; a run cannot be more frequent than the two inside it."""
     passes = placed.sparkSession.sparkContext.broadcast(filter_)
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    parts = _parts(placed.sparkSession, tokens)
+
+    def told(held: list) -> Iterator[pa.RecordBatch]:
+        ctx, suf = (np.concatenate(x) for x in zip(*held))
+        keys = _mix(ctx, suf)
+        order = np.argsort(keys.view(np.uint64))
+        first = _firsts(keys[order])
+        one, n = order[first], np.diff(np.append(first, len(order))).astype(np.int32)
+        order, part, size = _dealt(keys[one], 16 * parts)
+        yield pa.RecordBatch.from_arrays([pa.array(part), *(_list(x[order], size) for x in (ctx[one], suf[one], n))], ["part", "ctx", "suf", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            for _, runs in _run_keys(batch["words"].tolist(), batch["h"].tolist(), hashes.value):
-                at, keys = runs[length - 1]
-                shorter = runs[length - 2][1]
+            for _, words, rare, lengths in _groups(batch):
+                _, runs = _run_keys(words, rare, lengths, hashes.value, length)
+                at, shorter = runs[length - 1][0], runs[length - 2][1]
                 fit = _passing(shorter, passes.value)
                 at = at[fit[at] & fit[at - 1]]
-                label, _ = pd.factorize(keys[at])
-                _, one = np.unique(label, return_index=True)
-                yield pd.DataFrame({"ctx": shorter[at[one] - 1], "suf": shorter[at[one]], "n": np.bincount(label, minlength=len(one))})
-
-    found = placed.select("words", "h").mapInPandas(count, "ctx long, suf long, n long").repartition("ctx", "suf").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
-    return stored(found.where(F.col("n") >= WORD_COUNT).mapInPandas(_with_keys, "ctx long, suf long, n long, key long"), free=True)
+                held.append((shorter[at - 1], shorter[at]))
+                size += len(at)
+                if size >= BLOCK:
+                    yield from told(held)
+                    held, size = [], 0
+        if size:
+            yield from told(held)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[batch.column(name).flatten().to_numpy() for name in ("ctx", "suf", "n")] for batch in batches]
+        if not held:
+            return
+        ctx, suf, n = (np.concatenate(x) for x in zip(*held))
+        del held
+        keys = _mix(ctx, suf)
+        order = np.argsort(keys)
+        first = _firsts(keys[order])
+        if len(first):
+            total = np.add.reduceat(n[order].astype(np.int64), first)
+            first, total = first[total >= WORD_COUNT], total[total >= WORD_COUNT]
+            one = order[first]
+            yield from _batches({"ctx": ctx[one], "suf": suf[one], "n": total, "key": keys[one]})
+
+    blocks = placed.select("words", "h").mapInArrow(count, "part long, ctx array<long>, suf array<long>, n array<int>")
+    runs = stored(blocks.repartition(parts, "part").mapInArrow(add, "ctx long, suf long, n long, key long"), free=True)
+    passes.destroy()
+    return runs
 
 
 def grow(tree: Tree, placed: DataFrame, counts: DataFrame) -> Tree:
@@ -326,34 +439,43 @@ def grow(tree: Tree, placed: DataFrame, counts: DataFrame) -> Tree:
     digits = pd.Series(np.append(np.arange(tree.width), tree.end), np.append(tree.hashes, START))
     rest, stages = [], []
     for depth in range(1, DEPTH + 1):
-        runs = _count_runs(placed, hashes, depth + 1, filter_)
-        below = runs.join(contexts.withColumnRenamed("key", "ctx"), "ctx").join(
-            values.select(F.col("key").alias("suf"), F.col("value").alias("parent")), "suf")
+        runs = _count_runs(placed, hashes, tree.tokens, depth + 1, filter_)
+        below = stored(runs.join(contexts.withColumnRenamed("key", "ctx"), "ctx").join(
+            values.select(F.col("key").alias("suf"), F.col("value").alias("parent")), "suf"), free=True)
         kept = stored(diverging(below), free=True)
-        held = below.join(kept.select("ctx", "fallback"), "ctx").withColumn("value", F.log10((F.col("n") - DISCOUNT) / F.col("size")))
-        held = stored(held.select("ctx", "suf", "key", "n", "size", "value", (F.col("value") - F.col("fallback") - F.col("parent")).alias("more")), free=True)
-        stages += [runs, kept, held]
-        inside = F.lit(depth <= LEVELS)
+        value = F.log10((F.col("n") - DISCOUNT) / F.col("size"))
+        head = F.lit(depth <= LEVELS) & (F.col("size") >= big) & (F.col("n") >= often)
+        held = stored(below.join(kept.select("ctx", "fallback"), "ctx").select(
+            "key", "n", value.alias("value"), (value - F.col("fallback") - F.col("parent")).alias("more"),
+            *[F.when(head, F.col(name)).alias(name) for name in ("ctx", "suf")]), free=True)
+        forget(below)
+        stages += [kept, held]
         if depth <= LEVELS:
             tree.levels.append(level(tree, digits, kept.where(F.col("size") >= big).toArrow().to_pandas(),
-                                     held.where((F.col("size") >= big) & (F.col("n") >= often)).toArrow().to_pandas()))
+                                     held.where("ctx is not null").toArrow().to_pandas()))
         if depth < LEVELS:
             run = runs.where(F.col("n") >= often).toArrow().to_pandas()
             last = digits.loc[run["suf"]].to_numpy() % tree.width
             digits = pd.Series(digits.loc[run["ctx"]].to_numpy() * tree.width + last, run["key"].to_numpy())
-        rest += [kept.where(~(inside & (F.col("size") >= big))).select(F.col("ctx").alias("key"), F.col("size").alias("n"), F.col("fallback").alias("worth")),
-                 held.where(~(inside & (F.col("size") >= big) & (F.col("n") >= often))).select("key", "n", F.col("more").alias("worth"))]
+        rest += [kept.select(F.col("ctx").alias("key"), F.col("size").alias("n"), F.col("fallback").alias("worth")),
+                 held.select("key", "n", F.col("more").alias("worth"))]
+        rest[-2:] = [part.withColumn("length", F.lit(depth + k)) for k, part in enumerate(rest[-2:])]
         if depth == DEPTH:
             break
         # A run becomes a context if the run without its first word is a state; runs to the end of a text have no next word.
         contexts = runs.where(F.col("n") >= CONTEXT_COUNT).join(kept.select(F.col("ctx").alias("suf")), "suf", "left_semi").select("key", F.col("n").alias("size"))
+        contexts = stored(contexts, free=True)
+        stages.append(contexts)
         values, filter_ = held.select("key", "value"), _filter_of(runs.select("key"))
-    whole = stored(reduce(DataFrame.union, rest).groupBy("key").agg(F.max("n").alias("n"), F.sum("worth").alias("worth")), free=True)
+        forget(runs)
+    forget(runs)
+    # A run may have two rows, as a state and as what a state holds.
+    whole = stored(reduce(DataFrame.union, rest))
     for stage in stages:
         forget(stage)
-    head = whole.where(F.col("n") >= often).toArrow().to_pandas().sort_values("key")
-    tree.often, tree.worth = head["key"].to_numpy(np.int64), head["worth"].to_numpy(np.float64)
-    tree.tail = whole.where(F.col("n") < often).select("key", "worth")
+    head = whole.where(F.col("n") >= often).toArrow().to_pandas().groupby("key")["worth"].sum()
+    tree.often, tree.worth = head.index.to_numpy(np.int64), head.to_numpy(np.float64)
+    tree.tail = whole.where(F.col("n") < often).select("key", "worth", "length")
     tree.passes = _filter_of(tree.tail.select("key"))
     return tree
 
@@ -407,55 +529,138 @@ def score_placed(placed: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
     Null and empty texts are scored by their end alone. Repeated rows, equal keys and null keys are separate rows.
     Columns with the names of the results are replaced.
     """
-    shared = placed.sparkSession.sparkContext.broadcast(tree)
+    spark = placed.sparkSession
+    shared, parts = spark.sparkContext.broadcast(tree), _parts(spark, tree.tokens)
+    results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
+    rest = [name for name in placed.columns if name not in ("row", "words", "h", *results)]
+    # What a word without a count adds; a count c adds log10(c + 1) to that.
+    unknown = -float(np.log10(tree.tokens + tree.distinct + 1))
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = shared.value
         root = tree.root
         for batch in batches:
-            size = len(batch)
-            total, base, n, known = (np.zeros(size) for _ in range(4))
-            if len(tree.often):
-                for own, runs in _run_keys(batch["words"].tolist(), batch["h"].tolist(), tree.hashes):
-                    for at, keys in runs:
-                        place = np.minimum(np.searchsorted(tree.often, keys[at]), len(tree.often) - 1)
-                        hit = tree.often[place] == keys[at]
-                        total += np.bincount(own[at[hit]], tree.worth[place[hit]], size)
-            for own, word, before in _positions(batch["words"].tolist(), tree.end):
-                total += np.bincount(own, tree.score(word, before), size)
-                frequent = word >= 0
-                base += np.bincount(own[frequent], root[word[frequent]], size)
-                known += np.bincount(own[frequent], tree.counts[word[frequent]] > 0, size)
-                n += np.bincount(own, minlength=size)
-            yield pd.DataFrame({"row": batch["row"], "n_tokens": n.astype(np.int64), "known": known.astype(np.int64),
-                                "base": base, "total": total})
-
-    def rare_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = shared.value
-        for batch in batches:
-            rows = batch["row"].to_numpy()
-            for own, runs in _run_keys(batch["words"].tolist(), batch["h"].tolist(), tree.hashes):
+            total, base, n, known = (np.zeros(len(batch)) for _ in range(4))
+            for rows, words, rare, lengths in _groups(batch):
+                own, runs = _run_keys(words, rare, lengths, tree.hashes, DEPTH + 1)
+                size = len(lengths)
+                n[rows] = lengths + 1
+                mine, often = np.repeat(np.arange(size), lengths), words >= 0
+                ids = words[often]
+                base[rows] = np.bincount(mine, np.where(often, root[words], unknown), size) + root[tree.end]
+                known[rows] = np.bincount(mine[often], tree.counts[ids] > 0, size) + (tree.counts[tree.end] > 0)
+                total[rows] = base[rows]
                 for at, keys in runs:
-                    at = at[_passing(keys[at], tree.passes)]
-                    yield pd.DataFrame({"row": rows[own[at]], "key": keys[at]})
-
-    texts = placed.select("row", "words", "h")
-    scored = texts.mapInPandas(score, "row long, n_tokens long, known long, base double, total double")
-    light = counts.where(F.col("n") < max(2, WORD_SHARE * tree.tokens))
-    found = placed.select("row", F.explode("h").alias("h")).join(light, "h", "left")
-    worth = F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tree.tokens + tree.distinct + 1)))
-    known_words = F.count(F.when(F.col("n") > 0, True))
-    # Both sums are stored one after the other, so the shuffle files of their joins are not on disk together.
-    rare = stored(found.withColumn("worth", worth).groupBy("row").agg(F.sum("worth").alias("worth"), known_words.alias("more")), free=True)
-    if tree.tail is not None:
-        met = texts.mapInPandas(rare_runs, "row long, key long").join(tree.tail, "key")
-        met = stored(met.groupBy("row").agg(F.sum("worth").alias("below")), free=True)
-    else:
-        met = rare.select("row", F.lit(0.0).alias("below"))
-    results = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
-    rest = [name for name in placed.columns if name not in ("row", "words", "h", *results)]
-    out = placed.select("row", *[F.col(f"`{name}`") for name in rest]).join(scored, "row").join(rare, "row", "left").join(met, "row", "left")
-    worth, below, more = F.coalesce("worth", F.lit(0.0)), F.coalesce("below", F.lit(0.0)), F.coalesce("more", F.lit(0))
-    return out.select(*[F.col(f"`{name}`") for name in rest], "n_tokens", (F.col("known") + more).alias("n_known"),
-                      F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("base") + worth).alias("base_score"),
-                      (F.col("total") + worth + below).alias("score"))
+                    place = tree.often_places(keys[at])
+                    hit = np.flatnonzero(place >= 0)
+                    total[rows] += np.bincount(own[at[hit]], tree.worth[place[hit]], size)
+            columns = [pa.array(n.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(total)]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, [*rest, "row"]), *columns], [*rest, "row", "n_tokens", "__known", "__base", "__total"])
+
+    def asked(held: list) -> Iterator[pa.RecordBatch]:
+        rows, keys = (np.concatenate(x) for x in zip(*held))
+        order, part, size = _dealt(keys, 16 * parts)
+        none = pa.nulls(len(part), pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_arrays([pa.array(part), _list(keys[order], size), _list(rows[order], size), none, none], ["part", "key", "row", "worth", "base"])
+
+    def asking(length: int):
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            tree = shared.value
+            held, size = [], 0
+            for batch in batches:
+                row = batch.column("row").to_numpy()
+                for rows, words, rare, lengths in _groups(batch):
+                    own, runs = _run_keys(words, rare, lengths, tree.hashes, length)
+                    at, keys = runs[-1]
+                    fit = _passing(keys[at], tree.passes)
+                    if length == 1:  # every rare word is looked up, the end of a text is not
+                        places = np.arange(len(words)) + 2 * np.repeat(np.arange(len(lengths)), lengths) + 1
+                        fit[places[words < 0]] = True
+                        fit[np.cumsum(lengths + 2) - 1] = False
+                    at = at[fit]
+                    held.append((row[rows][own[at]], keys[at]))
+                    size += len(at)
+                    if size >= ASKED:
+                        yield from asked(held)
+                        held, size = [], 0
+            if size:
+                yield from asked(held)
+        return ask
+
+    def telling(held: list) -> Iterator[pa.RecordBatch]:
+        keys, worth, base = (np.concatenate(x) for x in zip(*held))
+        order, part, size = _dealt(keys, 16 * parts)
+        none = pa.nulls(len(part), pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(part), _list(keys[order], size), none, _list(worth[order], size), _list(base[order], size)],
+                                         ["part", "key", "row", "worth", "base"])
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([batch.column(name).to_numpy() for name in ("key", "worth", "base")])
+            size += len(batch)
+            if size >= ASKED:
+                yield from telling(held)
+                held, size = [], 0
+        if size:
+            yield from telling(held)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told, asked = [], []
+        for batch in batches:
+            of = batch.column("row").is_null()
+            for rows, names, into in ((of, ("key", "worth", "base"), told), (pc.invert(of), ("key", "row"), asked)):
+                some = batch.filter(rows)
+                if len(some):
+                    into.append([some.column(name).flatten().to_numpy() for name in names])
+        if not told or not asked:
+            return
+        keys, worth, base = (np.concatenate(x) for x in zip(*told))
+        order = np.argsort(keys)
+        first = _firsts(keys[order])
+        keys, worth, base = keys[order][first], np.add.reduceat(worth[order], first), np.add.reduceat(base[order], first)
+        rows, places = [], []
+        for key, row in asked:
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[at] == key
+            rows.append(row[hit])
+            places.append(at[hit])
+        at = np.concatenate(places)
+        own, rows = pd.factorize(np.concatenate(rows))
+        if len(rows):
+            yield summed(rows, np.bincount(own, worth[at]), np.bincount(own, base[at]), np.bincount(own[base[at] > 0], minlength=len(rows)))
+
+    def summed(rows: np.ndarray, *sums: np.ndarray) -> pa.RecordBatch:
+        order, part, size = _dealt(_stir(rows.view(np.uint64), np.uint64(0)).view(np.int64), parts)
+        return pa.RecordBatch.from_arrays([pa.array(part), *(_list(x[order], size) for x in (rows, *sums))], ["part", "row", "worth", "base", "known"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[batch.column(name).flatten().to_numpy() for name in ("row", "worth", "base", "known")] for batch in batches]
+        if held:
+            rows, *sums = (np.concatenate(x) for x in zip(*held))
+            own, rows = pd.factorize(rows)
+            yield from _batches({"row": rows} | {name: np.bincount(own, x) for name, x in zip(("worth", "base", "known"), sums)})
+
+    light = counts.where(F.col("n") < max(2, WORD_SHARE * tree.tokens)).where(F.col("h") != END).select(
+        F.col("h").alias("key"), F.log10(F.col("n") + 1).alias("worth"), F.log10(F.col("n") + 1).alias("base"))
+    shape = "part long, key array<long>, row array<long>, worth array<double>, base array<double>"
+    sums = "part long, row array<long>, worth array<double>, base array<double>, known array<long>"
+    found = []
+    # Runs of each length are looked up by themselves, so what one shuffles is gone before the next.
+    for length in range(1, DEPTH + 2):
+        tables = [light] if length == 1 else []
+        if tree.tail is not None:
+            tables.append(tree.tail.where(F.col("length") == length).select("key", "worth", F.lit(0.0).alias("base")))
+        if tables:
+            dealt = placed.select("row", "words", "h").mapInArrow(asking(length), shape).union(reduce(DataFrame.union, tables).mapInArrow(tell, shape))
+            met = dealt.repartition(parts, "part").mapInArrow(meet, sums).repartition(parts, "part")
+            found.append(stored(met.mapInArrow(add, "row long, worth double, base double, known double"), free=True))
+    met = reduce(DataFrame.union, found).groupBy("row").agg(
+        F.sum("worth").alias("__worth"), F.sum("base").alias("__more"), F.sum("known").cast("long").alias("__found"))
+    schema = T.StructType([*[placed.schema[name] for name in [*rest, "row"]], T.StructField("n_tokens", T.LongType()), T.StructField("__known", T.LongType()),
+                           T.StructField("__base", T.DoubleType()), T.StructField("__total", T.DoubleType())])
+    out = placed.select(*[F.col(f"`{name}`") for name in rest], "row", "words", "h").mapInArrow(score, schema).join(met, "row", "left")
+    worth, more, found = F.coalesce("__worth", F.lit(0.0)), F.coalesce("__more", F.lit(0.0)), F.coalesce("__found", F.lit(0))
+    return out.select(*[F.col(f"`{name}`") for name in rest], "n_tokens", (F.col("__known") + found).alias("n_known"),
+                      F.lit(tree.tokens).cast("long").alias("train_tokens"), (F.col("__base") + more).alias("base_score"),
+                      (F.col("__total") + worth).alias("score"))

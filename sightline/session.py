@@ -49,12 +49,12 @@ def recovery_directory(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def stored(frame: DataFrame, free: bool = False) -> DataFrame:
+def stored(frame: DataFrame, free: bool = False, codec: str | None = None) -> DataFrame:
     """Write a stage as Parquet in the shared checkpoint folder and read it back.
 
     Unlike ``checkpoint`` the copy is columnar, so later branches read only their columns. A lost executor costs a
     re-read: no lineage and no machine-local file is needed. ``free``: the shuffle files of the stage are removed once it is
-    written, as nothing reads them again.
+    written, as nothing reads them again. ``codec``: another compression than the session's.
     """
     spark = frame.sparkSession
     path = f"{recovery_directory(spark)}/stage-{uuid.uuid4().hex}"
@@ -62,7 +62,7 @@ def stored(frame: DataFrame, free: bool = False) -> DataFrame:
     try:
         if free:
             spark.conf.set(CLEANUP, "true")
-        frame.write.parquet(path)
+        frame.write.parquet(path, compression=codec)
     finally:
         if free:
             spark.conf.set(CLEANUP, before)
